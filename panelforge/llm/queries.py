@@ -15,6 +15,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.omh import edited_likeness
+
+    return edited_likeness(documents(spark, sf_dir))
+
+
+def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.media import media_features
+
+    return media_features(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.packing import pack
 
@@ -28,7 +40,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_order_minhash": op3_order_minhash,
     "op7_packing": op7_packing,
+    "op9_motion_jpeg": op9_motion_jpeg,
     "op10_bpe": op10_bpe,
 }
 
