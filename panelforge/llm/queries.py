@@ -15,6 +15,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.langid import predict
+
+    return predict(documents(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.omh import edited_likeness
 
@@ -40,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op3_order_minhash": op3_order_minhash,
     "op7_packing": op7_packing,
     "op9_motion_jpeg": op9_motion_jpeg,
