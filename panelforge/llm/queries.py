@@ -27,6 +27,12 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.pii import find
+
+    return find(documents(spark, sf_dir))
+
+
 def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.media import media_features
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_order_minhash": op3_order_minhash,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_motion_jpeg": op9_motion_jpeg,
     "op10_bpe": op10_bpe,
 }
