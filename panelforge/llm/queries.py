@@ -39,6 +39,12 @@ def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.packing import pack
 
@@ -54,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_order_minhash": op3_order_minhash,
+    "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_motion_jpeg": op9_motion_jpeg,
