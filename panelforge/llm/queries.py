@@ -45,6 +45,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.quality import sampled
+
+    return sampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.packing import pack
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_order_minhash": op3_order_minhash,
     "op4_simhash": op4_simhash,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_motion_jpeg": op9_motion_jpeg,
