@@ -32,8 +32,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units that are one word of Latin letters and then signs, as the pre-token pattern cuts them too.
 SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
-#: Units, and as many pre-tokens, kept with their ids in a Python worker; twice as many at most.
-CACHE_UNITS = 250_000
+#: Units and pre-tokens kept with their ids in a Python worker; twice as many at most.
+CACHE_UNITS = 700_000
 #: Bytes of a pre-token between two looks for final tokens.
 LOOK_EVERY = 4096
 NEVER = 1 << 60
@@ -73,44 +73,49 @@ class Merges:
         self.alone: dict[int, bool] = {}
         self._endings()
 
-        self.longest: dict[bytes, int] = {}
+        self.longest: dict[bytes, int] = {}  # of the tokens that begin with these four bytes
         for text in self.ids:
-            self.longest[text[:2]] = max(len(text), self.longest.get(text[:2], 1))
+            if len(text) > 3:
+                self.longest[text[:4]] = max(len(text), self.longest.get(text[:4], 3))
         self.shorter = {t: next((self.ids[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.ids), -1) for b, t in self.ids.items()}
         self.size = {t: len(b) for b, t in self.ids.items()}
 
     def window(self, text: bytes) -> list[int]:
         """Ids of a pre-token that lies within the lookahead: longest tokens first, taken back where their neighbours cannot stand beside them."""
-        ids, beside, size, n = self.ids, self.beside, self.size, len(text)
+        ids, known, size, n = self.ids, self.beside.get, self.size, len(text)
         token = ids.get(text)
         if token is not None and self.whole(token, text):
             return [token]
         out: list[int] = []
         dead: set[int] = set()
-        at, token = 0, -1
-        while at < n or token >= 0:
-            if token < 0:
-                for k in range(min(n - at, self.longest.get(text[at : at + 2], 1)), 0, -1):
-                    token = ids.get(text[at : at + k], -1)
-                    if token >= 0:
-                        break
-            before = out[-1] if out else -1
-            while token >= 0:
-                if at + size[token] not in dead:
-                    ok = before < 0 or beside.get((before, token))
+        at, before, shorter, longest = 0, -1, self.shorter, self.longest
+        while at < n:
+            end = at + longest.get(text[at : at + 4], 3)
+            if end > n:
+                end = n
+            token = ids.get(text[at:end])
+            while token is None:
+                end -= 1
+                token = ids.get(text[at:end])
+            while True:
+                if end not in dead:
+                    ok = before < 0 or known((before, token))
                     if ok is None:
                         ok = self.can_stand_beside(before, token)
                     if ok:
+                        out.append(token)
+                        at, before = end, token
                         break
-                token = self.shorter[token]
-            if token >= 0:
-                out.append(token)
-                at += size[token]
-                token = -1
-            else:
-                dead.add(at)
-                token = out.pop()
-                at -= size[token]
+                token = shorter[token]
+                if token < 0:
+                    # nothing fits here: take the token before back and try a shorter one in its place
+                    dead.add(at)
+                    token = out.pop()
+                    end = at
+                    at -= size[token]
+                    before = out[-1] if out else -1
+                else:
+                    end = at + size[token]
         return out
 
     def whole(self, token: int, text: bytes) -> bool:
@@ -221,39 +226,37 @@ class Recent(dict):
         super().__init__()
         self.most, self.older = most, {}
 
-    def keep(self, key, value):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
 
 class Encoder:
     """Ids of whole texts, unit by unit; units and pre-tokens met lately are kept with their ids."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.units, self.pieces = merges, Recent(CACHE_UNITS), Recent(CACHE_UNITS)
+        self.merges, self.units = merges, Recent(CACHE_UNITS)
         self.split = regex.compile(PATTERN)
         self.added = re.compile("(" + "|".join(re.escape(s) for s in sorted(merges.added, key=len, reverse=True)) + ")") if merges.added else None
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece) or self.pieces.older.get(piece)
-        if known is None:
-            text = piece.encode()
-            ids = self.merges.window(text) if len(text) <= self.merges.lookahead else self.merges.transduce(text)
-            known = struct.pack(f"<{len(ids)}I", *ids)
-        elif piece in self.pieces:
-            return known
-        return self.pieces.keep(piece, known) if len(piece) <= 64 else known
-
     def _unit(self, unit: str) -> bytes:
-        known = self.units.older.get(unit)
+        """Ids of a unit. A pre-token is a unit too, so both are kept in one map."""
+        units = self.units
+        known = units.older.get(unit)
         if known is None:
             plain = SIMPLE.fullmatch(unit)
             pieces = [p for p in plain.groups() if p] if plain else self.split.findall(unit)
-            known = b"".join(map(self._piece, pieces))
-        return self.units.keep(unit, known) if len(unit) <= 64 else known
+            if len(pieces) > 1:
+                known = b"".join([units.get(p) or self._unit(p) for p in pieces])
+            else:
+                text = unit.encode()
+                ids = self.merges.window(text) if len(text) <= self.merges.lookahead else self.merges.transduce(text)
+                known = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= 64:
+            if len(units) >= units.most:
+                units.turn()
+            units[unit] = known
+        return known
 
     def packed(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
