@@ -21,6 +21,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents(spark, sf_dir))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.warc import capture_index
+
+    return capture_index(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.omh import edited_likeness
 
@@ -65,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_warc": op2_warc,
     "op3_order_minhash": op3_order_minhash,
     "op4_simhash": op4_simhash,
     "op6_quality": op6_quality,
