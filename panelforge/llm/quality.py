@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import BLOCK_BYTES, id_and_text, raw_bytes, sliced, written
+from panelforge.llm.shared import BLOCK_BYTES, id_and_text, powers, raw_bytes, sliced, written
 
 BUCKETS = 1 << 18
 SLICES = 64
@@ -27,7 +27,6 @@ FIT_SHARE = 0.75
 PRIOR, SURE = 1.0, 5.0
 #: Share of labelled good rows that the cut may reject, and how strongly the weight outdoes the Gumbel noise.
 GOOD_LOSS, SHARPNESS = 0.005, 200.0
-BASE = 0x100000001B3
 #: Byte classes: 0 white, 1 letter (and all bytes of non-ASCII letters), 2 digit, 3 sign.
 CLASS = np.full(256, 3, np.uint8)
 CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -37,23 +36,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64, up to n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        _POWERS[:] = [_powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def grams(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of every unigram and bigram of the texts that `ends` cuts out of `flat`."""
     n = len(flat)

@@ -51,6 +51,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.substrings import dedup_report
+
+    return dedup_report(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.quality import sampled
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_order_minhash": op3_order_minhash,
     "op4_simhash": op4_simhash,
+    "op5_suffix_array": op5_suffix_array,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,

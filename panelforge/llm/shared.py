@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a single longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Base of polynomial hashes modulo 2^64.
+BASE = 0x100000001B3
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -81,3 +83,20 @@ def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def record_batch(schema: str | pa.Schema, **columns) -> pa.RecordBatch:
     """Columns in the order given; numpy arrays and lists become arrow arrays of the schema's types."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(k).type) for k, c in columns.items()], schema=schema)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64, up to n."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, BLOCK_BYTES + 1)
+        _POWERS[:] = [_powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)]
+    return _POWERS[0][:n], _POWERS[1][:n]
