@@ -54,6 +54,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def word_fingerprints(text: bytes, seeds: int) -> list[int]:
+    """One fingerprint a seed over the text's distinct words: copies that differ in a few words stay within a few bits."""
+    words = set(text.lower().split())
+    if not words:
+        return [0] * seeds
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    out = []
+    for k in range(seeds):
+        x = h * np.uint64(2 * k * 0x9E3779B97F4A7C1 + 1)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(x), 1 << 15):
+            counts += np.unpackbits(x[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(x), bitorder="little").view("<u8")[0]))
+    return out
+
+
 def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, asks, fp) rows: each fingerprint in its own cell of both halves, and asking in every cell one step up."""
     x = fp.view(np.uint64)
@@ -114,7 +132,10 @@ def links(fp: np.ndarray, asks: np.ndarray, chunk: np.ndarray, crossing: bool, r
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(u, v) links that connect all distinct fingerprints within `radius` bits (3 at most), over cells of the popcount grid."""
+    """(u, v) links that connect all distinct fingerprints within `radius` bits (3 at most), over cells of the popcount grid.
+
+    With a column `seed`, fingerprints of one seed meet only each other and the links carry it: (seed, u, v).
+    """
     if radius > 3:
         raise ValueError("the half-grids cover a radius of at most 3")
     n = partitions(distinct.sparkSession)
@@ -124,7 +145,14 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
             cell, asks, who = cells(b.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(asks), pa.array(who)], names=["cell", "asks", "fp"])
 
-    placed = distinct.select("fp").mapInArrow(spread, "cell long, asks boolean, fp long")
+    def spread_seeds(batches):
+        for b in batches:
+            fp, seed = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k in np.unique(seed):
+                cell, asks, who = cells(fp[seed == k])
+                yield pa.RecordBatch.from_arrays([pa.array(cell + (int(k) << 32)), pa.array(asks), pa.array(who)], names=["cell", "asks", "fp"])
+
+    placed = distinct.select("fp").mapInArrow(spread, "cell long, asks boolean, fp long") if "seed" not in distinct.columns else distinct.select("fp", "seed").mapInArrow(spread_seeds, "cell long, asks boolean, fp long")
     large = placed.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
     cut = placed.join(large, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "asks", "fp", "chunk")
@@ -145,15 +173,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
     def done(t, bounds):
         fp, asks, chunk = (t.column(c).to_numpy() for c in ("fp", "asks", "chunk"))
         i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
-        us, vs = [fp[:0]], [fp[:0]]
+        cell = t.column("cell").to_numpy()
+        us, vs, seeds = [fp[:0]], [fp[:0]], [fp[:0]]
         for a, b in zip(bounds, bounds[1:]):
             if b - a > 1:
                 u, v = links(fp[a:b], asks[a:b], chunk[a:b], bool(i[a] != j[a]), radius)
                 us.append(u)
                 vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                seeds.append(np.full(len(u), cell[a] >> 32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds).astype(np.int32)), pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["seed", "u", "v"])
 
-    return blocks.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "u long, v long")
+    found = blocks.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "seed int, u long, v long")
+    return found if "seed" in distinct.columns else found.select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -172,3 +203,40 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     merged = known.join(root, "root").select("fp", "component")
     each = classes.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return of.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints a text for near copies; at five-word similarity 0.8 one of six lies within RADIUS for about 99 of 100 pairs.
+COPY_SEEDS = 6
+
+
+def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id) of exact and near copies: texts are linked where any of `seeds` fingerprints over
+    their distinct words lies within `radius` bits.
+
+    Null, empty and white texts are copies of each other; a class of equal fingerprints is one node, so
+    many copies cost no more links than one; an empty table gives no rows.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for b in sliced(whole):
+                fps = np.array([word_fingerprints(t, seeds) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, seeds).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * seeds, pa.int32()), pa.array(fps.reshape(-1)))], names=["doc_id", "fps"])
+
+    of = written(id_and_text(docs).mapInArrow(run, "doc_id long, fps array<long>").withColumn("mark", F.sha2(F.array_join("fps", ","), 256)), "words")
+    classes = written(of.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "classes")
+    each = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    held = written(each.groupBy("seed", "fp").agg(F.min("node").alias("least"), F.max("node").alias("most")), "fingerprints")
+    same = each.join(held.filter("most > least"), ["seed", "fp"]).filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    near = near_links(held, radius)
+    left, right = (held.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "uv")
+    across = near.distinct().join(left, ["seed", "u"]).join(right, ["seed", "v"]).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    stars = components(same.unionByName(across))
+    node = classes.select("mark", "node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("mark", F.coalesce("root", "node").alias("component_id"))
+    return of.select("doc_id", "mark").join(node, "mark").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that are the least doc_id of their copy group; rows with one doc_id count as one document. Columns stay."""
+    kept = copy_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
