@@ -1,11 +1,9 @@
-"""Registered queries and their SQL, gathered from the modules of this package."""
+"""All queries and their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from panelforge.plans import q_pit
+from panelforge.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "k4_factor_selection"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "q_pit"]
