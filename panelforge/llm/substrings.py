@@ -3,12 +3,13 @@
 Text stays where it is, in a table of chunks bucketed by chunk. Of each 50-byte window the least
 32-byte gram (by hash) is its anchor, so equal windows have equal anchors at equal places.
 1. Chunks send their distinct anchor hashes; ranges of hashes answer which ones other chunks have.
-2. For shared anchors the 68 bytes around them (all windows that can hold the anchor) go to the
-   anchor's range, once per distinct segment and chunk, with the least doc_id that holds it.
+2. For shared anchors the 18 bytes on either side (all windows that can hold the anchor) go to the
+   anchor's range, once per distinct segment and chunk, with the least doc_id that holds it. The
+   anchor itself stands in a segment as its 8-byte hash, so a 50-byte window is 26 bytes there.
 3. A range builds the suffix array of its segments by two-stage sorting: suffixes smaller than their
    successors are sorted directly, the others are induced by scanning the buckets of first bytes.
-   Adjacent common prefixes of 50 bytes or more are equal windows; those of larger documents go.
-4. Chunks apply the answers. Hashes only choose what is compared; the bytes decide.
+   Adjacent common prefixes of a window or more are equal windows; those of larger documents go.
+4. Chunks apply the answers.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from panelforge.llm.shared import partitions, powers, raw_bytes, scratch, sliced
 
 WINDOW, GRAM = 50, 32
 SIDE = WINDOW - GRAM
-SEGMENT = WINDOW + SIDE
-CHUNK_BYTES = 4 << 20
+#: In a segment the anchor is MARK bytes of hash, a window WIDE bytes.
+MARK = 8
+WIDE, SEGMENT = MARK + SIDE, MARK + 2 * SIDE
+CHUNK_BYTES = 2 << 20
 STEP = 1 << 20
 #: Segments whose suffixes are sorted at once; an anchor's segments stay together.
-SORT_SEGMENTS = 40_000
+SORT_SEGMENTS = 20_000
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -97,6 +100,21 @@ def unpacked(b: bytes) -> np.ndarray:
     return first[0] + np.cumsum(np.frombuffer(b, np.uint32, offset=9).astype(np.uint64))
 
 
+def small_ids(ids: np.ndarray) -> bytes:
+    """Ids as 32-bit steps from the least where those suffice."""
+    low = ids.min()
+    steps = (ids - low).astype(np.uint64)
+    if (steps >> np.uint64(32)).any():
+        return b"8" + ids.tobytes()
+    return b"4" + np.array([low], np.int64).tobytes() + steps.astype(np.uint32).tobytes()
+
+
+def large_ids(b: bytes) -> np.ndarray:
+    if b[:1] == b"8":
+        return np.frombuffer(b, np.int64, offset=1)
+    return np.frombuffer(b, np.int64, 1, 1)[0] + np.frombuffer(b, np.uint32, offset=9).astype(np.int64)
+
+
 class Chunk:
     """A chunk's documents and anchors."""
 
@@ -128,21 +146,28 @@ class Chunk:
         place, doc = self.place[self.pick], self.doc[self.pick]
         self.left = np.minimum(SIDE, place - self.ends[doc])
         self.right = np.minimum(SIDE, self.ends[doc + 1] - place - GRAM)
-        wide = np.pad(self.flat, SIDE)
-        k = np.arange(SEGMENT)
+        h = self.hash[self.pick]
         self.rows = np.zeros((len(place), SEGMENT + 4), np.uint8)
-        if len(place):
-            body = wide[place[:, None] + k]
-            body[(k < SIDE - self.left[:, None]) | (k >= SIDE + GRAM + self.right[:, None])] = 0
-            self.rows[:, :SEGMENT], self.rows[:, SEGMENT], self.rows[:, SEGMENT + 1] = body, self.left, self.right
+        self.rows[:, SIDE : SIDE + MARK] = h.astype(">u8").view(np.uint8).reshape(-1, MARK)
+        self.rows[:, SEGMENT], self.rows[:, SEGMENT + 1] = self.left, self.right
+        k = np.arange(SIDE)
+        last = max(0, len(self.flat) - 1)
+        for i in range(0, len(place), 1 << 14):
+            one = slice(i, i + (1 << 14))
+            at = place[one, None]
+            before = self.flat[np.maximum(at - SIDE + k, 0)]
+            before[k < SIDE - self.left[one, None]] = 0
+            after = self.flat[np.minimum(at + GRAM + k, last)]
+            after[k >= self.right[one, None]] = 0
+            self.rows[one, :SIDE], self.rows[one, SIDE + MARK : SEGMENT] = before, after
         words = self.rows.view(np.uint64)
         mark = np.zeros(len(place), np.uint64)
         for j in range(words.shape[1]):
             mark = (mark ^ words[:, j]) * MIX_A
             mark ^= mark >> np.uint64(29)
-        order = np.lexsort((ids[self.pick], mark, self.hash[self.pick]))
+        order = np.lexsort((ids[self.pick], mark, h))
         new = np.ones(len(order), bool)
-        new[1:] = (mark[order[1:]] != mark[order[:-1]]) | (self.hash[self.pick][order[1:]] != self.hash[self.pick][order[:-1]])
+        new[1:] = (mark[order[1:]] != mark[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
         self.sent = order[new]  # in the order of their hashes, so ranges are contiguous
         self.like = np.empty(len(order), np.int64)
         self.like[order] = np.cumsum(new) - 1
@@ -191,8 +216,8 @@ def suffix_order(rows: np.ndarray, first: np.ndarray, need: np.ndarray, end: np.
     stop = end.copy()
     for j in range(width - 1, -1, -1):
         stop = np.where(small[:, j] & (j >= need), j, stop)
-    wide = np.pad(rows, ((0, 0), (0, WINDOW + 14))).astype(np.uint64)
-    word = np.zeros((n, width + WINDOW + 6), np.uint64)
+    wide = np.pad(rows, ((0, 0), (0, WIDE + 14))).astype(np.uint64)
+    word = np.zeros((n, width + WIDE + 6), np.uint64)
     for k in range(8):
         word |= wide[:, k : k + word.shape[1]] << np.uint64(56 - 8 * k)
     stride = word.shape[1]
@@ -256,13 +281,13 @@ def suffix_order(rows: np.ndarray, first: np.ndarray, need: np.ndarray, end: np.
 def window_masks(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each segment the places (bits) where a window begins that a segment of a smaller document also holds."""
     mask = np.zeros(len(rows), np.uint32)
-    first, need, end = SIDE - left, right, SIDE + GRAM + right
+    first, need, end = SIDE - left, right, SIDE + MARK + right
     live = np.flatnonzero(first <= need)
     if not len(live):
         return mask
     r, p, word = suffix_order(rows[live], first[live], need[live], end[live])
     equal = np.ones(max(0, len(r) - 1), bool)  # common prefix of at least a window
-    for k in (0, 8, 16, 24, 32, 40, WINDOW - 8):
+    for k in (0, 8, 16, WIDE - 8):
         w = word[r, p + k]
         equal &= w[1:] == w[:-1]
     starts = np.flatnonzero(np.r_[True, ~equal])
@@ -338,17 +363,18 @@ def removal(docs: DataFrame, emit, kinds: str) -> DataFrame:
         for chunk, c, cell in chunks_of(batches):
             c.select(answers_of(cell["shared"]), n)
             parts = c.sent_ranges(n)
-            h, ids, rows = c.hash[c.pick][c.sent], c.ids[c.sent], c.rows[c.sent]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (h, ids, rows))], names=["r", "chunk", "h", "ids", "rows"])
+            ids, rows = c.ids[c.sent], c.rows[c.sent, : SEGMENT + 2]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([small_ids(ids[a:b]) for _, a, b in parts], pa.binary()), pa.array([rows[a:b].tobytes() for _, a, b in parts], pa.binary())], names=["r", "chunk", "ids", "rows"])
 
     def meet_segments(batches):
         held: dict[int, list[tuple]] = {}
         for b in batches:
-            for r, chunk, h, ids, rows in zip(*(x.to_pylist() for x in b.columns)):
-                held.setdefault(r, []).append((chunk, np.frombuffer(h, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(rows, np.uint8).reshape(-1, SEGMENT + 4)))
+            for r, chunk, ids, rows in zip(*(x.to_pylist() for x in b.columns)):
+                held.setdefault(r, []).append((chunk, large_ids(ids), np.frombuffer(rows, np.uint8).reshape(-1, SEGMENT + 2)))
         while held:
             r, parts = held.popitem()
-            h, ids, rows = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+            ids, rows = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+            h = np.ascontiguousarray(rows[:, SIDE : SIDE + MARK]).view(">u8").reshape(-1).astype(np.uint64)
             sizes = [len(p[1]) for p in parts]
             order = np.argsort(h, kind="stable")
             edges = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
@@ -371,7 +397,7 @@ def removal(docs: DataFrame, emit, kinds: str) -> DataFrame:
     ids_only = table.select("chunk", "doc_id", "text")
     shared = ids_only.mapInArrow(send_hashes, "r int, chunk long, sent binary").repartition(n, "r").mapInArrow(meet_hashes, "chunk long, r int, answer binary")
     shared = written(collected(shared, "shared"), "shared")
-    gone = ids_only.join(shared, "chunk", "left").mapInArrow(send_segments, "r int, chunk long, h binary, ids binary, rows binary").repartition(n, "r").mapInArrow(meet_segments, "chunk long, r int, answer binary")
+    gone = ids_only.join(shared, "chunk", "left").mapInArrow(send_segments, "r int, chunk long, ids binary, rows binary").repartition(n, "r").mapInArrow(meet_segments, "chunk long, r int, answer binary")
     gone = written(collected(gone, "gone"), "gone")
     out = written(table.join(shared, "chunk", "left").join(gone, "chunk", "left").mapInArrow(apply, kinds), "kept")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
