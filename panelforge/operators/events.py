@@ -32,7 +32,7 @@ def masks() -> dict[str, Column]:
 def detect(panel: DataFrame, events: dict[str, Column], keys: list[str], context: list[str]) -> DataFrame:
     """One row per true condition: keys, event, a stable id (sha256 of keys and event) and the context as JSON. One pass, whatever the number of events."""
     flags = F.array(*[F.when(truth(c), F.lit(name)) for name, c in events.items()])
-    hit = panel.withColumn("event", F.explode(F.array_compact(flags)))
+    hit = panel.withColumn("__flags", flags).withColumn("event", F.explode(F.array_compact("__flags")))
     return hit.select(*keys, "event", F.sha2(F.concat_ws("|", *keys, "event"), 256).alias("event_id"), F.to_json(F.struct(*context)).alias("context"))
 
 

@@ -16,7 +16,7 @@ from panelforge.functions.scalar import code_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-DIGITS = 7
+DIGITS = 6
 
 
 class Tables:
@@ -30,8 +30,9 @@ class Tables:
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles to so many digits, so that the order of additions does not show."""
-    return df.select(*[(F.round(f.name, digits) + 0.0).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema])
+    """Doubles to so many digits, so that the order of additions does not show; what lies half-way goes up in either engine."""
+    scale = 10.0**digits
+    return df.select(*[(F.floor(F.col(f.name) * scale + 0.5001) / scale).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DIGITS):
@@ -41,7 +42,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DI
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)), digits)
         if sql is not None:
             cols = doubles.split()
-            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in cols)}) FROM ({sql}) AS q" if cols else sql
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'floor({c} * 1e{digits} + 0.5001) / 1e{digits} AS {c}' for c in cols)}) FROM ({sql}) AS q" if cols else sql
         return fn
 
     return add

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelforge.plans import q_pit
+from panelforge.plans import q_accounts, q_panel, q_pit
 from panelforge.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "k4_factor_selection"
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "q_pit"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "q_accounts", "q_panel", "q_pit"]

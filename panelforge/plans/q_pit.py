@@ -101,7 +101,7 @@ def _(t):
     return t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("universe"), n(a).alias("sized"), n(a & b).alias("priced"), n(a & b & c).alias("ready"))
 
 
-@query("f8_f9_coerced_ratio", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value / nullif(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS ratio FROM events""", "k ratio", 9)
+@query("f8_f9_coerced_ratio", """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value / nullif(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS ratio FROM events""", "k ratio")
 def _(t):
     k = to_number(F.get_json_object("props", "$.k"))
     return t.events.select("event_id", k.alias("k"), safe_ratio("value", k).alias("ratio"))

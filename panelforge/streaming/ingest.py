@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1, pattern: str = "*.parquet") -> DataFrame:
     """Parquet files of a folder as they arrive; the checkpoint of the query that reads them is the cursor."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", pattern).parquet(path)
+
+
+def timed(events: DataFrame, time: str) -> DataFrame:
+    """Event time as an instant: wall-clock times are read in the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
 
 
 def once_only(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Rows whose key was not seen within the delay: repeated deliveries change nothing and old keys are forgotten."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return timed(events, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed(events: DataFrame, time: str, delay: str, size: str, slide: str | None, by: list[str], value: str) -> DataFrame:
     """Counts and sums of event-time windows; rows later than the delay are left out."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    g = events.withWatermark(time, delay).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    g = timed(events, time).withWatermark(time, delay).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, time: str, delay: str, gap: str, by: list[str]) -> DataFrame:
-    g = events.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    g = timed(events, time).withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n")
 
 
@@ -65,4 +70,4 @@ def lifecycle(events: DataFrame, key: str, time: str, state: str, delay: str, ti
         yield pd.DataFrame({"key": [keys[0]], "changes": [changes], "state": [last], "at": [pd.Timestamp(at)]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.withWatermark(time, delay).groupBy(key).applyInPandasWithState(step, f"key {kind}, changes long, state string, at timestamp", "changes long, state string, at timestamp", "update", GroupStateTimeout.NoTimeout)
+    return timed(events, time).withWatermark(time, delay).groupBy(key).applyInPandasWithState(step, f"key {kind}, changes long, state string, at timestamp", "changes long, state string, at timestamp", "update", GroupStateTimeout.NoTimeout)
