@@ -130,13 +130,13 @@ class LoserTree:
 def with_references(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is the smallest page_id with the same payload, null for that page itself.
 
-    Payloads are compared by length and SHA-1 in a narrow table; the payload moves once, in the last join.
+    Payloads are compared by length and SHA-1. The smallest page of each repeated payload is aggregated from a narrow
+    table, and the pages join it once; a payload that very many pages share is a skewed side that adaptive execution
+    splits, and where repeated payloads are few Spark broadcasts them by their measured size and no page moves.
     """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary")).alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
-    narrow = plain.filter(F.col("size") >= least).select("page_id", "sha", "size")
-    first = narrow.groupBy("sha", "size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to")
-    again = narrow.join(first, ["sha", "size"]).filter("page_id > refers_to").select("page_id", "sha", "size", "refers_to").distinct()
-    return plain.join(again, ["page_id", "sha", "size"], "left").select("page_id", "url", "payload", "refers_to")
+    first = plain.filter(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("last > first")
+    return plain.join(first, ["sha", "size"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
 def archives(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
