@@ -73,8 +73,12 @@ def replay(signals: DataFrame, account: str, cash: float, lot: int = 100, commis
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         free, held, bought, last, pending, out = cash, {}, {}, {}, {}, []
-        for date, day in pdf.sort_values(["trade_date", "code"]).groupby("trade_date", sort=True):
-            quotes = {r.code: (r.open, r.close) for r in day.itertuples()}
+        pdf = pdf.sort_values(["trade_date", "code"])
+        dates, *columns = (pdf[c].tolist() for c in ("trade_date", "code", "open", "close", "weight"))
+        starts = [i for i, d in enumerate(dates) if i == 0 or d != dates[i - 1]]
+        for first, end in zip(starts, [*starts[1:], len(dates)]):
+            date, day = dates[first], list(zip(*(c[first:end] for c in columns)))
+            quotes = {code: (o, c) for code, o, c, _ in day}
             trades, costs, carried = 0, 0.0, {}
             for side in (-1, 1):
                 for code in sorted(c for c, n in pending.items() if n * side > 0):
@@ -100,7 +104,7 @@ def replay(signals: DataFrame, account: str, cash: float, lot: int = 100, commis
             held = {c: n for c, n in held.items() if n}
             nav = free + sum(n * last[c] for c, n in held.items())
             out.append((date, nav, free, len(held), trades, costs))
-            targets = {r.code: r.weight for r in day.itertuples() if r.weight == r.weight and r.weight is not None}
+            targets = {code: w for code, _, _, w in day if w is not None and w == w}
             if targets:
                 want = {c: math.floor(w * nav / (last[c] * lot)) * lot for c, w in targets.items() if c in last}
                 pending = {c: want.get(c, 0) - held.get(c, 0) for c in {*want, *held} if want.get(c, 0) != held.get(c, 0)}
@@ -117,17 +121,19 @@ def settlement(orders: DataFrame, account: str, cash: float, lag: int = 2) -> Da
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         free, queue, out = cash, [], []
-        dates = sorted(pdf["trade_date"].unique())
-        for i, date in enumerate(dates):
+        days: dict[str, list[tuple[str, float]]] = {}
+        for date, side, value in zip(pdf["trade_date"].tolist(), pdf["side"].tolist(), pdf["value"].tolist()):
+            days.setdefault(date, []).append((side, value))
+        for i, date in enumerate(sorted(days)):
             free += sum(v for due, v in queue if due <= i)
             queue = [(due, v) for due, v in queue if due > i]
             filled = rejected = 0
-            for r in pdf[pdf["trade_date"] == date].sort_values(["side", "value"]).itertuples():
-                if r.side == "sell":
-                    queue.append((i + lag, r.value))
+            for side, value in sorted(days[date]):
+                if side == "sell":
+                    queue.append((i + lag, value))
                     filled += 1
-                elif r.value <= free:
-                    free -= r.value
+                elif value <= free:
+                    free -= value
                     filled += 1
                 else:
                     rejected += 1
