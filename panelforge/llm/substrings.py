@@ -34,6 +34,8 @@ CHUNK_BYTES = 2 << 20
 STEP = 1 << 20
 #: Segments whose suffixes are sorted at once; an anchor's segments stay together.
 SORT_SEGMENTS = 20_000
+#: Bytes of rows that go to Python at once.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -336,6 +338,16 @@ def removal(docs: DataFrame, emit, kinds: str) -> DataFrame:
     """Run the four steps and give what emit(chunk, covered bytes, cell) yields, written to the shared folder."""
     spark = docs.sparkSession
     n = partitions(spark)
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))  # rows here are blobs; the steps below run before this function returns
+    try:
+        return _removal(docs, emit, kinds, n)
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def _removal(docs: DataFrame, emit, kinds: str, n: int) -> DataFrame:
+    spark = docs.sparkSession
     table, name = chunked(docs, n)
 
     def send_hashes(batches):
@@ -395,9 +407,9 @@ def removal(docs: DataFrame, emit, kinds: str) -> DataFrame:
             yield emit(c, c.covered(answers_of(cell["gone"]), n), cell)
 
     ids_only = table.select("chunk", "doc_id", "text")
-    shared = ids_only.mapInArrow(send_hashes, "r int, chunk long, sent binary").repartition(n, "r").mapInArrow(meet_hashes, "chunk long, r int, answer binary")
+    shared = ids_only.mapInArrow(send_hashes, "r int, chunk long, sent binary").repartitionById(n, F.col("r")).mapInArrow(meet_hashes, "chunk long, r int, answer binary")
     shared = written(collected(shared, "shared"), "shared")
-    gone = ids_only.join(shared, "chunk", "left").mapInArrow(send_segments, "r int, chunk long, ids binary, rows binary").repartition(n, "r").mapInArrow(meet_segments, "chunk long, r int, answer binary")
+    gone = ids_only.join(shared, "chunk", "left").mapInArrow(send_segments, "r int, chunk long, ids binary, rows binary").repartitionById(n, F.col("r")).mapInArrow(meet_segments, "chunk long, r int, answer binary")
     gone = written(collected(gone, "gone"), "gone")
     out = written(table.join(shared, "chunk", "left").join(gone, "chunk", "left").mapInArrow(apply, kinds), "kept")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
