@@ -117,3 +117,42 @@ def _(t):
 def _(t):
     p = pit.keep_last(panel(t).withColumn("factor", F.lit(1.25)), ["code", "trade_date"], [F.col("close")])
     return p.filter("factor > 0").select("code", "trade_date", (F.col("close") * F.col("factor")).alias("adjusted_close"), (F.col("open") * F.col("factor")).alias("adjusted_open"))
+
+
+@query("a21_monthly_review", f"WITH {RETURNS} SELECT account, substr(trade_date, 1, 6) AS month, avg(return_1) AS mean_return, count(DISTINCT code) AS names, max(trade_date) AS last_day FROM returns GROUP BY 1, 2", "mean_return")
+def _(t):
+    return with_returns(t).groupBy("account", F.substring("trade_date", 1, 6).alias("month")).agg(F.avg("return_1").alias("mean_return"), F.count_distinct("code").alias("names"), F.max("trade_date").alias("last_day"))
+
+
+@query("k3_sector_sentiment", f"WITH {RETURNS} SELECT code, trade_date, coalesce(CASE industry WHEN 'NATION_1' THEN 0.5 WHEN 'NATION_2' THEN -0.25 END, 0) AS sentiment FROM returns", "sentiment")
+def _(t):
+    mood = t.spark.createDataFrame([("NATION_1", 0.5), ("NATION_2", -0.25)], "industry string, mood double")
+    return with_returns(t).join(mood, "industry", "left").select("code", "trade_date", F.coalesce("mood", F.lit(0.0)).alias("sentiment"))
+
+
+@query("k7_transparent_score", f"""WITH {RETURNS}, f AS (SELECT code, trade_date, close / lag(close, 20) OVER ({WC}) - 1 AS mom, volume AS vol FROM returns), r AS (SELECT code, trade_date, {rank_sql('mom', 'trade_date')} AS a, {rank_sql('vol', 'trade_date')} AS b FROM f)
+ SELECT code, trade_date, (coalesce(a, 0) * 0.7 + coalesce(b, 0) * 0.3) / (CASE WHEN a IS NULL THEN 0 ELSE 0.7 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END) AS score FROM r""", "score")
+def _(t):
+    from panelforge.functions.scalar import weighted_mean_of_available
+
+    d = with_returns(t).withColumn("mom", roll.change("close", 20)).withColumn("a", xsec.pct_rank("mom", ["trade_date"])).withColumn("b", xsec.pct_rank("volume", ["trade_date"]))
+    return d.select("code", "trade_date", weighted_mean_of_available([("a", 0.7), ("b", 0.3)]).alias("score"))
+
+
+@query("d11_event_features", """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) SELECT d.user_id, d.d, ln(1 + count(e.event_id)) AS intensity, count(DISTINCT e.event_type) AS sources, coalesce(sum(power(0.5, date_diff('day', CAST(e.ts AS DATE), d.d) / 3.0)), 0) AS decay
+ FROM d LEFT JOIN events e ON e.user_id = d.user_id AND date_diff('day', CAST(e.ts AS DATE), d.d) BETWEEN 0 AND 5 GROUP BY 1, 2""", "intensity decay")
+def _(t):
+    e = t.events.select(F.col("user_id").alias("u"), F.to_date("ts").alias("ed"), "event_id", "event_type")
+    days = t.events.select("user_id", F.to_date("ts").alias("d")).distinct().withColumn("slot", F.floor(F.unix_date("d") / 6))
+    e = e.withColumn("eslot", F.explode(F.array(F.floor(F.unix_date("ed") / 6), F.floor(F.unix_date("ed") / 6) + 1)))
+    age = F.datediff("d", "ed")
+    j = days.join(e, (F.col("user_id") == F.col("u")) & (F.col("slot") == F.col("eslot")) & age.between(0, 5), "left")
+    return j.groupBy("user_id", "d").agg(F.log1p(F.count("event_id")).alias("intensity"), F.count_distinct("event_type").alias("sources"), F.coalesce(F.sum(F.pow(F.lit(0.5), age / 3.0)), F.lit(0.0)).alias("decay"))
+
+
+@query("w12_premium_persistence", f"""WITH {PANEL}, b AS (SELECT trade_date, round(avg(close), 6) AS nav FROM panel GROUP BY 1), p AS (SELECT code, trade_date, close / nav - 1 AS premium FROM panel JOIN b USING (trade_date))
+ SELECT code, trade_date, premium, CASE WHEN count(premium) OVER w >= 5 THEN avg(CASE WHEN premium > 0 THEN 1.0 ELSE 0 END) OVER w END AS persistence FROM p WINDOW w AS ({WC} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", "premium persistence")
+def _(t):
+    p = panel(t)
+    d = p.join(p.groupBy("trade_date").agg(F.round(F.avg("close"), 6).alias("nav")), "trade_date").withColumn("premium", F.col("close") / F.col("nav") - 1)
+    return d.withColumn("up", (F.col("premium") > 0).cast("double")).select("code", "trade_date", "premium", roll.mean("up", 20, 5).alias("persistence"))
