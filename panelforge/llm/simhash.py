@@ -10,6 +10,8 @@ fingerprints is cut into chunks whose pairs are dealt to different tasks.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -72,9 +74,10 @@ def word_fingerprints(text: bytes, seeds: int) -> list[int]:
     return out
 
 
-def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, asks, fp) rows: each fingerprint in its own cell of both halves, and asking in every cell one step up."""
+def places(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, asks, row) entries: each fingerprint in its own cell of both halves, and asking in every cell one step up."""
     x = fp.view(np.uint64)
+    rows = np.arange(len(fp))
     cell, asks, who = [], [], []
     for half in range(2):
         counts = [np.bitwise_count((x >> np.uint64(SEGMENT_BITS * (half * HALF_SEGMENTS + s))) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64) for s in range(HALF_SEGMENTS)]
@@ -83,15 +86,21 @@ def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = own << 3 | c
         cell.append(own)
         asks.append(np.zeros(len(x), bool))
-        who.append(fp)
+        who.append(rows)
         for s, c in enumerate(counts):
             up = c < SEGMENT_BITS
             cell.append(own[up] + (1 << (3 * (HALF_SEGMENTS - 1 - s))))
             asks.append(np.ones(int(up.sum()), bool))
-            who.append(fp[up])
+            who.append(rows[up])
     return np.concatenate(cell), np.concatenate(asks), np.concatenate(who)
 
 
+def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, asks, fp) of the places of each fingerprint."""
+    cell, asks, row = places(fp)
+    return cell, asks, fp[row]
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member reachable from each of n members over links a-b."""
     label = np.arange(n)
@@ -207,33 +216,139 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 #: Fingerprints a text for near copies; at five-word similarity 0.8 one of six lies within RADIUS for about 99 of 100 pairs.
 COPY_SEEDS = 6
+#: Words of a shingle, and the least share (numerator, denominator) of common shingles that makes two texts copies.
+COPY_SHINGLE, COPY_SHARE = 5, (4, 5)
 
 
-def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id) of exact and near copies: texts are linked where any of `seeds` fingerprints over
-    their distinct words lies within `radius` bits.
+def shingle_set(text: bytes, size: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's runs of `size` words; a shorter text is one run, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    size = min(size, len(h))
+    x = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + len(x)]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.unique((x ^ (x >> np.uint64(30))).view(np.int64))
+
+
+def mark_of(shingles: np.ndarray) -> int:
+    """One 64-bit number of a shingle set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-    Null, empty and white texts are copies of each other; a class of equal fingerprints is one node, so
-    many copies cost no more links than one; an empty table gives no rows.
+
+def copy_pairs(entries: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(u, v) marks, u < v, of all pairs within `radius` bits of one seed whose labels differ and whose sizes allow COPY_SHARE.
+
+    entries: seed, fp, mark, label, size.
+    """
+    least, whole = COPY_SHARE
+    n = partitions(entries.sparkSession)
+    kinds = "cell long, asks boolean, fp long, mark long, label long, size int"
+
+    def spread(batches):
+        for b in batches:
+            seed, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cell, asks, row = places(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(cell + (seed[row].astype(np.int64) << 32)), pa.array(asks), *(b.column(i).take(pa.array(row)) for i in (1, 2, 3, 4))], names=["cell", "asks", "fp", "mark", "label", "size"])
+
+    def compare(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            key = np.stack([t.column(c).to_numpy() for c in ("cell", "i", "j")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if len(cuts):
+                yield from done(t.slice(0, int(cuts[-1])), np.r_[0, cuts])
+                t = t.slice(int(cuts[-1]))
+            held = t.combine_chunks()
+        if held is not None and held.num_rows:
+            yield from done(held, np.array([0, held.num_rows]))
+
+    def done(t, bounds):
+        fp, asks, mark, label, size, chunk, i, j = (t.column(c).to_numpy() for c in ("fp", "asks", "mark", "label", "size", "chunk", "i", "j"))
+        x = fp.view(np.uint64)
+        for a, z in zip(bounds, bounds[1:]):
+            owners = np.flatnonzero(~asks[a:z]) + a
+            for k in range(0, len(owners) if z - a > 1 else 0, 256):
+                o = owners[k : k + 256]
+                near = (np.bitwise_count(x[o][:, None] ^ x[None, a:z]) <= radius) & (label[o][:, None] != label[None, a:z])
+                near &= (whole * size[o].astype(np.int64)[:, None] >= least * size[None, a:z]) & (whole * size[None, a:z].astype(np.int64) >= least * size[o][:, None])
+                if i[a] != j[a]:
+                    near &= chunk[o][:, None] != chunk[None, a:z]
+                p, q = np.nonzero(near)
+                if len(p):
+                    p, q = mark[o[p]], mark[a + q]
+                    both = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+    placed = entries.select("seed", "fp", "mark", "label", "size").mapInArrow(spread, kinds)
+    large = placed.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
+    cut = placed.join(large, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
+    blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "asks", "fp", "mark", "label", "size", "chunk")
+    return blocks.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "u long, v long").distinct()
+
+
+def copies_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) whose shingle sets have a Jaccard similarity of COPY_SHARE or more; sets: mark, shingles."""
+    least, whole = COPY_SHARE
+    left, right = (sets.select(F.col("mark").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
+    common = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(left, "u").join(right, "v").filter((least + whole) * common >= least * (F.size("su") + F.size("sv"))).select("u", "v")
+
+
+def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id) of exact and near copies: texts are linked where the Jaccard similarity of their
+    five-word shingles is COPY_SHARE or more; component_id is the least doc_id reachable over such links.
+
+    Candidates are texts of which any of `seeds` fingerprints over their distinct words lies within `radius`
+    bits; each is tested on the whole shingle sets (as 64-bit hashes). The candidates' spanning forest is
+    tested first, so that members of one large group are joined by few tests; then all candidate pairs that
+    are not connected yet. Texts of equal shingle sets are one node, so many copies cost no more than one;
+    null, empty and white texts are copies of each other; an empty table gives no rows.
     """
 
     def run(batches):
         for whole in batches:
             for b in sliced(whole):
-                fps = np.array([word_fingerprints(t, seeds) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, seeds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * seeds, pa.int32()), pa.array(fps.reshape(-1)))], names=["doc_id", "fps"])
-
-    of = written(id_and_text(docs).mapInArrow(run, "doc_id long, fps array<long>").withColumn("mark", F.sha2(F.array_join("fps", ","), 256)), "words")
-    classes = written(of.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "classes")
-    each = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    held = written(each.groupBy("seed", "fp").agg(F.min("node").alias("least"), F.max("node").alias("most")), "fingerprints")
-    same = each.join(held.filter("most > least"), ["seed", "fp"]).filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    near = near_links(held, radius)
+                texts = b.column(1).cast(pa.binary()).to_pylist()
+                sets = [shingle_set(t) for t in texts]
+                fps = np.array([word_fingerprints(t, seeds) for t in texts], np.uint64).reshape(-1, seeds).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mark_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * seeds, pa.int32()), pa.array(fps.reshape(-1)))], names=["doc_id", "mark", "size", "fps"])
+
+    def shingled(batches):
+        for whole in batches:
+            for b in sliced(whole):
+                sets = [shingle_set(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([mark_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "shingles"])
+
+    texts = id_and_text(docs)
+    of = written(texts.mapInArrow(run, "doc_id long, mark long, size int, fps array<long>"), "words")
+    classes = written(of.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fps").alias("fps")), "classes")
+    each = classes.select("mark", "size", F.posexplode("fps").alias("seed", "fp"))
+    held = written(each.groupBy("seed", "fp").agg(F.min("mark").alias("least"), F.max("mark").alias("most")), "fingerprints")
+    near = written(near_links(held, radius).distinct(), "near")
+    met = held.filter("most > least").select("seed", "fp").unionByName(near.select("seed", F.col("u").alias("fp"))).unionByName(near.select("seed", F.col("v").alias("fp"))).distinct()
+    entries = written(each.join(met, ["seed", "fp"]).select("seed", "fp", "mark", "size"), "entries")
+    wanted = written(entries.select("mark").distinct().join(classes.select("mark", "least"), "mark"), "wanted")
+    sets = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(shingled, "mark long, shingles array<long>")
+    sets = written(sets.dropDuplicates(["mark"]).join(wanted.select("mark"), "mark", "left_semi"), "shingles")
+
+    same = entries.join(held.filter("most > least"), ["seed", "fp"]).filter("mark > least").select(F.col("mark").alias("u"), F.col("least").alias("v"))
     left, right = (held.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "uv")
-    across = near.distinct().join(left, ["seed", "u"]).join(right, ["seed", "v"]).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    stars = components(same.unionByName(across))
-    node = classes.select("mark", "node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("mark", F.coalesce("root", "node").alias("component_id"))
-    return of.select("doc_id", "mark").join(node, "mark").select("doc_id", "component_id")
+    across = near.join(left, ["seed", "u"]).join(right, ["seed", "v"]).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    first = same.unionByName(across).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+    linked = written(copies_of(first, sets), "copies")
+    labels = components(linked).select(F.col("u").alias("mark"), F.col("v").alias("label"))
+    open_pairs = copy_pairs(entries.join(labels, "mark", "left").withColumn("label", F.coalesce("label", "mark")), radius)
+    more = written(copies_of(open_pairs, sets), "copies")
+
+    roots = components(linked.unionByName(more)).select(F.col("u").alias("mark"), F.col("v").alias("root"))
+    rooted = classes.select("mark", "least").join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return of.select("doc_id", "mark").join(rooted.select("mark", "root").join(group, "root").select("mark", "component_id"), "mark").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

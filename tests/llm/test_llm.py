@@ -161,6 +161,36 @@ def test_copies_are_one_group(docs):
     assert kept.columns == docs.columns and kept.filter("doc_id in (9, 120, 123)").count() == 1
 
 
+def test_copies_share_four_fifths_of_their_shingles(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    turned = words[200:] + words[:200]  # 392 of 400 shingles are common
+    shuffled = words[::-1]  # the same words, no shingle
+    spread = [w if i % 9 else "x" for i, w in enumerate(words)]  # most words, few shingles
+    repeated = words[:100] * 4
+    texts = [words, turned, shuffled, spread, [*words, "end"], repeated, words[:100], ["short", "text"], ["Short", "TEXT"], ["text", "short"], None, []]
+    d = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+    low = [shingles([w.lower() for w in t or []]) for t in texts]
+    want = {i: min(j for j, o in enumerate(low) if s == o or s and 5 * len(s & o) >= 4 * len(s | o)) for i, s in enumerate(low)}
+    assert want == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 10}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(d).collect()} == want
+
+
+def test_copy_pairs_and_a_chain_of_copies(spark):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(30):
+        rows.append((i, " ".join(text)))
+        text[i * 10] = f"n{i}"
+    got = {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+    entries = spark.createDataFrame([(0, 7, m, label, size) for m, label, size in [(1, 1, 100), (2, 1, 100), (3, 3, 80), (4, 4, 79)]] + [(1, 7, 9, 9, 100)], "seed int, fp long, mark long, label long, size int")
+    for rows in (4096, 1):
+        assert sorted(tuple(r) for r in simhash.copy_pairs(entries, 3, rows).collect()) == [(1, 3), (2, 3), (3, 4)]
+
+
 def dedup_plain(rows):
     first: dict[bytes, int] = {}
     for i, t in sorted(rows):
