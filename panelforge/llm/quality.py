@@ -5,6 +5,8 @@ BUCKETS counts. The raw model counts every n-gram of every document, the target
 bounded sample of labelled good rows. A document's log weight is the sum of the buckets' log ratios;
 divided by the root of its n-grams it has one scale for short and long texts. As many documents are
 sampled as the calibrated cut says are worth keeping, by the largest weight plus Gumbel noise.
+N-grams that more labelled bad rows hold than the good ones let expect lower the weight, so a few words
+of abuse count though they are rare in the raw text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ SLICES = 64
 SAMPLE_ROWS = 4000
 #: Of them, the share that fits the target model; the others calibrate the cut.
 FIT_SHARE = 0.75
-#: Pseudo-count of a bucket in either model, and the standard errors by which its counts must differ to count at all.
+#: Pseudo-count of a bucket in either model, and the standard errors of difference at which its log ratio counts half.
 PRIOR, SURE = 1.0, 5.0
+#: Pseudo-count of a bucket in the texts of rejected labels, and the weight of that evidence.
+BAD_PRIOR, BAD_WEIGHT = 0.1, 3.0
 #: Share of labelled good rows that the cut may reject, and how strongly the weight outdoes the Gumbel noise.
 GOOD_LOSS, SHARPNESS = 0.005, 200.0
 #: Byte classes: 0 white, 1 letter (and all bytes of non-ASCII letters), 2 digit, 3 sign.
@@ -80,14 +84,16 @@ def pieces(b: pa.RecordBatch):
         at += part.num_rows
 
 
-def gram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all buckets over all rows. A task sends its counts once, in slices; the driver gets BUCKETS numbers whatever the corpus."""
+def gram_counts(docs: DataFrame, texts: bool = False) -> np.ndarray:
+    """Counts of all buckets over all rows; with `texts`, of the texts that hold one (a text of several blocks counts once a block). A task sends its counts once, in slices; the driver gets BUCKETS numbers whatever the corpus."""
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for flat, ends, _ in pieces(b):
-                counts += np.bincount(grams(flat, ends)[0], minlength=BUCKETS)
+                bucket, text = grams(flat, ends)
+                bucket = np.unique(text.astype(np.int64) * BUCKETS + bucket) % BUCKETS if texts else bucket
+                counts += np.bincount(bucket, minlength=BUCKETS)
         width = BUCKETS // SLICES
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
 
@@ -107,8 +113,8 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Log ratio of the two models in each bucket. The common scale is the median of target to raw counts
-    over the target's n-grams, so junk in the raw text does not raise all other words; buckets whose
-    counts agree within SURE standard errors are 0, so rare words add no noise to long texts."""
+    over the target's n-grams, so junk in the raw text does not raise all other words. A ratio is shrunk
+    smoothly by how sure its difference is, so rare words add little noise to long texts and none is cut off."""
     if not target.sum():
         return np.zeros(len(raw))
     share = target / np.maximum(raw, 1)
@@ -117,7 +123,21 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     scale = share[order][np.searchsorted(mass, mass[-1] / 2)]
     expected = raw * scale
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
-    return np.where(np.abs(target - expected) > SURE * np.sqrt(expected + 1), ratio, 0.0)
+    return ratio * sureness(np.abs(target - expected) / np.sqrt(expected + 1))
+
+
+def sureness(errors: np.ndarray) -> np.ndarray:
+    """Share of a log ratio that counts when its counts differ by so many standard errors; a half at SURE, never 0 for a difference."""
+    return errors**4 / (errors**4 + SURE**4)
+
+
+def bad_ratio(good: np.ndarray, bad: np.ndarray, good_rows: int, bad_rows: int) -> np.ndarray:
+    """Negative log ratio of buckets that more bad texts hold than the good ones let expect, shrunk like log_ratio; 0 elsewhere."""
+    if not good_rows or not bad_rows:
+        return np.zeros(len(good))
+    expected = good * (bad_rows / good_rows)
+    ratio = np.minimum(np.log((expected + BAD_PRIOR) / (bad + BAD_PRIOR)), 0)
+    return BAD_WEIGHT * ratio * sureness(np.maximum(bad - expected, 0) / np.sqrt(expected + 1))
 
 
 def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
@@ -188,8 +208,8 @@ def sampled(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
     """
     plain = docs.select("doc_id", "text")
     of = labelled(labels.select("doc_id", "quality", "toxic"))
-    good = plain.join(F.broadcast(of.filter("good = 1 and fits").select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
-    ratio = log_ratio(gram_counts(good), gram_counts(plain))
+    good, bad = (plain.join(F.broadcast(of.filter(f"good = {g} and fits").select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi") for g in (1, 0))
+    ratio = log_ratio(gram_counts(good), gram_counts(plain)) + bad_ratio(gram_counts(good, True), gram_counts(bad, True), good.count(), bad.count())
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
     all_scores = scores(plain, ratio).withColumn("score", F.col("log_weight") / F.sqrt(F.greatest("grams", F.lit(1)))).withColumn("sample_key", SHARPNESS * F.col("score") + noise)
     held = written(all_scores.select("doc_id", "score", "log_weight", "sample_key"), "quality")

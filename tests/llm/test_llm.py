@@ -244,6 +244,26 @@ def test_quality_rejects_junk_and_keeps_good(spark):
     assert all(r["kept"] for r in quality.sampled(d, labels.limit(0)).collect())
 
 
+def test_quality_counts_rare_abuse(spark):
+    rng = random.Random(9)
+    plain = lambda: [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(80)]
+    good = [" ".join(plain()) for _ in range(600)]
+    rude = [" ".join([*plain()[:76], "you", "absolute", "scumbag", "idiot"]) for _ in range(24)]
+    d = spark.createDataFrame(list(enumerate([*good, *rude])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 600)) for i in range(624) if i % 8], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.sampled(d, labels).collect()}
+    assert sum(not got[i] for i in range(600, 624)) >= 20 and sum(got[i] for i in range(600)) >= 590
+
+
+def test_log_ratio_keeps_one_sided_rare_grams():
+    raw, target = np.full(1000, 400), np.full(1000, 100)
+    raw[:3], target[:3] = (40, 80, 4), 0
+    r = quality.log_ratio(target, raw)
+    assert r[1] < r[0] < r[2] < 0 and (r[3:] == 0).all()
+    r = quality.bad_ratio(np.array([0, 0, 50, 0]), np.array([2, 8, 5, 0]), 500, 50)
+    assert r[1] < r[0] < 0 and r[2] == r[3] == 0
+
+
 def test_grams_against_a_loop():
     text = "Ab ab!! 12 ab"
     flat = np.frombuffer(text.encode(), np.uint8)
