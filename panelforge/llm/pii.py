@@ -251,6 +251,21 @@ def plausible(text: str, kind: str) -> bool:
 EDGE = ".,;:!?\"'*%$#&|"
 
 
+def windows(text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The words of a line in windows of WINDOW or more that end, and whose next one begins, with the same word without evidence.
+
+    Such a word has no label but O, so the best paths of the windows are the best path of the line.
+    """
+    out, k = [], 0
+    while k < len(words):
+        end = min(k + WINDOW, len(words))
+        while end < len(words) and EVIDENCE.search(text[words[end - 1][0] : words[end - 1][1]]):
+            end += 1
+        out.append(words[k:end])
+        k = end - 1 if end < len(words) else end
+    return out
+
+
 def proposed(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Spans of the field in each text."""
     where, sequences = [], []
@@ -265,14 +280,18 @@ def proposed(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]
             b = len(text) if b < 0 else b
             seen = b
             words = [(m.start(), m.end()) for m in WORD.finditer(text, a, b)]
-            for k in range(0, len(words), WINDOW):
-                part = words[k : k + WINDOW]
+            for part in windows(text, words):
                 if EVIDENCE.search(text, part[0][0], part[-1][1]):
                     where.append((i, part))
                     sequences.append([text[s:e] for s, e in part])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for first in range(0, len(sequences), 256):
-        for (i, part), labels in zip(where[first : first + 256], field.viterbi(sequences[first : first + 256])):
+    first = 0
+    while first < len(sequences):
+        last, longest = first + 1, len(sequences[first])
+        while last < min(len(sequences), first + 256) and max(longest, len(sequences[last])) * (last + 1 - first) <= 512 * WINDOW:
+            longest = max(longest, len(sequences[last]))
+            last += 1
+        for (i, part), labels in zip(where[first:last], field.viterbi(sequences[first:last])):
             at = 0
             while at < len(part):
                 end = at + 1
@@ -287,6 +306,7 @@ def proposed(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]
                     if plausible(texts[i][start:stop], kind):
                         out[i].append((start, stop, kind))
                 at = end
+        first = last
     return out
 
 

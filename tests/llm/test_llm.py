@@ -337,6 +337,19 @@ def test_field_adds_and_base_stays(docs, spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_spans_across_windows_are_found_whole():
+    field = pii.trained()
+    for n in range(pii.WINDOW - 4, pii.WINDOW + 4):
+        text = "word " * (n - 2) + "call (415) 555-2671 today " + "word " * 150
+        a = text.index("(415)")
+        assert (a, a + 14, "phone") in pii.spans(field, [text])[0][1]
+    line = " ".join(["call"] + ["(415) 555-2671 or"] * 100 + ["12 34 56"] * 60)
+    words = [m.group() for m in pii.WORD.finditer(line)]
+    parts = pii.windows(line, [m.span() for m in pii.WORD.finditer(line)])
+    labels = [x for i, part in enumerate(parts) for x in field.viterbi([[line[a:b] for a, b in part]])[0][i > 0 :]]
+    assert len(parts) > 1 and labels == field.viterbi([words])[0]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
