@@ -273,7 +273,7 @@ def _(t):
 
 @query("d10_novelty")
 def _(t):
-    return docs.novelty(t.conversations.select("conv_id", "turn", F.substring("text", 1, 80).alias("key")), ["conv_id"], "turn", "key", 5).select("conv_id", "turn", "novelty")
+    return docs.novelty(t.conversations.select("conv_id", "turn", F.col("text").alias("key")), ["conv_id"], "turn", "key").select("conv_id", "turn", "novelty")
 
 
 @query("d14_d16_events_as_of", """SELECT event_id FROM events e WHERE ts <= TIMESTAMP '2024-01-20' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.ts <= TIMESTAMP '2024-01-20' AND x.event_type = 'refund' AND x.event_id - 1 = e.event_id) AND NOT EXISTS (SELECT 1 FROM events x WHERE x.ts <= TIMESTAMP '2024-01-20' AND x.event_type = 'view' AND x.event_id - 2 = e.event_id)""")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -160,6 +162,20 @@ def test_entities_events_and_text(spark):
     assert documents.html_text(None) == ""
 
 
+def test_novelty_against_all_earlier_whole_keys(spark):
+    rng = random.Random(3)
+    keys = ["same head " * 9 + "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 150))) for _ in range(24)]
+    keys += [keys[0], "", keys[3] + " more"]
+    d = spark.createDataFrame([(g, i, k) for g in ("a", "b") for i, k in enumerate(keys if g == "a" else keys[::-1])], "g string, at int, key string")
+    for block in (64, 4):
+        got = {(r["g"], r["at"]): r["novelty"] for r in documents.novelty(d, ["g"], "at", "key", block).collect()}
+        for g, ks in (("a", keys), ("b", keys[::-1])):
+            for i, k in enumerate(ks):
+                want = 1 - max((SequenceMatcher(None, k, p, autojunk=False).ratio() for p in ks[:i]), default=0.0)
+                assert math.isclose(got[g, i], want, abs_tol=1e-12)
+        assert got["a", 24] == 0
+
+
 def test_detection_ids_are_stable(spark):
     d = spark.createDataFrame([("a", "1", 2.0), ("a", "2", None)], "code string, trade_date string, x double")
     one, two = (rows(events.detect(d, {"big": F.col("x") > 1}, ["code", "trade_date"], ["x"])) for _ in range(2))
