@@ -257,7 +257,16 @@ def _(t):
 @query("d5_entities", "SELECT DISTINCT doc_id, w AS entity FROM (SELECT doc_id, unnest(string_split_regex(lower(substr(text, 1, 20000)), '[^\\p{L}\\p{N}]+')) AS w FROM documents) WHERE w IN ('the', 'und', 'les', 'que')")
 def _(t):
     aliases = t.spark.createDataFrame([(w, w, 0.9) for w in ("the", "und", "les", "que")], "alias string, entity string, confidence double")
-    return docs.resolve_entities(t.documents, aliases, "doc_id", "text").select("doc_id", "entity")
+    return docs.resolve_words(t.documents, aliases, "doc_id", "text").select("doc_id", "entity")
+
+
+ALIASES = [("the", "article", 0.9), (" of the ", "phrase", 1.0), ("ver", "part", 0.8), ("web", "site", 0.9), ("Th", "article", 1.0), ("x", "letter", 1.0)]
+
+
+@query("d5_entity_substrings", "SELECT doc_id, e AS entity, max(c) AS confidence FROM (SELECT doc_id, coalesce(source, '') || chr(10) || coalesce(substr(text, 1, 20000), '') AS h FROM documents), (VALUES ('the', 'article', 0.9), (' of the ', 'phrase', 1.0), ('ver', 'part', 0.8), ('web', 'site', 0.9), ('Th', 'article', 1.0), ('x', 'letter', 1.0)) AS r(a, e, c) WHERE length(a) >= 2 AND contains(h, a) GROUP BY 1, 2")
+def _(t):
+    aliases = t.spark.createDataFrame([(a, "word", e, c) for a, e, c in ALIASES], "alias string, entity_type string, entity string, confidence double")
+    return docs.resolve_entities(t.documents, aliases, "doc_id", "text", "source").select("doc_id", "entity", "confidence")
 
 
 @query("d6_document_kind", "SELECT CASE WHEN regexp_matches(text, '^[A-Z !,.]+$') THEN 'capitals' WHEN regexp_matches(text, '[0-9]{10}') THEN 'numbers' WHEN regexp_matches(text, '\\|') THEN 'table' ELSE 'other' END AS kind, count(*) AS n FROM documents GROUP BY 1")

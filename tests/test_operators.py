@@ -162,6 +162,21 @@ def test_entities_events_and_text(spark):
     assert documents.html_text(None) == ""
 
 
+def test_entities_as_the_reference_resolves_them(spark):
+    aliases = spark.createDataFrame([("600519", "security", "600519", 1.0), ("贵州茅台", "security", "600519", 1.0), ("茅台", "security", "600519", 0.9), ("平安", "security", "000001", 0.9), ("New York Fund", "etf", "513100", 1.0), ("x", "etf", "1", 1.0)], "alias string, entity_type string, entity string, confidence double")
+    rows_ = [
+        (1, "公告", "今日茅台股价上涨", None, None),
+        (2, "贵州茅台公告", "", None, None),
+        (3, None, "the New York Fund, x", None, None),
+        (4, "", "a" * 19_999 + "平安", None, None),
+        (5, "", "", ["600519.SH", " "], [("159915.SZ", "创业板 ETF"), ("000002", "万科"), ("600519.SH", "茅台"), (None, None)]),
+        (6, None, None, None, None),
+    ]
+    d = spark.createDataFrame(rows_, "k long, title string, text string, codes array<string>, links array<struct<code:string,name:string>>")
+    got = sorted(tuple(r) for r in documents.resolve_entities(d, aliases, "k", "text", "title", "codes", "links").collect())
+    assert got == [(1, "security", "600519", 0.9), (2, "security", "600519", 1.0), (3, "etf", "513100", 1.0), (5, "etf", "159915", 0.98), (5, "security", "000002", 0.98), (5, "security", "600519", 1.0)]
+
+
 def test_novelty_against_all_earlier_whole_keys(spark):
     rng = random.Random(3)
     keys = ["same head " * 9 + "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 150))) for _ in range(24)]
