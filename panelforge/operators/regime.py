@@ -1,4 +1,4 @@
-"""Regimes: component scores, three-way states, hysteresis, policy."""
+"""Regimes: component scores, three-way states, hysteresis, market trend, scenes, performance."""
 
 from __future__ import annotations
 
