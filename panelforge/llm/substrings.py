@@ -2,14 +2,18 @@
 
 Text stays where it is, in a table of chunks bucketed by chunk. Of each 50-byte window the least
 32-byte gram (by hash) is its anchor, so equal windows have equal anchors at equal places.
-1. Chunks send their distinct anchor hashes; ranges of hashes answer which ones other chunks have.
-2. For shared anchors the 18 bytes on either side (all windows that can hold the anchor) go to the
-   anchor's range, once per distinct segment and chunk, with the least doc_id that holds it. The
-   anchor itself stands in a segment as its 8-byte hash, so a 50-byte window is 26 bytes there.
-3. A range builds the suffix array of its segments by two-stage sorting: suffixes smaller than their
-   successors are sorted directly, the others are induced by scanning the buckets of first bytes.
+1. Chunks send the hashes of their distinct anchors; ranges of hashes answer which ones other chunks have.
+2. A shared anchor with the 18 bytes on either side is a segment: all windows that can hold the anchor. It
+   goes, byte for byte, to the anchor's range, once per distinct segment and chunk, with the least doc_id
+   that holds it. Where an anchor stands in very many places its windows go one by one, each to the
+   range of its own hash, so no anchor's segments need to meet in one task.
+3. A range builds the suffix array of its distinct segments by two-stage sorting: suffixes smaller than
+   their successors are sorted directly, the others are induced by scanning the buckets of first bytes.
    Adjacent common prefixes of a window or more are equal windows; those of larger documents go.
 4. Chunks apply the answers.
+
+Hashes only route; what is equal is decided by comparing bytes. There are as many ranges as their measured
+bytes need, so a range's size does not grow with the corpus (a passage of all chunks is one row a chunk).
 """
 
 from __future__ import annotations
@@ -20,23 +24,28 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelforge.llm.shared import partitions, powers, raw_bytes, scratch, sliced, written
+from panelforge.llm.shared import Scratch, partitions, powers, raw_bytes, scratch, sliced, written
 
 WINDOW, GRAM = 50, 32
 SIDE = WINDOW - GRAM
-#: In a segment the anchor is MARK bytes of hash, a window WIDE bytes.
-MARK = 8
-WIDE, SEGMENT = MARK + SIDE, MARK + 2 * SIDE
+SEGMENT = WINDOW + SIDE
+#: A segment's row: its bytes, zeros, its size; in memory filled up to whole words.
+ROW, ROW_WORDS = SEGMENT + 1, 9
 CHUNK_BYTES = 2 << 20
-STEP = 1 << 20
-#: Segments whose suffixes are sorted at once; an anchor's segments stay together.
+STEP = 1 << 18
+#: Segments whose suffixes are sorted at once, and the places of an anchor from which its windows go one by one.
 SORT_SEGMENTS = 20_000
+#: Bytes of segments that a range holds on average, and of text whose anchors it holds.
+RANGE_BYTES, RANGE_TEXT = 12 << 20, 8 << 20
 #: Bytes of rows that go to Python at once.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Stands for a null doc_id where ids are compared.
+LAST = np.iinfo(np.int64).max
 
 
 def anchors(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +87,27 @@ def anchors(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             hashes.append(h[at])
     place, found = np.concatenate(places), np.concatenate(hashes)
     place, once = np.unique(place, return_index=True)
-    return place, found[once]
+    return place, spread(found[once])
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """A bijection: anchors are least hashes, so without it low ranges would get most of them."""
+    h = h * MIX_A
+    h ^= h >> np.uint64(32)
+    return h * MIX_B
 
 
-def ranges(h: np.ndarray, n: int) -> np.ndarray:
-    """Which of n equal ranges each hash lies in."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def ranges(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n equal ranges each hash lies in, and in which 256th of it."""
+    x = (h >> np.uint64(32)) * np.uint64(n)
+    return (x >> np.uint64(32)).astype(np.int64), (x >> np.uint64(24)).astype(np.uint8)
+
+
+def runs(h: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of ascending hashes."""
+    r = ranges(h, n)[0]
+    cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+    return [(int(r[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(r)))]
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -117,89 +141,104 @@ def large_ids(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.int64, 1, 1)[0] + np.frombuffer(b, np.uint32, offset=9).astype(np.int64)
 
 
+def mark_of(words: np.ndarray) -> np.ndarray:
+    """A hash of each row of words."""
+    mark = np.zeros(len(words), np.uint64)
+    for j in range(words.shape[1]):
+        mark = (mark ^ words[:, j]) * MIX_A
+        mark ^= mark >> np.uint64(29)
+    return mark
+
+
+def unlike(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which rows, in this order, differ from the row before."""
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    return new
+
+
 class Chunk:
     """A chunk's documents and anchors."""
 
     def __init__(self, doc_id: pa.Array, text: pa.Array):
-        self.doc_id = doc_id.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc_id = doc_id.fill_null(LAST).to_numpy(zero_copy_only=False)
         self.flat, self.ends = raw_bytes(text)
         self.place, self.hash = anchors(self.flat, self.ends)
         self.doc = np.searchsorted(self.ends, self.place, "right") - 1
-        self.own, self.of = np.unique(self.hash, return_inverse=True)
+        self.own, self.of, self.times = np.unique(self.hash, return_inverse=True, return_counts=True)
 
-    def ranges(self, n: int) -> list[tuple[int, int, int]]:
-        """(range, first, end) of the distinct anchors."""
-        r = ranges(self.own, n)
-        cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-        return [(int(r[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(r)))]
+    def heavy(self, a: int, b: int) -> bytes:
+        """(index, places) of the anchors from a to b that stand in several places."""
+        at = np.flatnonzero(self.times[a:b] > 8)
+        return np.stack([at, self.times[a:b][at]]).astype(np.uint32).tobytes()
 
     def select(self, answers: dict[int, bytes], n: int) -> None:
-        """Occurrences of anchors that another document has, their segments, and the first occurrence (by doc_id) of each distinct segment."""
-        shared = np.zeros(len(self.own), bool)
-        for r, a, b in self.ranges(n):
+        """Segments of the anchors that another document has, and the first occurrence (by doc_id) of each distinct one."""
+        shared, hot = np.zeros(len(self.own), bool), np.zeros(len(self.own), bool)
+        for r, a, b in runs(self.own, n):
             if r in answers:
-                shared[a:b] = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=b - a).astype(bool)
+                bits = np.unpackbits(np.frombuffer(answers[r], np.uint8))
+                shared[a:b] = bits[: b - a]
+                full = -(-(b - a) // 8) * 8
+                if len(bits) > full:
+                    hot[a:b] = bits[full : full + b - a]
         ids = self.doc_id[self.doc]
-        low, high = np.full(len(self.own), np.iinfo(np.int64).max), np.full(len(self.own), np.iinfo(np.int64).min)
+        low, high = np.full(len(self.own), LAST), np.full(len(self.own), np.iinfo(np.int64).min)
         np.minimum.at(low, self.of, ids)
         np.maximum.at(high, self.of, ids)
         shared |= low < high
-        self.pick = np.flatnonzero(shared[self.of])
-        place, doc = self.place[self.pick], self.doc[self.pick]
-        self.left = np.minimum(SIDE, place - self.ends[doc])
-        self.right = np.minimum(SIDE, self.ends[doc + 1] - place - GRAM)
-        h = self.hash[self.pick]
-        self.rows = np.zeros((len(place), SEGMENT + 4), np.uint8)
-        self.rows[:, SIDE : SIDE + MARK] = h.astype(">u8").view(np.uint8).reshape(-1, MARK)
-        self.rows[:, SEGMENT], self.rows[:, SEGMENT + 1] = self.left, self.right
-        k = np.arange(SIDE)
-        last = max(0, len(self.flat) - 1)
-        for i in range(0, len(place), 1 << 14):
+        pick = np.flatnonzero(shared[self.of])
+        place, doc, key = self.place[pick], self.doc[pick], self.hash[pick]
+        start = np.maximum(place - SIDE, self.ends[doc])
+        size = np.minimum(place + GRAM + SIDE, self.ends[doc + 1]) - start
+        burst = hot[self.of[pick]]
+        whole = int((~burst).sum())
+        if whole < len(pick):
+            many = size[burst] - WINDOW + 1
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start = np.concatenate([start[~burst], np.repeat(start[burst], many) + nth])
+            doc = np.concatenate([doc[~burst], np.repeat(doc[burst], many)])
+            key = np.concatenate([key[~burst], np.zeros(len(nth), np.uint64)])
+            size = np.concatenate([size[~burst], np.full(len(nth), WINDOW)])
+        self.start, self.size, self.ids = start, size, self.doc_id[doc]
+        self.rows = np.zeros((len(start), 8 * ROW_WORDS), np.uint8)
+        k = np.arange(SEGMENT)
+        for i in range(0, len(start), 1 << 14):
             one = slice(i, i + (1 << 14))
-            at = place[one, None]
-            before = self.flat[np.maximum(at - SIDE + k, 0)]
-            before[k < SIDE - self.left[one, None]] = 0
-            after = self.flat[np.minimum(at + GRAM + k, last)]
-            after[k >= self.right[one, None]] = 0
-            self.rows[one, :SIDE], self.rows[one, SIDE + MARK : SEGMENT] = before, after
+            held = self.flat[np.minimum(start[one, None] + k, len(self.flat) - 1)]
+            held[k >= size[one, None]] = 0
+            self.rows[one, :SEGMENT] = held
+        self.rows[:, SEGMENT] = size
         words = self.rows.view(np.uint64)
-        mark = np.zeros(len(place), np.uint64)
-        for j in range(words.shape[1]):
-            mark = (mark ^ words[:, j]) * MIX_A
-            mark ^= mark >> np.uint64(29)
-        order = np.lexsort((ids[self.pick], mark, h))
-        new = np.ones(len(order), bool)
-        new[1:] = (mark[order[1:]] != mark[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
-        self.sent = order[new]  # in the order of their hashes, so ranges are contiguous
+        mark = mark_of(words)
+        key[whole:] = spread(mark[whole:])
+        order = np.lexsort((self.ids, mark, key))
+        new = unlike(words, order)
+        self.sent = order[new]  # in the order of their keys, so ranges are contiguous
+        self.key = key[self.sent]
         self.like = np.empty(len(order), np.int64)
         self.like[order] = np.cumsum(new) - 1
-        self.ids = ids[self.pick]
-
-    def sent_ranges(self, n: int) -> list[tuple[int, int, int]]:
-        r = ranges(self.hash[self.pick][self.sent], n)
-        cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-        return [(int(r[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(r)))]
 
     def covered(self, answers: dict[int, bytes], n: int) -> np.ndarray:
         """Which bytes go."""
         mask = np.zeros(len(self.sent), np.uint32)
-        for r, a, b in self.sent_ranges(n):
+        for r, a, b in runs(self.key, n):
             if r in answers:
                 mask[a:b] = np.frombuffer(answers[r], np.uint32)
         change = np.zeros(len(self.flat) + 1, np.int32)
-        if len(self.pick):
+        if len(self.start):
             later = self.ids > self.ids[self.sent][self.like]
             every = mask[self.like]
             for o in range(SIDE + 1):
-                fits = (o >= SIDE - self.left) & (o <= self.right)
-                start = self.place[self.pick][fits & (later | (every >> np.uint32(o) & np.uint32(1)).astype(bool))] - SIDE + o
+                gone = (o <= self.size - WINDOW) & (later | (every >> np.uint32(o) & np.uint32(1)).astype(bool))
+                start = self.start[gone] + o  # a window that two segments hold counts once in both lines
                 change[start] += 1
                 change[start + WINDOW] -= 1
         return np.cumsum(change[:-1]) > 0
 
 
-def suffix_order(rows: np.ndarray, first: np.ndarray, need: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two-stage suffix sorting of the rows (segments, zero after `end`): (row, place) of the suffixes from `first` to `need`
+def suffix_order(rows: np.ndarray, need: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two-stage suffix sorting of the rows (segments, zero after `end`): (row, place) of the suffixes from 0 to `need`
     of each row in lexicographic order, and each place's eight-byte words.
 
     A suffix is small if it is smaller than its successor. Small ones are sorted directly, word by
@@ -208,100 +247,114 @@ def suffix_order(rows: np.ndarray, first: np.ndarray, need: np.ndarray, end: np.
     """
     n, width = rows.shape
     small = np.zeros((n, width + 1), bool)
-    inside = np.arange(width) < end[:, None]
     for j in range(width - 1, -1, -1):
         nxt = rows[:, j + 1] if j + 1 < width else np.zeros(n, np.uint8)
         here = rows[:, j]
-        last = end <= j + 1
-        small[:, j] = inside[:, j] & ~last & ((here < nxt) | ((here == nxt) & small[:, j + 1]))
+        small[:, j] = (j + 1 < end) & ((here < nxt) | ((here == nxt) & small[:, j + 1]))
     # a large suffix needs its successors up to the next small one, or to the row's end
     stop = end.copy()
     for j in range(width - 1, -1, -1):
         stop = np.where(small[:, j] & (j >= need), j, stop)
-    wide = np.pad(rows, ((0, 0), (0, WIDE + 14))).astype(np.uint64)
-    word = np.zeros((n, width + WIDE + 6), np.uint64)
+    padded = np.pad(rows, ((0, 0), (0, 8)))
+    stride = width + 1
+    word = np.zeros((n, stride), np.uint64)
     for k in range(8):
-        word |= wide[:, k : k + word.shape[1]] << np.uint64(56 - 8 * k)
-    stride = word.shape[1]
+        word |= padded[:, k : k + stride].astype(np.uint64) << np.uint64(56 - 8 * k)
     words = word.reshape(-1)
-    places = np.arange(width)
-    r, p = np.nonzero(small[:, :width] & (places >= first[:, None]) & (places <= stop[:, None]))
-    at = r * stride + p
-    order = np.argsort(words[at], kind="stable")
-    r, p, at = r[order], p[order], at[order]
-    tied = np.zeros(len(at) + 1, bool)
-    tied[1:-1] = words[at[1:]] == words[at[:-1]]
-    for k in range(8, SEGMENT, 8):
+    r, p = np.nonzero(small[:, :width] & (np.arange(width) <= stop[:, None]))
+    order = np.argsort(words[r * stride + p], kind="stable")
+    r, p = r[order], p[order]
+    w = words[r * stride + p]
+    tied = np.zeros(len(r) + 1, bool)
+    tied[1:-1] = w[1:] == w[:-1]
+    for k in range(8, width, 8):
         run = np.flatnonzero(tied[:-1] | tied[1:])
         if not len(run):
             break
         group = np.cumsum(~tied[run])
-        order = np.lexsort((words[at[run] + k], group))
-        r[run], p[run], at[run], group = r[run][order], p[run][order], at[run][order], group[order]
-        w = words[at[run] + k]
-        same = np.r_[False, (group[1:] == group[:-1]) & (w[1:] == w[:-1])]
-        tied[run] = same
-    head = rows[r, p] if len(r) else np.zeros(0, np.uint8)
+        w = words[r[run] * stride + np.minimum(p[run] + k, width)]  # the last word is zero
+        order = np.lexsort((w, group))
+        r[run], p[run], w, group = r[run][order], p[run][order], w[order], group[order]
+        tied[run] = np.r_[False, (group[1:] == group[:-1]) & (w[1:] == w[:-1])]
+    head = rows[r, p]
     cut = np.searchsorted(head, np.arange(257))
     out_r, out_p = [], []
     waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
 
     def induce(r: np.ndarray, p: np.ndarray, c: int):
         """Large predecessors of suffixes in order; those that begin with c come back, others wait in their bucket."""
-        ok = p > first[r]
+        ok = p > 0
         r, p = r[ok], p[ok] - 1
         ok = ~small[r, p]
         r, p = r[ok], p[ok]
         b = rows[r, p]
-        for v in np.unique(b):
-            if v != c:
-                waiting[v].append((r[b == v], p[b == v]))
-        return (r[b == c], p[b == c]) if c >= 0 else (r[:0], p[:0])
-
-    whole = np.flatnonzero((stop == end) & (end > first))
+        order = np.argsort(b, kind="stable")
+        r, p, b = r[order], p[order], b[order]
+        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+        own = r[:0], p[:0]
+        for x, y in zip(cuts, np.append(cuts[1:], len(b))):
+            if b[x] == c:
+                own = r[x:y], p[x:y]
+            else:
+                waiting[b[x]].append((r[x:y], p[x:y]))
+        return own
+
+    whole = np.flatnonzero((stop == end) & (end > 0))
     induce(whole, end[whole], -1)
     for c in range(256):
-        level = [(np.concatenate([x[0] for x in waiting[c]]), np.concatenate([x[1] for x in waiting[c]]))] if waiting[c] else []
+        level = (np.concatenate([x[0] for x in waiting[c]]), np.concatenate([x[1] for x in waiting[c]])) if waiting[c] else (r[:0], p[:0])
         waiting[c] = []
-        while level and len(level[-1][0]):
-            out_r.append(level[-1][0])
-            out_p.append(level[-1][1])
-            level.append(induce(*level[-1], c))
-        s = slice(cut[c], cut[c + 1])
+        while len(level[0]):
+            out_r.append(level[0])
+            out_p.append(level[1])
+            level = induce(*level, c)
         if cut[c + 1] > cut[c]:
-            out_r.append(r[s])
-            out_p.append(p[s])
-            back = induce(r[s], p[s], c)
-            if len(back[0]):
+            out_r.append(r[cut[c] : cut[c + 1]])
+            out_p.append(p[cut[c] : cut[c + 1]])
+            if len(induce(out_r[-1], out_p[-1], c)[0]):
                 raise AssertionError("a small suffix has no large predecessor with its own first byte")
     every_r = np.concatenate(out_r) if out_r else np.zeros(0, np.int64)
     every_p = np.concatenate(out_p) if out_p else np.zeros(0, np.int64)
     ok = every_p <= need[every_r]
-    return every_r[ok], every_p[ok], words.reshape(n, stride)
+    return every_r[ok], every_p[ok], word
 
 
-def window_masks(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def window_masks(rows: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each segment the places (bits) where a window begins that a segment of a smaller document also holds."""
     mask = np.zeros(len(rows), np.uint32)
-    first, need, end = SIDE - left, right, SIDE + MARK + right
-    live = np.flatnonzero(first <= need)
-    if not len(live):
+    if not len(rows):
         return mask
-    r, p, word = suffix_order(rows[live], first[live], need[live], end[live])
+    r, p, word = suffix_order(rows, size - WINDOW, size)
     equal = np.ones(max(0, len(r) - 1), bool)  # common prefix of at least a window
-    for k in (0, 8, 16, WIDE - 8):
+    for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
         w = word[r, p + k]
         equal &= w[1:] == w[:-1]
     starts = np.flatnonzero(np.r_[True, ~equal])
-    ids = doc[live][r]
+    ids = doc[r]
     least = np.minimum.reduceat(ids, starts)
     gone = ids > np.repeat(least, np.diff(np.append(starts, len(r))))
-    np.bitwise_or.at(mask, live[r[gone]], np.uint32(1) << p[gone].astype(np.uint32))
+    np.bitwise_or.at(mask, r[gone], np.uint32(1) << p[gone].astype(np.uint32))
+    return mask
+
+
+def segment_masks(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """window_masks of rows of ROW bytes: only distinct segments are sorted, each with its least document; copies in larger documents go whole."""
+    words = np.zeros((len(rows), 8 * ROW_WORDS), np.uint8)
+    words[:, :ROW] = rows
+    words = words.view(np.uint64)
+    order = np.lexsort((doc, mark_of(words)))
+    new = unlike(words, order)
+    first = order[new]
+    size = rows[first, SEGMENT].astype(np.int64)
+    found = window_masks(np.ascontiguousarray(rows[first, :SEGMENT]), size, doc[first])
+    mask = np.empty(len(rows), np.uint32)
+    of = np.cumsum(new) - 1
+    mask[order] = np.where(doc[order] > doc[first][of], (np.uint32(1) << (size - WINDOW + 1).astype(np.uint32)[of]) - np.uint32(1), found[of])
     return mask
 
 
 def chunked(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """The documents as rows of about CHUNK_BYTES in a table bucketed by chunk, and its name. Later joins by chunk move no text."""
+    """The documents (doc_id, text, rest) as rows of about CHUNK_BYTES in a table bucketed by chunk, and its name. Later joins by chunk move no text."""
     spark = docs.sparkSession
 
     def run(batches):
@@ -309,11 +362,13 @@ def chunked(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
         for whole in batches:
             for b in sliced(whole, limit=CHUNK_BYTES):
                 one = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), pa.concat_arrays([c])) for c in b.columns]
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seq], pa.int64()), *one], names=["chunk", "doc_id", "text", "rest"])
+                size = int(np.diff(raw_bytes(b.column(1))[1]).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seq], pa.int64()), pa.array([size], pa.int64()), *one], names=["chunk", "bytes", *b.schema.names])
                 seq += 1
 
+    kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bytes", T.LongType()), *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema)])
     name = f"panelforge_chunks_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, "chunk long, doc_id array<long>, text array<string>, rest array<string>").write.format("parquet").bucketBy(n, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
+    docs.mapInArrow(run, kinds).write.format("parquet").bucketBy(n, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -329,103 +384,121 @@ def answers_of(cell: pa.Array) -> dict[int, bytes]:
     return {x["r"]: x["answer"] for x in got} if got else {}
 
 
-def collected(answers: DataFrame, name: str) -> DataFrame:
-    """A chunk's answers in one row; they are a bit or four bytes for each anchor of the chunk."""
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("r", "answer")).alias(name))
-
-
-def removal(docs: DataFrame, emit, kinds: str) -> DataFrame:
-    """Run the four steps and give what emit(chunk, covered bytes, cell) yields, written to the shared folder."""
+def removal(docs: DataFrame, emit, kinds) -> DataFrame:
+    """Run the four steps over (doc_id, text, rest) and give what emit(chunk, covered bytes, cell) yields, written to the shared folder; what lies in between is removed."""
     spark = docs.sparkSession
-    n = partitions(spark)
     before = spark.conf.get(BATCH_CONF)
     spark.conf.set(BATCH_CONF, str(BATCH_BYTES))  # rows here are blobs; the steps below run before this function returns
     try:
-        return _removal(docs, emit, kinds, n)
+        with Scratch(spark) as between:
+            return _removal(docs, emit, kinds, between)
     finally:
         spark.conf.set(BATCH_CONF, before)
 
 
-def _removal(docs: DataFrame, emit, kinds: str, n: int) -> DataFrame:
+def meet_hashes(batches):
+    """Of each chunk's hashes in a range: which ones another chunk has, and, where there are any, which ones stand in very many places."""
+    held: dict[int, list[tuple]] = {}
+    for b in batches:
+        for r, chunk, sent, heavy in zip(*(x.to_pylist() for x in b.columns)):
+            held.setdefault(r, []).append((chunk, sent, heavy))
+    while held:
+        r, parts = held.popitem()
+        hashes = [unpacked(p[1]) for p in parts]
+        every = np.concatenate(hashes)
+        first = np.cumsum([0, *map(len, hashes)])
+        places = np.ones(len(every), np.uint32)
+        for a, (_, _, heavy) in zip(first, parts):
+            at, times = np.frombuffer(heavy, np.uint32).reshape(2, -1)
+            places[a + at] = times
+        order = np.argsort(every, kind="stable")
+        s = every[order]
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        chunks = np.diff(np.append(starts, len(s)))
+        total = np.add.reduceat(places[order].astype(np.int64), starts) if len(s) else chunks
+        shared, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        shared[order], hot[order] = np.repeat(chunks > 1, chunks), np.repeat(total > SORT_SEGMENTS, chunks)
+        bits, segments = [], []
+        for a, b in zip(first[:-1], first[1:]):
+            bits.append(np.packbits(shared[a:b]).tobytes() + (np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else b""))
+            segments.append(int(places[a:b][shared[a:b]].sum()) + SIDE * int(places[a:b][hot[a:b]].sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([r] * len(parts), pa.int32()), pa.array(bits, pa.binary()), pa.array(segments, pa.int64())], names=["chunk", "r", "answer", "segments"])
+
+
+def meet_segments(batches):
+    """Of each chunk's segments in a range: the places of windows that a smaller document holds."""
+    held: dict[int, list[tuple]] = {}
+    for b in batches:
+        for r, chunk, ids, part, rows in zip(*(x.to_pylist() for x in b.columns)):
+            held.setdefault(r, []).append((chunk, ids, part, rows))
+    while held:
+        r, parts = held.popitem()
+        chunk = [p[0] for p in parts]
+        ids = np.concatenate([large_ids(p[1]) for p in parts])
+        part = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        sizes = [len(p[2]) for p in parts]
+        rows = np.frombuffer(b"".join(p[3] for p in parts), np.uint8).reshape(-1, ROW)
+        del parts
+        order = np.argsort(part, kind="stable")
+        ends = np.cumsum(np.bincount(part, minlength=256))
+        mask = np.zeros(len(ids), np.uint32)
+        a = 0
+        while a < len(order):  # whole 256ths, so that equal windows meet
+            z = int(ends[max(np.searchsorted(ends, a + SORT_SEGMENTS, "right") - 1, np.searchsorted(ends, a, "right"))])
+            mask[order[a:z]] = segment_masks(rows[order[a:z]], ids[order[a:z]])
+            a = z
+        answers = [x.tobytes() for x in np.split(mask, np.cumsum(sizes)[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([r] * len(chunk), pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "r", "answer"])
+
+
+def _removal(docs: DataFrame, emit, kinds, between: Scratch) -> DataFrame:
     spark = docs.sparkSession
+    n = partitions(spark)
     table, name = chunked(docs, n)
+    between.table(name)
+    size = table.agg(F.sum("bytes")).first()[0] or 0
+    n1 = max(n, -(-size // RANGE_TEXT))
 
     def send_hashes(batches):
         for chunk, c, _ in chunks_of(batches):
-            parts = c.ranges(n)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([packed(c.own[a:b]) for _, a, b in parts], pa.binary())], names=["r", "chunk", "sent"])
-
-    def meet_hashes(batches):
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for b in batches:
-            for r, chunk, sent in zip(*(x.to_pylist() for x in b.columns)):
-                held.setdefault(r, []).append((chunk, unpacked(sent)))
-        for r, parts in held.items():
-            every = np.concatenate([h for _, h in parts])
-            order = np.argsort(every, kind="stable")
-            s = every[order]
-            same = np.r_[False, s[1:] == s[:-1]]
-            shared = np.zeros(len(every), bool)
-            shared[order] = same | np.r_[same[1:], False]
-            cuts = np.cumsum([len(h) for _, h in parts])[:-1]
-            bits = [np.packbits(x).tobytes() for x in np.split(shared, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int64()), pa.array([r] * len(parts), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "r", "answer"])
+            parts = runs(c.own, n1)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([packed(c.own[a:b]) for _, a, b in parts], pa.binary()), pa.array([c.heavy(a, b) for _, a, b in parts], pa.binary())], names=["r", "chunk", "sent", "heavy"])
+
+    texts = table.select("chunk", "doc_id", "text")
+    answered = texts.mapInArrow(send_hashes, "r int, chunk long, sent binary, heavy binary").repartitionById(n1, F.col("r")).mapInArrow(meet_hashes, "chunk long, r int, answer binary, segments long")
+    shared = between.written(answered.groupBy("chunk").agg(F.collect_list(F.struct("r", "answer")).alias("shared"), F.sum("segments").alias("segments")), "shared")
+    n2 = max(n, -(-(shared.agg(F.sum("segments")).first()[0] or 0) * ROW // RANGE_BYTES))
+    shared = shared.select("chunk", "shared")
 
     def send_segments(batches):
         for chunk, c, cell in chunks_of(batches):
-            c.select(answers_of(cell["shared"]), n)
-            parts = c.sent_ranges(n)
-            ids, rows = c.ids[c.sent], c.rows[c.sent, : SEGMENT + 2]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([small_ids(ids[a:b]) for _, a, b in parts], pa.binary()), pa.array([rows[a:b].tobytes() for _, a, b in parts], pa.binary())], names=["r", "chunk", "ids", "rows"])
-
-    def meet_segments(batches):
-        held: dict[int, list[tuple]] = {}
-        for b in batches:
-            for r, chunk, ids, rows in zip(*(x.to_pylist() for x in b.columns)):
-                held.setdefault(r, []).append((chunk, large_ids(ids), np.frombuffer(rows, np.uint8).reshape(-1, SEGMENT + 2)))
-        while held:
-            r, parts = held.popitem()
-            ids, rows = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-            h = np.ascontiguousarray(rows[:, SIDE : SIDE + MARK]).view(">u8").reshape(-1).astype(np.uint64)
-            sizes = [len(p[1]) for p in parts]
-            order = np.argsort(h, kind="stable")
-            edges = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-            mask = np.zeros(len(h), np.uint32)
-            a = 0
-            while a < len(h):
-                k = np.searchsorted(edges, a + SORT_SEGMENTS, "right") - 1
-                z = len(h) if a + SORT_SEGMENTS >= len(h) else int(edges[k]) if edges[k] > a else int(np.append(edges, len(h))[k + 1])
-                who = order[a:z]
-                mask[who] = window_masks(np.ascontiguousarray(rows[who, :SEGMENT]), rows[who, SEGMENT].astype(np.int64), rows[who, SEGMENT + 1].astype(np.int64), ids[who])
-                a = z
-            answers = [x.tobytes() for x in np.split(mask, np.cumsum(sizes)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([r] * len(parts), pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "r", "answer"])
+            c.select(answers_of(cell["shared"]), n1)
+            parts, part = runs(c.key, n2), ranges(c.key, n2)[1]
+            ids = c.ids[c.sent]
+            for k in range(0, len(parts), 64):  # a part of the ranges at a time
+                some = parts[k : k + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([small_ids(ids[a:b]) for _, a, b in some], pa.binary()), pa.array([part[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([c.rows[c.sent[a:b], :ROW].tobytes() for _, a, b in some], pa.binary())], names=["r", "chunk", "ids", "part", "rows"])
 
     def apply(batches):
         for _, c, cell in chunks_of(batches):
-            c.select(answers_of(cell["shared"]), n)
-            yield emit(c, c.covered(answers_of(cell["gone"]), n), cell)
+            c.select(answers_of(cell["shared"]), n1)
+            yield emit(c, c.covered(answers_of(cell["gone"]), n2), cell)
 
-    ids_only = table.select("chunk", "doc_id", "text")
-    shared = ids_only.mapInArrow(send_hashes, "r int, chunk long, sent binary").repartitionById(n, F.col("r")).mapInArrow(meet_hashes, "chunk long, r int, answer binary")
-    shared = written(collected(shared, "shared"), "shared")
-    gone = ids_only.join(shared, "chunk", "left").mapInArrow(send_segments, "r int, chunk long, ids binary, rows binary").repartitionById(n, F.col("r")).mapInArrow(meet_segments, "chunk long, r int, answer binary")
-    gone = written(collected(gone, "gone"), "gone")
-    out = written(table.join(shared, "chunk", "left").join(gone, "chunk", "left").mapInArrow(apply, kinds), "kept")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return out
+    met = texts.join(shared, "chunk", "left").mapInArrow(send_segments, "r int, chunk long, ids binary, part binary, rows binary").repartitionById(n2, F.col("r")).mapInArrow(meet_segments, "chunk long, r int, answer binary")
+    gone = between.written(met.groupBy("chunk").agg(F.collect_list(F.struct("r", "answer")).alias("gone")), "gone")
+    return written(table.join(shared, "chunk", "left").join(gone, "chunk", "left").mapInArrow(apply, kinds), "kept")
 
 
-def plain(docs: DataFrame, rest) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), rest.cast("string").alias("rest"))
+def plain(docs: DataFrame, rest: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256).
 
     Null texts are empty and lose nothing, as do texts under 50 bytes; rows with one doc_id never
-    remove from each other; of equal texts all but that of the least doc_id vanish; long texts are chunks
-    of their own; an empty table gives no rows; other columns are ignored.
+    remove from each other, a null doc_id counts as the largest; of equal texts all but those of the least doc_id
+    vanish; long texts are chunks of their own; an empty table gives no rows; other columns are ignored.
     """
 
     def emit(c: Chunk, gone: np.ndarray, cell):
@@ -436,23 +509,28 @@ def dedup_report(docs: DataFrame) -> DataFrame:
             removed.append(int(g.sum()))
             n_spans.append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
             sha.append(hashlib.sha256(c.flat[a:b][~g].tobytes()).hexdigest())
-        return pa.RecordBatch.from_arrays([pa.array(c.doc_id), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([cell["doc_id"].flatten(), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removal(plain(docs, F.lit(None)), emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removal(plain(docs, F.lit(None).cast("boolean")), emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of documents with the repeated bytes taken out of `text`; a character that loses a byte goes whole; null stays null; n_chars follows."""
-    others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
-    rest = F.to_json(F.struct(*[F.col(f.name) for f in others], F.col("text").isNull().alias("__no_text")), {"ignoreNullFields": "false"})
+    """The rows of documents with the repeated bytes taken out of `text`; a character that loses a byte goes whole.
+
+    Null texts stay null; n_chars follows the text where there is such a column; all columns, whatever their
+    names and types, stay as they are; repeated rows, null doc_ids, ties and empty tables as in dedup_report.
+    """
+    other = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rest = F.struct(*[F.col(f"`{c}`").alias(k) for c, k in other.items()], F.col("text").isNull().alias("no_text"))
+    laid = plain(docs, rest)
 
     def emit(c: Chunk, gone: np.ndarray, cell):
         texts = [c.flat[a:b][~gone[a:b]].tobytes().decode(errors="ignore") for a, b in zip(c.ends, c.ends[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(c.doc_id), pa.array(texts, pa.string()), cell["rest"].flatten()], names=["doc_id", "text", "rest"])
-
-    out = removal(plain(docs, rest), emit, "doc_id long, text string, rest string")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", `__no_text` boolean"
-    held = out.withColumn("r", F.from_json("rest", kinds))
-    columns = {"doc_id": F.col("doc_id"), "text": F.when(F.col("r.__no_text"), None).otherwise(F.col("text"))}
-    columns |= {f.name: (F.when(F.col("r.__no_text"), F.col("r.n_chars")).otherwise(F.length("text")).cast(f.dataType) if f.name == "n_chars" else F.col(f"r.`{f.name}`")) for f in others}
-    return held.select(*[columns[c].alias(c) for c in docs.columns])
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), cell["rest"].flatten()], names=["text", "rest"])
+
+    out = removal(laid, emit, T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", laid.schema["rest"].dataType)]))
+    gone = F.col("rest.no_text")
+    kept = {c: F.col(f"rest.{k}") for c, k in other.items()} | {"text": F.when(~gone, F.col("text")).cast(docs.schema["text"].dataType)}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(gone, kept["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[kept[c].alias(c) for c in docs.columns])

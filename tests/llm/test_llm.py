@@ -214,6 +214,38 @@ def test_substrings(docs, texts):
         assert r["kept_sha256"] == hashlib.sha256(t[~gone].tobytes()).hexdigest()
 
 
+def test_equal_hashes_of_different_texts_remove_nothing(spark):
+    """Two texts whose anchors have one 64-bit hash."""
+    pair = ["lyqkadowolpndygtogkzdaduxaslvyxufcqlsjnsvljrmkzxvs", "lyqkadowonqndygsmhjzebfszbrjvyyuecrmulnqvljrmkzxvs"]
+    h = [substrings.anchors(np.frombuffer(t.encode(), np.uint8), np.array([0, 50]))[1].tolist() for t in pair]
+    assert h[0] == h[1]
+    rows = [(1, pair[0]), (2, pair[1]), (3, pair[1])]
+    got = substrings.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 50}
+
+
+@pytest.mark.parametrize("most", [5, 20000])
+def test_substrings_of_small_alphabets_and_frequent_anchors(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "SORT_SEGMENTS", most)  # 5: most anchors send their windows one by one
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 600)
+    rng = random.Random(most)
+    rows = []
+    for alphabet in ("ab", "\0\1", "\0", "abcdefgh ", "é日a"):
+        base = "".join(rng.choice(alphabet) for _ in range(300))
+        for _ in range(12):
+            t = ""
+            for _ in range(rng.randint(0, 5)):
+                a = rng.randrange(300)
+                t += base[a : a + rng.randint(0, 120)] if rng.random() < 0.6 else "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+            rows.append((rng.randrange(40), t))
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    want = []
+    for (i, t), (_, gone) in zip(rows, dedup_plain([(i, t.encode()) for i, t in rows])):
+        b = np.frombuffer(t.encode(), np.uint8)
+        want.append((i, len(b), int(gone.sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_deduplicated_keeps_columns(docs):
     got = substrings.deduplicated(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
@@ -221,13 +253,26 @@ def test_deduplicated_keeps_columns(docs):
     assert rows[120]["text"] == "" and rows[120]["n_chars"] == 0 and rows[138]["text"] is None and rows[9]["lang"] == "en"
 
 
+def test_deduplicated_keeps_odd_columns_and_null_ids(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 123456)
+    passage = "the same words stand here in full and they go on for more than fifty bytes"
+    rows = [(None, passage, at, {"k": [1.5, None]}, True, 1), (4, passage, None, None, None, 2), (9, "x" + passage, at, {}, False, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, rest timestamp, `c0` map<string, array<double>>, __no_text boolean, chunk int")
+    got = substrings.deduplicated(d)
+    assert got.schema == d.schema
+    assert {r["chunk"]: r["text"] for r in got.collect()} == {1: "", 2: passage, 3: "x"}
+    assert {tuple(map(str, r[2:])) for r in got.collect()} == {tuple(map(str, r[2:])) for r in rows}
+
+
 def test_two_stage_sorting_orders_suffixes():
     rng = np.random.default_rng(3)
     rows = rng.integers(97, 100, (60, substrings.SEGMENT), dtype=np.uint8)
     rows[30:] = rows[:30]
     n = len(rows)
-    first, need, end = np.zeros(n, int), np.full(n, substrings.SIDE), np.full(n, substrings.SEGMENT)
-    r, p, _ = substrings.suffix_order(rows, first, need, end)
+    need, end = np.full(n, substrings.SIDE), np.full(n, substrings.SEGMENT)
+    r, p, _ = substrings.suffix_order(rows, need, end)
     keys = [rows[a, b:].tobytes() for a, b in zip(r, p)]
     assert len(keys) == n * (substrings.SIDE + 1) and keys == sorted(keys)
 
