@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,15 +21,18 @@ from panelforge.llm.shared import id_and_text, sliced
 
 #: Bounds of the training sample: rows per language, code points per row, code points per language.
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 12000
-#: Texts are parsed in blocks of so many normalised characters; each block begins a phrase.
+#: Texts are parsed in blocks of so many normalised characters, side by side; phrases go on across blocks.
 BLOCK_CHARS = 2048
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are no letters (fractions, raised and circled numbers) are left by the pattern above.
+NUMERALS = regex.compile(r"[^\p{L}]+")
 
 
 def normalised(text: str) -> str:
     """Lower-case letters, each other run as one space; empty if there is no letter."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    clean = NOT_LETTERS.sub(" ", text.lower())
+    return (clean if clean.isascii() else NUMERALS.sub(" ", clean)).strip()
 
 
 class SuffixAutomaton:
@@ -79,7 +83,6 @@ class Languages:
         self.other = len(alphabet)
         self.code = {c: i for i, c in enumerate(alphabet)}
         self.automata = [SuffixAutomaton([self.code[c] for c in texts[n]], self.other + 1) for n in self.names]
-        # a phrase that ends restarts at the letter that ended it: one table with the restart folded in, and one of ended phrases
         self.bits = np.array([np.log2(max(2, a.size)) for a in self.automata])
         wide = max(self.code, default=" ")
         self.by_point = np.full(ord(wide) + 2, self.other, np.int32)
@@ -91,7 +94,12 @@ class Languages:
         return self.by_point[np.minimum(points, len(self.by_point) - 1)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """texts x languages: phrases of each text. All blocks of all texts advance together, one letter a step."""
+        """texts x languages: phrases of each text.
+
+        All blocks of all texts advance together, one letter a step, first as if each began a phrase. Then the
+        blocks that go on from an open phrase are run again from the state before them, until they are in the
+        state they were in the first time: from there on nothing changes.
+        """
         codes = [self.codes(t) for t in texts]
         sizes = np.array([len(c) for c in codes])
         blocks = -(-sizes // BLOCK_CHARS)
@@ -102,25 +110,51 @@ class Languages:
         start = first[owner] + nth * BLOCK_CHARS
         left = np.minimum(sizes[owner] - nth * BLOCK_CHARS, BLOCK_CHARS)
         order = np.argsort(-left, kind="stable")
-        start, left, owner = start[order], left[order], owner[order]
-        live = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left")  # blocks longer than each step
+        live = np.searchsorted(-left[order], -np.arange(int(left.max(initial=0))), side="left")  # blocks longer than each step
+        later = np.flatnonzero(nth > 0)
+        last = np.cumsum(blocks)[blocks > 0] - 1
         out = np.zeros((len(texts), len(self.names)), np.int64)
         for k, automaton in enumerate(self.automata):
             table = automaton.table
-            width = table.shape[1]
-            cells = table.reshape(-1)
-            again = table[1]
-            state = np.ones(len(start), np.int64)
-            count = np.zeros(len(start), np.int64)
-            for step, n in enumerate(live):
-                c = flat[start[:n] + step]
-                to = cells[state[:n] * width + c]
+            width, cells, again = table.shape[1], table.reshape(-1), table[1]
+
+            def step(state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """States after the letters at these places, and the phrases that ended: a letter that the language lacks is one of its own."""
+                c = flat[at]
+                to = cells[state * width + c]
                 ended = to == 0
-                count[:n] += ended
                 restart = again[c]
-                # a letter that the language lacks is a phrase of its own; the next one starts afresh
-                state[:n] = np.where(ended, np.where(restart == 0, 1, restart), to)
-            out[:, k] = np.bincount(owner, weights=count + 1, minlength=len(texts)).astype(np.int64)
+                lone = ended & (restart == 0)
+                return np.where(ended, np.where(lone, 1, restart), to), (ended & (state != 1)).astype(np.int64) + lone
+
+            state, count = np.ones(len(start), np.int64), np.zeros(len(start), np.int64)
+            s, n, from_ = state.copy(), count.copy(), start[order]
+            for i, m in enumerate(live):
+                s[:m], ended = step(s[:m], from_[:m] + i)
+                n[:m] += ended
+            state[order], count[order] = s, n
+            single, alone, entry = count.copy(), state.copy(), np.ones(len(start), np.int64)
+            changed = later[state[later - 1] != 1]
+            while len(changed):
+                entry[changed] = state[changed - 1]
+                exits = state.copy()
+                exits[changed] = alone[changed]
+                which, a, b, more, i = changed, entry[changed], np.ones(len(changed), np.int64), np.zeros(len(changed), np.int64), 0
+                count[changed] = single[changed]
+                while len(which):
+                    a, ended = step(a, start[which] + i)
+                    b, once = step(b, start[which] + i)
+                    more += ended - once
+                    i += 1
+                    met, over = a == b, left[which] == i
+                    count[which[met | over]] += more[met | over]
+                    exits[which[over & ~met]] = a[over & ~met]
+                    go = ~(met | over)
+                    which, a, b, more = which[go], a[go], b[go], more[go]
+                state = exits
+                changed = later[state[later - 1] != entry[later]]
+            count[last] += state[last] != 1
+            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -139,7 +173,7 @@ class Languages:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, row_chars: int = ROW_CHARS, chars: int = TRAIN_CHARS) -> dict[str, str]:
@@ -150,7 +184,7 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, row_chars: int = ROW
     n = F.length("text")
     at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(n - row_chars, F.lit(0)) + 1)
     sample = (
-        docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
         .select("lang", F.xxhash64("doc_id", F.lit(5)).alias("draw"), F.expr("doc_id").alias("doc_id"), F.col("text").substr(at.cast("int"), F.lit(row_chars)).alias("excerpt"))
         .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "excerpt")))
         .filter(F.col("nth") <= rows)
@@ -170,8 +204,8 @@ def predict(docs: DataFrame, **bounds: int) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): score is 1 - least cost / second least cost.
 
     Null texts and texts without a letter are `und` with score 0, and so is every text where nothing
-    is labelled; ties go to the first language by name; long texts are parsed whole, in blocks;
-    repeated rows repeat; an empty table gives no rows; other columns are ignored.
+    is labelled; ties go to the first language by name; texts of any length are parsed whole; repeated
+    rows repeat; a null doc_id is not held out and never learned from; an empty table gives no rows; other columns are ignored.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     sent = docs.sparkSession.sparkContext.broadcast(training_texts(named, **bounds))
