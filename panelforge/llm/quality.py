@@ -2,19 +2,19 @@
 
 Tokens are runs of letters, of digits or of signs, lower-cased; unigrams and bigrams are hashed into
 BUCKETS counts. The raw model counts every n-gram of every document, the target model those of a
-bounded sample of labelled good rows. A document's log weight is the sum of the buckets' log ratios;
-divided by the root of its n-grams it has one scale for short and long texts. As many documents are
-sampled as the calibrated cut says are worth keeping, by the largest weight plus Gumbel noise.
-N-grams that more labelled bad rows hold than the good ones let expect lower the weight, so a few words
-of abuse count though they are rare in the raw text.
+bounded sample of labelled good rows. N-grams that more labelled bad rows hold than the good ones let
+expect lower the ratio, so a few words of abuse count though they are rare in the raw text. A document's
+log importance weight is the mean log ratio of its n-grams times TYPICAL, the weight of so many n-grams of its
+kind: sums over all n-grams rank documents by length first (see README). The k largest of log weight plus
+standard Gumbel noise are a sample without replacement in proportion to the weights; k is given, or it is the
+number of documents whose weight is at or above a cut that is calibrated on labelled rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.shared import BLOCK_BYTES, id_and_text, powers, raw_bytes, sliced, written
@@ -29,8 +29,8 @@ FIT_SHARE = 0.75
 PRIOR, SURE = 1.0, 5.0
 #: Pseudo-count of a bucket in the texts of rejected labels, and the weight of that evidence.
 BAD_PRIOR, BAD_WEIGHT = 0.1, 3.0
-#: Share of labelled good rows that the cut may reject, and how strongly the weight outdoes the Gumbel noise.
-GOOD_LOSS, SHARPNESS = 0.005, 200.0
+#: Share of labelled good rows that the cut may reject, and the n-grams that a log weight stands for.
+GOOD_LOSS, TYPICAL = 0.005, 256.0
 #: Byte classes: 0 white, 1 letter (and all bytes of non-ASCII letters), 2 digit, 3 sign.
 CLASS = np.full(256, 3, np.uint8)
 CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -106,7 +106,7 @@ def gram_counts(docs: DataFrame, texts: bool = False) -> np.ndarray:
 
     kinds = "slice int, counts binary"
     out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for r in id_and_text(docs).mapInArrow(run, kinds).repartition(8, "slice").mapInArrow(add, kinds).collect():
+    for r in id_and_text(docs).mapInArrow(run, kinds).repartition(SLICES, "slice").mapInArrow(add, kinds).collect():
         out[r["slice"]] += np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
 
@@ -141,7 +141,7 @@ def bad_ratio(good: np.ndarray, bad: np.ndarray, good_rows: int, bad_rows: int)
 
 
 def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, grams, log_weight): the sum of log ratios over each text's n-grams."""
+    """(doc_id, grams, log_weight): the sum of log ratios over each text's n-grams; n-grams do not cross the blocks of a very long text."""
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
@@ -159,10 +159,15 @@ def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def labelled(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, good, fits) of at most `rows` good and `rows` bad labelled ids, by a hash of the id; a document labelled twice is bad if any label says so."""
-    of = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False)).cast("int")).alias("good"))
-    nth = F.row_number().over(W.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return of.withColumn("nth", nth).filter(F.col("nth") <= rows).select("doc_id", "good", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)) < int(1000 * FIT_SHARE)).alias("fits"))
+    """(doc_id, good, fits) of about `rows` good and `rows` bad labelled ids, all where there are fewer; a document labelled twice is bad if any label says so.
+
+    Ids are drawn by a threshold on their hash that the two counts give, so no task ranks the labels; twice `rows` of a kind are never met.
+    """
+    of = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False)).cast("int")).alias("good"))
+    n = of.agg(*[F.coalesce(F.sum((F.col("good") == g).cast("long")), F.lit(0)).alias(f"n{g}") for g in (0, 1)]).first()
+    share = F.when(F.col("good") == 1, min(1.0, rows / max(1, n["n1"]))).otherwise(min(1.0, rows / max(1, n["n0"])))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40)
+    return of.filter(drawn).select("doc_id", "good", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)) < int(1000 * FIT_SHARE)).alias("fits"))
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, loss: float = GOOD_LOSS) -> float:
@@ -198,23 +203,29 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def sampled(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
-    """(doc_id, score, log_weight, sample_key, kept) of every document.
+def gumbel(seed: int) -> Column:
+    """Standard Gumbel noise drawn from a hash of doc_id."""
+    return -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11) -> DataFrame:
+    """(doc_id, log_weight, log_ratio_sum, grams, sample_key, kept) of every document.
 
-    score: log weight / sqrt(n-grams), 0 for null and empty texts; sample_key: SHARPNESS x score plus
-    Gumbel noise drawn from a hash of doc_id; kept: among the k largest keys, k being the documents
-    at or above the cut. Ties at the last key are all kept; without labels of both kinds, or in an
-    empty table, nothing is rejected; repeated rows repeat; other columns are ignored.
+    log_ratio_sum: over all n-grams; log_weight: of TYPICAL of them, 0 for null and empty texts; sample_key: log_weight
+    plus standard Gumbel noise; kept: among the k largest keys, k as given or else the number of documents
+    at or above the cut. Ties at the last key are all kept; without labels of both kinds (and without k), or in an
+    empty table, nothing is rejected; repeated rows repeat, rows of one doc_id share the noise; a null doc_id has the
+    key of its text alone and is never labelled; long texts count whole; other columns are ignored.
     """
     plain = docs.select("doc_id", "text")
     of = labelled(labels.select("doc_id", "quality", "toxic"))
     good, bad = (plain.join(F.broadcast(of.filter(f"good = {g} and fits").select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi") for g in (1, 0))
     ratio = log_ratio(gram_counts(good), gram_counts(plain)) + bad_ratio(gram_counts(good, True), gram_counts(bad, True), good.count(), bad.count())
-    noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
-    all_scores = scores(plain, ratio).withColumn("score", F.col("log_weight") / F.sqrt(F.greatest("grams", F.lit(1)))).withColumn("sample_key", SHARPNESS * F.col("score") + noise)
-    held = written(all_scores.select("doc_id", "score", "log_weight", "sample_key"), "quality")
-    marked = held.join(F.broadcast(of.filter("not fits")), "doc_id").select("good", "score").toPandas()
-    cut = best_cut(marked.score[marked.good == 1].to_numpy(), marked.score[marked.good == 0].to_numpy())
-    k = held.filter(F.col("score") >= cut).count() if cut > -np.inf else 0
+    weighed = scores(plain, ratio).withColumnRenamed("log_weight", "log_ratio_sum").withColumn("log_weight", F.col("log_ratio_sum") * TYPICAL / F.greatest("grams", F.lit(1)))
+    held = written(weighed.withColumn("sample_key", F.col("log_weight") + gumbel(seed)).select("doc_id", "log_weight", "log_ratio_sum", "grams", "sample_key"), "quality")
+    if k is None:
+        marked = held.join(F.broadcast(of.filter("not fits")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight")).toPandas()  # a row a labelled id
+        cut = best_cut(*(marked.log_weight[marked.good == g].to_numpy() for g in (1, 0)))
+        k = held.filter(F.col("log_weight") >= cut).count() if cut > -np.inf else 0
     last = kth_largest(held, "sample_key", k) if k else -np.inf
     return held.withColumn("kept", F.col("sample_key") >= F.lit(float(last)))
