@@ -1,10 +1,11 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range join, exact verification.
 
-A fingerprint's 64 bits are 16 segments of 4; the bits set in each segment are a point whose
+A fingerprint's 64 bits are 32 segments of 2; the bits set in each segment are a point whose
 Manhattan distance to another point is at most the fingerprints' Hamming distance. Within RADIUS 3
-at least one half (8 segments) is at distance 0 or 1, so each half is a grid over popcount vectors:
+at least one half (16 segments) is at distance 0 or 1, so each half is a grid over popcount vectors:
 a fingerprint stands in its own cell and asks in the cells one step up. What meets in a cell is
-verified bit by bit. Cells emit a spanning forest of their links, not all pairs; a cell with many
+verified bit by bit. A half's popcounts carry 24 bits of entropy (16 with segments of 4), so a cell of
+evenly spread fingerprints stays small up to billions of them. Cells emit a spanning forest of their links, not all pairs; a cell with many
 fingerprints is cut into chunks whose pairs are dealt to different tasks.
 """
 
@@ -24,7 +25,9 @@ from panelforge.llm.shared import id_and_text, partitions, sliced, written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-SEGMENT_BITS, HALF_SEGMENTS = 4, 8
+SEGMENT_BITS, HALF_SEGMENTS = 2, 16
+#: A cell is a half and two bits a segment; above them stands the seed.
+SEED_SHIFT = 40
 #: Rows of a cell that one task compares at once; larger cells are cut into chunks of about so many.
 CELL_ROWS = 4096
 
@@ -83,13 +86,13 @@ def places(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = [np.bitwise_count((x >> np.uint64(SEGMENT_BITS * (half * HALF_SEGMENTS + s))) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64) for s in range(HALF_SEGMENTS)]
         own = np.full(len(x), half, np.int64)
         for c in counts:
-            own = own << 3 | c
+            own = own << 2 | c
         cell.append(own)
         asks.append(np.zeros(len(x), bool))
         who.append(rows)
         for s, c in enumerate(counts):
             up = c < SEGMENT_BITS
-            cell.append(own[up] + (1 << (3 * (HALF_SEGMENTS - 1 - s))))
+            cell.append(own[up] + (1 << (2 * (HALF_SEGMENTS - 1 - s))))
             asks.append(np.ones(int(up.sum()), bool))
             who.append(rows[up])
     return np.concatenate(cell), np.concatenate(asks), np.concatenate(who)
@@ -159,7 +162,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
             fp, seed = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for k in np.unique(seed):
                 cell, asks, who = cells(fp[seed == k])
-                yield pa.RecordBatch.from_arrays([pa.array(cell + (int(k) << 32)), pa.array(asks), pa.array(who)], names=["cell", "asks", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell + (int(k) << SEED_SHIFT)), pa.array(asks), pa.array(who)], names=["cell", "asks", "fp"])
 
     placed = distinct.select("fp").mapInArrow(spread, "cell long, asks boolean, fp long") if "seed" not in distinct.columns else distinct.select("fp", "seed").mapInArrow(spread_seeds, "cell long, asks boolean, fp long")
     large = placed.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
@@ -189,7 +192,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
                 u, v = links(fp[a:b], asks[a:b], chunk[a:b], bool(i[a] != j[a]), radius)
                 us.append(u)
                 vs.append(v)
-                seeds.append(np.full(len(u), cell[a] >> 32))
+                seeds.append(np.full(len(u), cell[a] >> SEED_SHIFT))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds).astype(np.int32)), pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["seed", "u", "v"])
 
     found = blocks.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "seed int, u long, v long")
@@ -201,7 +204,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Null, empty and white texts share fingerprint zero and link like any other; equal texts are one
     fingerprint, so copies cost one grid row however many they are; texts of any length count whole;
-    rows with one doc_id get a row each; an empty table gives no rows; other columns are ignored.
+    rows with one doc_id get a row each; a null doc_id is never the least of others; an empty table gives no rows; other columns are ignored.
     """
     of = written(fingerprints(docs), "simhash")
     classes = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
@@ -210,7 +213,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     known = member.join(classes, "fp")
     root = known.groupBy("root").agg(F.min("least").alias("component"))
     merged = known.join(root, "root").select("fp", "component")
-    each = classes.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # written, so that the last join has a shuffle on either side and a fingerprint with very many documents can be split
+    each = written(classes.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "components")
     return of.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -252,7 +256,7 @@ def copy_pairs(entries: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> D
         for b in batches:
             seed, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             cell, asks, row = places(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(cell + (seed[row].astype(np.int64) << 32)), pa.array(asks), *(b.column(i).take(pa.array(row)) for i in (1, 2, 3, 4))], names=["cell", "asks", "fp", "mark", "label", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell + (seed[row].astype(np.int64) << SEED_SHIFT)), pa.array(asks), *(b.column(i).take(pa.array(row)) for i in (1, 2, 3, 4))], names=["cell", "asks", "fp", "mark", "label", "size"])
 
     def compare(batches):
         held = None
@@ -352,6 +356,10 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the least doc_id of their copy group; rows with one doc_id count as one document. Columns stay."""
-    kept = copy_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    """The documents that are the least doc_id of their copy group; columns stay, whatever their names.
+
+    Rows with one doc_id count as one document, rows without a doc_id too: it stays where any of them is
+    the least of its group. Null, empty and white texts are one group; an empty table stays empty.
+    """
+    kept = copy_groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept"]), "left_semi")
