@@ -154,7 +154,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     target = F.create_map(*[F.lit(x) for pair in goes.items() for x in pair])
     lent = dealt.filter(F.col("doc_id").isin(list(goes))).withColumn("bucket", target[F.col("doc_id")]).withColumn("borrowed", F.lit(True))
     both = dealt.withColumn("borrowed", F.lit(False)).unionByName(lent)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "borrowed", F.col("doc_id").desc(), F.xxhash64("text"))
+    return both.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "borrowed", F.col("doc_id").desc(), F.xxhash64("text"))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
