@@ -85,13 +85,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, end_id: int = 0, documents_per_group: int = 4096, seed: int = 17) -> DataFrame:
     """Pieces with the sequence that holds them: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded_to).
 
-    Documents are dealt into groups of about documents_per_group by a hash of doc_id; each group is
-    packed on its own, so no task holds more than a group. A sequence whose tokens are a power of two
+    Pieces are dealt into groups of about documents_per_group documents by a hash of what they are; each group is
+    packed on its own, so no task holds more than a group, whatever one doc_id holds. A sequence whose tokens are a power of two
     needs no padding; others are padded to max_tokens. Null and empty texts are one piece holding the
     end id; repeated rows are packed as often as they occur; ties go by doc_id and start; an empty table gives no rows.
     """
     groups = max(1, math.ceil(docs.count() / documents_per_group))
-    dealt = token_pieces(docs, tokenizer_path, max_tokens, end_id).withColumn("pack_group", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)).cast("long"))
+    dealt = token_pieces(docs, tokenizer_path, max_tokens, end_id).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)).cast("long"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
