@@ -181,13 +181,18 @@ def capture_runs(stored: DataFrame) -> DataFrame:
     return stored.select("archive", "data").mapInArrow(run, CAPTURE_DDL)
 
 
+#: Captures of one range of the merge on average: what a task holds, whatever the table.
+RANGE_ROWS = 50_000
+
+
 def merged(runs: DataFrame) -> DataFrame:
     """The runs' captures in one order of (url_key, captured_at, page_id), within and across partitions.
 
-    Ranges include the page, so captures of one URL spread over tasks. A run's share arrives in
+    There are as many ranges as their rows need; they include the page and the place of the record, so captures of one
+    URL, and records of one page, spread over tasks. A run's share arrives in
     pieces that are in order; where one is not continued in order, a new run begins.
     """
-    n = partitions(runs.sparkSession)
+    n = max(partitions(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
 
     def merge(batches):
         parts: dict[str, list[list[tuple]]] = {}
@@ -211,7 +216,7 @@ def merged(runs: DataFrame) -> DataFrame:
         columns[-1] = [None if x == -1 and kind == "response" else x for x, kind in zip(columns[-1], columns[-2])]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CAPTURE)], schema=CAPTURE)
 
-    return runs.repartitionByRange(n, "url_key", "captured_at", "page_id").mapInArrow(merge, CAPTURE_DDL)
+    return runs.repartitionByRange(n, "url_key", "captured_at", "page_id", "run", "archive_offset").mapInArrow(merge, CAPTURE_DDL)
 
 
 def capture_index(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
