@@ -1,12 +1,13 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its decoder.
 
-A pre-token is read byte by byte. After n bytes the last token of the encoding of that prefix is
-unique: it is the token ending at n whose left neighbour (the last token of the shorter prefix) it
-can stand beside without the merge list joining across the boundary. `Merges.lookahead`, the longest
-token of the merge list in bytes, is the sufficient lookahead: whatever follows, the next token
-starts within the last `lookahead` bytes, so a token is final once the chains of all those
-positions pass through its end. Final tokens are emitted and forgotten, so memory does not grow
-with the text. A pre-token that fits into the lookahead is resolved in that window at once.
+A pre-token is read byte by byte by an automaton over the vocabulary that knows all tokens ending at the
+byte. After n bytes the last token of the encoding of that prefix is unique: it is the token ending at n
+whose left neighbour (the last token of the shorter prefix) it can stand beside without the merge list
+joining across the boundary. `Merges.lookahead`, the longest token of the merge list in bytes, is the
+sufficient lookahead: whatever follows, the next token starts within the last `lookahead` bytes, so a token
+is final once the chains of all those positions pass through its end. Final tokens are emitted and
+forgotten, so memory grows neither with a pre-token nor with the text. Every pre-token takes this path;
+ids of short ones met lately are kept, a bounded number of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import json
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,15 @@ WHITE = "\t-\r \x85\xa0  -     　"
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units that are one word of Latin letters and then signs, as the pre-token pattern cuts them too.
 SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
-#: Units and pre-tokens kept with their ids in a Python worker; twice as many at most.
-CACHE_UNITS = 700_000
+#: Units and pre-tokens kept with their ids in a Python worker; twice as many at most. Longer ones are not kept.
+CACHE_UNITS, CACHE_CHARS = 600_000, 64
+#: Characters of a text whose units are cut at once, and ids that go on together.
+STEP_CHARS = 1 << 16
 #: Bytes of a pre-token between two looks for final tokens.
 LOOK_EVERY = 4096
 NEVER = 1 << 60
+#: Pairs of tokens and steps of the automaton that a worker remembers.
+KNOWN = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,74 +76,33 @@ class Merges:
                 self.parts[whole], self.made[whole] = (a, b), r
         self.lookahead = max(map(len, self.ids))
         self.beside: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
-        self._endings()
-
-        self.longest: dict[bytes, int] = {}  # of the tokens that begin with these four bytes
-        for text in self.ids:
-            if len(text) > 3:
-                self.longest[text[:4]] = max(len(text), self.longest.get(text[:4], 3))
-        self.shorter = {t: next((self.ids[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.ids), -1) for b, t in self.ids.items()}
-        self.size = {t: len(b) for b, t in self.ids.items()}
-
-    def window(self, text: bytes) -> list[int]:
-        """Ids of a pre-token that lies within the lookahead: longest tokens first, taken back where their neighbours cannot stand beside them."""
-        ids, known, size, n = self.ids, self.beside.get, self.size, len(text)
-        token = ids.get(text)
-        if token is not None and self.whole(token, text):
-            return [token]
-        out: list[int] = []
-        dead: set[int] = set()
-        at, before, shorter, longest = 0, -1, self.shorter, self.longest
-        while at < n:
-            end = at + longest.get(text[at : at + 4], 3)
-            if end > n:
-                end = n
-            token = ids.get(text[at:end])
-            while token is None:
-                end -= 1
-                token = ids.get(text[at:end])
-            while True:
-                if end not in dead:
-                    ok = before < 0 or known((before, token))
-                    if ok is None:
-                        ok = self.can_stand_beside(before, token)
-                    if ok:
-                        out.append(token)
-                        at, before = end, token
-                        break
-                token = shorter[token]
-                if token < 0:
-                    # nothing fits here: take the token before back and try a shorter one in its place
-                    dead.add(at)
-                    token = out.pop()
-                    end = at
-                    at -= size[token]
-                    before = out[-1] if out else -1
-                else:
-                    end = at + size[token]
-        return out
-
-    def whole(self, token: int, text: bytes) -> bool:
-        """Whether the token's own bytes are encoded as that token alone."""
-        known = self.alone.get(token)
-        if known is None:
-            known = self.alone[token] = self.transduce(text) == [token]
-        return known
-
-    def _endings(self) -> None:
-        """A trie of the tokens read from their last byte: step[node << 8 | byte] is a node, token_at[node] the token that it completes or -1."""
-        self.step: dict[int, int] = {}
-        self.token_at = [-1]
-        for text, token in self.ids.items():
-            node = 0
-            for byte in reversed(text):
-                key = node << 8 | byte
-                node = self.step.get(key, 0)
-                if not node:
-                    node = self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-            self.token_at[node] = token
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """Aho-Corasick automaton of the tokens: go[state << 8 | byte] is the next state where the trie has one, else fail[state] goes on; ends[state]: (token, bytes) of the tokens that end here, longest first."""
+        self.go: dict[int, int] = {}
+        text_of, self.ends = [b""], [()]
+        for text in sorted(self.ids, key=len):
+            state = 0
+            for i, byte in enumerate(text):
+                key = state << 8 | byte
+                state = self.go.get(key, 0)
+                if not state:
+                    state = self.go[key] = len(text_of)
+                    text_of.append(text[: i + 1])
+                    self.ends.append(())
+            self.ends[state] = ((self.ids[text], len(text)),)
+        self.fail = [0] * len(text_of)
+        go, fail = self.go, self.fail
+        parents = sorted(((len(text_of[state]), key >> 8, key & 255, state) for key, state in go.items()))
+        for size, parent, byte, state in parents:
+            if size > 1:
+                at = fail[parent]
+                while at and (at << 8 | byte) not in go:
+                    at = fail[at]
+                fail[state] = go.get(at << 8 | byte, 0)
+            self.ends[state] += self.ends[fail[state]]
+        self.remembered = len(go) + KNOWN
 
     def can_stand_beside(self, left: int, right: int) -> bool:
         """Whether the merges that make the two tokens never join across their boundary: both spines are undone, latest merge first."""
@@ -157,28 +122,30 @@ class Merges:
                 a, a_gone = self.parts[a][1], a_made
             else:
                 b, b_gone = self.parts[b][0], b_made
-        if len(self.beside) > 1_000_000:
+        if len(self.beside) > KNOWN:
             self.beside.clear()
         self.beside[left, right] = fits
         return fits
 
-    def transduce(self, text: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        step, token_at, beside, fits, most = self.step, self.token_at, self.beside, self.can_stand_beside, self.lookahead
-        out: list[int] = []
-        base, last, span = 0, [-1], [0]  # last[i]: last token of the prefix that ends at base + i; span: its bytes
-        for end in range(1, len(text) + 1):
-            node, ending, at = 0, [], end - 1
-            while at >= base:
-                node = step.get(node << 8 | text[at], 0)
-                if not node:
-                    break
-                if token_at[node] >= 0:
-                    ending.append((token_at[node], end - at))
-                at -= 1
-            n = end - base
-            while ending:
-                token, size = ending.pop()
+    def stream(self, text: bytes) -> Iterator[list[int]]:
+        """Ids of one pre-token, as they become final."""
+        go, fail, ends, beside, fits = self.go, self.fail, self.ends, self.beside, self.can_stand_beside
+        look = LOOK_EVERY + self.lookahead
+        state, n, last, span = 0, 0, [-1], [0]  # last[i]: last token of the prefix i bytes after what is emitted; span: its bytes
+        for byte in text:
+            n += 1
+            key = state << 8 | byte
+            state = go.get(key)
+            if state is None:
+                at = key >> 8
+                while state is None:  # every single byte is a token, so the root has a step
+                    at = fail[at]
+                    state = go.get(at << 8 | byte)
+                if len(go) < self.remembered:
+                    go[key] = state
+            for token, size in ends[state]:
+                if size > n:
+                    continue
                 before = last[n - size]
                 if before < 0:
                     if n != size:
@@ -190,10 +157,17 @@ class Merges:
                 last.append(token)
                 span.append(size)
                 break
-            if n >= LOOK_EVERY + most:
-                base = self._emit_final(out, last, span, base)
+            if n >= look:
+                out: list[int] = []
+                n -= self._emit_final(out, last, span)
+                yield out
+        out = []
         self._walk(out, last, span, len(last) - 1)
-        return out
+        yield out
+
+    def transduce(self, text: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        return [i for part in self.stream(text) for i in part]
 
     def _walk(self, out: list[int], last: list[int], span: list[int], at: int) -> None:
         chain = []
@@ -202,8 +176,8 @@ class Merges:
             at -= span[at]
         out.extend(reversed(chain))
 
-    def _emit_final(self, out: list[int], last: list[int], span: list[int], base: int) -> int:
-        """Emit the tokens on which the chains of the last `lookahead` positions agree; the last emitted one stays as position 0."""
+    def _emit_final(self, out: list[int], last: list[int], span: list[int]) -> int:
+        """Emit the tokens on which the chains of the last `lookahead` positions agree, and how many bytes they are; the last emitted one stays as position 0."""
         live = set(range(max(0, len(last) - self.lookahead), len(last)))
         while len(live) > 1:
             top = max(live)
@@ -211,12 +185,12 @@ class Merges:
             live.add(top - span[top])
         cut = live.pop()
         if cut <= 0:
-            return base
+            return 0
         self._walk(out, last, span, cut)
         kept = last[cut]
         del last[:cut], span[:cut]
         last[0], span[0] = kept, 0
-        return base + cut
+        return cut
 
 
 class Recent(dict):
@@ -232,7 +206,7 @@ class Recent(dict):
 
 
 class Encoder:
-    """Ids of whole texts, unit by unit; units and pre-tokens met lately are kept with their ids."""
+    """Ids of whole texts, unit by unit; short units and pre-tokens met lately are kept with their ids."""
 
     def __init__(self, merges: Merges):
         self.merges, self.units = merges, Recent(CACHE_UNITS)
@@ -249,24 +223,46 @@ class Encoder:
             if len(pieces) > 1:
                 known = b"".join([units.get(p) or self._unit(p) for p in pieces])
             else:
-                text = unit.encode()
-                ids = self.merges.window(text) if len(text) <= self.merges.lookahead else self.merges.transduce(text)
+                ids = self.merges.transduce(unit.encode())
                 known = struct.pack(f"<{len(ids)}I", *ids)
-        if len(unit) <= 64:
+        if len(unit) <= CACHE_CHARS:
             if len(units) >= units.most:
                 units.turn()
             units[unit] = known
         return known
 
-    def packed(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text."""
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of the text, a bounded number at a time."""
         if self.added is not None and any(s in text for s in self.merges.added):
-            return b"".join(np.array([self.merges.added[s]], "<u4").tobytes() if s in self.merges.added else self._plain(s) for s in self.added.split(text) if s)
-        return self._plain(text)
+            for s in self.added.split(text):
+                if s in self.merges.added:
+                    yield np.array([self.merges.added[s]], "<u4").tobytes()
+                elif s:
+                    yield from self._plain(s)
+        else:
+            yield from self._plain(text)
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        """Units of STEP_CHARS characters at a time; the last one may be cut, so the next step begins with it. A longer unit goes pre-token by pre-token, each as its tokens become final."""
+        known, unit, at, n = self.units.get, self._unit, 0, len(text)
+        while at < n:
+            end = at + STEP_CHARS
+            units = UNITS.findall(text, at, end)
+            if end < n:
+                if len(units) == 1:
+                    whole = UNITS.match(text, at).group()
+                    for p in self.split.finditer(whole):
+                        for ids in self.merges.stream(p.group().encode()):
+                            yield struct.pack(f"<{len(ids)}I", *ids)
+                    at += len(whole)
+                    continue
+                end -= len(units.pop())
+            yield b"".join([known(u) or unit(u) for u in units])
+            at = end
 
-    def _plain(self, text: str) -> bytes:
-        known, unit = self.units.get, self._unit
-        return b"".join([known(u) or unit(u) for u in UNITS.findall(text)])
+    def packed(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text."""
+        return b"".join(self.pieces(text))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), "<u4")
@@ -279,14 +275,15 @@ class Decoder:
         top = max(merges.bytes_of) + 1
         self.table = np.array([merges.bytes_of.get(i, b"") for i in range(top)], dtype=object)
 
-    def pieces(self, ids: np.ndarray, step: int = 65536):
+    def pieces(self, parts: Iterable[np.ndarray]) -> Iterator[str]:
+        """Text of ids that come in parts."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in range(0, len(ids), step):
-            yield state.decode(b"".join(self.table[ids[i : i + step]].tolist()))
+        for ids in parts:
+            yield state.decode(b"".join(self.table[ids].tolist()))
         yield state.decode(b"", final=True)
 
     def text(self, ids: np.ndarray) -> str:
-        return "".join(self.pieces(ids))
+        return "".join(self.pieces([ids]))
 
 
 _WORKER: dict[str, tuple[Encoder, Decoder, np.ndarray]] = {}
@@ -315,8 +312,9 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 def roundtrip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode every text and decode the ids: (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
-    Null and empty texts have no tokens; very long texts keep constant state besides their ids;
-    repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no tokens; ids and decoded text of very long ones pass through in parts, so beside the
+    row itself memory is constant; repeated rows give repeated results; a null doc_id stays null; other columns are
+    ignored; an empty table gives no rows.
     """
     key, sent = vocabulary(docs.sparkSession, tokenizer_path)
 
@@ -326,16 +324,22 @@ def roundtrip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for batch in sliced(whole):
                 n, a, b = [], [], []
                 for text in batch.column(1).to_pylist():
-                    ids = encoder.ids(text)
-                    n.append(len(ids))
-                    h = hashlib.sha256()
-                    for i in range(0, len(ids), 65536):
-                        h.update(("," * bool(i) + ",".join(decimal[ids[i : i + 65536]].tolist())).encode())
-                    a.append(h.hexdigest())
-                    h = hashlib.sha256()
-                    for piece in decoder.pieces(ids):
-                        h.update(piece.encode())
-                    b.append(h.hexdigest())
+                    tokens, said = 0, hashlib.sha256()
+
+                    def told():
+                        nonlocal tokens
+                        for part in encoder.pieces(text):  # noqa: B023
+                            ids = np.frombuffer(part, "<u4")
+                            said.update(("," * bool(tokens and len(ids)) + ",".join(decimal[ids].tolist())).encode())  # noqa: B023
+                            tokens += len(ids)
+                            yield ids
+
+                    decoded = hashlib.sha256()
+                    for piece in decoder.pieces(told()):
+                        decoded.update(piece.encode())
+                    n.append(tokens)
+                    a.append(said.hexdigest())
+                    b.append(decoded.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema=SCHEMA)
 
     kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
