@@ -72,15 +72,23 @@ def test_packing(docs, texts):
 
 
 def test_first_fit_decreasing_equals_a_scan():
+    """Every piece stands in the bin that a scan over all bins finds."""
     sizes = np.random.default_rng(0).integers(1, 65, 500)
-    free, want = [], []
-    for s in sorted(sizes.tolist(), reverse=True):
-        at = next((i for i, f in enumerate(free) if f >= s), len(free))
+    free, want = [64] * int((sizes == 64).sum()), {}
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s = sizes[i]
+        at = len(want) if s == 64 else next((j for j, f in enumerate(free) if f >= s), len(free))
         if at == len(free):
             free.append(64)
         free[at] -= s
-        want.append(at)
-    assert sorted(packing.first_fit_decreasing(sizes, 64).tolist()) == sorted(want)
+        want[i] = at
+    assert packing.first_fit_decreasing(sizes, 64).tolist() == [want[i] for i in range(500)]
+
+
+def test_a_repeated_doc_id_spreads_over_groups(spark):
+    d = spark.createDataFrame([(7, f"text number {i} " * (i % 9)) for i in range(400)], "doc_id long, text string")
+    got = packing.pack(d, PATH, documents_per_group=50).selectExpr("shiftright(sequence_id, 32) AS g").groupBy("g").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 120
 
 
 def test_order_minhash_edits(docs, texts):
@@ -99,18 +107,38 @@ def test_order_minhash_edits(docs, texts):
     assert omh.likeness(omh.signature(near), omh.signature(near + "x")) > omh.likeness(omh.signature(near), omh.signature(far))
 
 
-def test_order_minhash_signature_against_a_plain_one():
-    s = "".join(random.Random(2).choice("abc ") for _ in range(400))
-    g, want = omh.items(s), []
-    for b in range(omh.BINS):
-        own = sorted((int(h) >> 24, i) for i, h in enumerate(g) if int(h) >> 58 == b)[: omh.KEEP]
-        want.append([i for _, i in sorted(own, key=lambda x: x[1])])
-    sig = omh.signature(s)
-    assert [bool(w) for w in want] == [bool(x) for x in sig]
-    seen: dict = {}
+def omh_plain(s: str) -> list[int]:
+    """The signature by loops over whole numbers modulo 2^64."""
+    full = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * int(omh.MIX_A) & full
+        x = (x ^ x >> 27) * int(omh.MIX_B) & full
+        return x ^ x >> 31
+
+    s += "\0" * (omh.K - len(s)) if s else ""
+    seen, items = {}, []
     for i in range(len(s) - omh.K + 1):
-        seen.setdefault(s[i : i + omh.K], []).append(int(g[i]))
-    assert len(set(g.tolist())) == len(g) and all(len(set(v)) == len(v) for v in seen.values())
+        h = 0
+        for c in s[i : i + omh.K]:
+            h = (h * int(omh.STEP) + ord(c) + 1) & full
+        h = mix(h)
+        nth = seen[h >> 24] = seen.get(h >> 24, -1) + 1
+        items.append(mix((h + nth * int(omh.STEP)) & full))
+    out = []
+    for b in range(omh.BINS):
+        least = sorted((g >> 24, i) for i, g in enumerate(items) if g >> 58 == b)[: omh.KEEP]
+        t = 0
+        for i in sorted(i for _, i in least):
+            t = mix((t * int(omh.STEP) + items[i]) & full)
+        out.append(t % 65535 + 1 if least else 0)
+    return out
+
+
+def test_order_minhash_signature_against_a_plain_one():
+    rng = random.Random(2)
+    for text in ["", "a", "abcde", "é日本語x", *("".join(rng.choice("abc ") for _ in range(n)) for n in (6, 40, 400, 6000))]:
+        assert omh.signature(text).tolist() == omh_plain(text)
 
 
 def simhash_plain(t: str) -> int:
@@ -289,6 +317,44 @@ def test_quality_rejects_junk_and_keeps_good(spark):
     assert all(r["kept"] for r in quality.sampled(d, labels.limit(0)).collect())
 
 
+@pytest.mark.parametrize("k", [1, 40, 399])
+def test_quality_is_a_gumbel_top_k_of_the_two_models(spark, k):
+    """Counts, ratios, weights, noise and the k largest keys, all by loops over words."""
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)] + ["!!", "12"]
+    docs = [" ".join(rng.choice(words[:40] if i % 3 else words) for _ in range(rng.randint(0, 30))) for i in range(400)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    fits = {r["doc_id"]: r["good"] for r in quality.labelled(labels).filter("fits").collect()}
+    assert {i: int(i % 3 > 0) for i in fits} == fits and len(fits) > 100
+    bucket = lambda t: quality.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()
+    raw, target, held_good, held_bad = (np.zeros(quality.BUCKETS) for _ in range(4))
+    for i, t in enumerate(docs):
+        for b in bucket(t):
+            raw[b] += 1
+            target[b] += fits.get(i) == 1
+        for b in set(bucket(t)):
+            held_good[b] += fits.get(i) == 1
+            held_bad[b] += fits.get(i) == 0
+    ratio = quality.log_ratio(target, raw) + quality.bad_ratio(held_good, held_bad, sum(fits.values()), len(fits) - sum(fits.values()))
+    noise = {r["doc_id"]: r["g"] for r in d.select("doc_id", quality.gumbel(11).alias("g")).collect()}
+    assert abs(np.mean(list(noise.values())) - 0.5772) < 0.2 and abs(np.std(list(noise.values())) - 1.2825) < 0.2
+    keys = {}
+    for i, t in enumerate(docs):
+        own = bucket(t)
+        keys[i] = sum(ratio[b] for b in own) * quality.TYPICAL / max(1, len(own)) + noise[i]
+    got = {r["doc_id"]: r for r in quality.sampled(d, labels, k=k).collect()}
+    assert all(abs(got[i]["sample_key"] - x) < 1e-6 for i, x in keys.items())
+    assert {i for i, r in got.items() if r["kept"]} == set(sorted(keys, key=keys.get)[-k:])
+
+
+def test_labelled_sample_is_bounded(spark):
+    labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 10 < 9 AS int) AS quality", "0 AS toxic")
+    n = {r["good"]: r["count"] for r in quality.labelled(labels, 500).groupBy("good").count().collect()}
+    assert 400 <= n[1] <= 600 and 400 <= n[0] <= 600
+    assert quality.labelled(labels, 10_000).count() == 6000
+
+
 def test_quality_counts_rare_abuse(spark):
     rng = random.Random(9)
     plain = lambda: [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(80)]
@@ -338,16 +404,36 @@ def test_language(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in got.items())
 
 
-def test_automaton_phrases_against_find():
-    a = langid.Languages({"x": "banana bandana", "y": "zzz"})
-    s = "nanaband anaqzz"
-    count, i = 0, 0
+def phrases_plain(train: str, s: str) -> int:
+    n = i = 0
     while i < len(s):
-        n = 1
-        while i + n <= len(s) and s[i : i + n] in "banana bandana":
-            n += 1
-        count, i = count + 1, i + max(1, n - 1)
-    assert abs(int(a.phrases([s])[0, 0]) - count) <= 1
+        k = 1
+        while i + k <= len(s) and s[i : i + k] in train:
+            k += 1
+        i, n = i + max(1, k - 1), n + 1
+    return n
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 2048])
+def test_phrases_against_find(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+    rng = random.Random(block)
+    for _ in range(20):
+        train = {x: "".join(rng.choice("ab c") for _ in range(rng.randint(1, 60))).strip() or "a" for x in "xyz"}
+        texts = ["".join(rng.choice("ab cd") for _ in range(rng.randint(1, 200))) for _ in range(8)]
+        assert langid.Languages(train).phrases(texts).tolist() == [[phrases_plain(train[x], t) for x in "xyz"] for t in texts]
+
+
+def test_only_letters_count():
+    assert langid.normalised("½ ² ①") == "" and langid.normalised("A½b, Ünï_① x1") == "a b ünï x"
+    assert langid.Languages({"aa": "abc"}).predict(["½ ² ①", None, "12", "abc"])[0] == ["und", "und", "und", "aa"]
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = got.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
+    assert n > 100 and right / n > 0.97
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
