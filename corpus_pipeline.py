@@ -15,29 +15,33 @@ from panelforge.llm.shared import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality sampler keeps; rows with one doc_id stay or go together where any of them is kept."""
-    kept = quality.sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    """Documents that the quality sampler keeps; rows with one doc_id (or none) stay or go together where any of them is kept.
+
+    Null and empty texts have weight 0 like any other; ties, repeated rows, very long texts and empty tables as in
+    quality.sampled; all columns, whatever their names, stay as they are.
+    """
+    kept = quality.sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept"].cast("long")), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
+    """One document of each group of exact and near copies: the least doc_id. Nulls, empty texts, ties, repeated rows and clashing columns as in simhash.one_of_each."""
     return simhash.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the 50-byte strings that a document with a smaller doc_id holds."""
+    """All documents without the 50-byte strings that a document with a smaller doc_id holds; null and empty texts, ties, repeated rows and other columns as in substrings.deduplicated."""
     return substrings.deduplicated(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with personal data masked."""
+    """All documents with personal data masked; n_chars follows. Null texts stay null; repeated rows repeat; other columns stay; an empty table stays empty."""
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with the sequence that holds them."""
+    """Pieces of documents with the sequence that holds them; null and empty texts are one piece; ties, repeated rows and empty tables as in packing.pack; other columns end here."""
     return packing.pack(docs, tokenizer_path())
 
 
