@@ -354,7 +354,11 @@ def segment_masks(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """The documents (doc_id, text, rest) as rows of about CHUNK_BYTES in a table bucketed by chunk, and its name. Later joins by chunk move no text."""
+    """The documents (doc_id, text, rest) as rows of about CHUNK_BYTES in a table bucketed by chunk, and its name. Later joins by chunk move no text.
+
+    A chunk's number is chosen among 8n candidates so that all chunks of a task fall into one bucket: a task writes one
+    file. Where none fits the first one is taken, and the task writes one more.
+    """
     spark = docs.sparkSession
 
     def run(batches):
@@ -363,12 +367,14 @@ def chunked(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
             for b in sliced(whole, limit=CHUNK_BYTES):
                 one = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), pa.concat_arrays([c])) for c in b.columns]
                 size = int(np.diff(raw_bytes(b.column(1))[1]).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seq], pa.int64()), pa.array([size], pa.int64()), *one], names=["chunk", "bytes", *b.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([task << 40 | seq * 8 * n], pa.int64()), pa.array([size], pa.int64()), *one], names=["task", "first", "bytes", *b.schema.names])
                 seq += 1
 
-    kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bytes", T.LongType()), *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema)])
+    kinds = T.StructType([*(T.StructField(c, T.LongType()) for c in ("task", "first", "bytes")), *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema)])
+    fits = F.filter(F.sequence("first", F.col("first") + (8 * n - 1)), lambda x: F.pmod(F.hash(x), F.lit(n)) == F.pmod("task", F.lit(n)))
+    rows = docs.mapInArrow(run, kinds).select(F.coalesce(F.get(fits, F.lit(0)), "first").alias("chunk"), "bytes", *docs.columns)
     name = f"panelforge_chunks_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, kinds).write.format("parquet").bucketBy(n, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
+    rows.write.format("parquet").bucketBy(n, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
     return spark.table(name), name
 
 
