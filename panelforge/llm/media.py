@@ -2,7 +2,8 @@
 
 Frames are grey lossless JPEG (process 14, 8-bit samples). The Huffman code gives a difference of s
 extra bits a code word of 9 - s bits, so every sample takes 9 bits: coding and decoding are array
-operations over all frames of a block instead of a bit-by-bit loop.
+operations over all frames of a block. Frames of other files are decoded by their own headers (size,
+Huffman table), bit by bit; what is not grey, 8-bit and lossless with the first predictor raises an error.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelforge.llm.shared import BLOCK_BYTES, id_and_text, raw_bytes, sliced
 
@@ -129,13 +131,65 @@ def indexed_frames(media: bytes) -> tuple[list[tuple[int, int]], int]:
     return found, step
 
 
-def scan_of(frame: memoryview) -> memoryview:
-    """The entropy-coded bytes of a frame: what lies between its scan header and its end marker."""
-    at = 2
-    while frame[at + 1] != 0xDA:
-        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
-    at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
-    return frame[at:-2]
+class Frame:
+    """A grey lossless JPEG frame, as its own headers describe it."""
+
+    def __init__(self, data: bytes):
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        tables: dict[int, dict[tuple[int, int], int]] = {}
+        at, self.height, self.width = 2, 0, 0
+        while True:
+            mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            body = data[at + 4 : at + 2 + size]
+            at += 2 + size
+            if mark == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    tables[body[0]] = self.words(body[1:17], body[17 : 17 + n])
+                    body = body[17 + n :]
+            elif mark == 0xC3:
+                bits, self.height, self.width, parts = struct.unpack_from(">BHHB", body)
+                if (bits, parts) != (8, 1):
+                    raise ValueError("only grey frames of 8 bits are read")
+            elif 0xC0 <= mark <= 0xCF and mark not in (0xC8, 0xCC) or mark == 0xDD and any(body):
+                raise ValueError(f"only lossless frames without restarts are read, not marker {mark:02x}")
+            elif mark == 0xDA:
+                if body[0] != 1 or tuple(body[3:6]) != (1, 0, 0):
+                    raise ValueError("only the first predictor without point transform is read")
+                self.table = tables[body[2] >> 4]
+                end = data.rfind(b"\xff\xd9")
+                self.scan = data[at : end if end >= at else len(data)]
+                return
+
+    @staticmethod
+    def words(counts: bytes, values: bytes) -> dict[tuple[int, int], int]:
+        """(length, code word) -> value of a canonical Huffman table."""
+        out, code, k = {}, 0, 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                out[length, code] = values[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        return out
+
+    def samples(self) -> np.ndarray:
+        """Rows x columns of samples."""
+        bits = np.unpackbits(np.frombuffer(self.scan.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
+        d, at = np.zeros((self.height, self.width), np.int64), 0
+        for i in range(d.size):
+            code = length = 0
+            while (length, code) not in self.table:
+                code, length, at = code << 1 | bits[at], length + 1, at + 1
+                if length > 16:
+                    raise ValueError("no such code word")
+            s, v = self.table[length, code], 0
+            for b in bits[at : at + s]:
+                v = v << 1 | b
+            at += s
+            d.flat[i] = v if s == 0 or v >> (s - 1) else v - (1 << s) + 1
+        d[:, 0] = np.cumsum(d[:, 0]) + 128
+        return np.cumsum(d, axis=1).astype(np.uint8)
 
 
 def shot_starts(samples: np.ndarray, bins: int = 16, window: int = 8, factor: float = 3.0, floor: float = 0.25) -> np.ndarray:
@@ -170,16 +224,21 @@ def encode_payloads(payloads: list[np.ndarray]) -> list[bytes]:
 
 
 def decode_media(files: list[bytes]) -> list[tuple[np.ndarray, int]]:
-    """(frames x samples, microseconds a frame) of each file: the index is parsed, every intra frame decoded."""
-    scans, counts, steps = [], [], []
-    for media in files:
+    """(frames x samples, microseconds a frame) of each file: the index is parsed, every intra frame decoded; frames with this module's headers all at once."""
+    scans, counts, steps, other = [], [], [], {}
+    for k, media in enumerate(files):
         view = memoryview(media)
         frames, step = indexed_frames(media)
-        scans += [scan_of(view[at : at + size]) for at, size in frames]
-        counts.append(len(frames))
         steps.append(step)
-    samples = decode_frames(np.frombuffer(b"".join(scans), np.uint8))
-    return [(x, step) for x, step in zip(np.split(samples, np.cumsum(counts)[:-1]), steps)]
+        own = [view[at : at + size] for at, size in frames]
+        if all(f[: len(HEAD)] == HEAD and f[-2:] == TAIL for f in own):
+            scans += [f[len(HEAD) : -2] for f in own]
+            counts.append(len(frames))
+        else:
+            counts.append(0)
+            other[k] = np.stack([Frame(bytes(f)).samples().reshape(-1) for f in own])
+    samples = np.split(decode_frames(np.frombuffer(b"".join(scans), np.uint8)), np.cumsum(counts)[:-1])
+    return [(other.get(k, x), step) for k, (x, step) in enumerate(zip(samples, steps))]
 
 
 def clips(samples: np.ndarray, step: int) -> list[tuple[int, int, int, int]]:
@@ -189,11 +248,18 @@ def clips(samples: np.ndarray, step: int) -> list[tuple[int, int, int, int]]:
     return [(int(a), int(b - a), int(a) * step, int(b) * step) for a, b in zip(starts, ends)]
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+CLIP = pa.struct([(c, pa.int64()) for c in ("first_frame", "frames", "start_us", "end_us")])
+CLIP_DDL = "array<struct<first_frame: long, frames: long, start_us: long, end_us: long>>"
+
+
+def clip_lists(found: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    rows = [c for own in found for c in own]
+    columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 4)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(CLIP)))
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): the media column itself, one AVI file per text."""
+    """(doc_id, n_bytes, media): the media column itself, one AVI file per text. Null and empty texts are one frame of FILL; long texts are blocks of their own; repeated rows repeat; an empty table stays empty; other columns are ignored."""
 
     def run(batches):
         for whole in batches:
@@ -205,44 +271,45 @@ def media_table(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def clip_rows(media: DataFrame) -> DataFrame:
-    """Timed clips of a table (doc_id, media): (doc_id, clip, first_frame, frames, start_us, end_us). Null media have no clips."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if file is not None:
-                    samples, step = decode_media([file])[0]
-                    rows += [(doc, i, *c) for i, c in enumerate(clips(samples, step))]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "clip", "first_frame", "frames", "start_us", "end_us"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip long, first_frame long, frames long, start_us long, end_us long")
-
-
-def media_features(docs: DataFrame) -> DataFrame:
-    """Store each text as an AVI file, read the stored bytes back and describe them.
+def decoded(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips) of a table (doc_id, n_bytes, media), all read back from the stored bytes.
 
-    feature: frames, shots, start of the shots in milliseconds (as a checksum) and mean sample. Null
-    and empty texts are one frame of FILL; equal texts give equal values; long texts are blocks of
-    their own; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+    clips: the timed shots. feature: frames, shots, start of the shots in milliseconds (as a checksum) and mean
+    sample. Null media have null values and no clips; other columns are ignored.
     """
 
     def run(batches):
         for whole in batches:
-            for batch in sliced(whole, limit=BLOCK_BYTES):
-                flat, ends = raw_bytes(batch.column(1))
-                files = encode_payloads([padded(flat[a:b]) for a, b in zip(ends, ends[1:])])
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for (samples, step), media in zip(decode_media(files), files):
+            for batch in sliced(whole, "media", BLOCK_BYTES):
+                files = [x or b"" for x in batch.column(2).to_pylist()]
+                there = [x for x in files if x]
+                out: list[list] = [[] for _ in range(6)]
+                shots = []
+                read = iter(decode_media(there) if there else [])
+                for media in files:
+                    samples, step = next(read) if media else (np.zeros((0, SAMPLES), np.uint8), 0)
+                    own = clips(samples, step) if media else []
+                    shots.append(own)
                     payload = samples.tobytes()
-                    shots = clips(samples, step)
-                    times = zlib.crc32(",".join(str(s[2] // 1000) for s in shots).encode())
-                    feature = f"frames={len(samples)};shots={len(shots)};times={times:08x};mean={int(samples.sum(dtype=np.int64)) // samples.size}"
-                    for column, x in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
+                    times = zlib.crc32(",".join(str(s[2] // 1000) for s in own).encode())
+                    feature = f"frames={len(samples)};shots={len(own)};times={times:08x};mean={int(samples.sum(dtype=np.int64)) // max(1, samples.size)}"
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                    for column, x in zip(out, row if media else [None] * 6):
                         column.append(x)
-                kinds = [f.type for f in FEATURES][2:]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), *(pa.array(c, k) for c, k in zip(out, kinds))], schema=FEATURES)
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds)), clip_lists(shots)], names=names)
+
+    held = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("media").cast("binary").alias("media"))
+    return held.mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {CLIP_DDL}")
+
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def clip_rows(media: DataFrame) -> DataFrame:
+    """Timed clips of a table (doc_id, media): (doc_id, clip, first_frame, frames, start_us, end_us). Null media have no clips; repeated rows repeat theirs; an empty table gives no rows."""
+    found = decoded(media.select("doc_id", F.lit(None).cast("long").alias("n_bytes"), "media"))
+    return found.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", F.col("clip").cast("long").alias("clip"), "c.*")
+
+
+def media_features(docs: DataFrame) -> DataFrame:
+    """Each text as an AVI file in a media column, and what is read back from that column: see media_table and decoded. Equal texts give equal values."""
+    return decoded(media_table(docs))
