@@ -37,6 +37,8 @@ her address is <email>j_smith+news@mail.example.com</email> and she answers
 mail <email>admin@localhost</email> or ask at the desk
 contact: <email>sales-team@shop.example.co</email>, open daily
 the note from <email>k.27@mail3.example.com</email> came late
+send it to <email>root@mailhost</email>
+write <email>ann@intranet</email> and wait
 he wrote @home and @noon in the margin
 meet @ 5 near the gate
 the host <ip>192.168.10.4</ip> did not answer
@@ -69,6 +71,21 @@ born 12.05.1987 in the north
 id 00123456789 and code a1b2c3d4
 the road runs 555 miles to mile 6437
 plain words that mean no one at all
+fax <phone>212-555-0162</phone> or write
+tel <phone>415-555-0199</phone>
+tel. <phone>312.555.0147</phone> ext 4
+her number is <phone>646-555-0123</phone>
+my phone <phone>(212) 555-0133</phone>
+cell: <phone>(303) 555 0177</phone>, evenings
+numbers <phone>650-555-0101</phone> and <phone>650-555-0102</phone> are the office
+reach us at <phone>617-555-0181</phone>; we answer
+dates 2023-11-05 and 2021-04-30 are set
+parts 12-345-6789 and 555-12 are out of stock
+between 100-200 and 300-400 units
+the visa <card>4222 2222 2222 2220</card> expired
+mastercard <card>5105105105105100</card> and <card>5105-1051-0510-5100</card>
+node <ip>172.31.0.9</ip> and gateway <ip>192.168.0.1</ip>
+ping <ip>10.1.2.3</ip>: no reply
 bits 1 0 1 1 0 1 0 0 1
 copyright 2019 the authors, all rights kept
 """
@@ -120,12 +137,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def shape(word: str) -> str:
     """Letters as x, digits as d, runs collapsed, punctuation around the word dropped."""
-    s = re.sub(r"[^\W\d_]+", "x", re.sub(r"[0-9]+", "d", word[:64].strip(".,;:!?\"'*%$#&|")))
-    return s[:16]
+    return re.sub(r"[0-9]+", "d", re.sub(r"[^\W\d_]+", "x", word.strip(".,;:!?\"'*%$#&|")))
 
 
-@lru_cache(maxsize=50_000)
 def features(word: str) -> tuple[str, ...]:
+    """Features of a word, all of it; those of short words are kept."""
+    return _features(word) if len(word) <= 64 else _features.__wrapped__(word)
+
+
+@lru_cache(maxsize=50_000)
+def _features(word: str) -> tuple[str, ...]:
     n = sum(c in "0123456789" for c in word)
     bucket = "0" if n == 0 else "1" if n < 4 else "4" if n < 7 else "7" if n < 10 else "10" if n < 13 else "13" if n < 20 else "20"
     s = shape(word)
@@ -328,8 +349,8 @@ def written_spans(found: list[tuple[int, int, str]]) -> str:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): base counts and digest, and all spans.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans; lines and words of
-    any length are looked at whole; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+    Offsets are code points, ends exclusive. Null and empty texts have no spans; lines and words of any length are
+    looked at whole; repeated rows repeat; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(trained())
 
@@ -359,7 +380,11 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with personal data masked in `text`; null stays null."""
+    """The same rows and columns with personal data masked in `text`: base spans and added ones, overlapping ones as one.
+
+    Null texts stay null, empty ones empty; all other columns, whatever their names and types, stay; repeated rows
+    repeat; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(trained())
     kinds = docs.schema
     place = docs.columns.index("text")
