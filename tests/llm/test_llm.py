@@ -468,6 +468,13 @@ def test_field_adds_and_base_stays(docs, spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_spans_of_long_words_and_common_forms():
+    field = pii.trained()
+    for text, want in [("fax 212-555-0188 now", "212-555-0188"), ("call (415) 555-2671", "(415) 555-2671"), ("a" * 300 + " tel 415-555-0199", "415-555-0199"), ("write to x" + "y" * 80 + "@localhost", "x" + "y" * 80 + "@localhost")]:
+        assert want in {text[a:b] for a, b, _ in pii.spans(field, [text])[0][1]}
+    assert pii.shape("ab-12" * 40) == "x-d" * 40 and pii.shape("(415),") == "(d)"
+
+
 def test_spans_across_windows_are_found_whole():
     field = pii.trained()
     for n in range(pii.WINDOW - 4, pii.WINDOW + 4):
@@ -517,7 +524,7 @@ def test_motion_jpeg_round_trip_and_bitstream():
     assert samples.reshape(-1).tolist() == payload.tolist() and step == 40000
     frames, _ = media.indexed_frames(file)
     at, size = frames[1]
-    d = huffman_plain(bytes(media.scan_of(memoryview(file)[at : at + size])), media.SAMPLES)
+    d = huffman_plain(media.Frame(file[at : at + size]).scan, media.SAMPLES)
     x = np.zeros((media.SIDE, media.SIDE), int)
     for i, v in enumerate(d):
         r, c = divmod(i, media.SIDE)
@@ -525,15 +532,64 @@ def test_motion_jpeg_round_trip_and_bitstream():
     assert x.reshape(-1).tolist() == payload[media.SAMPLES : 2 * media.SAMPLES].tolist()
 
 
-def test_motion_jpeg_rows(docs, texts):
+def frame_plain(x: np.ndarray) -> bytes:
+    """A lossless frame of any size with a table of its own: all code words have 4 bits."""
+    bits = ""
+    for r, row in enumerate(x.astype(int)):
+        for c, v in enumerate(row):
+            d = v - (row[c - 1] if c else x[r - 1, 0].astype(int) if r else 128)
+            s = int(abs(d)).bit_length()
+            bits += f"{s:04b}" + (f"{d if d > 0 else d + (1 << s) - 1:0{s}b}" if s else "")
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    h, w = x.shape
+    dht = b"\xff\xc4" + (19 + 9).to_bytes(2, "big") + b"\x00" + bytes([0, 0, 0, 9] + [0] * 12) + bytes(range(9))
+    sof = b"\xff\xc3" + (11).to_bytes(2, "big") + b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\x01\x01\x11\x00"
+    return b"\xff\xd8" + dht + sof + b"\xff\xda" + (8).to_bytes(2, "big") + b"\x01\x01\x00\x01\x00\x00" + scan + b"\xff\xd9"
+
+
+def test_frames_of_other_files_are_read_by_their_headers():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, (3, 10, 7), dtype=np.uint8)
+    (samples, _), own = media.decode_media([media.avi([frame_plain(f) for f in x]), media.encode_payloads([np.full(576, 7, np.uint8)])[0]])
+    assert samples.tolist() == x.reshape(3, -1).tolist() and (own[0] == 7).all()
+    for broken in (frame_plain(x[0]).replace(b"\xff\xc3", b"\xff\xc0"), frame_plain(x[0]).replace(b"\x01\x00\x00", b"\x04\x00\x00"), b"no frame"):
+        with pytest.raises(ValueError):
+            media.decode_media([media.avi([broken])])
+
+
+def shots_plain(frames: np.ndarray) -> list[int]:
+    """Shots by loops: the histogram difference is over a quarter and over three times the mean of the eight before."""
+    hist = [[sum(int(v) >> 4 == b for v in f) for b in range(16)] for f in frames]
+    diff = [sum(abs(a - b) for a, b in zip(x, y)) / (2 * frames.shape[1]) for x, y in zip(hist, hist[1:])]
+    out = [0]
+    for i, d in enumerate(diff):
+        before = diff[max(0, i - 8) : i]
+        if d > 0.25 and d > 3 * (sum(before) / len(before) if before else 0):
+            out.append(i + 1)
+    return out
+
+
+def test_shots_against_loops():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        level = np.repeat(rng.integers(0, 200, 12), rng.integers(1, 6, 12))
+        frames = (level[:, None] + rng.integers(0, int(rng.integers(1, 56)), (len(level), 576))).astype(np.uint8)
+        assert media.shot_starts(frames).tolist() == shots_plain(frames)
+
+
+def test_motion_jpeg_rows(docs, texts, spark):
     got = {r["doc_id"]: r for r in media.media_features(docs).collect()}
     for i, t in enumerate(texts):
         b = (t or "").encode()
         p = b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b))
         r = got[i * 3]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-    clips = media.clip_rows(media.media_table(docs.filter("doc_id = 168"))).orderBy("clip").collect()
-    assert clips[0]["first_frame"] == 0 and sum(c["frames"] for c in clips) * 40000 == clips[-1]["end_us"]
+        assert [c["first_frame"] for c in r["clips"]] == shots_plain(np.frombuffer(p, np.uint8).reshape(-1, 576)) and r["clips"][-1]["end_us"] == len(p) // 576 * 40000
+    table = media.media_table(docs.filter("doc_id = 168"))
+    clips = media.clip_rows(table).orderBy("clip").collect()
+    assert [tuple(c)[2:] for c in clips] == [tuple(c) for c in got[168]["clips"]] and [c["clip"] for c in clips] == list(range(len(clips)))
+    assert media.clip_rows(table.unionByName(table.selectExpr("doc_id", "n_bytes", "CAST(null AS binary) AS media"))).count() == len(clips)
 
 
 def test_warc(spark):
