@@ -104,42 +104,44 @@ def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell, asks, fp[row]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member reachable from each of n members over links a-b."""
-    label = np.arange(n)
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least members after links a-b are added to what `label` (the least member of each, so far) connects."""
+    a, b = label[a], label[b]
+    apart = a != b
+    if not apart.any():
+        return label
+    pairs = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], axis=1), axis=0)
+    a, b, root = pairs[:, 0], pairs[:, 1], np.arange(len(label))
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
         np.minimum.at(new, a, low)
         np.minimum.at(new, b, low)
         new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+        if (new == root).all():
+            return root[label]
+        root = new
 
 
 def links(fp: np.ndarray, asks: np.ndarray, chunk: np.ndarray, crossing: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in one cell: owners against owners and askers; in a crossing block only between chunks."""
+    """A spanning forest of the links in one cell: owners against owners and askers; in a crossing block only between chunks.
+
+    256 owners at a time; of a dense cell's links only those that join what is apart yet are kept.
+    """
     x = fp.view(np.uint64)
     owners = np.flatnonzero(~asks)
     if not len(owners) or len(x) < 2:
         return fp[:0], fp[:0]
-    pairs_a, pairs_b = [], []
+    label = np.arange(len(fp))
     for i in range(0, len(owners), 256):
         o = owners[i : i + 256]
         near = np.bitwise_count(x[o][:, None] ^ x[None]) <= radius
         if crossing:
             near &= chunk[o][:, None] != chunk[None]
+        near &= label[o][:, None] != label[None]
         a, b = np.nonzero(near)
-        a = o[a]
-        keep = (fp[a] != fp[b]) & (asks[b] | (a < b))
-        pairs_a.append(a[keep])
-        pairs_b.append(b[keep])
-    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    if not len(a):
-        return fp[:0], fp[:0]
-    label = forest(len(fp), a, b)
-    linked = np.flatnonzero(label != np.arange(len(fp)))
+        label = forest(label, o[a], b)
+    linked = np.flatnonzero(fp[label] != fp)
     return fp[linked], fp[label[linked]]
 
 
