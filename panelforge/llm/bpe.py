@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelforge.llm.shared import id_and_text, sliced
+from panelforge.llm.shared import id_and_text, kept, sliced
 
 #: The pre-token pattern of byte-level BPE with contractions, and Unicode white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -286,17 +286,15 @@ class Decoder:
         return "".join(self.pieces([ids]))
 
 
-_WORKER: dict[str, tuple[Encoder, Decoder, np.ndarray]] = {}
-
-
 def coders(key: str, tokenizer_json: str) -> tuple[Encoder, Decoder, np.ndarray]:
     """The coders of a vocabulary, built once in each Python worker; decimal: the ids as text."""
-    if key not in _WORKER:
-        _WORKER.clear()
+
+    def build():
         merges = Merges(tokenizer_json)
         decoder = Decoder(merges)
-        _WORKER[key] = Encoder(merges), decoder, np.array([str(i) for i in range(len(decoder.table))], dtype=object)
-    return _WORKER[key]
+        return Encoder(merges), decoder, np.array([str(i) for i in range(len(decoder.table))], dtype=object)
+
+    return kept(key, build)
 
 
 def vocabulary(spark, path: str):

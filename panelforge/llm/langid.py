@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import id_and_text, sliced
+from panelforge.llm.shared import id_and_text, kept, sliced
 
 #: Bounds of the training sample: rows per language, code points per row, code points per language.
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 12000
@@ -197,9 +197,6 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, row_chars: int = ROW
     return {k: v for k, v in out.items() if v}
 
 
-_WORKER: dict[str, Languages] = {}
-
-
 def predict(docs: DataFrame, **bounds: int) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): score is 1 - least cost / second least cost.
 
@@ -212,10 +209,7 @@ def predict(docs: DataFrame, **bounds: int) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches):
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Languages(sent.value)
-        languages = _WORKER[key]
+        languages = kept(key, lambda: Languages(sent.value))
         for whole in batches:
             for b in sliced(whole):
                 lang, score = languages.predict(b.column(1).to_pylist())

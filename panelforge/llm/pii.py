@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import id_and_text, sliced
+from panelforge.llm.shared import id_and_text, release, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -355,6 +355,7 @@ def find(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
+        release()
         for whole in batches:
             for b in sliced(whole):
                 found = spans(sent.value, b.column(1).to_pylist())
@@ -390,6 +391,7 @@ def redact(docs: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches):
+        release()
         for whole in batches:
             for b in sliced(whole):
                 texts = b.column(place).to_pylist()

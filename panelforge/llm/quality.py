@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import BLOCK_BYTES, id_and_text, powers, raw_bytes, sliced, written
+from panelforge.llm.shared import BLOCK_BYTES, id_and_text, powers, raw_bytes, release, sliced, small_batches, written
 
 BUCKETS = 1 << 18
 SLICES = 64
@@ -88,6 +88,7 @@ def gram_counts(docs: DataFrame, texts: bool = False) -> np.ndarray:
     """Counts of all buckets over all rows; with `texts`, of the texts that hold one (a text of several blocks counts once a block). A task sends its counts once, in slices; the driver gets BUCKETS numbers whatever the corpus."""
 
     def run(batches):
+        release()
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for flat, ends, _ in pieces(b):
@@ -145,6 +146,7 @@ def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
+        release()
         table = sent.value
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
@@ -208,6 +210,14 @@ def gumbel(seed: int) -> Column:
     return -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
 
 
+def _weighed(plain: DataFrame, of: DataFrame, seed: int) -> DataFrame:
+    """Weights and keys of all documents, written."""
+    good, bad = (plain.join(F.broadcast(of.filter(f"good = {g} and fits").select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi") for g in (1, 0))
+    ratio = log_ratio(gram_counts(good), gram_counts(plain)) + bad_ratio(gram_counts(good, True), gram_counts(bad, True), good.count(), bad.count())
+    weighed = scores(plain, ratio).withColumnRenamed("log_weight", "log_ratio_sum").withColumn("log_weight", F.col("log_ratio_sum") * TYPICAL / F.greatest("grams", F.lit(1)))
+    return written(weighed.withColumn("sample_key", F.col("log_weight") + gumbel(seed)).select("doc_id", "log_weight", "log_ratio_sum", "grams", "sample_key"), "quality")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11) -> DataFrame:
     """(doc_id, log_weight, log_ratio_sum, grams, sample_key, kept) of every document.
 
@@ -217,12 +227,8 @@ def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     empty table, nothing is rejected; repeated rows repeat, rows of one doc_id share the noise; a null doc_id has the
     key of its text alone and is never labelled; long texts count whole; other columns are ignored.
     """
-    plain = docs.select("doc_id", "text")
-    of = labelled(labels.select("doc_id", "quality", "toxic"))
-    good, bad = (plain.join(F.broadcast(of.filter(f"good = {g} and fits").select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi") for g in (1, 0))
-    ratio = log_ratio(gram_counts(good), gram_counts(plain)) + bad_ratio(gram_counts(good, True), gram_counts(bad, True), good.count(), bad.count())
-    weighed = scores(plain, ratio).withColumnRenamed("log_weight", "log_ratio_sum").withColumn("log_weight", F.col("log_ratio_sum") * TYPICAL / F.greatest("grams", F.lit(1)))
-    held = written(weighed.withColumn("sample_key", F.col("log_weight") + gumbel(seed)).select("doc_id", "log_weight", "log_ratio_sum", "grams", "sample_key"), "quality")
+    with small_batches(docs.sparkSession):
+        held = _weighed(docs.select("doc_id", "text"), of := labelled(labels.select("doc_id", "quality", "toxic")), seed)
     if k is None:
         marked = held.join(F.broadcast(of.filter("not fits")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight")).toPandas()  # a row a labelled id
         cut = best_cut(*(marked.log_weight[marked.good == g].to_numpy() for g in (1, 0)))

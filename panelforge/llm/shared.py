@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Bytes of text that one numpy pass handles; a single longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Base of polynomial hashes modulo 2^64.
@@ -64,6 +67,37 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+#: Bytes of rows that go to Python at once in steps that an operator runs itself.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES for what runs inside: the steps that an operator writes, not those that it leaves to its caller."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, build: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, one thing at a time: another operator's goes first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]  # type: ignore[return-value]
+
+
+def release() -> None:
+    """Give back what an operator before this one keeps in the worker."""
+    _KEPT.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

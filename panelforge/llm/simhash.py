@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
-from panelforge.llm.shared import id_and_text, partitions, sliced, written
+from panelforge.llm.shared import id_and_text, partitions, release, sliced, small_batches, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number; null texts have fingerprint zero."""
 
     def run(batches):
+        release()
         for whole in batches:
             for b in sliced(whole):
                 fp = np.array([fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
@@ -208,7 +209,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprint, so copies cost one grid row however many they are; texts of any length count whole;
     rows with one doc_id get a row each; a null doc_id is never the least of others; an empty table gives no rows; other columns are ignored.
     """
-    of = written(fingerprints(docs), "simhash")
+    with small_batches(docs.sparkSession):
+        of = written(fingerprints(docs), "simhash")
     classes = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     stars = components(near_links(classes, radius))
     member = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
@@ -317,6 +319,7 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
     """
 
     def run(batches):
+        release()
         for whole in batches:
             for b in sliced(whole):
                 texts = b.column(1).cast(pa.binary()).to_pylist()
@@ -331,7 +334,8 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
                 yield pa.RecordBatch.from_arrays([pa.array([mark_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "shingles"])
 
     texts = id_and_text(docs)
-    of = written(texts.mapInArrow(run, "doc_id long, mark long, size int, fps array<long>"), "words")
+    with small_batches(docs.sparkSession):
+        of = written(texts.mapInArrow(run, "doc_id long, mark long, size int, fps array<long>"), "words")
     classes = written(of.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fps").alias("fps")), "classes")
     each = classes.select("mark", "size", F.posexplode("fps").alias("seed", "fp"))
     held = written(each.groupBy("seed", "fp").agg(F.min("mark").alias("least"), F.max("mark").alias("most")), "fingerprints")
@@ -340,7 +344,8 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
     entries = written(each.join(met, ["seed", "fp"]).select("seed", "fp", "mark", "size"), "entries")
     wanted = written(entries.select("mark").distinct().join(classes.select("mark", "least"), "mark"), "wanted")
     sets = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(shingled, "mark long, shingles array<long>")
-    sets = written(sets.dropDuplicates(["mark"]).join(wanted.select("mark"), "mark", "left_semi"), "shingles")
+    with small_batches(docs.sparkSession):
+        sets = written(sets.dropDuplicates(["mark"]).join(wanted.select("mark"), "mark", "left_semi"), "shingles")
 
     same = entries.join(held.filter("most > least"), ["seed", "fp"]).filter("mark > least").select(F.col("mark").alias("u"), F.col("least").alias("v"))
     left, right = (held.select("seed", F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "uv")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.shared import Scratch, partitions, powers, raw_bytes, scratch, sliced, written
+from panelforge.llm.shared import Scratch, partitions, powers, raw_bytes, release, scratch, sliced, small_batches, written
 
 WINDOW, GRAM = 50, 32
 SIDE = WINDOW - GRAM
@@ -41,8 +41,6 @@ STEP = 1 << 18
 SORT_SEGMENTS = 20_000
 #: Bytes of segments that a range holds on average, and of text whose anchors it holds.
 RANGE_BYTES, RANGE_TEXT = 12 << 20, 8 << 20
-#: Bytes of rows that go to Python at once.
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Stands for a null doc_id where ids are compared.
 LAST = np.iinfo(np.int64).max
@@ -362,6 +360,7 @@ def chunked(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
     spark = docs.sparkSession
 
     def run(batches):
+        release()
         task, seq = TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in sliced(whole, limit=CHUNK_BYTES):
@@ -392,14 +391,8 @@ def answers_of(cell: pa.Array) -> dict[int, bytes]:
 
 def removal(docs: DataFrame, emit, kinds) -> DataFrame:
     """Run the four steps over (doc_id, text, rest) and give what emit(chunk, covered bytes, cell) yields, written to the shared folder; what lies in between is removed."""
-    spark = docs.sparkSession
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))  # rows here are blobs; the steps below run before this function returns
-    try:
-        with Scratch(spark) as between:
-            return _removal(docs, emit, kinds, between)
-    finally:
-        spark.conf.set(BATCH_CONF, before)
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as between:  # rows are blobs, and all steps run before this function returns
+        return _removal(docs, emit, kinds, between)
 
 
 def meet_hashes(batches):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import partitions, sliced, written
+from panelforge.llm.shared import partitions, sliced, small_batches, written
 
 ARCHIVE_BYTES = 4 << 20
 #: Equal payloads of at least so many bytes are stored once.
@@ -155,7 +155,8 @@ def archives(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         if members:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{n:06d}.warc.gz"]), pa.array([b"".join(members)], pa.binary())], names=["archive", "data"])
 
-    return written(with_references(pages, least).mapInArrow(run, "archive string, data binary"), "warc")
+    with small_batches(pages.sparkSession):
+        return written(with_references(pages, least).mapInArrow(run, "archive string, data binary"), "warc")
 
 
 CAPTURE = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("captured_at", pa.string()), ("page_id", pa.int64()), ("archive_offset", pa.int64()), ("archive_length", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -226,5 +227,7 @@ def capture_index(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     of their own, both responses; empty payloads refer to the first empty one; an empty table gives no
     rows; other columns are ignored.
     """
-    runs = written(capture_runs(archives(pages, least)), "runs")
+    stored = archives(pages, least)
+    with small_batches(pages.sparkSession):
+        runs = written(capture_runs(stored), "runs")
     return merged(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", F.col("run").alias("archive"), "archive_offset", "archive_length")
