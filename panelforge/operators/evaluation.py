@@ -105,6 +105,18 @@ def out_of_range(df: DataFrame, by: list[str], x: str, low: float, high: float)
     return df.groupBy(*by).agg(F.avg((~F.col(x).between(low, high)).cast("int")).alias("ood_ratio"))
 
 
+def feature_drift(actual: DataFrame, expected: DataFrame, by: list[str], x: str, bins: int, eps: float = 1e-6) -> DataFrame:
+    """Per key the stability index of a feature over bins cut at quantiles of the expected rows, and the share of actual rows outside their 1 to 99 %."""
+    cuts = [i / bins for i in range(1, bins)]
+    q = expected.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, cuts))).alias("__e"), F.percentile(x, F.array(F.lit(0.01), F.lit(0.99))).alias("__r"))
+    both = actual.select(*by, x, F.lit(1).alias("__a")).unionByName(expected.select(*by, x, F.lit(0).alias("__a"))).filter(F.col(x).isNotNull()).join(q, by)
+    both = both.withColumn("bin", F.size(F.filter("__e", lambda e: F.col(x) > e))).withColumn("__o", (F.col(x) < F.col("__r")[0]) | (F.col(x) > F.col("__r")[1]))
+    n = both.groupBy(*by, "bin").agg(F.sum("__a").alias("a"), F.sum(1 - F.col("__a")).alias("e"), F.sum(F.col("__a") * F.col("__o").cast("int")).alias("o"))
+    w = W.partitionBy(*by)
+    s = n.withColumn("__n", F.sum("a").over(w)).withColumn("__pa", F.greatest(F.col("a") / F.sum("a").over(w), F.lit(eps))).withColumn("__pe", F.greatest(F.col("e") / F.sum("e").over(w), F.lit(eps)))
+    return s.filter("__n > 0").groupBy(*by).agg((F.sum("o") / F.sum("a")).alias("ood_ratio"), F.sum((F.col("__pa") - F.col("__pe")) * F.log(F.col("__pa") / F.col("__pe"))).alias("psi"))
+
+
 def walk_forward(df: DataFrame, date: str, label_end: str, folds: int, embargo: int) -> DataFrame:
     """(fold, role) rows: validation blocks of equal dates; training rows lie `embargo` dates before the block and their label ended before it begins.
 

@@ -121,3 +121,14 @@ def lookthrough(positions: DataFrame, constituents: DataFrame, fund: str, by: li
 
 def first_or(c: Column, default) -> Column:
     return F.coalesce(c, F.lit(default))
+
+
+def backtest_metrics(nav: DataFrame, account: str, date: str, value: str, benchmark: str, year: int = 252) -> DataFrame:
+    """Metrics of all accounts together: cumulative and annual return, volatility, Sharpe, deepest drawdown, information ratio against the
+    benchmarks scaled to each account's first value. Sums a date first; what is ordered is a row a date."""
+    first = nav.groupBy(account).agg(F.min_by(value, date).alias("__v0"), F.min_by(benchmark, date).alias("__b0"))
+    daily = nav.join(first, account).groupBy(date).agg(F.round(F.sum(value), 6).alias("p"), F.round(F.sum(F.col("__v0") * F.col(benchmark) / F.col("__b0")), 6).alias("q"))
+    w = W.orderBy(date)
+    d = daily.withColumn("r", F.col("p") / F.lag("p").over(w) - 1).withColumn("b", F.col("q") / F.lag("q").over(w) - 1).withColumn("dd", F.col("p") / F.max("p").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    g = d.agg((F.max_by("p", date) / F.min_by("p", date) - 1).alias("cum_return"), (F.pow(1 + F.avg("r"), F.lit(year)) - 1).alias("annual_return"), (F.stddev_samp("r") * year**0.5).alias("volatility"), F.min("dd").alias("max_drawdown"), (F.avg(F.col("r") - F.col("b")) / F.nullif(F.stddev_samp(F.col("r") - F.col("b")), F.lit(0.0)) * year**0.5).alias("information_ratio"))
+    return g.withColumn("sharpe", safe_ratio("annual_return", "volatility"))

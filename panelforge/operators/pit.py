@@ -35,8 +35,17 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """The newest right row of the same `by` with right_time + lag_days <= left_time, as columns `prefix + value`, and `prefix + 'asof'`.
 
     Both sides go through one shuffle on `by`; the matched row travels as a struct, so a null in it does not
-    let an older value through. Ties on time go to the last by `order`. Older than max_age_days: null.
+    let an older value through. Ties on time go to the last by `order`. Older than max_age_days: null. Without `by` only the
+    distinct times of the left side meet the right one (a series: a row a date), and the left rows join that by time.
     """
+    if not by:
+        times = left.select(F.col(left_time).alias("__at")).distinct()
+        found = _asof(times, right, [], "__at", right_time, values, order, prefix, max_age_days, lag_days)
+        return left.join(found, F.col(left_time).eqNullSafe(F.col("__at")), "left").drop("__at")
+    return _asof(left, right, by, left_time, right_time, values, order, prefix, max_age_days, lag_days)
+
+
+def _asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], order: list[Column] | None, prefix: str, max_age_days: int | None, lag_days: int) -> DataFrame:
     when = F.col(right_time) if not lag_days else F.date_add(F.col(right_time), lag_days)
     rank = F.struct(*(order or [F.lit(0)]))
     r = right.select(*by, when.alias("__t"), F.lit(0).alias("__side"), rank.alias("__rank"), F.struct(F.col(right_time).alias("asof"), *values).alias("__row"), F.lit(None).alias("__left"))
@@ -51,6 +60,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return out.withColumn("__hit", hit).select("__left.*", F.col("__hit.asof").alias(prefix + "asof"), *[F.col(f"__hit.{v}").alias(prefix + v) for v in values])
 
 
+def nearest_file(wanted: DataFrame, files: DataFrame, date: str, file_date: str, keys: list[str]) -> DataFrame:
+    """The rows of the newest file before each date: files are found by date alone, so a key missing in that file stays missing."""
+    dated = asof_join(wanted.withColumn("__before", F.col(date) - F.expr("interval 1 microsecond")), files.select(file_date).distinct(), [], "__before", file_date, []).drop("__before")
+    return dated.join(files.withColumnRenamed(file_date, "asof"), ["asof", *keys], "left")
+
+
 def membership_asof(left: DataFrame, members: DataFrame, by: list[str], time: str, start: str, end: str, value: str) -> DataFrame:
     """Value of the newest member row with start <= time, null if that row's end has passed: an expired newest row hides older ones."""
     joined = asof_join(left, members, by, time, start, [value, end], prefix="m_", order=[F.col(value)])
@@ -121,3 +136,11 @@ def decayed_sum(rows: DataFrame, events: DataFrame, code: str, time: str, event_
     joined = r.join(e, (F.col(code) == F.col("__code")) & (F.col("__slot") == F.col("__eslot")) & age.between(0, max_age_days), "left")
     value = F.col("__w") * F.pow(F.lit(0.5), age / half_life_days)
     return joined.groupBy(*rows.columns).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("decayed"), F.count("__w").alias("n_events"))
+
+
+def filtered_or_relaxed(df: DataFrame, by: list[str], hard: Column, relaxed: Column) -> DataFrame:
+    """Rows that pass the hard rule; in groups where none does, those that pass the relaxed one. `rule` says which."""
+    d = df.withColumn("__hard", F.coalesce(hard, F.lit(False)))
+    some = F.max(F.col("__hard").cast("int")).over(W.partitionBy(*by)) == 1
+    d = d.withColumn("rule", F.when(some, "hard").otherwise("relaxed"))
+    return d.filter(F.when(F.col("rule") == "hard", F.col("__hard")).otherwise(F.coalesce(relaxed, F.lit(False)))).drop("__hard")

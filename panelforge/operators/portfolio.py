@@ -63,21 +63,29 @@ def water_fill(proposal: list[float], name_cap: float, groups: list[str], group_
     return weights
 
 
+def affordable(free: float, price: float, lot: int, commission_rate: float, min_commission: float) -> int:
+    """The most shares in whole lots whose price and commission, at least the minimum, the cash covers."""
+    n = math.floor(min(free / (price * (1 + commission_rate)), (free - min_commission) / price) / lot) * lot
+    while n > 0 and n * price + max(n * price * commission_rate, min_commission) > free:  # the last digit of a quotient
+        n -= lot
+    return max(0, n)
+
+
 def replay(signals: DataFrame, account: str, cash: float, lot: int = 100, commission_rate: float = 0.0003, min_commission: float = 5.0, stamp_rate: float = 0.001, slippage_bps: float = 5.0) -> DataFrame:
     """Daily accounts: orders of the day before are executed at the open (sells first, whole lots, never beyond cash; shares bought
     today are sold tomorrow at the earliest), the NAV is taken at the close, then targets become the next day's orders.
 
     signals: account, trade_date, code, open, close, weight (target, null: no signal that day). The state of an account is
-    sequential, so each account is one group; an account's rows are its names times its days.
+    sequential, so each account is one group; it gets the names it ever aims at (and its dates), not the universe.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         free, held, bought, last, pending, out = cash, {}, {}, {}, {}, []
-        pdf = pdf.sort_values(["trade_date", "code"])
+        pdf = pdf.sort_values(["trade_date", "code"], na_position="first")
         dates, *columns = (pdf[c].tolist() for c in ("trade_date", "code", "open", "close", "weight"))
         starts = [i for i, d in enumerate(dates) if i == 0 or d != dates[i - 1]]
         for first, end in zip(starts, [*starts[1:], len(dates)]):
-            date, day = dates[first], list(zip(*(c[first:end] for c in columns)))
+            date, day = dates[first], [x for x in zip(*(c[first:end] for c in columns)) if x[0] is not None]
             quotes = {code: (o, c) for code, o, c, _ in day}
             trades, costs, carried = 0, 0.0, {}
             for side in (-1, 1):
@@ -86,15 +94,13 @@ def replay(signals: DataFrame, account: str, cash: float, lot: int = 100, commis
                         carried[code] = pending[code]
                         continue
                     price = quotes[code][0] * (1 + side * slippage_bps / 10_000)
-                    n = abs(pending[code])
                     if side < 0:
-                        n = min(n, held.get(code, 0) if bought.get(code) != date else 0)
-                    fee = lambda m: max(m * price * commission_rate, min_commission)  # noqa: E731, B023
-                    while side > 0 and n > 0 and n * price + fee(n) > free:
-                        n -= lot
+                        n = min(-pending[code], held.get(code, 0) if bought.get(code) != date else 0)
+                    else:
+                        n = min(pending[code], affordable(free, price, lot, commission_rate, min_commission))
                     if n <= 0:
                         continue
-                    cost = fee(n) + (n * price * stamp_rate if side < 0 else 0.0)
+                    cost = max(n * price * commission_rate, min_commission) + (n * price * stamp_rate if side < 0 else 0.0)
                     free += -side * n * price - cost
                     held[code] = held.get(code, 0) + side * n
                     if side > 0:
@@ -113,7 +119,11 @@ def replay(signals: DataFrame, account: str, cash: float, lot: int = 100, commis
         return pd.DataFrame(out, columns=["trade_date", "nav", "cash", "positions", "trades", "costs"]).assign(**{account: pdf[account].iloc[0]})[[account, "trade_date", "nav", "cash", "positions", "trades", "costs"]]
 
     kinds = f"{account} {signals.schema[account].dataType.simpleString()}, trade_date string, nav double, cash double, positions int, trades int, costs double"
-    return signals.select(account, "trade_date", "code", "open", "close", "weight").groupBy(account).applyInPandas(run, kinds)
+    rows = signals.select(account, "trade_date", "code", "open", "close", "weight")
+    aimed = rows.filter("weight is not null").select(account, "code").distinct()
+    days = rows.select(account, "trade_date").distinct()
+    own = rows.join(aimed, [account, "code"], "left_semi").unionByName(days, allowMissingColumns=True)
+    return own.groupBy(account).applyInPandas(run, kinds)
 
 
 def settlement(orders: DataFrame, account: str, cash: float, lag: int = 2) -> DataFrame:
@@ -164,3 +174,110 @@ def clusters(pairs: DataFrame, least: float) -> dict[str, str]:
         a, b = find(r["a"]), find(r["b"])
         parent[max(a, b)] = min(a, b)
     return {c: find(c) for c in parent}
+
+
+def mean_variance(returns: DataFrame, account: str, name: str, date: str, ret: str, risk_aversion: float, name_cap: float, budget: float, most: int, rounds: int = 500) -> DataFrame:
+    """Long-only mean-variance weights per account with at most `most` names: (account, name, weight).
+
+    Means and covariances are one aggregate (pairs of an account's names on common dates); an account's matrix is one small group. Names
+    are dropped one by one, smallest weight first, until `most` are left; each problem is solved by projected gradient steps onto
+    0 <= w <= name_cap, sum w <= budget.
+    """
+    import numpy as np
+
+    a = returns.select(account, date, F.col(name).alias("a"), F.col(ret).alias("ra"))
+    b = returns.select(account, date, F.col(name).alias("b"), F.col(ret).alias("rb"))
+    moments = a.join(b, [account, date]).groupBy(account, "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"), F.avg("ra").alias("mean"))
+
+    def inside(v: np.ndarray) -> np.ndarray:
+        w = np.clip(v, 0, name_cap)
+        if w.sum() <= budget:
+            return w
+        low, high = 0.0, float(v.max())
+        for _ in range(60):  # the shift that makes the weights use the budget
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.clip(v - mid, 0, name_cap).sum() > budget else (low, mid)
+        return np.clip(v - high, 0, name_cap)
+
+    def solve(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        step = 1 / (risk_aversion * max(float(np.linalg.eigvalsh(cov)[-1]), 1e-12))
+        w = inside(np.full(len(mean), budget / len(mean)))
+        for _ in range(rounds):
+            w = inside(w + step * (mean - risk_aversion * cov @ w))
+        return w
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]))
+        at = {n: i for i, n in enumerate(names)}
+        cov, mean = np.zeros((len(names), len(names))), np.zeros(len(names))
+        for x, y, c, m in zip(pdf["a"], pdf["b"], pdf["cov"].fillna(0.0), pdf["mean"]):
+            cov[at[x], at[y]] = c
+            if x == y:
+                mean[at[x]] = m
+        live = np.arange(len(names))
+        while True:
+            w = solve(mean[live], cov[np.ix_(live, live)])
+            if len(live) <= most:
+                break
+            live = np.delete(live, int(np.lexsort((-live, w))[0]))
+        return pd.DataFrame({account: pdf[account].iloc[0], name: [names[i] for i in live], "weight": w})
+
+    kinds = f"{account} {returns.schema[account].dataType.simpleString()}, {name} {returns.schema[name].dataType.simpleString()}, weight double"
+    return moments.groupBy(account).applyInPandas(run, kinds)
+
+
+def residual_lots(targets: DataFrame, account: str, lot: int, name_cap: float) -> DataFrame:
+    """Whole lots of the wanted weights, then one lot more at a time where the gap to the wanted value is largest, as long as cash and cap allow.
+
+    targets: account, code, weight, price, nav. An account's targets are one small group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("code").reset_index(drop=True)
+        nav = float(pdf["nav"].iloc[0])
+        want, price = (pdf["weight"] * nav).tolist(), pdf["price"].tolist()
+        shares = [math.floor(w / (p * lot)) * lot if p > 0 else 0 for w, p in zip(want, price)]
+        cash = sum(want) - sum(n * p for n, p in zip(shares, price))
+        while True:
+            gaps = [(w - n * p, -i) for i, (w, n, p) in enumerate(zip(want, shares, price)) if p > 0 and p * lot <= cash + 1e-9 and (n + lot) * p <= name_cap * nav + 1e-9 and w > n * p]
+            if not gaps:
+                break
+            i = -max(gaps)[1]
+            shares[i] += lot
+            cash -= price[i] * lot
+        return pdf[[account, "code"]].assign(shares=shares)
+
+    return targets.select(account, "code", "weight", "price", "nav").groupBy(account).applyInPandas(run, f"{account} {targets.schema[account].dataType.simpleString()}, code string, shares long")
+
+
+def target_orders(book: DataFrame, by: list[str], lot: int, commission_rate: float, min_commission: float, stamp_rate: float) -> DataFrame:
+    """Orders that take held shares to the wanted weights, sells first, buys by falling weight as far as the cash goes: by, code, side, shares,
+    value and the cash after each order. What was bought today is not sellable: sells are cut to it; a whole exit may be an odd lot.
+
+    book: by, code, weight (null: out), price, shares, sellable (null: none), cash. One account and day is one small group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.fillna({"weight": 0.0, "shares": 0, "sellable": 0}).sort_values(["weight", "code"], ascending=[False, True])
+        cash = float(pdf["cash"].iloc[0])
+        nav = cash + float((pdf["shares"] * pdf["price"]).sum())
+        out = []
+        want = [math.floor(w * nav / (p * lot)) * lot if p > 0 else int(n) for w, p, n in zip(pdf["weight"], pdf["price"], pdf["shares"])]
+        for side in ("sell", "buy"):
+            for code, price, held, free, n in zip(pdf["code"], pdf["price"], pdf["shares"].astype(int), pdf["sellable"].astype(int), want):
+                change = n - held
+                if side == "sell" and change < 0:
+                    size = min(-change, free)
+                    size = size if size == held else size // lot * lot
+                elif side == "buy" and change > 0:
+                    size = min(change // lot * lot, affordable(cash, price, lot, commission_rate, min_commission))
+                else:
+                    continue
+                if size > 0:
+                    value = size * price
+                    cash += (1 if side == "sell" else -1) * value - max(value * commission_rate, min_commission) - (value * stamp_rate if side == "sell" else 0.0)
+                    out.append((code, side, size, value, cash))
+        return pd.DataFrame(out, columns=["code", "side", "shares", "value", "cash_after"]).assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "code", "side", "shares", "value", "cash_after"]]
+
+    keys = ", ".join(f"{c} {book.schema[c].dataType.simpleString()}" for c in by)
+    return book.select(*by, "code", "weight", "price", "shares", "sellable", "cash").groupBy(*by).applyInPandas(run, f"{keys}, code string, side string, shares long, value double, cash_after double")

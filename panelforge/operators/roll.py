@@ -122,3 +122,16 @@ def residual_momentum(panel: DataFrame, ret: str, market: str, industry: str, wi
     sd = F.stddev_samp("residual").over(span)
     d = d.withColumn("residual_momentum", F.when((n >= least) & (sd > 1e-9), F.sum("residual").over(span) / (sd * math.sqrt(size))))
     return d.drop(*[c for c in d.columns if c.startswith("__")])
+
+
+def last_metrics(df: DataFrame, short: str, long: str, ret: str, amount: str, code: str = CODE, date: str = DATE) -> DataFrame:
+    """Per code the momenta of its last row, the deviation of its last 60 returns and the mean of its last 20 amounts."""
+    d = df.withColumn("__i", F.row_number().over(W.partitionBy(code).orderBy(F.col(date).desc())))
+    latest = lambda c: F.max(F.when(F.col("__i") == 1, F.col(c)))
+    return d.filter("__i <= 60").groupBy(code).agg(latest(short).alias("momentum_20"), latest(long).alias("momentum_60"), F.stddev_samp(ret).alias("volatility_60"), F.avg(F.when(F.col("__i") <= 20, F.col(amount))).alias("average_amount_20"))
+
+
+def candles(prices: DataFrame, scores: DataFrame, top: int, rows: int, code: str = CODE, date: str = DATE) -> DataFrame:
+    """The last `rows` rows of the `top` codes by score, ties by code."""
+    best = scores.orderBy(F.desc("score"), code).limit(top).select(code)
+    return prices.join(best, code, "left_semi").withColumn("__i", F.row_number().over(W.partitionBy(code).orderBy(F.col(date).desc()))).filter(F.col("__i") <= rows).drop("__i")

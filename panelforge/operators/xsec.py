@@ -98,8 +98,8 @@ def neutralize_scores(df: DataFrame, date: str, score: str, numeric: list[str],
 
 
 def hash_quota(df: DataFrame, date: str, keys: list[str], quota: int, seed: int = 0) -> DataFrame:
-    """At most `quota` rows a date: those with the least hash of keys and seed."""
-    h = F.xxhash64(*keys, F.lit(seed))
+    """At most `quota` rows a date: those with the least MD5 of keys and seed."""
+    h = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
     return df.withColumn("__n", F.row_number().over(W.partitionBy(date).orderBy(h, *keys))).filter(F.col("__n") <= quota).drop("__n")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -206,7 +204,9 @@ def _(t):
 def _(t):
     s, _ = xsec.process_factors(month_end(t), ["trade_date", "account"], "code", "industry", WEIGHTS)
     pick = s.withColumn("n", F.row_number().over(W.partitionBy("account", "trade_date").orderBy(F.desc("score"), "code"))).filter("n <= 5").select("account", "trade_date", "code", F.lit(0.18).alias("weight"))
-    return port.replay(universe(t).select("account", "trade_date", "code", "open", "close").join(pick, ["account", "trade_date", "code"], "left"), "account", 1e7)
+    over = W.partitionBy("code").orderBy("trade_date").rowsBetween(-19, 0)
+    smooth = universe(t).select("account", "trade_date", "code", F.avg("open").over(over).alias("open"), F.avg("close").over(over).alias("close"))  # prices of a day are unrelated parts; their averages move like prices
+    return port.replay(smooth.join(pick, ["account", "trade_date", "code"], "left"), "account", 1e7)
 
 
 @query("p12_settlement_queue")
@@ -317,31 +317,49 @@ def _(t):
     return d.select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def _streamed(t, build, mode="append"):
-    """Run a stream over the events table to its end and read what it wrote."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="panelforge-stream-")
-    from panelforge.sources.store import run_id
+def _source(t):
+    """The events table as a stream, and a new folder in the shared one."""
+    from panelforge.sources.store import shared_folder
 
-    path = f"{base.rstrip('/')}/stream-{run_id()}"
     events = t.events
     file = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")
     whole = file.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(file).isDirectory()
-    source = ingest.stream(t.spark, f"{t.dir}/events.parquet" if whole else t.dir, events.schema, pattern="*.parquet" if whole else "events.parquet")
+    return ingest.stream(t.spark, f"{t.dir}/events.parquet" if whole else t.dir, events.schema, pattern="*.parquet" if whole else "events.parquet"), shared_folder(t.spark, "stream")
+
+
+def _streamed(t, build):
+    """Run a stream over the events table to its end and read what it wrote."""
+    source, path = _source(t)
     out = build(source)
-    ingest.run_available(out, f"{path}/checkpoint", f"{path}/out", mode)
+    ingest.run_available(out, f"{path}/checkpoint", f"{path}/out")
     return t.spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
+def _changes(t, build, mode):
+    source, path = _source(t)
+    out = build(source)
+    ingest.run_changes(out, f"{path}/checkpoint", f"{path}/out", mode)
+    return t.spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+
+
+def _plain_times(d, *names):
+    return d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
+
+
 @query("st1_idempotent_ingest", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def _(t):
     return _streamed(t, lambda s: ingest.once_only(s.unionByName(s), "event_id", "ts", "30 days")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st2_windowed_counts")
+@query("stream_windowed_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2, 3", "total", 4)
 def _(t):
-    return _streamed(t, lambda s: ingest.windowed(s, "ts", "1 hour", "1 day", None, ["event_type"], "value"))
+    rows = _changes(t, lambda s: ingest.windowed(s, "ts", "1 hour", "1 day", None, ["event_type"], "value"), "update")
+    return _plain_times(ingest.latest_rows(rows, ["window_start", "event_type"]), "window_start", "window_end")
 
 
-@query("st3_sessions")
+@query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def _(t):
-    return _streamed(t, lambda s: ingest.sessions(s, "ts", "1 hour", "6 hours", ["user_id"]))
+    rows = _changes(t, lambda s: ingest.sessions(s, "ts", "1 hour", "6 hours", ["user_id"]), "complete")
+    last = rows.agg(F.max("batch").alias("last"))
+    return _plain_times(rows.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("batch", "last"), "session_start", "session_end")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import events as ev
 from panelforge.operators import labels as lab
 from panelforge.operators import pit, regime, roll, technical, xsec
-from panelforge.plans.base import RETURNS, UNIVERSE, PANEL, members, panel, query, universe, with_returns
+from panelforge.plans.base import MEMBERS, PANEL, RETURNS, UNIVERSE, members, panel, query, universe, with_returns
 from panelforge.plans.q_pit import rank_sql
 
 WC = "PARTITION BY code ORDER BY trade_date"
@@ -125,17 +125,25 @@ def monthly(t):
     return t.orders.groupBy(F.col("o_orderstatus").alias("scope"), F.date_format("o_orderdate", "yyyyMM").alias("m")).agg(F.count(F.lit(1)).cast("double").alias("x"))
 
 
-@query("w7_expanding_robust_z", f"""WITH {MONTHLY}, e AS (SELECT *, list(x) OVER w AS v, median(x) OVER w AS med, stddev_pop(x) OVER w AS sd FROM monthly WINDOW w AS (PARTITION BY scope ORDER BY m ROWS UNBOUNDED PRECEDING)),
- f AS (SELECT *, list_median(list_transform(v, lambda y: abs(y - med))) AS mad FROM e)
- SELECT scope, m, CASE WHEN len(v) < 3 THEN 0 WHEN mad > 1e-12 THEN greatest(least((x - med) / (1.4826 * mad), 5), -5) WHEN sd > 1e-12 THEN greatest(least((x - med) / sd, 5), -5) ELSE 0 END AS z FROM f""".replace("list_median(", "list_aggregate(").replace("abs(y - med)))", "abs(y - med)), 'median')"), "z")
+ROBUST = f"""{MONTHLY}, e AS (SELECT *, list(x) OVER w AS v, median(x) OVER w AS med, stddev_pop(x) OVER w AS sd FROM monthly WINDOW w AS (PARTITION BY scope ORDER BY m ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT *, list_aggregate(list_transform(v, lambda y: abs(y - med)), 'median') AS mad FROM e),
+ robust AS (SELECT scope, m, CASE WHEN len(v) < 3 THEN 0 WHEN mad > 1e-12 THEN greatest(least((x - med) / (1.4826 * mad), 5), -5) WHEN sd > 1e-12 THEN greatest(least((x - med) / sd, 5), -5) ELSE 0 END AS z FROM f)"""
+
+
+@query("w7_expanding_robust_z", f"WITH {ROBUST} SELECT scope, m, z FROM robust", "z")
 def _(t):
     return roll.expanding_robust_z(monthly(t), "x", "z", ["scope"], "m").select("scope", "m", "z")
 
 
-@query("w8_w9_residual_momentum")
+@query("w8_w9_residual_momentum", f"""WITH {RETURNS}, f AS (SELECT code, trade_date, return_1 AS y, avg(return_1) OVER (PARTITION BY trade_date) AS a, ln(1 + volume) AS b FROM returns), g AS (SELECT *, y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AS ok FROM f),
+ h AS (SELECT *, count(*) FILTER (WHERE ok) OVER w AS n, coalesce(sum(a) FILTER (WHERE ok) OVER w, 0) AS sa, coalesce(sum(b) FILTER (WHERE ok) OVER w, 0) AS sb, coalesce(sum(y) FILTER (WHERE ok) OVER w, 0) AS sy, coalesce(sum(a * a) FILTER (WHERE ok) OVER w, 0) + 1e-8 AS saa, coalesce(sum(b * b) FILTER (WHERE ok) OVER w, 0) + 1e-8 AS sbb, coalesce(sum(a * b) FILTER (WHERE ok) OVER w, 0) AS sab, coalesce(sum(a * y) FILTER (WHERE ok) OVER w, 0) AS say, coalesce(sum(b * y) FILTER (WHERE ok) OVER w, 0) AS sby FROM g WINDOW w AS ({WC} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+ k AS (SELECT *, n + 1e-8 AS m, (n + 1e-8) * (saa * sbb - sab * sab) - sa * (sa * sbb - sab * sb) + sb * (sa * sab - saa * sb) AS det FROM h),
+ c AS (SELECT *, (sy * (saa * sbb - sab * sab) - sa * (say * sbb - sab * sby) + sb * (say * sab - saa * sby)) / det AS b0, (m * (say * sbb - sab * sby) - sy * (sa * sbb - sab * sb) + sb * (sa * sby - say * sb)) / det AS b1, (m * (saa * sby - say * sab) - sa * (sa * sby - say * sb) + sy * (sa * sab - saa * sb)) / det AS b2 FROM k),
+ r AS (SELECT code, trade_date, CASE WHEN ok AND n >= 30 AND abs(det) > 0 THEN y - b0 - b1 * a - b2 * b END AS residual FROM c)
+ SELECT code, trade_date, residual, CASE WHEN count(residual) OVER s >= 30 AND stddev_samp(residual) OVER s > 1e-9 THEN sum(residual) OVER s / (stddev_samp(residual) OVER s * sqrt(56)) END AS residual_momentum FROM r WINDOW s AS ({WC} ROWS BETWEEN 60 PRECEDING AND 5 PRECEDING)""", "residual residual_momentum", 4)
 def _(t):
     d = with_returns(t)
-    d = d.withColumn("market", F.avg("return_1").over(W.partitionBy("trade_date"))).withColumn("sector", F.avg("return_1").over(W.partitionBy("trade_date", "industry")))
+    d = d.withColumn("market", F.avg("return_1").over(W.partitionBy("trade_date"))).withColumn("sector", F.log1p("volume"))  # nations have one code a day: their mean would leave no residual
     return roll.residual_momentum(d, "return_1", "market", "sector", 60, 30, 5).select("code", "trade_date", "residual", "residual_momentum")
 
 
@@ -168,9 +176,22 @@ def _(t):
     return technical.bollinger(technical.trend(panel(t))).select("code", "trade_date", "sma_5", "sma_20_distance", "sma_60", "bollinger_upper", "bollinger_width")
 
 
-@query("t2_t6_recursive_indicators")
+TECH = f"""{PANEL}, tp AS (SELECT code, trade_date, high, low, close, row_number() OVER w AS i, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl, avg(close) OVER (w ROWS 11 PRECEDING) AS m12, avg(close) OVER (w ROWS 25 PRECEDING) AS m26 FROM panel WINDOW w AS ({WC})),
+ tq AS (SELECT *, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN high - ph > pl - low AND high > ph THEN high - ph ELSE 0 END AS plus, CASE WHEN pl - low > high - ph AND pl > low THEN pl - low ELSE 0 END AS minus FROM tp),
+ ts AS (SELECT *, avg(up) OVER (w ROWS 13 PRECEDING) AS mu, avg(dn) OVER (w ROWS 13 PRECEDING) AS md, avg(tr) OVER (w ROWS 13 PRECEDING) AS mt, sum(plus) OVER (w ROWS 12 PRECEDING) AS sp, sum(minus) OVER (w ROWS 12 PRECEDING) AS sm, sum(tr) OVER (w ROWS 12 PRECEDING) AS st FROM tq WINDOW w AS ({WC})),
+ rec AS (SELECT code, i, trade_date, NULL::DOUBLE AS e12, NULL::DOUBLE AS e26, NULL::DOUBLE AS f12, NULL::DOUBLE AS dea, 0::DOUBLE AS sd, NULL::DOUBLE AS au, NULL::DOUBLE AS ad, NULL::DOUBLE AS atr, NULL::DOUBLE AS dp, NULL::DOUBLE AS dm, NULL::DOUBLE AS dt, NULL::DOUBLE AS adx, 0::DOUBLE AS sx, close FROM ts WHERE i = 1
+  UNION ALL SELECT code, i, trade_date, e12, e26, f12, CASE WHEN i = 34 THEN (sd + f12 - e26) / 9 WHEN i > 34 THEN dea + 0.2 * (f12 - e26 - dea) END, CASE WHEN i >= 26 THEN sd + f12 - e26 ELSE 0 END, au, ad, atr, dp, dm, dt, CASE WHEN i = 28 THEN (sx + dx) / 14 WHEN i > 28 THEN (adx * 13 + dx) / 14 END, CASE WHEN i >= 15 THEN sx + dx ELSE 0 END, close
+  FROM (SELECT *, CASE WHEN dp + dm = 0 THEN 0 ELSE 100 * abs(dp - dm) / (dp + dm) END AS dx FROM (SELECT s.code, s.i, s.trade_date, s.close, r.dea, r.sd, r.adx, r.sx, CASE WHEN s.i = 12 THEN m12 WHEN s.i > 12 THEN r.e12 + 2.0 / 13 * (s.close - r.e12) END AS e12, CASE WHEN s.i = 26 THEN m26 WHEN s.i > 26 THEN r.e26 + 2.0 / 27 * (s.close - r.e26) END AS e26,
+   CASE WHEN s.i = 26 THEN m12 WHEN s.i > 26 THEN r.f12 + 2.0 / 13 * (s.close - r.f12) END AS f12, CASE WHEN s.i = 15 THEN mu WHEN s.i > 15 THEN (r.au * 13 + up) / 14 END AS au, CASE WHEN s.i = 15 THEN md WHEN s.i > 15 THEN (r.ad * 13 + dn) / 14 END AS ad, CASE WHEN s.i = 15 THEN mt WHEN s.i > 15 THEN (r.atr * 13 + tr) / 14 END AS atr,
+   CASE WHEN s.i = 14 THEN sp WHEN s.i > 14 THEN r.dp - r.dp / 14 + plus END AS dp, CASE WHEN s.i = 14 THEN sm WHEN s.i > 14 THEN r.dm - r.dm / 14 + minus END AS dm, CASE WHEN s.i = 14 THEN st WHEN s.i > 14 THEN r.dt - r.dt / 14 + tr END AS dt FROM rec r JOIN ts s ON s.code = r.code AND s.i = r.i + 1))),
+ tech AS (SELECT code, trade_date, e12 AS ema_12, e26 AS ema_26, CASE WHEN dea IS NOT NULL THEN f12 - e26 END AS macd_dif, dea AS macd_dea, f12 - e26 - dea AS macd_hist, CASE WHEN au + ad = 0 THEN 0 ELSE 100 * au / (au + ad) END AS rsi_14, adx AS adx_14, atr AS atr_14, 100 * atr / close AS natr_14 FROM rec),
+ tech_state AS (SELECT *, macd_hist - lag(macd_hist) OVER w AS macd_hist_slope, CASE WHEN macd_hist > 0 AND lag(macd_hist) OVER w <= 0 THEN 1 WHEN macd_hist < 0 AND lag(macd_hist) OVER w >= 0 THEN -1 ELSE 0 END AS macd_cross, row_number() OVER w AS i FROM tech WINDOW w AS ({WC}))"""
+
+
+@query("t2_t6_recursive_indicators", f"WITH RECURSIVE {TECH} SELECT code, trade_date, ema_12, ema_26, macd_dif, macd_dea, macd_hist, rsi_14, adx_14, atr_14, natr_14, macd_cross, CAST(i - max(CASE WHEN macd_cross <> 0 THEN i END) OVER ({WC} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS macd_cross_age FROM tech_state", "ema_12 ema_26 macd_dif macd_dea macd_hist rsi_14 adx_14 atr_14 natr_14", 4)
 def _(t):
-    return technical.macd_state(technical.recursive(panel(t))).select("code", "trade_date", *technical.RECURSIVE, "macd_cross", "macd_cross_age")
+    d = technical.macd_state(technical.recursive(panel(t)))
+    return d.select("code", "trade_date", *technical.RECURSIVE, "macd_cross", F.col("macd_cross_age").cast("double").alias("macd_cross_age"))
 
 
 @query("t8_t9_momentum_volatility", f"WITH {RETURNS} SELECT code, trade_date, return_1, close / lag(close, 20) OVER ({WC}) - 1 AS momentum_20, 1 - close / lag(close, 5) OVER ({WC}) AS reversal_5, {roll_sql('stddev_samp', 'return_1', 20)} * sqrt(252) AS volatility_20, {roll_sql('stddev_samp', 'CASE WHEN return_1 IS NOT NULL THEN least(return_1, 0) END', 20)} * sqrt(252) AS downside_volatility_20 FROM returns", "return_1 momentum_20 reversal_5 volatility_20 downside_volatility_20")
@@ -234,23 +255,65 @@ def _(t):
 
 
 DETECTED = f"""ma AS (SELECT code, trade_date, {roll_sql('avg', 'close', 5)} AS sma_5, {roll_sql('avg', 'close', 20)} AS sma_20 FROM panel), x AS (SELECT *, lag(sma_5) OVER ({WC}) AS l5, lag(sma_20) OVER ({WC}) AS l20 FROM ma),
- detected AS (SELECT code, trade_date, 'golden_cross' AS event FROM x WHERE sma_5 > sma_20 AND l5 <= l20 UNION ALL SELECT code, trade_date, 'death_cross' FROM x WHERE sma_20 > sma_5 AND l20 <= l5)"""
+ detected AS (SELECT code, trade_date, 'ma_golden_cross_5_20' AS event FROM x WHERE sma_5 > sma_20 AND l5 <= l20 UNION ALL SELECT code, trade_date, 'ma_death_cross_5_20' FROM x WHERE sma_5 < sma_20 AND l5 >= l20)"""
 
 
 def detected(t):
-    m = {k: v for k, v in ev.masks().items() if k in ("golden_cross", "death_cross")}
-    return ev.detect(technical.trend(panel(t)), m, ["code", "trade_date"], ["sma_5", "sma_20"])
+    return ev.detect(technical.trend(panel(t)), "m", ("ma_golden_cross_5_20", "ma_death_cross_5_20"))
 
 
-@query("events_detected", f"WITH {PANEL}, {DETECTED} SELECT code, trade_date, event, sha256(code || '|' || trade_date || '|' || event) AS event_id FROM detected")
+@query("events_detected", f"WITH {PANEL}, {DETECTED} SELECT code, trade_date, event, substr(sha256('m|' || code || '|' || trade_date || '|' || event), 1, 20) AS event_id FROM detected")
 def _(t):
     return detected(t).select("code", "trade_date", "event", "event_id")
 
 
-@query("events_all_masks")
-def _(t):
-    p = technical.price_action(technical.volume(technical.momentum(technical.bollinger(technical.trend(panel(t))))))
-    return ev.detect(p, ev.masks(), ["code", "trade_date"], ["close", "volume_ratio_5_20"])
+CONDITIONS = {
+    "macd_golden_cross": "macd_cross = 1 OR (l_dif <= l_dea AND macd_dif > macd_dea)",
+    "macd_death_cross": "macd_cross = -1 OR (l_dif >= l_dea AND macd_dif < macd_dea)",
+    "macd_zero_cross_up": "l_dif <= 0 AND macd_dif > 0",
+    "macd_zero_cross_down": "l_dif >= 0 AND macd_dif < 0",
+    "macd_hist_reversal_up": "l_slope <= 0 AND macd_hist_slope > 0",
+    "macd_hist_reversal_down": "l_slope >= 0 AND macd_hist_slope < 0",
+    "macd_hist_sign_up": "l_hist <= 0 AND macd_hist > 0",
+    "macd_hist_sign_down": "l_hist >= 0 AND macd_hist < 0",
+    "ma_golden_cross_5_20": "l5 <= l20 AND sma_5 > sma_20",
+    "ma_death_cross_5_20": "l5 >= l20 AND sma_5 < sma_20",
+    "price_breakout_20": "n20 >= 3 AND close > top20",
+    "price_breakdown_20": "n20 >= 3 AND close < low20",
+    "rsi_oversold_exit": "l_rsi < 30 AND rsi_14 >= 30",
+    "rsi_overbought_exit": "l_rsi > 70 AND rsi_14 <= 70",
+    "adx_trend_strengthening": "l_adx < 25 AND adx_14 >= 25",
+    "adx_trend_weakening": "l_adx >= 25 AND adx_14 < 25",
+    "bollinger_breakout_up": "close > sma_20 + 2 * sd20",
+    "bollinger_breakout_down": "close < sma_20 - 2 * sd20",
+    "bollinger_squeeze": "width <= q_now AND l_width > q_before",
+    "macd_bearish_divergence": "ret5 > 0.03 AND dif5 < 0",
+    "macd_bullish_divergence": "ret5 < -0.03 AND dif5 > 0",
+    "flow_price_confirmation_up": "ret > 0 AND flow > 0",
+    "flow_price_confirmation_down": "ret < 0 AND flow < 0",
+    "flow_price_divergence_bearish": "ret > 0 AND flow < 0",
+    "flow_price_divergence_bullish": "ret < 0 AND flow > 0",
+    "industry_breadth_reversal_up": "l_breadth < 0.4 AND breadth >= 0.5",
+    "industry_breadth_reversal_down": "l_breadth > 0.6 AND breadth <= 0.5",
+} | {s: f"stage = '{s}' AND stage IS DISTINCT FROM l_stage" for s in ev.STAGES}
+EVENTS = f"""{TECH}, {MEMBERS}, eb AS (SELECT p.*, industry, close / nullif(lag(close) OVER w, 0) - 1 AS ret, close / nullif(lag(close, 5) OVER w, 0) - 1 AS ret5, {roll_sql('avg', 'close', 5)} AS sma_5, {roll_sql('avg', 'close', 20)} AS sma_20, {roll_sql('stddev_pop', 'close', 20)} AS sd20, {roll_sql('avg', 'volume', 5)} / nullif({roll_sql('avg', 'volume', 20)}, 0) AS ratio, CASE WHEN volume % 2 = 0 THEN amount ELSE -amount END AS flow FROM panel p JOIN members USING (code) WINDOW w AS ({WC})),
+ ec AS (SELECT eb.*, macd_dif, macd_dea, macd_hist, macd_hist_slope, macd_cross, rsi_14, adx_14, 4 * sd20 / nullif(sma_20, 0) AS width, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) OVER (PARTITION BY trade_date, industry) AS breadth,
+  CASE WHEN ret > 0.005 AND ratio > 1.05 THEN 'volume_price_rise_confirmed' WHEN ret > 0.005 AND ratio < 0.95 THEN 'volume_price_rise_divergent' WHEN ret < -0.005 AND ratio > 1.05 THEN 'volume_price_fall_confirmed' WHEN ret < -0.005 AND ratio < 0.95 THEN 'volume_price_fall_exhausting' WHEN NOT coalesce(abs(ret) > 0.005, false) AND ratio > 1.05 THEN 'volume_expansion_flat_price' WHEN NOT coalesce(abs(ret) > 0.005, false) AND ratio < 0.95 THEN 'volume_contraction_flat_price' ELSE 'volume_price_neutral' END AS stage FROM eb JOIN tech_state USING (code, trade_date)),
+ ed AS (SELECT *, lag(macd_dif) OVER w AS l_dif, lag(macd_dea) OVER w AS l_dea, lag(macd_hist) OVER w AS l_hist, lag(macd_hist_slope) OVER w AS l_slope, lag(sma_5) OVER w AS l5, lag(sma_20) OVER w AS l20, lag(rsi_14) OVER w AS l_rsi, lag(adx_14) OVER w AS l_adx, lag(width) OVER w AS l_width, lag(breadth) OVER w AS l_breadth, lag(stage) OVER w AS l_stage, macd_dif - lag(macd_dif, 5) OVER w AS dif5,
+  count(close) OVER p AS n20, max(close) OVER p AS top20, min(close) OVER p AS low20, CASE WHEN count(width) OVER a >= 3 THEN quantile_cont(width, 0.2) OVER a END AS q_now, CASE WHEN count(width) OVER b >= 3 THEN quantile_cont(width, 0.2) OVER b END AS q_before FROM ec
+  WINDOW w AS ({WC}), p AS ({WC} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), a AS ({WC} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), b AS ({WC} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+ every_event AS ({' UNION ALL '.join(f"SELECT code, trade_date, industry, '{k}' AS event, '{ev.direction(k)}' AS direction FROM ed WHERE {c}" for k, c in CONDITIONS.items())})"""
+
+
+def event_panel(t):
+    d = technical.macd_state(technical.recursive(technical.volume(technical.bollinger(technical.trend(with_returns(t))))))
+    up = F.coalesce((F.col("return_1") > 0).cast("double"), F.lit(0.0))
+    return d.withColumn("flow_net_large", F.when(F.col("volume") % 2 == 0, F.col("amount")).otherwise(-F.col("amount"))).withColumn("industry_breadth", F.avg(up).over(W.partitionBy("trade_date", "industry")))
+
+
+@query("events_all_masks", f"WITH RECURSIVE {EVENTS} SELECT event, direction, code, trade_date, industry, substr(sha256('m|' || code || '|' || trade_date || '|' || event), 1, 20) AS event_id FROM every_event")
+def _(t):
+    return ev.detect(event_panel(t), "m").select("event", "direction", "code", "trade_date", "industry", "event_id")
 
 
 @query("a13_j13_event_study", f"""WITH {LABELS}, {DETECTED}, base AS (SELECT horizon, avg(CAST(label = 'up' AS INTEGER)) AS base_up FROM labelled GROUP BY 1)
@@ -273,7 +336,14 @@ def _(t):
     return d.select("trade_date", "score", regime.three_way("score", "risk_on", "neutral", "risk_off", 0.35).alias("state"))
 
 
-@query("g3_hysteresis")
+HYSTERESIS = f"""{ROBUST}, hc AS (SELECT scope, m, row_number() OVER (PARTITION BY scope ORDER BY m) AS i, CASE WHEN z IS NULL THEN 'unknown' WHEN z >= 0.5 THEN 'high' WHEN z <= -0.5 THEN 'low' ELSE 'normal' END AS candidate FROM robust),
+ hr AS (SELECT scope, m, i, candidate, CASE WHEN candidate <> 'unknown' THEN candidate END AS state, NULL::VARCHAR AS pending, 0 AS n, 0 AS k FROM hc WHERE i = 1
+  UNION ALL SELECT c.scope, c.m, c.i, c.candidate, CASE WHEN c.candidate = 'unknown' THEN r.state WHEN r.state IS NULL OR c.candidate = r.state THEN coalesce(r.state, c.candidate) WHEN CASE WHEN c.candidate = r.pending THEN r.n + 1 ELSE 1 END >= 2 THEN c.candidate ELSE r.state END,
+   CASE WHEN c.candidate = 'unknown' THEN r.pending WHEN r.state IS NULL OR c.candidate = r.state OR CASE WHEN c.candidate = r.pending THEN r.n + 1 ELSE 1 END >= 2 THEN NULL ELSE c.candidate END,
+   CASE WHEN c.candidate = 'unknown' THEN r.n WHEN r.state IS NULL OR c.candidate = r.state OR CASE WHEN c.candidate = r.pending THEN r.n + 1 ELSE 1 END >= 2 THEN 0 ELSE CASE WHEN c.candidate = r.pending THEN r.n + 1 ELSE 1 END END, 0 FROM hr r JOIN hc c ON c.scope = r.scope AND c.i = r.i + 1)"""
+
+
+@query("g3_hysteresis", f"WITH RECURSIVE {HYSTERESIS} SELECT scope, m, candidate, state FROM hr")
 def _(t):
     d = monthly(t)
     c = roll.expanding_robust_z(d, "x", "z", ["scope"], "m").withColumn("candidate", regime.three_way("z", "high", "normal", "low", 0.5))
@@ -353,7 +423,7 @@ def _(t):
     return xsec.round_robin(universe(t), ["trade_date"], "industry", "volume", "code", 2, 8).select("trade_date", "code", F.col("pick").cast("long").alias("pick"))
 
 
-@query("k12_hash_quota")
+@query("k12_hash_quota", f"WITH {PANEL} SELECT code, trade_date FROM panel QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY md5(code || '|7'), code) <= 5")
 def _(t):
     return xsec.hash_quota(panel(t), "trade_date", ["code"], 5, 7).select("trade_date", "code")
 

@@ -226,7 +226,7 @@ def _(t):
 @query("j12_next_session_entry", f"""WITH {PANEL}, s AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS session FROM panel),
  e AS (SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code, strftime(o_orderdate, '%Y%m%d') AS event_date FROM orders),
  n AS (SELECT e.code, event_date, s.trade_date AS entry_date, session, open FROM e ASOF JOIN s ON e.code = s.code AND e.event_date < s.trade_date)
- SELECT n.code, event_date, entry_date, horizon, x.trade_date AS exit_date, x.close / n.open - 1 AS ret FROM n, (SELECT unnest([1, 5]) AS horizon) LEFT JOIN s x ON x.code = n.code AND x.session = n.session + horizon - 1""", "ret")
+ SELECT n.code, event_date, entry_date, horizon, x.trade_date AS exit_date, x.close / n.open - 1 AS ret FROM n CROSS JOIN (SELECT unnest([1, 5]) AS horizon) AS hz LEFT JOIN s x ON x.code = n.code AND x.session = n.session + horizon - 1""", "ret")
 def _(t):
     e = t.orders.select(code_key(F.col("o_custkey")).alias("code"), F.date_format("o_orderdate", "yyyyMMdd").alias("event_date")).distinct()
     return pit.next_session_entry(e, panel(t), "code", "event_date", "trade_date", [1, 5]).select("code", "event_date", "entry_date", "horizon", "exit_date", "ret")

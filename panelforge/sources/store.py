@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from functools import reduce
 from pathlib import Path
@@ -120,3 +121,90 @@ def load_config(baseline: str, overlay: str | None = None, locked: tuple[str, ..
 
 def run_id() -> str:
     return uuid.uuid4().hex
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; in local mode one is made where that is unset, on a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="panelforge-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{run_id()}"
+
+
+def close_panel(scan: DataFrame, date: str, code: str, close: str, order: list[str]) -> DataFrame:
+    """One close a date and code: that of the last row by `order`; missing closes are no rows."""
+    return scan.filter(F.col(close).isNotNull()).groupBy(date, code).agg(F.max_by(close, F.struct(*order)).alias(close))
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV folder; the commit shows all of them or none."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def replace_csv(df: DataFrame, path: str) -> None:
+    """A CSV folder replaced by these rows; they may come from the folder itself, so they are written beside it and read again first."""
+    beside = f"{path.rstrip('/')}-{run_id()}"
+    df.write.option("header", True).csv(beside)
+    held = df.sparkSession.read.schema(df.schema).option("header", True).csv(beside)
+    held.write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Batches of groups added to a Parquet table under its partition columns, one file a partition and task; readers prune by them."""
+    df.repartition(*by).write.mode("append").partitionBy(*by).parquet(path)
+
+
+def checksums(df: DataFrame, part: str) -> DataFrame:
+    """(part, rows, checksum) whatever the order of rows."""
+    return df.groupBy(part).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
+
+
+def backfill(source: DataFrame, path: str, part: str) -> DataFrame:
+    """Fill a partitioned table from a source, going on where an earlier run ended: (part, rows, checksum, status).
+
+    A partition whose stored rows have the manifest's checksum is `kept`; one that is missing is `written`, one that
+    differs is `repaired`. The manifest is the table of checksums, replaced after the data are in place.
+    """
+    spark = source.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def there(p: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        return at.getFileSystem(conf).exists(at)
+
+    empty = spark.createDataFrame([], f"`{part}` {source.schema[part].dataType.simpleString()}, rows long, checksum string")
+    noted = spark.read.schema(empty.schema).parquet(f"{path}/manifest") if there(f"{path}/manifest") else empty
+    held = checksums(spark.read.schema(source.schema).parquet(f"{path}/data"), part) if there(f"{path}/data") else empty
+    good = noted.join(held, [part, "rows", "checksum"]).select(part)
+    todo = source.join(good, part, "left_anti")
+    todo.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{path}/data")
+    now = checksums(spark.read.schema(source.schema).parquet(f"{path}/data"), part)
+    status = F.when(F.col("__good"), "kept").when(F.col("__noted"), "repaired").otherwise("written")
+    report = now.join(good.withColumn("__good", F.lit(True)), part, "left").join(noted.select(part, F.lit(True).alias("__noted")), part, "left")
+    report = report.select(part, "rows", "checksum", status.alias("status"))
+    told = f"{path}/report-{run_id()}"
+    report.write.parquet(told)
+    report = spark.read.schema(report.schema).parquet(told)
+    report.select(part, "rows", "checksum").write.mode("overwrite").parquet(f"{path}/manifest")
+    return report
+
+
+def put_if_absent(blobs: DataFrame, path: str, payload: str) -> DataFrame:
+    """Content-addressed store: payloads not held yet are added once under their SHA-256; returns (key, size, added) of each distinct payload."""
+    spark = blobs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    content = F.col(payload).cast("binary")
+    new = blobs.filter(F.col(payload).isNotNull()).select(F.sha2(content, 256).alias("key"), content.alias("payload")).dropDuplicates(["key"])
+    told = f"{path.rstrip('/')}-put-{run_id()}"
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        held = spark.read.schema("key string, payload binary").parquet(path).select("key", F.lit(True).alias("held"))
+        new = new.join(held, "key", "left")
+    else:
+        new = new.withColumn("held", F.lit(None).cast("boolean"))
+    new.select("key", "payload", F.col("held").isNull().alias("added")).write.parquet(told)
+    put = spark.read.parquet(told)
+    put.filter("added").select("key", "payload").write.mode("append").parquet(path)
+    return put.select("key", F.length("payload").cast("long").alias("size"), "added")

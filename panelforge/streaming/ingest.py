@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,6 +43,21 @@ def run_available(df: DataFrame, checkpoint: str, path: str, mode: str = "append
     df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_changes(df: DataFrame, checkpoint: str, path: str, mode: str = "update") -> None:
+    """Like run_available, with the rows each batch changed (or, in complete mode, all rows) under batch=N: windows that are still open are there too. A batch that is replayed overwrites its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_rows(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key among the rows of run_changes."""
+    order = W.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return written.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "batch")
+
+
 def upsert_batches(df: DataFrame, checkpoint: str, table_path: str, keys: list[str], order: str) -> None:
     """Keyed upserts by micro-batch: each batch writes a new version next to the old one and then names it current, so a batch that is replayed ends in the same rows."""
     from panelforge.sources.store import upsert
@@ -57,6 +73,21 @@ def upsert_batches(df: DataFrame, checkpoint: str, table_path: str, keys: list[s
     df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def current_version(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest version of a table that upsert_batches keeps."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    last = max(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+    return spark.read.parquet(f"{table_path}/version={last}")
+
+
+def retry_windows(days: DataFrame, source: str, day: str, n: str, most: int) -> DataFrame:
+    """Days whose fetch came back full (`most` rows or more) may be cut off and are read again: per source the first such day, their
+    number, and the cursor, which stays at that day until it is resolved."""
+    full = F.when(F.col(n) >= most, F.col(day))
+    return days.groupBy(source).agg(F.min(full).alias("unresolved_day"), F.count(full).alias("days"), F.coalesce(F.min(full), F.max(day)).alias("cursor"))
+
+
 def lifecycle(events: DataFrame, key: str, time: str, state: str, delay: str, timeout_ms: int = 0) -> DataFrame:
     """State machine per key over a stream: how often it changed state, its last state and time. Rows of a batch are applied in time order; older ones than the state are ignored."""
 
