@@ -21,6 +21,8 @@ from panelforge.llm.shared import id_and_text, partitions
 K, BINS, KEEP = 6, 64, 2
 #: Odd 64-bit multipliers of the mixing steps (fixed values of SplitMix64).
 STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Stands for a null doc_id in the order of documents: they come last.
+LEAST = -(1 << 63)
 PLACE = np.uint64(24)
 PLACES = 1 << 24
 
@@ -128,7 +130,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     largest id of a range, one number per range, is what the driver learns.
     """
     spark = docs.sparkSession
-    plain = id_and_text(docs)
+    plain = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST)))
     n = partitions(spark)
     cuts = plain.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
@@ -164,7 +166,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint beside those of its edited text and of the next document in descending doc_id.
 
     Null texts are empty (fingerprint of empty bins, likeness 1 to another empty text); rows with the
-    same doc_id follow each other by a hash of the text; a table of one row is its own next document;
+    same doc_id follow each other by a hash of the text, those without one come last; a table of one row is its own next document;
     an empty table gives no rows; other columns are ignored.
     """
     import hashlib
@@ -190,7 +192,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         for (doc, text, sig, _), (_, following, next_sig, _) in pairs(batches):
             other = edited(text, following)
             other_sig = signature(other)
-            row = (doc, len(text), hashlib.sha256(other.encode()).hexdigest(), hexed(sig), hexed(other_sig), likeness(sig, other_sig), likeness(sig, next_sig))
+            row = (None if doc == LEAST else doc, len(text), hashlib.sha256(other.encode()).hexdigest(), hexed(sig), hexed(other_sig), likeness(sig, other_sig), likeness(sig, next_sig))
             for c, x in zip(out, row):
                 c.append(x)
             if len(out[0]) >= 2000:

@@ -45,16 +45,16 @@ def url_key(url: str | None) -> str:
     return (",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + path).lower()
 
 
-def capture_time(page_id: int) -> str:
+def capture_time(page_id: int | None) -> str:
     """The tables have no capture time: one second a page from EPOCH on, by page_id."""
-    return (EPOCH + dt.timedelta(seconds=page_id % SPAN_SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return (EPOCH + dt.timedelta(seconds=(page_id or 0) % SPAN_SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the HTTP head only."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Date: {capture_time(page_id)}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Date: {capture_time(page_id)}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -86,8 +86,12 @@ def records(data: bytes):
         at += size
 
 
-def page_number(urn: str) -> int:
-    return int(urn[len("<urn:page:") : -1])
+def page_number(urn: str) -> int | None:
+    return int(urn[len("<urn:page:") : -1]) if urn != "<urn:page:>" else None
+
+
+#: Stands for a null page_id in the order of captures.
+LEAST = -(1 << 63)
 
 
 class LoserTree:
@@ -176,7 +180,7 @@ def capture_runs(stored: DataFrame) -> DataFrame:
                         raise ValueError(f"{name} at {at}: payload and digest differ")
                     refers = page_number(fields["WARC-Refers-To"]) if payload is None else None
                     rows.append((name, url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], page_number(fields["WARC-Record-ID"]), at, size, full, told, fields["WARC-Type"], refers))
-                rows.sort(key=lambda r: (r[1], r[2], r[3], r[4]))
+                rows.sort(key=lambda r: (r[1], r[2], LEAST if r[3] is None else r[3], r[4]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CAPTURE)], schema=CAPTURE)
 
     return stored.select("archive", "data").mapInArrow(run, CAPTURE_DDL)
@@ -200,13 +204,13 @@ def merged(runs: DataFrame) -> DataFrame:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 own = parts.setdefault(row[0], [[]])
-                key = (row[1], row[2], row[3], row[0], row[4])
+                key = (row[1], row[2], LEAST if row[3] is None else row[3], row[0], row[4])
                 if own[-1] and own[-1][-1][0] > key:
                     own.append([])
                 own[-1].append((key, row))
         rows, out = [r for own in parts.values() for r in own], []
-        for _, row in LoserTree([[(k, tuple(-1 if x is None else x for x in r)) for k, r in run] for run in rows]):
-            out.append(row)
+        for _, i, j in LoserTree([[(k, i, j) for j, (k, _) in enumerate(run)] for i, run in enumerate(rows)]):
+            out.append(rows[i][j][1])
             if len(out) == 4096:
                 yield batch(out)
                 out = []
@@ -214,7 +218,6 @@ def merged(runs: DataFrame) -> DataFrame:
 
     def batch(rows):
         columns = [list(c) for c in zip(*rows)] or [[] for _ in CAPTURE]
-        columns[-1] = [None if x == -1 and kind == "response" else x for x, kind in zip(columns[-1], columns[-2])]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CAPTURE)], schema=CAPTURE)
 
     return runs.repartitionByRange(n, "url_key", "captured_at", "page_id", "run", "archive_offset").mapInArrow(merge, CAPTURE_DDL)
@@ -224,8 +227,8 @@ def capture_index(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Write the pages' archives, read them back and merge their runs: one row a page, in index order.
 
     Null html is an empty payload, null URLs sort first; rows repeated with one page_id are records
-    of their own, both responses; empty payloads refer to the first empty one; an empty table gives no
-    rows; other columns are ignored.
+    of their own, both responses; a null page_id is a response of its own and never referred to; empty payloads refer to
+    the first empty one; an empty table gives no rows; other columns are ignored.
     """
     stored = archives(pages, least)
     with small_batches(pages.sparkSession):
