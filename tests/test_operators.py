@@ -191,10 +191,37 @@ def test_novelty_against_all_earlier_whole_keys(spark):
         assert got["a", 24] == 0
 
 
-def test_detection_ids_are_stable(spark):
-    d = spark.createDataFrame([("a", "1", 2.0), ("a", "2", None)], "code string, trade_date string, x double")
-    one, two = (rows(events.detect(d, {"big": F.col("x") > 1}, ["code", "trade_date"], ["x"])) for _ in range(2))
-    assert one == two and len(one) == 1
+def events_plain(closes):
+    """Breakouts, flat stages and their changes of one code, by loops."""
+    out = set()
+    stage_before = ""
+    for i, c in enumerate(closes):
+        prior = closes[max(0, i - 20) : i]
+        if len(prior) >= 3 and c > max(prior):
+            out.add((i, "price_breakout_20", "neutral"))
+        if len(prior) >= 3 and c < min(prior):
+            out.add((i, "price_breakdown_20", "down"))
+        ratio = 1.2 if i % 3 == 0 else 0.5
+        move = closes[i] / closes[i - 1] - 1 if i else None
+        up, down = move is not None and move > 0.005, move is not None and move < -0.005
+        stage = ("volume_price_rise_" + ("confirmed" if ratio > 1 else "divergent")) if up else ("volume_price_fall_" + ("confirmed" if ratio > 1 else "exhausting")) if down else "volume_expansion_flat_price" if ratio > 1 else "volume_contraction_flat_price"
+        if stage != stage_before:
+            out.add((i, stage, "up" if "rise" in stage else "down" if "fall" in stage else "neutral"))
+        stage_before = stage
+    return out
+
+
+def test_events_against_loops_and_stable_ids(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    closes = [round(10 * (1 + 0.01 * i * rng.choice([-1, 0, 1])), 2) for i in range(60)]
+    d = spark.createDataFrame([("600001.SH", f"{i:03d}", c, 1.2 if i % 3 == 0 else 0.5) for i, c in enumerate(closes)], "code string, trade_date string, close double, volume_ratio_5_20 double")
+    got = events.detect(d, "cn").collect()
+    assert {(int(r["trade_date"]), r["event"], r["direction"]) for r in got} == events_plain(closes)
+    assert all(r["event_id"] == hashlib.sha256(f"cn|600001|{r['trade_date']}|{r['event']}".encode()).hexdigest()[:20] and r["code"] == "600001" and r["regime"] == "unknown" for r in got)
+    assert len(events.masks()) == 33
 
 
 def test_statistics():
