@@ -93,12 +93,12 @@ def _(t):
 
 
 @query("g6_regime_policy", f"""WITH {MONTH_END}, dd AS (SELECT DISTINCT trade_date FROM month_end), st AS (SELECT trade_date, CASE CAST(substr(trade_date, 5, 2) AS INTEGER) % 4 WHEN 0 THEN 'risk_on' WHEN 1 THEN 'mixed' WHEN 2 THEN 'risk_off' ELSE 'unknown' END AS state FROM dd),
- g6f AS (SELECT m.*, state, round(adv / 1e4, 6) AS score, -vol AS calm FROM month_end m JOIN st USING (trade_date)), g6r AS (SELECT *, {rank_sql('momentum', 'trade_date')} AS up, {rank_sql('adv', 'trade_date')} AS good, {rank_sql('calm', 'trade_date')} AS low FROM g6f),
+ g6f AS (SELECT m.*, state, adv / 1e4 AS score, -vol AS calm FROM month_end m JOIN st USING (trade_date)), g6r AS (SELECT *, {rank_sql('momentum', 'trade_date')} AS up, {rank_sql('adv', 'trade_date')} AS good, {rank_sql('calm', 'trade_date')} AS low FROM g6f),
  g6w AS (SELECT *, coalesce(score, 0) AS base, CASE state WHEN 'risk_on' THEN 0.30 * up + 0.05 * good + 0.00 * low WHEN 'mixed' THEN 0.08 * up + 0.08 * good + 0.05 * low ELSE -0.35 * up + 0.15 * good + 0.25 * low END AS raw FROM g6r)
  SELECT trade_date, code, base + coalesce(raw, 0) * greatest(stddev_pop(base) OVER (PARTITION BY trade_date), 0.5) AS score FROM g6w""", "score")
 def _(t):
     month = F.substring("trade_date", 5, 2).cast("int") % 4
-    d = month_end(t).withColumn("state", F.when(month == 0, "risk_on").when(month == 1, "mixed").when(month == 2, "risk_off").otherwise("unknown")).withColumn("score", F.round(F.col("adv") / 1e4, 6))
+    d = month_end(t).withColumn("state", F.when(month == 0, "risk_on").when(month == 1, "mixed").when(month == 2, "risk_off").otherwise("unknown")).withColumn("score", F.col("adv") / 1e4)
     return strategy.regime_policy(d, ["trade_date"], "state", "trend", ["momentum"], ["adv"], ["vol"]).select("trade_date", "code", "score")
 
 
