@@ -247,20 +247,42 @@ def mark_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Bytes of a shingle set's bitmap.
+BITMAP = 128
+
+
+def bitmap_of(shingles: np.ndarray) -> bytes:
+    """The bits that the shingles' hashes set."""
+    out = np.zeros(8 * BITMAP, np.uint8)
+    out[shingles.view(np.uint64) % np.uint64(8 * BITMAP)] = 1
+    return np.packbits(out).tobytes()
+
+
+def may_be_copies(bits: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of sets the bitmaps allow to reach COPY_SHARE. Each bit that only one set has stands for a shingle that the other lacks,
+    so what a pair has in common is at most a set's size less such bits: no pair that reaches the share is left out."""
+    least, whole = COPY_SHARE
+    out = np.zeros(len(p), bool)
+    for i in range(0, len(p), 1 << 15):
+        a, b = p[i : i + (1 << 15)], q[i : i + (1 << 15)]
+        both = np.minimum(size[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64), size[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64))
+        out[i : i + (1 << 15)] = (least + whole) * both >= least * (size[a] + size[b])
+    return out
+
+
 def copy_pairs(entries: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(u, v) marks, u < v, of all pairs within `radius` bits of one seed whose labels differ and whose sizes allow COPY_SHARE.
+    """(u, v) marks, u < v, of all pairs within `radius` bits of one seed whose labels differ and whose sizes and bitmaps allow COPY_SHARE.
 
-    entries: seed, fp, mark, label, size.
+    entries: seed, fp, mark, label, size, bits.
     """
-    least, whole = COPY_SHARE
     n = partitions(entries.sparkSession)
-    kinds = "cell long, asks boolean, fp long, mark long, label long, size int"
+    kinds = "cell long, asks boolean, fp long, mark long, label long, size int, bits binary"
 
     def spread(batches):
         for b in batches:
             seed, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             cell, asks, row = places(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(cell + (seed[row].astype(np.int64) << SEED_SHIFT)), pa.array(asks), *(b.column(i).take(pa.array(row)) for i in (1, 2, 3, 4))], names=["cell", "asks", "fp", "mark", "label", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell + (seed[row].astype(np.int64) << SEED_SHIFT)), pa.array(asks), *(b.column(i).take(pa.array(row)) for i in (1, 2, 3, 4, 5))], names=["cell", "asks", "fp", "mark", "label", "size", "bits"])
 
     def compare(batches):
         held = None
@@ -277,25 +299,27 @@ def copy_pairs(entries: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> D
 
     def done(t, bounds):
         fp, asks, mark, label, size, chunk, i, j = (t.column(c).to_numpy() for c in ("fp", "asks", "mark", "label", "size", "chunk", "i", "j"))
-        x = fp.view(np.uint64)
+        x, size = fp.view(np.uint64), size.astype(np.int64)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP // 8)
         for a, z in zip(bounds, bounds[1:]):
             owners = np.flatnonzero(~asks[a:z]) + a
             for k in range(0, len(owners) if z - a > 1 else 0, 256):
                 o = owners[k : k + 256]
                 near = (np.bitwise_count(x[o][:, None] ^ x[None, a:z]) <= radius) & (label[o][:, None] != label[None, a:z])
-                near &= (whole * size[o].astype(np.int64)[:, None] >= least * size[None, a:z]) & (whole * size[None, a:z].astype(np.int64) >= least * size[o][:, None])
                 if i[a] != j[a]:
                     near &= chunk[o][:, None] != chunk[None, a:z]
                 p, q = np.nonzero(near)
-                if len(p):
-                    p, q = mark[o[p]], mark[a + q]
+                p, q = o[p], a + q
+                ok = may_be_copies(bits, size, p, q)
+                if ok.any():
+                    p, q = mark[p[ok]], mark[q[ok]]
                     both = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
-    placed = entries.select("seed", "fp", "mark", "label", "size").mapInArrow(spread, kinds)
+    placed = entries.select("seed", "fp", "mark", "label", "size", "bits").mapInArrow(spread, kinds)
     large = placed.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
     cut = placed.join(large, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
-    blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "asks", "fp", "mark", "label", "size", "chunk")
+    blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "asks", "fp", "mark", "label", "size", "bits", "chunk")
     return blocks.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "u long, v long").distinct()
 
 
@@ -314,7 +338,7 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
     Candidates are texts of which any of `seeds` fingerprints over their distinct words lies within `radius`
     bits; each is tested on the whole shingle sets (as 64-bit hashes). The candidates' spanning forest is
     tested first, so that members of one large group are joined by few tests; then all candidate pairs that
-    are not connected yet. Texts of equal shingle sets are one node, so many copies cost no more than one;
+    are not connected yet and whose bitmaps leave the similarity open. Texts of equal shingle sets are one node, so many copies cost no more than one;
     null, empty and white texts are copies of each other; an empty table gives no rows.
     """
 
@@ -325,7 +349,7 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
                 texts = b.column(1).cast(pa.binary()).to_pylist()
                 sets = [shingle_set(t) for t in texts]
                 fps = np.array([word_fingerprints(t, seeds) for t in texts], np.uint64).reshape(-1, seeds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mark_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * seeds, pa.int32()), pa.array(fps.reshape(-1)))], names=["doc_id", "mark", "size", "fps"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mark_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * seeds, pa.int32()), pa.array(fps.reshape(-1)))], names=["doc_id", "mark", "size", "bits", "fps"])
 
     def shingled(batches):
         for whole in batches:
@@ -335,8 +359,8 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
 
     texts = id_and_text(docs)
     with small_batches(docs.sparkSession):
-        of = written(texts.mapInArrow(run, "doc_id long, mark long, size int, fps array<long>"), "words")
-    classes = written(of.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fps").alias("fps")), "classes")
+        of = written(texts.mapInArrow(run, "doc_id long, mark long, size int, bits binary, fps array<long>"), "words")
+    classes = written(of.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fps").alias("fps")), "classes")
     each = classes.select("mark", "size", F.posexplode("fps").alias("seed", "fp"))
     held = written(each.groupBy("seed", "fp").agg(F.min("mark").alias("least"), F.max("mark").alias("most")), "fingerprints")
     near = written(near_links(held, radius).distinct(), "near")
@@ -353,7 +377,7 @@ def copy_groups(docs: DataFrame, seeds: int = COPY_SEEDS, radius: int = RADIUS)
     first = same.unionByName(across).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
     linked = written(copies_of(first, sets), "copies")
     labels = components(linked).select(F.col("u").alias("mark"), F.col("v").alias("label"))
-    open_pairs = copy_pairs(entries.join(labels, "mark", "left").withColumn("label", F.coalesce("label", "mark")), radius)
+    open_pairs = copy_pairs(entries.join(classes.select("mark", "bits"), "mark").join(labels, "mark", "left").withColumn("label", F.coalesce("label", "mark")), radius)
     more = written(copies_of(open_pairs, sets), "copies")
 
     roots = components(linked.unionByName(more)).select(F.col("u").alias("mark"), F.col("v").alias("root"))

@@ -214,11 +214,27 @@ def test_copy_pairs_and_a_chain_of_copies(spark):
         text[i * 10] = f"n{i}"
     got = {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0}
-    entries = spark.createDataFrame([(0, 7, m, label, size) for m, label, size in [(1, 1, 100), (2, 1, 100), (3, 3, 80), (4, 4, 79)]] + [(1, 7, 9, 9, 100)], "seed int, fp long, mark long, label long, size int")
+    bits = bytearray(b"\xff" * simhash.BITMAP)
+    entries = spark.createDataFrame([(0, 7, m, label, size, bits) for m, label, size in [(1, 1, 100), (2, 1, 100), (3, 3, 80), (4, 4, 79)]] + [(1, 7, 9, 9, 100, bits)], "seed int, fp long, mark long, label long, size int, bits binary")
     for rows in (4096, 1):
         assert sorted(tuple(r) for r in simhash.copy_pairs(entries, 3, rows).collect()) == [(1, 3), (2, 3), (3, 4)]
 
 
+def test_bitmaps_leave_no_copy_out():
+    rng = random.Random(6)
+    sets = []
+    for n in (1, 3, 10, 150, 900, 5000):
+        base = [rng.getrandbits(63) for _ in range(n)]
+        for share in (0.0, 0.02, 0.05, 0.1, 0.15, 0.3, 0.6):
+            sets.append(np.unique([x if rng.random() >= share else rng.getrandbits(63) for x in base]).astype(np.int64))
+    bits = np.frombuffer(b"".join(map(simhash.bitmap_of, sets)), np.uint64).reshape(len(sets), -1)
+    size = np.array([len(s) for s in sets])
+    p, q = (x.reshape(-1) for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    ok = simhash.may_be_copies(bits, size, p, q)
+    share = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(p, q)])
+    assert ok[share >= 0.8].all() and not ok[(share < 0.6) & (size[p] < 200)].any()
+
+
 def dedup_plain(rows):
     first: dict[bytes, int] = {}
     for i, t in sorted(rows):
