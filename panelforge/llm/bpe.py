@@ -35,7 +35,7 @@ UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Units that are one word of Latin letters and then signs, as the pre-token pattern cuts them too.
 SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 #: Units and pre-tokens kept with their ids in a Python worker; twice as many at most. Longer ones are not kept.
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
+CACHE_UNITS, CACHE_CHARS = 700_000, 64
 #: Characters of a text whose units are cut at once, and ids that go on together.
 STEP_CHARS = 1 << 16
 #: Bytes of a pre-token between two looks for final tokens.
