@@ -99,10 +99,11 @@ def ema(x: np.ndarray, n: int, start: int | None = None) -> np.ndarray:
     first = n - 1 if start is None else start
     if len(x) > first:
         k, v = 2.0 / (n + 1), x[first - n + 1 : first + 1].mean()
-        out[first] = v
-        for i in range(first + 1, len(x)):
-            v += k * (x[i] - v)
-            out[i] = v
+        tail = [v := float(v)]
+        for y in x[first + 1 :].tolist():
+            v += k * (y - v)
+            tail.append(v)
+        out[first:] = tail
     return out
 
 
@@ -112,10 +113,11 @@ def wilder(x: np.ndarray, n: int, first: int, mean_seed: bool = True) -> np.ndar
     at = first + n - 1
     if len(x) > at:
         v = x[first : at + 1].mean() if mean_seed else x[first : at + 1].sum()
-        out[at] = v
-        for i in range(at + 1, len(x)):
-            v = (v * (n - 1) + x[i]) / n if mean_seed else v - v / n + x[i]
-            out[i] = v
+        tail = [v := float(v)]
+        for y in x[at + 1 :].tolist():
+            v = (v * (n - 1) + y) / n if mean_seed else v - v / n + y
+            tail.append(v)
+        out[at:] = tail
     return out
 
 
@@ -147,11 +149,11 @@ def recursive_of(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> dict[s
         for x in (plus, minus, tr):
             s = np.full(n, np.nan)
             if n > 13:
-                v = x[1:14].sum()
-                s[13] = v
-                for i in range(14, n):
-                    v = v - v / 14 + x[i]
-                    s[i] = v
+                tail = [v := float(x[1:14].sum())]
+                for y in x[14:].tolist():
+                    v = v - v / 14 + y
+                    tail.append(v)
+                s[13:] = tail
             sums.append(s)
         di_p, di_m = 100 * sums[0] / sums[2], 100 * sums[1] / sums[2]
         dx = np.where(di_p + di_m == 0, 0.0, 100 * np.abs(di_p - di_m) / (di_p + di_m))
@@ -160,19 +162,30 @@ def recursive_of(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> dict[s
 
 
 def recursive(df: DataFrame, code: str = CODE, date: str = DATE) -> DataFrame:
-    """df with the RECURSIVE columns. Rows with a missing price are left out of the recursion and get null; the function gets only the
-    columns it needs, one code a group (a code's history is bounded by its sessions)."""
+    """df with the RECURSIVE columns. Rows with a missing price are left out of the recursion and get null.
+
+    One code a group (a code's history is bounded by its sessions). Where all columns are text and doubles the group carries them
+    and nothing is joined; otherwise it gets the columns that it needs and its results are joined by code and date.
+    """
+    plain = all(f.dataType.simpleString() in ("string", "double") for f in df.schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
-        x = {c: pdf[c].to_numpy(float) for c in ("high", "low", "close")}
-        return pdf[[code, date]].assign(**recursive_of(x["high"], x["low"], x["close"]))
-
-    priced = df.filter("high is not null and low is not null and close is not null").select(code, date, "high", "low", "close")
-    kinds = f"{code} string, {date} string, " + ", ".join(f"{c} double" for c in RECURSIVE)
-    found = priced.groupBy(code).applyInPandas(run, kinds)
-    found = found.select(code, date, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE])
-    return df.join(found, [code, date], "left")
+        x = pdf[["high", "low", "close"]].to_numpy(float)
+        ok = ~np.isnan(x).any(axis=1)
+        found = recursive_of(*np.ascontiguousarray(x[ok].T))
+        columns = {}
+        for c in RECURSIVE:
+            columns[c] = np.full(len(pdf), np.nan)
+            columns[c][ok] = found[c]
+        return pdf.assign(**columns)
+
+    own = df if plain else df.select(code, date, *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", " + ", ".join(f"{c} double" for c in RECURSIVE)
+    found = own.groupBy(code).applyInPandas(run, kinds)
+    doubles = [f.name for f in own.schema if f.dataType.simpleString() == "double"]
+    found = found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (*doubles, *RECURSIVE)})
+    return found if plain else df.join(found.select(code, date, *RECURSIVE), [code, date], "left")
 
 
 def macd_state(df: DataFrame) -> DataFrame:

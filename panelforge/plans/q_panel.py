@@ -376,7 +376,8 @@ WEIGHTS = {"momentum": (0.5, 1), "vol": (0.3, -1), "adv": (0.2, 1)}
 
 def month_end(t):
     d = with_returns(t).withColumn("momentum", roll.change("close", 20)).withColumn("vol", roll.std("return_1", 20)).withColumn("adv", roll.mean("amount", 20))
-    last = d.groupBy(F.substring("trade_date", 1, 6)).agg(F.max("trade_date").alias("trade_date")).select("trade_date")
+    date = F.date_format("l_shipdate", "yyyyMMdd")  # month ends come from the dates alone, so the panel is built once
+    last = t.lineitem.groupBy(F.substring(date, 1, 6)).agg(F.max(date).alias("trade_date")).select("trade_date")
     return d.join(last, "trade_date", "left_semi")
 
 

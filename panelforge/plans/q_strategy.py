@@ -23,7 +23,8 @@ def ruled(t):
     over = W.orderBy("trade_date").rowsBetween(-199, 0)  # a table of dates
     b = b.withColumn("benchmark_sma_200", F.when(F.count("benchmark_close").over(over) >= 200, F.avg("benchmark_close").over(over)))
     d = d.select("code", "trade_date", *[roll.change("close", n).alias(f"momentum_{n}") for n in (20, 60, 120)], (F.col("close") / roll.mean("close", 200) - 1).alias("sma_distance_200"), roll.std("return_1", 20).alias("vol"), roll.mean("amount", 20).alias("adv"), F.col("volume").alias("quality_raw"), (F.col("close") - 20).alias("pe_ttm"), (F.col("high") / F.col("low")).alias("pb"), (F.col("high") / F.col("low") - 1.2).alias("discount_premium"))
-    last = d.groupBy(F.substring("trade_date", 1, 6)).agg(F.max("trade_date").alias("trade_date")).select("trade_date")
+    date = F.date_format("l_shipdate", "yyyyMMdd")
+    last = t.lineitem.groupBy(F.substring(date, 1, 6)).agg(F.max(date).alias("trade_date")).select("trade_date")
     d = d.join(last, "trade_date", "left_semi").join(b, "trade_date")
     rank = lambda c: xsec.pct_rank(c, ["trade_date"])
     return d.withColumn("quality", rank("quality_raw")).withColumn("low_volatility", 1 - rank("vol")).withColumn("liquidity", rank("adv")).withColumn("tracking_error_20", F.col("vol"))
