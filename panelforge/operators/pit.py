@@ -9,9 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns that can be ordered, as the last part of an order: what ties by the others is then settled the same way in every run."""
+    return F.struct(*[F.col(f"`{f.name}`") for f in df.schema if not f.dataType.simpleString().startswith("map")])
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row a key: the last by `order`."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*[c.desc() for c in order]))).filter("__n = 1").drop("__n")
+    """One row a key: the last by `order`, then by the whole row."""
+    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*[c.desc() for c in (*order, whole_row(df))]))).filter("__n = 1").drop("__n")
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,9 +123,9 @@ def complete_cohort(df: DataFrame, key: list[str], part: str, parts: int) -> Dat
 
 
 def prefer(preferred: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Union by key; where both have a key the preferred row stays."""
+    """Union by key; where both have a key the preferred row stays, of several the least."""
     both = preferred.withColumn("__p", F.lit(0)).unionByName(other.withColumn("__p", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("__p"))).filter("__n = 1").drop("__n", "__p")
+    return both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("__p", whole_row(both)))).filter("__n = 1").drop("__n", "__p")
 
 
 def decayed_sum(rows: DataFrame, events: DataFrame, code: str, time: str, event_time: str, weight: str, half_life_days: float, max_age_days: int) -> DataFrame:
