@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.llm import rules
 from panelforge.llm.shared import documents
 
 
@@ -75,6 +76,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.rules import judged
+
+    return judged(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
@@ -86,7 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_motion_jpeg": op9_motion_jpeg,
     "op10_bpe": op10_bpe,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_quality_rules": rules.SQL}
