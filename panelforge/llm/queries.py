@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import rules
+from panelforge.llm import divergence, rules, variants
 from panelforge.llm.shared import documents
 
 
@@ -76,12 +76,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.divergence import audited
+
+    return audited(documents(spark, sf_dir))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.llm.rules import judged
 
     return judged(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelforge.llm.variants import grouped
+
+    return grouped(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
@@ -93,8 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_motion_jpeg": op9_motion_jpeg,
     "op10_bpe": op10_bpe,
+    "op11_source_divergence": op11_source_divergence,
     "op12_quality_rules": op12_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op12_quality_rules": rules.SQL}
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence.SQL, "op12_quality_rules": rules.SQL, "op13_spelling_variants": variants.SQL}
