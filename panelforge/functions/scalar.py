@@ -112,3 +112,34 @@ def unique_place(text: str | Column, quote: str | Column) -> Column:
     first = F.instr(col(text), col(quote))
     again = F.position(col(quote), col(text), first + 1)
     return F.when((first > 0) & (again == 0), first - 1)
+
+
+def relocated(text: str | Column, quote: str | Column, ignore_space: bool = False) -> Column:
+    """struct(start, end, source) of the one place in the raw text that a quote stands for, null if there is none or more than one.
+
+    Text and quote are compared with line ends as line feeds and full-width forms folded (and white space left out); places are code
+    points of the raw text, end exclusive, and source is what stands there. For the way back CR LF pairs become a CR, which makes
+    a text of the compared one's length: a compared place lies as many characters further on as there are CRs before it.
+    """
+    raw = col(text)
+    paired = F.replace(F.regexp_replace(raw, "\\r(?!\\n)", "\n"), F.lit("\r\n"), F.lit("\r"))
+    folded = lambda c: half_width(F.regexp_replace(c, "\\r\\n?", "\n"))
+    tight = lambda c: F.regexp_replace(folded(c), "\\s", "") if ignore_space else folded(c)
+    wanted = tight(col(quote))
+    at = unique_place(tight(raw), wanted)
+
+    def offset(pairs: Column, n: Column) -> Column:
+        return n + F.length(F.substring(pairs, F.lit(1), n)) - F.length(F.replace(F.substring(pairs, F.lit(1), n), F.lit("\r"), F.lit("")))
+
+    def struct(first: Column, last: Column, pairs: Column) -> Column:
+        start, end = offset(pairs, first), offset(pairs, last)
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(raw, start + 1, end - start).alias("source"))
+
+    def place(x: Column) -> Column:
+        if not ignore_space:
+            return struct(x["at"], x["at"] + F.length(x["wanted"]), x["pairs"])
+        seen = F.filter(F.transform(F.split(x["pairs"], ""), lambda c, i: F.when(~half_width(c).rlike("\\s") & (c != ""), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(seen), lambda k: struct(F.get(k, x["at"]), F.get(k, x["at"] + F.length(x["wanted"]) - 1) + 1, x["pairs"]))[0]
+
+    held = F.struct(at.alias("at"), wanted.alias("wanted"), paired.alias("pairs"))
+    return F.transform(F.array(held), lambda x: F.when(x["at"].isNotNull() & (F.length(x["wanted"]) > 0), place(x)))[0]

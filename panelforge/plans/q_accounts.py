@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalar import cn_number, cn_percent, half_width, title_key, unique_place
+from panelforge.functions.scalar import cn_number, cn_percent, half_width, relocated, title_key, unique_place
 from panelforge.operators import documents as docs
 from panelforge.operators import evaluation as evalu
 from panelforge.operators import performance as perf
 from panelforge.operators import portfolio as port
-from panelforge.operators import pit, xsec
+from panelforge.operators import lineage, mentions, pit, xsec
 from panelforge.plans.base import PANEL, RETURNS, panel, query, universe, with_returns
 from panelforge.plans.q_panel import LABELS, MONTH_END, WC, WEIGHTS, labelled, month_end
 from panelforge.plans.q_pit import rank_sql
@@ -311,20 +311,62 @@ def _(t):
     return docs.append_lineage(t.orders.filter("o_orderstatus = 'F'"), t.orders.filter("o_orderstatus <> 'F'"), ["o_orderkey"]).select("o_orderkey")
 
 
+EDGES = """e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+def edges(t):
+    """Regions lead to nations, these to customers and back to regions (a cycle), customers to orders."""
+    link = lambda d, a, x, b, y: d.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("s"), F.concat(F.lit(b), F.col(y).cast("string")).alias("t"))
+    return link(t.nation, "r", "n_regionkey", "n", "n_nationkey").unionByName(link(t.customer, "n", "c_nationkey", "c", "c_custkey")).unionByName(link(t.orders, "c", "o_custkey", "o", "o_orderkey")).unionByName(link(t.nation, "n", "n_nationkey", "r", "n_regionkey"))
+
+
+@query("d20_descendants", f"WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT s AS root, s AS node, 0 AS depth FROM e WHERE s LIKE 'r%' UNION SELECT r.root, e.t, r.depth + 1 FROM r JOIN e ON r.node = e.s WHERE r.depth < 6) SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2")
+def _(t):
+    return lineage.reached(edges(t), edges(t).filter("s like 'r%'").select("s").distinct(), "s", "t")
+
+
+@query("d20_ancestors", f"WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT t AS root, t AS node, 0 AS depth FROM e WHERE t LIKE 'o%' UNION SELECT r.root, e.s, r.depth + 1 FROM r JOIN e ON r.node = e.t WHERE r.depth < 6) SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2")
+def _(t):
+    return lineage.reached(edges(t), edges(t).filter("t like 'o%'").select("t").distinct(), "t", "s")
+
+
+@query("d20_conflicts", "SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_quantity, l_returnflag)) AS payloads FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT (l_partkey, l_quantity, l_returnflag)) > 1 AND bool_or(l_linestatus = 'O')")
+def _(t):
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
+    part = lambda flag: t.lineitem.filter(F.col("l_linestatus") == flag).select(*cols)
+    return lineage.conflicts(t.lineitem.filter("l_linestatus <> 'O'").select(*cols), part("O"), ["l_orderkey", "l_linenumber"])
+
+
+@query("d8_relocated_quotes", """WITH d AS (SELECT doc_id, text, substr(text, 40, 30) AS q FROM documents WHERE length(text) >= 70), n AS (SELECT *, instr(text, q) AS p FROM d)
+ SELECT doc_id, p - 1 + length(substr(text, 1, p - 1)) - length(replace(substr(text, 1, p - 1), chr(10), '')) AS start, p + 29 + length(substr(text, 1, p + 29)) - length(replace(substr(text, 1, p + 29), chr(10), '')) AS end,
+ replace(q, chr(10), chr(13) || chr(10)) AS source FROM n WHERE instr(substr(text, p + 1), q) = 0""")
+def _(t):
+    """Quotes with full-width full stops, from texts whose line ends are CR LF, found in the raw text."""
+    d = t.documents.filter(F.length("text") >= 70).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("raw"), F.translate(F.substring("text", 40, 30), ".", "．").alias("q"))
+    return d.select("doc_id", relocated("raw", "q").alias("at")).filter("at is not null").select("doc_id", "at.*")
+
+
+@query("d19_mentions", """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'All rights reserved|MIT License|Apache License, Version 2.0|License|rights|Version 2')) AS pattern FROM documents) SELECT doc_id, pattern, CASE WHEN pattern LIKE '%License%' THEN 'licence' ELSE 'notice' END AS kind, count(*) AS n FROM m GROUP BY 1, 2, 3""")
+def _(t):
+    names = ["All rights reserved", "MIT License", "Apache License, Version 2.0", "License", "rights", "Version 2"]
+    patterns = t.spark.createDataFrame([(n, "licence" if "License" in n else "notice", 0) for n in names], "pattern string, kind string, priority int")
+    return mentions.find_mentions(t.documents, patterns, "doc_id", "text").groupBy("doc_id", "pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s16_html_text")
 def _(t):
     d = docs.extract_text(t.pages, "html", "text")
     return d.select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def _source(t):
+def _source(t, files_a_batch=1):
     """The events table as a stream, and a new folder in the shared one."""
     from panelforge.sources.store import shared_folder
 
     events = t.events
     file = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")
     whole = file.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(file).isDirectory()
-    return ingest.stream(t.spark, f"{t.dir}/events.parquet" if whole else t.dir, events.schema, pattern="*.parquet" if whole else "events.parquet"), shared_folder(t.spark, "stream")
+    return ingest.stream(t.spark, f"{t.dir}/events.parquet" if whole else t.dir, events.schema, files_a_batch, "*.parquet" if whole else "events.parquet"), shared_folder(t.spark, "stream")
 
 
 def _streamed(t, build):
@@ -335,10 +377,10 @@ def _streamed(t, build):
     return t.spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
-def _changes(t, build, mode):
+def _parts(t, part):
+    """Run a stream over the events table to its end, batch by batch, and read the parts."""
     source, path = _source(t)
-    out = build(source)
-    ingest.run_changes(out, f"{path}/checkpoint", f"{path}/out", mode)
+    ingest.run_parts(source, f"{path}/checkpoint", f"{path}/out", part)
     return t.spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
 
 
@@ -353,13 +395,11 @@ def _(t):
 
 @query("stream_windowed_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2, 3", "total", 4)
 def _(t):
-    rows = _changes(t, lambda s: ingest.windowed(s, "ts", "1 hour", "1 day", None, ["event_type"], "value"), "update")
-    return _plain_times(ingest.latest_rows(rows, ["window_start", "event_type"]), "window_start", "window_end")
+    parts = _parts(t, ingest.window_parts("ts", "1 day", None, ["event_type"], "value"))
+    return _plain_times(ingest.merged_windows(parts, ["event_type"]), "window_start", "window_end")
 
 
 @query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
  SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def _(t):
-    rows = _changes(t, lambda s: ingest.sessions(s, "ts", "1 hour", "6 hours", ["user_id"]), "complete")
-    last = rows.agg(F.max("batch").alias("last"))
-    return _plain_times(rows.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("batch", "last"), "session_start", "session_end")
+    return _plain_times(ingest.merged_sessions(_parts(t, ingest.session_parts("ts", "6 hours", ["user_id"])), ["user_id"]), "session_start", "session_end")

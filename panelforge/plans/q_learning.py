@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.operators import evaluation as evalu
-from panelforge.operators import learning, performance, roll
+from panelforge.operators import calibration as calib
+from panelforge.operators import learning, performance, ranking, roll
+from panelforge.operators import allocation as alloc
+from panelforge.operators import increment as incr
 from panelforge.operators import portfolio as port
 from panelforge.plans.base import RETURNS, query, with_returns
 from panelforge.plans.q_accounts import IC, NAV, PROBS, nav, probs, signal
@@ -192,4 +195,115 @@ def _(t):
     return out.select("trade_date", "code", "side", "shares", "value", "cash_after")
 
 
+EVENTS = f"{FEATURES}, ev AS (SELECT code, trade_date, momentum, vol, y, CASE WHEN abs(short) > 1 THEN sign(short) ELSE 0 END AS ev_jump, CASE WHEN size > 12 THEN 1.0 ELSE 0 END AS ev_burst, CASE WHEN momentum IS NULL THEN 0 ELSE 1 END AS covered FROM lf)"
+
+
+def with_events(t):
+    """Base features, two event-like ones that are 0 on most days, and where history covers them."""
+    jump = F.when(F.abs("short") > 1, F.signum("short")).otherwise(0.0)
+    return featured(t).select("code", "trade_date", "momentum", "vol", "y", jump.alias("ev_jump"), F.when(F.col("size") > 12, 1.0).otherwise(0.0).alias("ev_burst"), F.when(F.col("momentum").isNull(), 0).otherwise(1).alias("covered"))
+
+
+@query("m13_event_support", f"""WITH {EVENTS}, a AS (SELECT trade_date, covered > 0 AS c, covered > 0 AND (abs(ev_jump) > 1e-12 OR abs(ev_burst) > 1e-12) AS a FROM ev),
+ g AS (SELECT count(*) AS rows, count(DISTINCT trade_date) AS dates, count(*) FILTER (WHERE c) AS covered_rows, count(*) FILTER (WHERE a) AS active_rows, count(DISTINCT trade_date) FILTER (WHERE a) AS active_dates FROM a)
+ SELECT *, covered_rows / rows AS covered_ratio, active_rows / rows AS active_ratio, CASE WHEN active_dates >= 20 AND active_rows >= 100 THEN 'supported' ELSE 'insufficient_support' END AS status FROM g""", "covered_ratio active_ratio")
+def _(t):
+    return incr.support(with_events(t), ["ev_jump", "ev_burst"], coverage="covered")
+
+
+@query("m13_paired_bootstrap", f"""WITH {EVENTS}, m AS (SELECT substr(trade_date, 1, 6) AS month, round(avg(vol), 9) AS a, round(avg(momentum), 9) AS b FROM ev GROUP BY 1), d AS (SELECT month, b - a AS d FROM m WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT count(*) AS n, least(5, count(*)) AS size, avg(d) AS mean_delta FROM d),
+ b AS (SELECT row_number() OVER (ORDER BY month) - 1 AS start, sum(d) OVER (ORDER BY month ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM d),
+ x AS (SELECT sample, CAST('0x' || substr(md5('7:' || sample || ':' || draw), 1, 8) AS BIGINT) % (n - size + 1) AS start, size, ceil(n / size) AS k FROM n, (SELECT unnest(range(400)) AS sample) AS a, (SELECT unnest(range(200)) AS draw) AS c WHERE draw < ceil(n / size)),
+ y AS (SELECT sample, sum(s) / (any_value(size) * any_value(k)) AS m FROM x JOIN b USING (start) GROUP BY 1)
+ SELECT (SELECT n FROM n) AS periods, (SELECT mean_delta FROM n) AS mean_delta, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg(CAST(m > 0 AS INTEGER)) AS positive FROM y""", "mean_delta low high positive")
+def _(t):
+    m = with_events(t).groupBy(F.substring("trade_date", 1, 6).alias("month")).agg(F.round(F.avg("vol"), 9).alias("a"), F.round(F.avg("momentum"), 9).alias("b"))
+    return incr.paired_bootstrap(m, "month", "a", "b", 400, 5, 7)
+
+
+@query("m13_increment")
+def _(t):
+    d = with_events(t).withColumn("label_end", F.lead("trade_date", 5).over(roll.series())).filter("y is not null")
+    d = d.withColumns({c: F.coalesce(F.greatest(F.least(c, F.lit(2.0)), F.lit(-2.0)), F.lit(0.0)) for c in ("momentum", "vol")})
+    return incr.increment(d, ["momentum", "vol"], ["ev_jump", "ev_burst"], "y", "label_end", 5, coverage="covered", samples=500)
+
+
+def industry_returns(t):
+    r = with_returns(t).filter("return_1 is not null")
+    return r.groupBy("industry", "account", F.substring("trade_date", 1, 6).alias("month")).agg(F.round(F.avg(F.least("return_1", F.lit(3.0))) / 100, 9).alias("r"))
+
+
+MONTHLY = f"{RETURNS}, r AS (SELECT industry, account, substr(trade_date, 1, 6) AS month, round(avg(least(return_1, 3.0)) / 100, 9) AS r FROM returns WHERE return_1 IS NOT NULL GROUP BY 1, 2, 3)"
+
+
+@query("p5_shrunk_covariance", f"""WITH {MONTHLY}, p AS (SELECT account, count(DISTINCT industry) AS p FROM r GROUP BY 1), w AS (SELECT r.account, r.month FROM r JOIN p USING (account) GROUP BY 1, 2 HAVING count(*) = any_value(p.p)), q AS (SELECT r.* FROM r JOIN w USING (account, month)),
+ c AS (SELECT q.account, q.month, q.industry, q.r - avg(q.r) OVER (PARTITION BY q.account, q.industry) AS x FROM q), s AS (SELECT a.account, a.industry AS a, b.industry AS b, count(*) AS n, sum(a.x * b.x) / count(*) AS s FROM c a JOIN c b ON a.account = b.account AND a.month = b.month AND a.industry <= b.industry GROUP BY 1, 2, 3),
+ f AS (SELECT account, sum(q * q) AS q4 FROM (SELECT account, month, sum(x * x) AS q FROM c GROUP BY 1, 2) AS z GROUP BY 1), t AS (SELECT account, max(n) AS n, sum(s) FILTER (WHERE a = b) AS tr, sum(CASE WHEN a = b THEN 1 ELSE 2 END * s * s) AS s2 FROM s GROUP BY 1),
+ k AS (SELECT t.account, tr / p AS mu, greatest(0, least(1, (q4 / n - s2) / n / (s2 - tr * tr / p))) AS k FROM t JOIN p USING (account) JOIN f USING (account))
+ SELECT s.account, s.a, s.b, 1e6 * (s.s * (1 - k) + CASE WHEN s.a = s.b THEN k * mu ELSE 0 END) AS cov, k AS shrinkage FROM s JOIN k USING (account)""", "cov shrinkage", 5)
+def _(t):
+    return alloc.shrunk(industry_returns(t), "account", "industry", "month", "r").select("account", "a", "b", (F.col("cov") * 1e6).alias("cov"), "shrinkage")
+
+
+@query("p14_blocked_correlations", f"""WITH {MONTHLY} SELECT a.account, a.industry AS a, b.industry AS b, count(*) AS n, corr(a.r, b.r) AS corr FROM r a JOIN r b ON a.account = b.account AND a.month = b.month AND a.industry < b.industry GROUP BY 1, 2, 3 HAVING count(*) >= 6""", "corr", 4)
+def _(t):
+    d = alloc.covariances(alloc.pair_sums(industry_returns(t), "account", "industry", "month", "r"), 6)
+    return d.filter("a < b").select("account", "a", "b", "n", "corr")
+
+
+def book(t):
+    """Candidates of an account: last month's return as alpha, what the first industry of the alphabet holds, equal benchmark."""
+    w = W.partitionBy("account")
+    last = industry_returns(t).groupBy("account", "industry").agg(F.avg("r").alias("alpha"), F.stddev_samp("r").alias("volatility"))
+    first = F.col("industry") == F.min("industry").over(w)
+    return last.select("account", "industry", F.round("alpha", 9).alias("alpha"), F.round("volatility", 9).alias("volatility"), F.when(first, 0.3).otherwise(0.0).alias("current"), (1 / F.count(F.lit(1)).over(w)).alias("benchmark"), F.lit(10.0).alias("cost_bps"), F.substring("industry", 1, 1).alias("letter"))
+
+
+@query("p5_covariance_weights")
+def _(t):
+    cov = alloc.shrunk(industry_returns(t), "account", "industry", "month", "r")
+    return alloc.covariance_weights(book(t), cov, "account", "industry", cap=0.35, budget=0.95, group="letter", group_cap=0.5, turnover_penalty=0.2, band=0.01)
+
+
+@query("p6_constrained_weights")
+def _(t):
+    cov = alloc.shrunk(industry_returns(t), "account", "industry", "month", "r")
+    limits = alloc.Limits(positions=3, name=0.4, gross=0.95, turnover=0.6, tracking_error=0.02, groups={"letter": 0.6})
+    out = alloc.constrained_weights(book(t), cov, "account", "industry", limits, risk_aversion=5.0, active_risk_aversion=1.0)
+    return out.select("account", "industry", "weight", "cash", "turnover", "volatility", "tracking_error", F.concat_ws(",", "binding").alias("binding"), "fallback")
+
+
+def relevant(t):
+    """Month-end rows with features and a relevance from 0 to 3 by quarter of the following return; later years are held out."""
+    d = featured(t).filter("y is not null")
+    place = F.ntile(4).over(W.partitionBy("month").orderBy("y", "code"))
+    return d.withColumn("month", F.substring("trade_date", 1, 6)).withColumn("relevance", place - 1)
+
+
+@query("m3_ranking")
+def _(t):
+    d = relevant(t)
+    fitted = ranking.fit_ranker(d, train(), NAMES, "relevance", date="month", trees=4, depth=2, count=16)
+    return ranking.ndcg(ranking.ranked_scores(d, fitted).withColumn("id", F.concat("code", "trade_date")), "score", "relevance", "month", "id")
+
+
+@query("m4_isotonic", """WITH g AS (SELECT l_quantity AS x, count(*) AS w, sum(CAST(l_discount * 100 AS DECIMAL(18, 4))) AS t FROM lineitem GROUP BY 1), c AS (SELECT x, w, sum(w) OVER (ORDER BY x) AS w1, sum(t) OVER (ORDER BY x) AS t1, coalesce(sum(w) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0, coalesce(sum(t) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0 FROM g),
+ m AS (SELECT a.x AS j, b.x AS k, (b.t1 - a.t0)::DOUBLE / (b.w1 - a.w0)::DOUBLE AS mean FROM c a JOIN c b ON a.x <= b.x), n AS (SELECT c.x, m.j, min(m.mean) AS low FROM c JOIN m ON m.j <= c.x AND m.k >= c.x GROUP BY 1, 2), f AS (SELECT x, round(max(low), 9) AS fitted FROM n GROUP BY 1)
+ SELECT min(x) AS low, max(x) AS high, sum(w)::DOUBLE AS weight, fitted FROM f JOIN g USING (x) GROUP BY fitted""", "fitted")
+def _(t):
+    return calib.isotonic(t.lineitem.withColumn("v", F.round(F.col("l_discount") * 100, 2)), "l_quantity", "v")
+
+
+@query("m4_temperature")
+def _(t):
+    """Temperature of three classes of orders, from logits of the price that are too sure of a class the customer shifts."""
+    price = F.col("o_totalprice") / 1e4
+    shifted = price + (F.col("o_custkey") % 7 - 3) * 2
+    y = F.when(shifted > 25, 0).when(shifted < 10, 1).otherwise(2)
+    d = t.orders.select(F.col("o_orderpriority").alias("k"), (price - 25).alias("up"), (10 - price).alias("down"), F.lit(0.0).alias("flat"), y.alias("y"))
+    value = calib.temperature(d, ["up", "down", "flat"], "y")
+    z = calib.softmax([F.col(c) / value for c in ("up", "down", "flat")])
+    return d.select("k", F.lit(value).alias("temperature"), (-F.log(F.get(F.array(*z), F.col("y")))).alias("loss")).groupBy("k", "temperature").agg(F.avg("loss").alias("loss"))
+
+
 __all__ = ["PROBS"]

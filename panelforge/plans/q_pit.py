@@ -223,10 +223,13 @@ def _(t):
     return j.groupBy("l_orderkey").agg(F.max(F.concat("l_linestatus", "l_returnflag")).alias("name"), F.count(F.lit(1)).alias("n"))
 
 
-@query("j12_next_session_entry", f"""WITH {PANEL}, s AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS session FROM panel),
- e AS (SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code, strftime(o_orderdate, '%Y%m%d') AS event_date FROM orders),
- n AS (SELECT e.code, event_date, s.trade_date AS entry_date, session, open FROM e ASOF JOIN s ON e.code = s.code AND e.event_date < s.trade_date)
- SELECT n.code, event_date, entry_date, horizon, x.trade_date AS exit_date, x.close / n.open - 1 AS ret FROM n CROSS JOIN (SELECT unnest([1, 5]) AS horizon) AS hz LEFT JOIN s x ON x.code = n.code AND x.session = n.session + horizon - 1""", "ret")
+@query("j12_next_session_entry", f"""WITH {PANEL}, s AS MATERIALIZED (SELECT code, trade_date, open, close, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS session FROM panel),
+ e AS MATERIALIZED (SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code, strftime(o_orderdate, '%Y%m%d') AS event_date FROM orders),
+ u AS (SELECT code, event_date AS d, 1 AS is_event, CAST(NULL AS BIGINT) AS session FROM e UNION ALL SELECT code, trade_date, 0, session FROM s),
+ v AS (SELECT code, d AS event_date, is_event, min(session) OVER (PARTITION BY code ORDER BY d DESC, is_event DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS session FROM u),
+ n AS MATERIALIZED (SELECT v.code, v.event_date, v.session, s.trade_date AS entry_date, s.open FROM v JOIN s ON v.code = s.code AND v.session = s.session WHERE is_event = 1),
+ h AS (SELECT code, event_date, entry_date, open, 1 AS horizon, session AS exit FROM n UNION ALL SELECT code, event_date, entry_date, open, 5, session + 4 FROM n)
+ SELECT h.code, event_date, entry_date, horizon, x.trade_date AS exit_date, x.close / h.open - 1 AS ret FROM h LEFT JOIN s x ON x.code = h.code AND x.session = h.exit""", "ret")
 def _(t):
     e = t.orders.select(code_key(F.col("o_custkey")).alias("code"), F.date_format("o_orderdate", "yyyyMMdd").alias("event_date")).distinct()
     return pit.next_session_entry(e, panel(t), "code", "event_date", "trade_date", [1, 5]).select("code", "event_date", "entry_date", "horizon", "exit_date", "ret")

@@ -49,6 +49,12 @@ def _(t):
     return d.select("p_partkey", F.col("price").cast("double").alias("price"), F.col("as_of").cast("string").alias("as_of"))
 
 
+@query("s5_row_group_statistics", "SELECT min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last, count(*) AS rows FROM lineitem")
+def _(t):
+    path = store.write_snapshot(t.lineitem.select(F.to_date("l_shipdate").alias("d"), "l_suppkey"), folder(t, "statistics"), "20240101")
+    return store.statistics_bounds(t.spark, path, "d")[0]
+
+
 @query("s7_incremental_write", "SELECT event_type, user_id % 4 AS bucket, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2")
 def _(t):
     path = folder(t, "events")
@@ -146,8 +152,31 @@ def _(t):
 
 @query("st6_lifecycle_state", """WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events) SELECT user_id AS key, count(*) FILTER (WHERE before IS NULL OR before <> event_type) AS changes, arg_max(event_type, {'a': ts, 'b': event_type}) AS state FROM e GROUP BY 1""")
 def _(t):
-    from panelforge.plans.q_accounts import _changes
+    from panelforge.plans.q_accounts import _source
     from panelforge.streaming import ingest
 
-    rows = _changes(t, lambda s: ingest.lifecycle(s.select("user_id", "ts", "event_type"), "user_id", "ts", "event_type", "1 day"), "update")
+    source, path = _source(t)
+    ingest.lifecycle(source, f"{path}/checkpoint", path, "user_id", "ts", "event_type")
+    rows = t.spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes")
     return ingest.latest_rows(rows, ["key"]).select("key", "changes", "state")
+
+
+@query("st6_pending_orders", """WITH p AS (SELECT user_id, event_id, ts, ts + INTERVAL 12 HOUR AS until FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('signup', 'error')), w AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
+ j AS (SELECT p.*, r.ts AS rt, r.event_type AS how FROM p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.ts < r.ts)
+ SELECT user_id AS account, event_id AS order_id, CASE WHEN rt <= until THEN CASE how WHEN 'signup' THEN 'fill' ELSE 'cancel' END ELSE 'expired' END AS status, ts AS placed, CASE WHEN rt <= until THEN rt ELSE until END AS "at" FROM j, w WHERE rt IS NOT NULL OR date_trunc('millisecond', until) <= date_trunc('millisecond', w)""")
+def _(t):
+    from panelforge.plans.q_accounts import _plain_times, _source
+    from panelforge.streaming import ingest, orders
+
+    conf, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = t.spark.conf.get(conf, None)
+    t.spark.conf.set(conf, provider)
+    try:
+        source, path = _source(t, 10_000)  # what is there is one batch, whatever its files: nothing is late
+        action = F.when(F.col("event_type") == "purchase", "place").when(F.col("event_type") == "signup", "fill").when(F.col("event_type") == "error", "cancel")
+        acts = source.select("user_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("order_id"), action.alias("action"), "ts")
+        out = orders.resolved_orders(acts, "user_id", "order_id", "action", "ts", 12 * 3600 * 1000, "1 day")
+        ingest.run_available(out, f"{path}/checkpoint", f"{path}/out")
+    finally:
+        t.spark.conf.unset(conf) if before is None else t.spark.conf.set(conf, before)
+    return _plain_times(t.spark.read.schema(out.schema).parquet(f"{path}/out"), "placed", "at")

@@ -53,6 +53,30 @@ def bounds(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("rows"))
 
 
+def statistics_bounds(spark: SparkSession, path: str, column: str) -> tuple[DataFrame, bool]:
+    """((first, last, rows) of a Parquet table, whether row-group statistics answered): the aggregate is pushed into the files' footers where the
+    column's type keeps exact statistics there (whole numbers, doubles, dates), so no data page is read; else the column is scanned."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        found = bounds(spark.read.parquet(path), column)
+        pushed = "PushedAggregation: [MIN(" in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()  # one row
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.createDataFrame(rows, found.schema), pushed
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str, as_of: str, floats: bool = True) -> str:
     """One immutable directory a snapshot date; doubles become floats. Spark's commit makes it appear as a whole."""
     if floats:
@@ -67,11 +91,14 @@ def write_clustered(df: DataFrame, path: str, keys: list[str], files: int) -> No
     df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
-    """Union by key, the last write wins (new over existing, then the larger sequence)."""
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], sequence: str | None = None, by_sequence: bool = False) -> DataFrame:
+    """Union by key, the last write wins: new over existing, then the larger sequence; with by_sequence the larger sequence first. Ties go by the whole row."""
+    from panelforge.operators.pit import whole_row
+
     both = existing.withColumn("__w", F.lit(0)).unionByName(new.withColumn("__w", F.lit(1)), allowMissingColumns=True)
     order = [F.col("__w").desc()] + ([F.col(sequence).desc()] if sequence else [])
-    return both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n", "__w")
+    order = order[::-1] if by_sequence else order
+    return both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order, whole_row(both).desc()))).filter("__n = 1").drop("__n", "__w")
 
 
 def fan_in(calls: dict[str, DataFrame | Exception], observed_at: str) -> tuple[DataFrame | None, list[dict]]:
