@@ -21,6 +21,8 @@ from panelforge.llm.shared import id_and_text, kept, sliced
 
 #: Bounds of the training sample: rows per language, code points per row, code points per language.
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 12000
+#: Most languages that are learned: those with the most labelled rows, so a dirty column of labels costs no more.
+LANGUAGES = 200
 #: Texts are parsed in blocks of so many normalised characters, side by side; phrases go on across blocks.
 BLOCK_CHARS = 2048
 UNKNOWN = "und"
@@ -35,8 +37,36 @@ def normalised(text: str) -> str:
     return (clean if clean.isascii() else NUMERALS.sub(" ", clean)).strip()
 
 
+def displaced(go: list[dict[int, int]], letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, to) of sparse transition rows: that of state s and letter c lies at base[s] + c where owner is s; rows are laid into each other's gaps, wide ones first."""
+    owner, to = [0] * (2 * letters), [0] * (2 * letters)
+    base = np.zeros(len(go), np.int32)
+    free = last = letters  # no cell from `letters` to `free` is free; wide rows go on from where the last one went
+    for s in sorted(range(1, len(go)), key=lambda s: -len(go[s])):
+        edges = sorted(go[s])
+        if not edges:
+            continue
+        while free < len(owner) and owner[free]:
+            free += 1
+        at = free if len(edges) == 1 else max(free, last)
+        while True:
+            if at + letters >= len(owner):
+                owner += [0] * (len(owner) + letters)
+                to += [0] * (len(owner) - len(to))
+            b = at - edges[0]
+            if not owner[at] and not any(owner[b + c] for c in edges[1:]):
+                break
+            at += 1
+        base[s], last = b, at if len(edges) > 1 else last
+        for c in edges:
+            owner[b + c], to[b + c] = s, go[s][c]
+    end = max((i for i, o in enumerate(owner) if o), default=0) + letters + 1
+    pad = [0] * max(0, end - len(owner))
+    return base, np.array((owner + pad)[:end], np.int32), np.array((to + pad)[:end], np.int32)
+
+
 class SuffixAutomaton:
-    """Strings that occur in `codes`, as transition rows of a dense table; 0 is no transition, state 1 the start."""
+    """Strings that occur in `codes`, as sparse transition rows; 0 is no transition, state 1 the start."""
 
     def __init__(self, codes: list[int], letters: int):
         go: list[dict[int, int]] = [{}, {}]
@@ -68,10 +98,10 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
         self.size = len(codes)
-        self.table = np.zeros((len(go), letters), np.int32)
-        for state, edges in enumerate(go):
-            for c, to in edges.items():
-                self.table[state, c] = to
+        self.base, self.owner, self.to = displaced(go, letters)
+        self.first = np.zeros(letters, np.int32)
+        for c, to in go[1].items():
+            self.first[c] = to
 
 
 class Languages:
@@ -115,14 +145,14 @@ class Languages:
         last = np.cumsum(blocks)[blocks > 0] - 1
         out = np.zeros((len(texts), len(self.names)), np.int64)
         for k, automaton in enumerate(self.automata):
-            table = automaton.table
-            width, cells, again = table.shape[1], table.reshape(-1), table[1]
+            base, owns, goes, again = automaton.base, automaton.owner, automaton.to, automaton.first
 
             def step(state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 """States after the letters at these places, and the phrases that ended: a letter that the language lacks is one of its own."""
                 c = flat[at]
-                to = cells[state * width + c]
-                ended = to == 0
+                cell = base[state] + c
+                ended = owns[cell] != state
+                to = np.where(ended, 0, goes[cell])
                 restart = again[c]
                 lone = ended & (restart == 0)
                 return np.where(ended, np.where(lone, 1, restart), to), (ended & (state != 1)).astype(np.int64) + lone
@@ -177,14 +207,16 @@ def held_out():
 
 
 def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, row_chars: int = ROW_CHARS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """A bounded sample of labelled text: per language the `rows` rows that are not held out with the least hash of doc_id, an excerpt of each.
+    """A bounded sample of labelled text: of the LANGUAGES languages with the most labelled rows (ties by name) the `rows` rows each that are not held out with the least hash of doc_id, an excerpt of each.
 
     The rank filter is pushed below the shuffle, so a language with most rows sends `rows` rows a task.
     """
     n = F.length("text")
     at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(n - row_chars, F.lit(0)) + 1)
+    labelled = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    most = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     sample = (
-        docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        labelled.filter(F.col("lang").isin(most))
         .select("lang", F.xxhash64("doc_id", F.lit(5)).alias("draw"), F.expr("doc_id").alias("doc_id"), F.col("text").substr(at.cast("int"), F.lit(row_chars)).alias("excerpt"))
         .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "excerpt")))
         .filter(F.col("nth") <= rows)
