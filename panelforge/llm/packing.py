@@ -57,41 +57,44 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("row", pa.int64())])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int) -> DataFrame:
-    """Each document's ids and the end id, cut every max_tokens: a row a piece, ids kept as their checksum only."""
+    """Each document's ids and the end id, cut every max_tokens: a row a piece, ids kept as their checksum only, with the document's number in its task."""
     key, sent = vocabulary(docs.sparkSession, tokenizer_path)
 
     def run(batches):
         encoder = coders(key, sent.value)[0]
         end = np.array([end_id], "<u4").tobytes()
+        row = 0
         for whole in batches:
             for batch in sliced(whole):
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     ids = encoder.packed(text) + end
                     n = len(ids) // 4
                     for start in range(0, n, max_tokens):
                         length = min(max_tokens, n - start)
-                        for column, x in zip(out, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)):
+                        for column, x in zip(out, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, row)):
                             column.append(x)
+                    row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=PIECES)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, end_id: int = 0, documents_per_group: int = 4096, seed: int = 17) -> DataFrame:
     """Pieces with the sequence that holds them: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded_to).
 
-    Pieces are dealt into groups of about documents_per_group documents by a hash of what they are; each group is
-    packed on its own, so no task holds more than a group, whatever one doc_id holds. A sequence whose tokens are a power of two
+    Pieces are dealt into groups of about documents_per_group documents by a hash of what they are and of
+    their document's number in its task; each group is packed on its own, so no task holds more than a group, whatever one doc_id
+    or one repeated row holds. Groups are of pieces, not of documents, so that a very long document spreads. A sequence whose tokens are a power of two
     needs no padding; others are padded to max_tokens. Null and empty texts are one piece holding the
     end id; repeated rows are packed as often as they occur; ties go by doc_id and start; an empty table gives no rows.
     """
     groups = max(1, math.ceil(docs.count() / documents_per_group))
-    dealt = token_pieces(docs, tokenizer_path, max_tokens, end_id).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)).cast("long"))
+    dealt = token_pieces(docs, tokenizer_path, max_tokens, end_id).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row", F.lit(seed)), F.lit(groups)).cast("long")).drop("row")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
