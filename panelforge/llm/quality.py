@@ -6,8 +6,9 @@ bounded sample of labelled good rows. N-grams that more labelled bad rows hold t
 expect lower the ratio, so a few words of abuse count though they are rare in the raw text. A document's
 log importance weight is the mean log ratio of its n-grams times TYPICAL, the weight of so many n-grams of its
 kind: sums over all n-grams rank documents by length first (see README). The k largest of log weight plus
-standard Gumbel noise are a sample without replacement in proportion to the weights; k is given, or it is the
-number of documents whose weight is at or above a cut that is calibrated on labelled rows.
+standard Gumbel noise are a sample without replacement in proportion to the weights (`sampled`); k is given, or it is the
+number of documents whose weight is at or above a cut that is calibrated on labelled rows. The cut alone, without
+noise, is the classifier of the pipeline's stage (`classified`).
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ FIT_SHARE = 0.75
 PRIOR, SURE = 1.0, 5.0
 #: Pseudo-count of a bucket in the texts of rejected labels, and the weight of that evidence.
 BAD_PRIOR, BAD_WEIGHT = 0.1, 3.0
-#: Share of labelled good rows that the cut may reject, and the n-grams that a log weight stands for.
-GOOD_LOSS, TYPICAL = 0.005, 256.0
+#: Share of labelled good rows that the cut may reject, and the n-grams that a log weight stands for: the temperature of the sample. With fewer
+#: noise decides about clear cases, with more about none (README).
+GOOD_LOSS, TYPICAL = 0.005, 32.0
 #: Byte classes: 0 white, 1 letter (and all bytes of non-ASCII letters), 2 digit, 3 sign.
 CLASS = np.full(256, 3, np.uint8)
 CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -84,32 +86,52 @@ def pieces(b: pa.RecordBatch):
         at += part.num_rows
 
 
-def gram_counts(docs: DataFrame, texts: bool = False) -> np.ndarray:
-    """Counts of all buckets over all rows; with `texts`, of the texts that hold one (a text of several blocks counts once a block). A task sends its counts once, in slices; the driver gets BUCKETS numbers whatever the corpus."""
+#: What is counted: n-grams of all rows, n-grams of good rows, good texts and bad texts that hold one.
+KINDS = 4
+
+
+def gram_counts(marked: DataFrame) -> tuple[np.ndarray, int, int]:
+    """(KINDS x BUCKETS counts, good rows, bad rows) of (doc_id, text, mark) in one pass; mark: 1 good, 2 bad, else neither.
+
+    A text of several blocks counts once a block among texts. A task sends its counts once, in slices; the driver gets KINDS times BUCKETS
+    numbers whatever the corpus.
+    """
+    width = BUCKETS // SLICES
 
     def run(batches):
         release()
-        counts = np.zeros(BUCKETS, np.int64)
+        counts, rows = np.zeros((KINDS, BUCKETS), np.int64), np.zeros(3, np.int64)
         for b in batches:
-            for flat, ends, _ in pieces(b):
+            mark = b.column(2).to_numpy()
+            rows += np.bincount(mark, minlength=3)
+            for flat, ends, at in pieces(b):
                 bucket, text = grams(flat, ends)
-                bucket = np.unique(text.astype(np.int64) * BUCKETS + bucket) % BUCKETS if texts else bucket
-                counts += np.bincount(bucket, minlength=BUCKETS)
-        width = BUCKETS // SLICES
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
+                counts[0] += np.bincount(bucket, minlength=BUCKETS)
+                of = mark[at + text]
+                if of.any():
+                    counts[1] += np.bincount(bucket[of == 1], minlength=BUCKETS)
+                    for kind in (1, 2):
+                        own = of == kind
+                        once = np.unique(text[own].astype(np.int64) * BUCKETS + bucket[own]) % BUCKETS
+                        counts[1 + kind] += np.bincount(once, minlength=BUCKETS)
+        sliced_counts = [np.ascontiguousarray(counts[:, i * width : (i + 1) * width]).tobytes() for i in range(SLICES)]
+        first = lambda n: pa.array([int(n), *[0] * (SLICES - 1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(sliced_counts, pa.binary()), first(rows[1]), first(rows[2])], names=["slice", "counts", "good", "bad"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, list] = {}
         for b in batches:
-            for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[s] = sums.get(s, 0) + np.frombuffer(c, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+            for s, c, g, w in zip(*(x.to_pylist() for x in b.columns)):
+                held = sums.setdefault(s, [0, 0, 0])
+                sums[s] = [held[0] + np.frombuffer(c, np.int64), held[1] + g, held[2] + w]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0].tobytes() for x in sums.values()], pa.binary()), *(pa.array([x[i] for x in sums.values()], pa.int64()) for i in (1, 2))], names=["slice", "counts", "good", "bad"])
 
-    kinds = "slice int, counts binary"
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for r in id_and_text(docs).mapInArrow(run, kinds).repartition(SLICES, "slice").mapInArrow(add, kinds).collect():
-        out[r["slice"]] += np.frombuffer(r["counts"], np.int64)
-    return out.reshape(-1)
+    kinds = "slice int, counts binary, good long, bad long"
+    out, good, bad = np.zeros((KINDS, SLICES, width), np.int64), 0, 0
+    for r in marked.mapInArrow(run, kinds).repartition(SLICES, "slice").mapInArrow(add, kinds).collect():
+        out[:, r["slice"]] += np.frombuffer(r["counts"], np.int64).reshape(KINDS, width)
+        good, bad = good + r["good"], bad + r["bad"]
+    return out.reshape(KINDS, BUCKETS), good, bad
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -210,12 +232,31 @@ def gumbel(seed: int) -> Column:
     return -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
 
 
-def _weighed(plain: DataFrame, of: DataFrame, seed: int) -> DataFrame:
-    """Weights and keys of all documents, written."""
-    good, bad = (plain.join(F.broadcast(of.filter(f"good = {g} and fits").select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi") for g in (1, 0))
-    ratio = log_ratio(gram_counts(good), gram_counts(plain)) + bad_ratio(gram_counts(good, True), gram_counts(bad, True), good.count(), bad.count())
-    weighed = scores(plain, ratio).withColumnRenamed("log_weight", "log_ratio_sum").withColumn("log_weight", F.col("log_ratio_sum") * TYPICAL / F.greatest("grams", F.lit(1)))
-    return written(weighed.withColumn("sample_key", F.col("log_weight") + gumbel(seed)).select("doc_id", "log_weight", "log_ratio_sum", "grams", "sample_key"), "quality")
+def weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """((doc_id, log_weight, log_ratio_sum, grams) of every document, written; the cut of log weights that parts labelled good from bad rows best).
+
+    Texts are read twice: for the counts of all rows and of those that are labelled, and for the weights.
+    """
+    of = labelled(labels.select("doc_id", "quality", "toxic"))
+    with small_batches(docs.sparkSession):
+        plain = id_and_text(docs)
+        fits = of.filter("fits").select(F.col("doc_id").alias("id"), F.when(F.col("good") == 1, 1).otherwise(2).alias("m"))
+        marked = plain.join(F.broadcast(fits), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.coalesce("m", F.lit(0)).alias("mark"))
+        (raw, good, good_texts, bad_texts), good_rows, bad_rows = gram_counts(marked)
+        ratio = log_ratio(good, raw) + bad_ratio(good_texts, bad_texts, good_rows, bad_rows)
+        weighed = scores(plain, ratio).withColumnRenamed("log_weight", "log_ratio_sum").withColumn("log_weight", F.col("log_ratio_sum") * TYPICAL / F.greatest("grams", F.lit(1)))
+        held = written(weighed.select("doc_id", "log_weight", "log_ratio_sum", "grams"), "quality")
+    tested = held.join(F.broadcast(of.filter("not fits")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight")).toPandas()  # a row a labelled id
+    return held, best_cut(*(tested.log_weight[tested.good == g].to_numpy() for g in (1, 0)))
+
+
+def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, log_weight, log_ratio_sum, grams, kept) of every document; kept: the log weight is at or above the cut.
+
+    The same weights as sampled, no noise. Without labels of both kinds nothing is rejected; rows as in sampled.
+    """
+    held, cut = weights(docs, labels)
+    return held.withColumn("kept", F.col("log_weight") >= F.lit(float(cut)))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11) -> DataFrame:
@@ -227,11 +268,9 @@ def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     empty table, nothing is rejected; repeated rows repeat, rows of one doc_id share the noise; a null doc_id has the
     key of its text alone and is never labelled; long texts count whole; other columns are ignored.
     """
-    with small_batches(docs.sparkSession):
-        held = _weighed(docs.select("doc_id", "text"), of := labelled(labels.select("doc_id", "quality", "toxic")), seed)
+    held, cut = weights(docs, labels)
+    held = held.withColumn("sample_key", F.col("log_weight") + gumbel(seed))
     if k is None:
-        marked = held.join(F.broadcast(of.filter("not fits")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight")).toPandas()  # a row a labelled id
-        cut = best_cut(*(marked.log_weight[marked.good == g].to_numpy() for g in (1, 0)))
         k = held.filter(F.col("log_weight") >= cut).count() if cut > -np.inf else 0
     last = kth_largest(held, "sample_key", k) if k else -np.inf
     return held.withColumn("kept", F.col("sample_key") >= F.lit(float(last)))

@@ -41,3 +41,19 @@ def test_identical_rows_spread_over_groups(spark):
     per_group = got.groupby(got["sequence_id"] // 2**32).size()
     assert len(got) == 4000 and len(per_group) == 40 and per_group.max() < 200
     assert (got.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def test_noise_decides_about_borderline_documents_and_not_about_clear_ones(spark):
+    from panelforge.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    plain = quality.classified(docs, labels).toPandas().set_index("doc_id")
+    runs = [quality.sampled(docs, labels, k=500, seed=s).toPandas().set_index("doc_id")["kept"] for s in (1, 2)]
+    weight = plain["log_weight"]
+    last = weight.sort_values(ascending=False).iloc[499]
+    near = (weight - last).abs() < 2.6  # two deviations of the noise
+    assert (runs[0] != runs[1])[near].mean() > 0.1
+    assert all(r.sum() == 500 for r in runs)
+    assert not runs[0][weight < last - 30].any() and not runs[1][weight < last - 30].any()
+    assert plain["kept"].equals(weight >= weight[plain["kept"]].min())
