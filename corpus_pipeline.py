@@ -15,12 +15,12 @@ from panelforge.llm.shared import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality sampler keeps; rows with one doc_id (or none) stay or go together where any of them is kept.
+    """Documents whose importance weight the quality classifier keeps; rows with one doc_id (or none) stay or go together where any of them is kept.
 
     Null and empty texts have weight 0 like any other; ties, repeated rows, very long texts and empty tables as in
-    quality.sampled; all columns, whatever their names, stay as they are.
+    quality.classified; all columns, whatever their names, stay as they are.
     """
-    kept = quality.sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(F.col("doc_id").alias("kept")).distinct()
+    kept = quality.classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept"].cast("long")), "left_semi")
 
 
