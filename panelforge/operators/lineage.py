@@ -62,3 +62,22 @@ def projected(edges: DataFrame, nodes: DataFrame, source: str, target: str) -> D
     """The edges whose two ends are among the nodes (column node)."""
     n = nodes.select("node").distinct()
     return edges.join(n, edges[source] == n["node"], "left_semi").join(n, edges[target] == n["node"], "left_semi")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the least node that undirected edges connect a node with.
+
+    Each round a node takes the least label among its neighbours' and its own and then that label's label, so labels travel by doubling;
+    rounds are joins whose results are written. Ends when no label moves. Edges with a null end are left out.
+    """
+    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
+    e = held(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    at = held(e.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("component")), "components")
+    while True:
+        near = e.join(at.select(F.col("node").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"))
+        step = at.join(near, "node").select("node", F.least("component", "c").alias("to"), "component")
+        jump = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        now = held(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("next", "to")).alias("component"), (F.least("to", F.coalesce("next", "to")) != F.col("component")).alias("moved")), "components")
+        at = now.select("node", "component")
+        if not now.filter("moved").limit(1).count():
+            return at

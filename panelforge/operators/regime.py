@@ -28,28 +28,18 @@ def composite(states: list[tuple[str | Column, str, str]], least_coverage: float
 
 
 def hysteresis(df: DataFrame, candidate: str, by: list[str], date: str, persistence: int) -> DataFrame:
-    """The state after each row: it changes to a candidate only after `persistence` rows in a row of it; unknown rows hold the state and the count.
+    """The state after each row: the first known candidate, then a candidate once it stands in `persistence` known rows in a row; unknown rows hold the state and the count.
 
-    The fold runs once per group over its candidates in order (one array a group: a regime series has a row a date).
+    Known rows form runs of equal candidates; a row confirms its candidate if it is the first known one or far enough into its run, and the
+    state is the last confirmed candidate: windows over one order, so a long series costs its sort.
     """
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), F.col(candidate).alias("c")))).alias("__s"))
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("pending"), F.lit(0).alias("n"), F.array().cast("array<struct<d:string,state:string>>").alias("out"))
-
-    def step(acc, x):
-        c = x["c"]
-        unknown = c.isNull() | (c == "unknown")
-        first = acc["state"].isNull()
-        same = F.coalesce(c == acc["state"], F.lit(False))
-        n = F.when(F.coalesce(c == acc["pending"], F.lit(False)), acc["n"] + 1).otherwise(1)
-        switch = n >= persistence
-        state = F.when(unknown, acc["state"]).when(first | same, F.when(first, c).otherwise(acc["state"])).when(switch, c).otherwise(acc["state"])
-        pending = F.when(unknown, acc["pending"]).when(first | same | switch, F.lit(None).cast("string")).otherwise(c)
-        count = F.when(unknown, acc["n"]).when(first | same | switch, 0).otherwise(n)
-        return F.struct(state.alias("state"), pending.alias("pending"), count.cast("int").alias("n"), F.concat(acc["out"], F.array(F.struct(x["d"].cast("string").alias("d"), state.alias("state")))).alias("out"))
-
-    folded = series.withColumn("__o", F.aggregate("__s", start, step)["out"])
-    states = folded.select(*by, F.explode("__o").alias("o")).select(*by, F.col("o.d").alias(date), F.col("o.state").alias("state"))
-    return df.join(states, [*by, date])
+    w = W.partitionBy(*by).orderBy(date, candidate)
+    c = F.when(F.col(candidate) != "unknown", F.col(candidate))
+    d = df.withColumn("__c", c).withColumn("__p", F.last("__c", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    d = d.withColumn("__run", F.sum((F.col("__c").isNotNull() & ~F.col("__c").eqNullSafe(F.col("__p"))).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.count("__c").over(W.partitionBy(*by, "__run").orderBy(date, candidate).rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("__k", F.when(F.col("__p").isNull() | (place >= persistence), F.col("__c")))
+    return d.withColumn("state", F.last("__k", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__c", "__p", "__run", "__k")
 
 
 def market_regime(df: DataFrame, close: str, by: list[str], date: str, average: int = 200, momentum: int = 60, band: float = 0.05) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,17 +81,61 @@ def drawdown(x: str | Column, w=None) -> Column:
     return col(x) / F.max(col(x)).over(so_far(w)) - 1
 
 
+def over_series(df: DataFrame, by: list[str], order: str, x: str, out: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """df with `out`: fn of each group's values of x in order (ties by value), missing ones as NaN; NaN in its result is null.
+
+    A group's rows are one array (a history is bounded by its sessions); only its values reach Python, other columns of any type stay
+    in Spark.
+    """
+
+    @F.pandas_udf("array<double>")
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: fn(np.array(v, float)))
+
+    row = F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))
+    held = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("__s"))
+    held = held.select(F.transform("__s", lambda v: v["r"]).alias("__r"), each(F.transform("__s", lambda v: v["x"])).alias("__z"))
+    return held.select(F.inline(F.arrays_zip("__r", "__z"))).select("__r.*", F.when(~F.isnan("__z"), F.col("__z")).alias(out))
+
+
+def robust_scores(values: np.ndarray, least: int) -> np.ndarray:
+    """(x - median) / (1.4826 MAD) of each value among those up to it. Values are kept in order; the k nearest to the median are neighbours
+    there, so their farthest is found by bisection."""
+    held: list[float] = []
+    out = np.full(len(values), np.nan)
+    mean = square = 0.0
+
+    def kth(m: float, k: int) -> float:
+        low, high = 0, len(held) - k
+        while low < high:
+            mid = (low + high) // 2
+            if m - held[mid] > held[mid + k] - m:
+                low = mid + 1
+            else:
+                high = mid
+        return max(m - held[low], held[low + k - 1] - m)
+
+    for i, v in enumerate(values.tolist()):
+        if v != v:
+            continue
+        insort(held, v)
+        n = len(held)
+        mean, before = mean + (v - mean) / n, mean
+        square += (v - before) * (v - mean)
+        if n < least:
+            out[i] = 0.0
+            continue
+        half = n // 2
+        m = held[half] if n % 2 else (held[half - 1] + held[half]) / 2
+        mad = kth(m, half + 1) if n % 2 else (kth(m, half) + kth(m, half + 1)) / 2
+        scale = 1.4826 * mad if mad > 1e-12 else math.sqrt(square / n)
+        out[i] = min(max((v - m) / scale, -5.0), 5.0) if scale > 1e-12 else 0.0
+    return out
+
+
 def expanding_robust_z(df: DataFrame, x: str, out: str, by: list[str], date: str, least: int = 3) -> DataFrame:
     """(x - median) / (1.4826 MAD) over all values so far, the standard deviation where MAD is 0, clipped to +-5; 0 with fewer than `least` values."""
-    w = W.partitionBy(*by).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
-    held = df.withColumn("__v", F.collect_list(x).over(w)).withColumn("__m", F.percentile(x, 0.5).over(w)).withColumn("__sd", F.stddev_pop(x).over(w))
-    far = F.array_sort(F.transform("__v", lambda v: F.abs(v - F.col("__m"))))
-    n = F.size("__far")
-    mad = F.when(n % 2 == 1, F.element_at("__far", (n / 2).cast("int") + 1)).otherwise((F.element_at("__far", F.greatest((n / 2).cast("int"), F.lit(1))) + F.element_at("__far", (n / 2).cast("int") + 1)) / 2)
-    held = held.withColumn("__far", far).withColumn("__mad", F.when(n > 0, mad))
-    scale = F.when(F.col("__mad") > 1e-12, 1.4826 * F.col("__mad")).otherwise(F.col("__sd"))
-    z = F.when(F.size("__v") < least, 0.0).when(scale > 1e-12, F.least(F.greatest((F.col(x) - F.col("__m")) / scale, F.lit(-5.0)), F.lit(5.0))).otherwise(0.0)
-    return held.withColumn(out, F.when(F.col(x).isNotNull(), z)).drop("__v", "__m", "__sd", "__far", "__mad")
+    return over_series(df, by, date, x, out, lambda v: robust_scores(v, least))
 
 
 def residual_momentum(panel: DataFrame, ret: str, market: str, industry: str, window: int, least: int, skip: int, ridge: float = 1e-8, code: str = CODE, date: str = DATE) -> DataFrame:

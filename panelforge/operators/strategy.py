@@ -131,6 +131,30 @@ def regime_policy(df: DataFrame, by: list[str], state: str, profile: str, moment
     return d.withColumn("score", F.col("base_score_before_regime") + F.col("regime_score_adjustment")).drop("__up", "__good", "__calm")
 
 
+def live_signals(universe: DataFrame, by: list[str], factors: dict[str, tuple[float, int]], hard: Column, relaxed: Column, profile: str, state: str, top_n: int, sentiment: DataFrame | None = None, sentiment_weight: float = 0.0, name: str = "name", industry: str = "industry", momentum: tuple[str, ...] = (), quality: tuple[str, ...] = (), risk: tuple[str, ...] = (), min_coverage: float = 0.5) -> DataFrame:
+    """Candidates of each date from the whole universe to the selection: (by, code, industry, rule, coverage, top, base_score, score, pick, selected, warning).
+
+    Names that hold ST are out; rows that pass the hard filters are taken, or where a date has none those that pass the relaxed ones (a warning
+    says so); a sector's sentiment (columns by, industry, sentiment; missing is 0) is a factor that is not demeaned by industry; rows below
+    the coverage of factors are out; the regime's policy moves the scores, and the best top_n are selected, ties by code.
+    """
+    from panelforge.operators.pit import filtered_or_relaxed
+    from panelforge.operators.xsec import process_factors
+
+    d = universe.filter(~F.upper(F.coalesce(F.col(name), F.lit(""))).contains("ST"))
+    d = filtered_or_relaxed(d, by, hard, relaxed)
+    if sentiment is not None:
+        d = d.join(sentiment.select(*by, industry, F.col("sentiment").alias("sector_sentiment")), [*by, industry], "left").fillna(0.0, ["sector_sentiment"])
+        factors = factors | {"sector_sentiment": (sentiment_weight, 1)}
+    scores, _ = process_factors(d, by, "code", industry, factors, min_coverage=min_coverage, not_demeaned=("sector_sentiment",))
+    kept = [c for c in dict.fromkeys([state, "rule", *momentum, *quality, *risk]) if c not in scores.columns]
+    scored = scores.filter(~F.col("low_coverage")).join(d.select(*by, "code", *kept), [*by, "code"])
+    moved = regime_policy(scored, by, state, profile, list(momentum), list(quality), list(risk))
+    pick = F.row_number().over(W.partitionBy(*by).orderBy(F.round("score", 6).desc(), "code"))
+    out = moved.withColumn("pick", pick).withColumn("selected", F.col("pick") <= top_n).withColumn("warning", F.when(F.col("rule") == "relaxed", "hard_filters_empty_relaxed"))
+    return out.select(*by, "code", industry, "rule", "coverage", "top", F.col("base_score_before_regime").alias("base_score"), "score", "pick", "selected", "warning")
+
+
 def backtest_regime(daily: DataFrame, ret: str, date: str) -> DataFrame:
     """risk_off, risk_on or mixed from the benchmark's last 20 returns, unknown with fewer. daily has a row a date."""
     w = W.orderBy(date).rowsBetween(-19, 0)
@@ -180,10 +204,16 @@ def oos_portfolio(evaluation: DataFrame, strategy: str, horizon: int, cost: floa
     return top.select(strategy, "trade_date", "code", "excess_return", "__n", "__mean", "__r").groupBy(strategy).applyInPandas(run, f"{strategy} {kind}, net_excess_return double, max_drawdown double, annual_turnover double, portfolio_sharpe double, periods int")
 
 
+#: Fixed value: the standard normal's 90 % quantile.
+NORMAL_90 = 1.281551565545
+
+
 def cost_aware_transition(book: DataFrame, by: list[str], top_n: int, rank_buffer: float, band: float, rate: float, max_turnover: float, safety: float, persistence: float = 1.0, exposure: float = 1.0) -> DataFrame:
     """A step from current weights towards aimed ones where the expected edge pays for the trade, with the reason of each decision.
 
     book: by, code, score (null: held, but no candidate), aim, current (weights, null is 0), expected (excess return), cost_bps, uncertainty_bps, risk_exit (flag).
+    Where uncertainty_bps is missing or negative it is that of the forecast: half the width of return_q10 to return_q90 in standard deviations,
+    times 1 - confidence (null: sure); a missing quantile is the expected return.
     Held names within the rank buffer stay, best first, up to top_n; aimed ones fill up. A change below `band`, or whose edge is not over
     safety x cost + uncertainty, is not made; others go `rate` of the way, all scaled to max_turnover; buys are scaled so that
     weights stay within `exposure`. Risk exits go at once and whole. All of it is windows over one account and day.
@@ -191,6 +221,11 @@ def cost_aware_transition(book: DataFrame, by: list[str], top_n: int, rank_buffe
     w = W.partitionBy(*by)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     d = book.withColumn("current", F.greatest(zero("current"), F.lit(0.0))).withColumn("aim", F.greatest(zero("aim"), F.lit(0.0))).withColumn("expected", zero("expected"))
+    if "return_q10" in d.columns and "return_q90" in d.columns:
+        sure = F.least(F.greatest(F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in d.columns else F.lit(1.0), F.lit(0.0)), F.lit(1.0))
+        width = F.abs(F.coalesce("return_q90", "expected") - F.coalesce("return_q10", "expected"))
+        given = F.col("uncertainty_bps") if "uncertainty_bps" in d.columns else F.lit(None).cast("double")
+        d = d.withColumn("uncertainty_bps", F.when(given >= 0, given).otherwise(width / (2 * NORMAL_90) * (1 - sure) * 10_000))
     limit = max(top_n, 1)
     buffer = max(limit, math.ceil(limit * (1 + max(rank_buffer, 0.0))))
     order = [F.col("score").desc_nulls_last(), F.col("code")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import safe_ratio, truth
 from panelforge.operators import roll
-from panelforge.operators.roll import CODE, DATE, change, last_n, mean, median, rolling_corr, rolling_percentile, series, since, so_far, std, total
+from panelforge.operators.roll import CODE, DATE, change, last_n, mean, median, over_series, rolling_corr, rolling_percentile, series, since, so_far, std, total
 
 
 def trend(df: DataFrame) -> DataFrame:
@@ -199,10 +199,16 @@ def macd_state(df: DataFrame) -> DataFrame:
 
 
 def ewm(df: DataFrame, x: str, alpha: float, out: str, code: str = CODE, date: str = DATE) -> DataFrame:
-    """Unseeded exponential average, first value as start, as a fold over the values so far: for short series without Python."""
-    values = F.collect_list(x).over(W.partitionBy(code).orderBy(date).rowsBetween(W.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice(F.col("__v"), 2, F.greatest(F.size("__v"), F.lit(1))), F.element_at("__v", 1).cast("double"), lambda acc, v: acc + alpha * (v - acc))
-    return df.withColumn("__v", values).withColumn(out, F.when(F.size("__v") > 0, fold)).drop("__v")
+    """Unseeded exponential average of the values so far, the first value as start; a missing value leaves it as it was."""
+
+    def average(values: np.ndarray) -> np.ndarray:
+        got, v = np.full(len(values), np.nan), np.nan
+        for i, y in enumerate(values.tolist()):
+            v = y if v != v else v if y != y else v + alpha * (y - v)
+            got[i] = v
+        return got
+
+    return over_series(df, [code], date, x, out, average)
 
 
 __all__ = ["trend", "bollinger", "momentum", "volatility", "price_action", "relative_strength", "volume", "liquidity", "turnover", "recursive", "macd_state", "ewm", "last_n"]

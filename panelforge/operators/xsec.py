@@ -13,12 +13,14 @@ from panelforge.functions.scalar import clip, col
 
 
 def pct_rank(x: str | Column, by: list) -> Column:
-    """Average-tie percentile rank among the non-null values of the group; null stays null."""
-    x = col(x)
-    none = x.isNull()
-    order = W.partitionBy(*by, none).orderBy(x)
-    same = W.partitionBy(*by, none, x)
-    return F.when(x.isNotNull(), (F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2) / F.count(x).over(W.partitionBy(*by, none)))
+    """Average-tie percentile rank among the non-null values of the group; null stays null.
+
+    Nulls sort last, so they stand behind every rank; with ties the average rank is half of the first rank and of the number of
+    rows up to the last tie. Only windows of the group are used: all ranks of a group share one exchange.
+    """
+    x, w = col(x), W.partitionBy(*by)
+    order = w.orderBy(x.asc_nulls_last())
+    return F.when(x.isNotNull(), (F.rank().over(order) + F.count(F.lit(1)).over(order)) / 2 / F.count(x).over(w))
 
 
 def centered_rank(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
@@ -130,11 +132,12 @@ def round_robin(df: DataFrame, by: list[str], group: str, liquidity: str, tie: s
     return first.filter(F.col("__r") <= per_group).withColumn("pick", F.row_number().over(turn)).filter(F.col("pick") <= most).drop("__r", "__l")
 
 
-def process_factors(df: DataFrame, by: list[str], code: str, label: str, factors: dict[str, tuple[float, int]], low: float = 0.01, high: float = 0.99, min_coverage: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def process_factors(df: DataFrame, by: list[str], code: str, label: str, factors: dict[str, tuple[float, int]], low: float = 0.01, high: float = 0.99, min_coverage: float = 0.5, not_demeaned: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Factor pipeline: winsorize, z-score, demean by label, sign; weights renormalised over what a row has.
 
     factors: name -> (weight, +1 or -1). Returns (scores, long table): score = sum of contributions,
-    coverage = available / total weight, low_coverage flag, top: five largest contributions as text.
+    coverage = available / total weight, low_coverage flag, top: five largest contributions as text. Factors in not_demeaned (one value a label, as
+    a sector's sentiment) keep their z-score.
     """
     total = sum(w for w, _ in factors.values())
     long = df.select(*by, code, label, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot([*by, code, label], list(factors), "factor", "raw")
@@ -143,14 +146,24 @@ def process_factors(df: DataFrame, by: list[str], code: str, label: str, factors
     group = [*by, "factor"]
     long = winsorize(long.withColumn("weight", weight).withColumn("sign", sign), "raw", group, low, high, "clipped")
     long = long.withColumn("z", zscore("clipped", group))
-    long = long.withColumn("neutral", neutralize("z", group, label) * F.col("sign"))
-    have = F.sum(F.when(F.col("neutral").isNotNull(), F.col("weight"))).over(W.partitionBy(*by, code))
-    long = long.withColumn("available", F.coalesce(have, F.lit(0.0))).withColumn("contribution", F.when(F.col("available") > 0, F.col("neutral") * F.col("weight") / F.col("available")))
-    order = F.row_number().over(W.partitionBy(*by, code).orderBy(F.abs("contribution").desc_nulls_last(), "factor"))
-    long = long.withColumn("place", order)
-    scores = long.groupBy(*by, code, label).agg(
-        F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("score"),
-        (F.max("available") / total).alias("coverage"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("contribution").isNotNull() & (F.col("place") <= 5), F.struct("place", "factor")))), lambda x: x["factor"]), ";").alias("top"),
+    neutral = neutralize("z", group, label)
+    if not_demeaned:
+        neutral = F.when(F.col("factor").isin(*not_demeaned), F.col("z")).otherwise(neutral)
+    long = long.withColumn("neutral", neutral * F.col("sign"))
+    there = F.when(F.col("neutral").isNotNull(), F.col("weight"))
+    part = F.col("neutral") * F.col("weight")
+    held = F.collect_list(F.when(part.isNotNull(), F.struct((-F.abs(part)).alias("a"), F.col("factor"))))
+    # a row's contributions meet in one grouping; the five largest are the first of its few factors by size
+    scores = long.groupBy(*by, code, label).agg(F.coalesce(F.sum(there), F.lit(0.0)).alias("__have"), F.sum(part).alias("__sum"), held.alias("__parts"))
+    scores = scores.select(
+        *by,
+        code,
+        label,
+        F.coalesce(F.when(F.col("__have") > 0, F.col("__sum") / F.col("__have")), F.lit(0.0)).alias("score"),
+        (F.col("__have") / total).alias("coverage"),
+        F.array_join(F.transform(F.slice(F.sort_array("__parts"), 1, 5), lambda x: x["factor"]), ";").alias("top"),
     ).withColumn("low_coverage", F.col("coverage") < min_coverage)
+    available = F.coalesce(F.sum(there).over(W.partitionBy(*by, code)), F.lit(0.0))
+    long = long.withColumn("available", available).withColumn("contribution", F.when(F.col("available") > 0, part / F.col("available")))
+    long = long.withColumn("place", F.row_number().over(W.partitionBy(*by, code).orderBy(F.abs("contribution").desc_nulls_last(), "factor")))
     return scores, long

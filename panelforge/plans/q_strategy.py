@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.operators import roll, strategy, xsec
+from panelforge.operators import allocation, capacity, features, roll, strategy, xsec
 from panelforge.plans.base import MEMBERS, PANEL, RETURNS, panel, query, with_returns
 from panelforge.plans.q_panel import MARKET, MONTH_END, SCORED, WC, WEIGHTS, market, month_end, roll_sql, scored
 from panelforge.plans.q_pit import rank_sql
@@ -111,6 +111,25 @@ def _(t):
     return strategy_signals(d)
 
 
+@query("k6_live_selection", f"""WITH {MONTH_END}, a AS (SELECT *, CASE WHEN CAST(code AS BIGINT) % 10 = 7 THEN 'st ' || code ELSE code END AS name, adv > 2e5 AND momentum IS NOT NULL AS hard, coalesce(vol IS NOT NULL, false) AS relaxed FROM month_end),
+ b AS (SELECT *, bool_or(coalesce(hard, false)) OVER (PARTITION BY trade_date) AS any_hard FROM a WHERE NOT upper(name) LIKE '%ST%'), c AS (SELECT *, CASE industry WHEN 'NATION_1' THEN 0.5 WHEN 'NATION_2' THEN -0.25 ELSE 0 END AS sector_sentiment, CASE WHEN any_hard THEN 'hard' ELSE 'relaxed' END AS rule FROM b WHERE CASE WHEN any_hard THEN coalesce(hard, false) ELSE relaxed END),
+ l AS (SELECT code, trade_date, industry, factor, raw FROM (SELECT code, trade_date, industry, momentum, vol, adv, CAST(sector_sentiment AS DOUBLE) AS sector_sentiment FROM c) UNPIVOT INCLUDE NULLS (raw FOR factor IN (momentum, vol, adv, sector_sentiment))), q AS (SELECT trade_date, factor, quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM l GROUP BY 1, 2),
+ x AS (SELECT l.*, CASE WHEN raw IS NOT NULL THEN least(greatest(raw, lo), hi) END AS x, CASE factor WHEN 'momentum' THEN 0.5 WHEN 'vol' THEN 0.3 WHEN 'adv' THEN 0.2 ELSE 0.1 END AS weight, CASE factor WHEN 'vol' THEN -1 ELSE 1 END AS sg FROM l JOIN q USING (trade_date, factor)),
+ z AS (SELECT *, CASE WHEN x IS NOT NULL THEN CASE WHEN stddev_pop(x) OVER g > 0 THEN (x - avg(x) OVER g) / stddev_pop(x) OVER g ELSE 0 END END AS z FROM x WINDOW g AS (PARTITION BY trade_date, factor)),
+ n AS (SELECT *, (z - CASE WHEN factor = 'sector_sentiment' THEN 0 ELSE avg(z) OVER (PARTITION BY trade_date, factor, industry) END) * sg AS neutral FROM z),
+ s AS (SELECT code, trade_date, industry, coalesce(sum(neutral * weight) / nullif(sum(CASE WHEN neutral IS NOT NULL THEN weight END), 0), 0) AS base, coalesce(sum(CASE WHEN neutral IS NOT NULL THEN weight END), 0) / 1.1 AS coverage FROM n GROUP BY 1, 2, 3),
+ j AS (SELECT s.*, rule, momentum, adv, -vol AS calm, CAST(substr(trade_date, 5, 2) AS INTEGER) % 4 AS m FROM s JOIN c USING (code, trade_date) WHERE coverage >= 0.5), r AS (SELECT *, {rank_sql('momentum', 'trade_date')} AS up, {rank_sql('adv', 'trade_date')} AS good, {rank_sql('calm', 'trade_date')} AS low FROM j),
+ w AS (SELECT *, CASE m WHEN 0 THEN 0.30 * up + 0.05 * good + 0.00 * low WHEN 1 THEN 0.08 * up + 0.08 * good + 0.05 * low ELSE -0.35 * up + 0.15 * good + 0.25 * low END AS raw FROM r), fin AS (SELECT *, base + coalesce(raw, 0) * greatest(stddev_pop(base) OVER (PARTITION BY trade_date), 0.5) AS score FROM w)
+ SELECT trade_date, code, rule, base AS base_score, score, pick, CASE WHEN rule = 'relaxed' THEN 'hard_filters_empty_relaxed' END AS warning FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY round(score, 6) DESC, code) AS INTEGER) AS pick FROM fin) AS y WHERE pick <= 8""", "base_score score", 5)
+def _(t):
+    month = F.substring("trade_date", 5, 2).cast("int") % 4
+    state = F.when(month == 0, "risk_on").when(month == 1, "mixed").when(month == 2, "risk_off").otherwise("unknown")
+    d = month_end(t).withColumn("state", state).withColumn("name", F.when(F.col("code").cast("long") % 10 == 7, F.concat(F.lit("st "), F.col("code"))).otherwise(F.col("code")))
+    mood = d.filter(F.col("industry").isin("NATION_1", "NATION_2")).select("trade_date", "industry", F.when(F.col("industry") == "NATION_1", 0.5).otherwise(-0.25).alias("sentiment")).distinct()
+    out = strategy.live_signals(d, ["trade_date"], WEIGHTS, (F.col("adv") > 2e5) & F.col("momentum").isNotNull(), F.col("vol").isNotNull(), "trend", "state", 8, mood, 0.1, momentum=("momentum",), quality=("adv",), risk=("vol",))
+    return out.filter("selected").select("trade_date", "code", "rule", "base_score", "score", "pick", "warning")
+
+
 def strategy_signals(d):
     from panelforge.operators.pit import filtered_or_relaxed
 
@@ -169,3 +188,53 @@ def _(t):
 
 
 __all__ = ["scored"]
+
+
+CAPACITY = f"""{MONTH_END}, mc AS (SELECT r.code, r.trade_date, r.account, r.close FROM returns AS r JOIN me USING (trade_date)), nx AS (SELECT code, trade_date, account, round(least(lead(close) OVER ({WC}) / close - 1, 1.0), 9) AS ret FROM mc),
+ rk AS (SELECT 'momentum' AS strategy, account, trade_date, code, industry, round(momentum, 9) AS score FROM month_end UNION ALL SELECT 'calm', account, trade_date, code, industry, round(-vol, 9) FROM month_end),
+ el AS (SELECT *, count(*) OVER (PARTITION BY strategy, account, trade_date) AS eligible FROM rk WHERE score IS NOT NULL), ki AS (SELECT *, row_number() OVER (PARTITION BY strategy, account, trade_date, industry ORDER BY score DESC, code) AS k FROM el),
+ pk AS (SELECT *, row_number() OVER (PARTITION BY strategy, account, trade_date ORDER BY score DESC, code) AS pick FROM ki WHERE k <= 2), sl AS (SELECT pk.*, top_n, least(0.98 / top_n, 0.2) AS weight FROM pk, (SELECT unnest([2, 4, 6]) AS top_n) AS z WHERE pick <= top_n),
+ dt AS (SELECT *, row_number() OVER (PARTITION BY strategy, account ORDER BY trade_date) AS i FROM (SELECT DISTINCT strategy, account, trade_date FROM rk) AS z), hd AS (SELECT sl.*, dt.i, coalesce(nx.ret, 0) AS r FROM sl JOIN dt USING (strategy, account, trade_date) LEFT JOIN nx USING (code, trade_date, account)),
+ mv AS (SELECT strategy, account, top_n, i, sum(abs(w - b)) / 2 AS t FROM (SELECT strategy, account, top_n, code, i, sum(w) AS w, sum(b) AS b FROM (SELECT strategy, account, top_n, code, i, weight AS w, 0 AS b FROM hd UNION ALL SELECT strategy, account, top_n, code, i + 1, 0, weight FROM hd) AS y GROUP BY 1, 2, 3, 4, 5) AS z GROUP BY 1, 2, 3, 4),
+ gr AS (SELECT strategy, account, top_n, i, sum(weight * r) AS g, max(eligible) AS e FROM hd GROUP BY 1, 2, 3, 4), nt AS (SELECT gr.*, t, g - t * 0.001 AS n FROM gr JOIN mv USING (strategy, account, top_n, i)),
+ vl AS (SELECT *, exp(sum(ln(1 + greatest(n, -0.999999))) OVER (PARTITION BY strategy, account, top_n ORDER BY i)) AS v FROM nt), dr AS (SELECT *, v / greatest(max(v) OVER (PARTITION BY strategy, account, top_n ORDER BY i), 1) - 1 AS d FROM vl),
+ st AS (SELECT strategy, account, top_n, count(*) AS dates, avg(e) AS average_eligible, avg(n) * 12 AS annual_return, stddev_samp(n) * sqrt(12) AS volatility, min(d) AS max_drawdown, avg(t) AS turnover FROM dr GROUP BY 1, 2, 3),
+ pr AS (SELECT a.code AS a, b.code AS b FROM nx a JOIN nx b ON a.account = b.account AND a.trade_date = b.trade_date AND a.code < b.code WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 12 AND corr(a.ret, b.ret) >= 0.25),
+ nd AS (SELECT DISTINCT strategy, account, top_n, code FROM sl), ed AS (SELECT x.strategy, x.account, x.top_n, x.code AS s, y.code AS t FROM (SELECT a, b FROM pr UNION SELECT b, a FROM pr) AS q JOIN nd x ON x.code = q.a JOIN nd y ON y.code = q.b AND y.strategy = x.strategy AND y.account = x.account AND y.top_n = x.top_n),
+ re AS (SELECT strategy, account, top_n, code AS x, code AS y FROM nd UNION SELECT re.strategy, re.account, re.top_n, re.x, ed.t FROM re JOIN ed ON ed.strategy = re.strategy AND ed.account = re.account AND ed.top_n = re.top_n AND ed.s = re.y),
+ cl AS (SELECT strategy, account, top_n, count(*) AS codes, count(DISTINCT c) AS clusters FROM (SELECT strategy, account, top_n, x, min(y) AS c FROM re GROUP BY 1, 2, 3, 4) AS z GROUP BY 1, 2, 3),
+ al AS (SELECT st.*, annual_return / nullif(volatility, 0) AS sharpe, codes, clusters, average_eligible >= top_n + 1 AND max_drawdown >= -0.25 AS ok FROM st JOIN cl USING (strategy, account, top_n))"""
+
+
+@query("p14_capacity_study", f"""WITH RECURSIVE {CAPACITY} SELECT strategy, account, top_n, dates, average_eligible, annual_return, volatility, max_drawdown, turnover, sharpe, codes, clusters,
+ ok AND row_number() OVER (PARTITION BY strategy, account, ok ORDER BY coalesce(round(sharpe, 9), -999) DESC, clusters DESC, round(turnover, 9), top_n) = 1 AS recommended FROM al""", "average_eligible annual_return volatility max_drawdown turnover sharpe", 5)
+def _(t):
+    d = month_end(t)
+    ret = F.round(F.least(F.lead("close").over(roll.series()) / F.col("close") - 1, F.lit(1.0)), 9)
+    returns = d.select("code", "trade_date", "account", ret.alias("ret"))
+    ranked = d.select("account", "trade_date", "code", "industry", F.explode(F.array(F.struct(F.lit("momentum").alias("strategy"), F.round("momentum", 9).alias("score")), F.struct(F.lit("calm").alias("strategy"), F.round(-F.col("vol"), 9).alias("score")))).alias("s")).select("s.*", "account", "trade_date", "code", "industry")
+    pairs = allocation.covariances(allocation.pair_sums(returns, "account", "code", "trade_date", "ret"), 12).filter("a < b").select("a", "b", "corr")
+    return capacity.study(ranked, returns, pairs, [2, 4, 6], ["strategy", "account"], "trade_date", "code", "industry", "score", "ret", 12, max_per_index=2, least_corr=0.25)
+
+
+VIEW_FEATURES = ["return_1", "momentum_20", "momentum_60", "realized_volatility_20", "drawdown_60", "pe_ttm"]
+VIEW = f"""{RETURNS}, v AS (SELECT code, trade_date, industry, return_1, close / nullif(lag(close, 20) OVER ({WC}), 0) - 1 AS momentum_20, close / nullif(lag(close, 60) OVER ({WC}), 0) - 1 AS momentum_60, {roll_sql('stddev_samp', 'return_1', 20)} AS realized_volatility_20, close / max(close) OVER ({WC} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) - 1 AS drawdown_60, CASE WHEN volume > 30 THEN high END AS pe_ttm, CASE WHEN amount > 0 THEN ln(amount) END AS log_total_mv FROM returns)"""
+
+
+@query("r7_feature_view", f"""WITH {VIEW}, k AS (SELECT *, {', '.join(f"{rank_sql(c, 'trade_date')} AS r_{c}" for c in [*VIEW_FEATURES, 'log_total_mv'])}, {', '.join(f"{rank_sql(c, 'trade_date, industry')} AS i_{c}" for c in ('momentum_20', 'momentum_60', 'realized_volatility_20', 'pe_ttm'))} FROM v),
+ m AS (SELECT trade_date, avg(CASE WHEN return_1 IS NOT NULL THEN CAST(return_1 > 0 AS INTEGER) END) AS market_breadth_1, median(momentum_20) AS market_median_momentum_20, median(momentum_60) AS market_median_momentum_60, stddev_samp(return_1) AS market_cross_sectional_volatility_1, median(realized_volatility_20) AS market_median_realized_volatility_20, avg(CASE WHEN drawdown_60 IS NOT NULL THEN CAST(drawdown_60 < -0.1 AS INTEGER) END) AS market_drawdown_breadth_60 FROM v GROUP BY 1)
+ SELECT code, trade_date, CAST(pe_ttm IS NULL AS INTEGER) * 1.0::DOUBLE AS pe_ttm_missing, {', '.join(f"r_{c} - avg(r_{c}) OVER (PARTITION BY trade_date) AS {c}_cs_rank" for c in [*VIEW_FEATURES, 'log_total_mv'])}, {', '.join(f"i_{c} - avg(i_{c}) OVER (PARTITION BY trade_date, industry) AS {c}_industry_rank" for c in ('momentum_20', 'momentum_60', 'realized_volatility_20', 'pe_ttm'))}, m.* EXCLUDE (trade_date) FROM k JOIN m USING (trade_date)""",
+ " ".join([*(f"{c}_cs_rank" for c in [*VIEW_FEATURES, "log_total_mv"]), *(f"{c}_industry_rank" for c in ("momentum_20", "momentum_60", "realized_volatility_20", "pe_ttm")), "market_breadth_1", "market_median_momentum_20", "market_median_momentum_60", "market_cross_sectional_volatility_1", "market_median_realized_volatility_20", "market_drawdown_breadth_60"]))
+def _(t):
+    d = with_returns(t).withColumns({"momentum_20": roll.change("close", 20), "momentum_60": roll.change("close", 60), "realized_volatility_20": roll.std("return_1", 20), "drawdown_60": F.col("close") / F.max("close").over(roll.series().rowsBetween(-59, 0)) - 1, "pe_ttm": F.when(F.col("volume") > 30, F.col("high")), "total_mv": F.col("amount")})
+    return features.feature_view(d.select("code", "trade_date", "industry", *VIEW_FEATURES, "total_mv"))
+
+
+@query("m11_masked_sequences", f"""WITH {RETURNS}, q AS (SELECT code, trade_date, list(struct_pack(r := return_1, v := CASE WHEN volume > 30 THEN volume END)) OVER w AS s, count(*) OVER w AS n FROM returns WINDOW w AS ({WC} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+ x AS (SELECT code, trade_date, n, i, CASE WHEN i > 8 - n THEN s[i - (8 - n)] END AS e FROM q, (SELECT unnest(range(1, 9)) AS i) AS z WHERE n >= 5)
+ SELECT code, trade_date, CAST(any_value(n) AS INTEGER) AS observed, sum(i * coalesce(e.v, 0)) AS weighted_v, CAST(sum(CASE WHEN i > 8 - n AND e.v IS NOT NULL THEN pow(2, i - 1) ELSE 0 END) AS BIGINT) AS valid_v, CAST(sum(CASE WHEN i > 8 - n AND e.r IS NOT NULL THEN pow(2, i - 1) ELSE 0 END) AS BIGINT) AS valid_r FROM x GROUP BY 1, 2""", "weighted_v")
+def _(t):
+    d = features.sequences(with_returns(t).withColumn("v", F.when(F.col("volume") > 30, F.col("volume"))).withColumnRenamed("return_1", "r"), ["r", "v"], 8, 5)
+    total = lambda c, each: F.aggregate(F.transform(c, each), F.lit(0.0), lambda a, x: a + x)
+    bits = lambda c: total(c, lambda x, i: x * F.pow(F.lit(2.0), i)).cast("long")
+    return d.select("code", "trade_date", "observed", total("values.v", lambda x, i: x * (i + 1)).alias("weighted_v"), bits("valid.v").alias("valid_v"), bits("valid.r").alias("valid_r"))
