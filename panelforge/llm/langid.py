@@ -25,6 +25,8 @@ TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 12000
 LANGUAGES = 200
 #: Texts are parsed in blocks of so many normalised characters, side by side; phrases go on across blocks.
 BLOCK_CHARS = 2048
+#: Languages that texts go through together.
+PACK = 8
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Word characters that are no letters (fractions, raised and circled numbers) are left by the pattern above.
@@ -98,10 +100,79 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
         self.size = len(codes)
-        self.base, self.owner, self.to = displaced(go, letters)
-        self.first = np.zeros(letters, np.int32)
-        for c, to in go[1].items():
-            self.first[c] = to
+        base, owner, to = displaced(go, letters)
+        self.base, self.cells = base.astype(np.int64), (owner.astype(np.int64) << 32) | to
+        #: Where a phrase begins anew with each letter, and the letters that no training text holds: after one the next phrase is open.
+        self.again, self.lacks = np.ones(letters, np.int64), np.ones(letters, bool)
+        for c, at in go[1].items():
+            self.again[c], self.lacks[c] = at, False
+
+
+class Pack:
+    """Automata that texts go through together: states are numbered through, letters have a number a language."""
+
+    def __init__(self, automata: list[SuffixAutomaton], letters: int):
+        self.width, self.letters = len(automata), letters
+        states = np.cumsum([0, *(len(a.base) for a in automata)])
+        places = np.cumsum([0, *(len(a.cells) for a in automata)])
+        of = lambda k, x: np.where(x > 0, x + states[k], 0)
+        self.starts = states[:-1] + 1
+        self.base = np.concatenate([a.base + places[k] - k * letters for k, a in enumerate(automata)])
+        self.cells = np.concatenate([(of(k, a.cells >> 32) << 32) | of(k, a.cells & 0xFFFFFFFF) for k, a in enumerate(automata)])
+        self.again = np.concatenate([a.again + states[k] for k, a in enumerate(automata)])
+        self.lacks = np.concatenate([a.lacks for a in automata])
+
+    def phrases(self, flat, start, left, order, live, steps, later, last) -> np.ndarray:
+        """blocks x languages: phrases that end in each block; see Languages.phrases."""
+        wide, n_blocks = self.width, len(start)
+        starts, shift = np.tile(self.starts, n_blocks), np.tile(np.arange(wide) * self.letters, n_blocks)
+
+        def step(state: np.ndarray, c: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """States after the letters, where phrases ended, and where a letter that the language lacks ended the open phrase and is one of its own."""
+            cell = self.cells[self.base[state] + c]
+            ended = (cell >> 32) != state
+            lone = np.flatnonzero(self.lacks[c])
+            return np.where(ended, self.again[c], cell & 0xFFFFFFFF), ended, lone[state[lone] != own[lone]]
+
+        def counted(ended: np.ndarray, lone: np.ndarray) -> np.ndarray:
+            n = ended.astype(np.int64)
+            n[lone] += 1
+            return n
+
+        s, n = starts.copy(), np.zeros(n_blocks * wide, np.int64)
+        for m, c in zip(live * wide, steps):
+            s[:m], ended, lone = step(s[:m], np.repeat(c, wide) + shift[:m], starts[:m])
+            n[:m] += ended
+            n[lone] += 1
+        unsorted = lambda x: np.ascontiguousarray(x.reshape(n_blocks, wide)[np.argsort(order, kind="stable")]).reshape(-1)
+        state, count = unsorted(s), unsorted(n)
+        start, left = np.repeat(start, wide), np.repeat(left, wide)
+        later = (later[:, None] * wide + np.arange(wide)).reshape(-1)
+        single, alone, entry = count.copy(), state.copy(), starts.copy()
+        changed = later[state[later - wide] != starts[later]]
+        while len(changed):
+            entry[changed] = state[changed - wide]
+            exits = state.copy()
+            exits[changed] = alone[changed]
+            which, a, b, more, i = changed, entry[changed], starts[changed], np.zeros(len(changed), np.int64), 0
+            count[changed] = single[changed]
+            while len(which):
+                c, own = flat[start[which] + i] + shift[which], starts[which]
+                a, *ended = step(a, c, own)
+                b, *once = step(b, c, own)
+                more += counted(*ended) - counted(*once)
+                i += 1
+                met, over = a == b, left[which] == i
+                done = met | over
+                if done.any():
+                    count[which[done]] += more[done]
+                    exits[which[over & ~met]] = a[over & ~met]
+                    which, a, b, more = which[~done], a[~done], b[~done], more[~done]
+            state = exits
+            changed = later[state[later - wide] != entry[later]]
+        count, state = count.reshape(n_blocks, wide), state.reshape(n_blocks, wide)
+        count[last] += state[last] != self.starts
+        return count
 
 
 class Languages:
@@ -113,6 +184,7 @@ class Languages:
         self.other = len(alphabet)
         self.code = {c: i for i, c in enumerate(alphabet)}
         self.automata = [SuffixAutomaton([self.code[c] for c in texts[n]], self.other + 1) for n in self.names]
+        self.packs = [Pack(self.automata[i : i + PACK], self.other + 1) for i in range(0, len(self.automata), PACK)]
         self.bits = np.array([np.log2(max(2, a.size)) for a in self.automata])
         wide = max(self.code, default=" ")
         self.by_point = np.full(ord(wide) + 2, self.other, np.int32)
@@ -134,56 +206,18 @@ class Languages:
         sizes = np.array([len(c) for c in codes])
         blocks = -(-sizes // BLOCK_CHARS)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        flat = np.concatenate([*codes, np.zeros(BLOCK_CHARS, np.int32)])
+        flat = np.concatenate([*codes, np.zeros(BLOCK_CHARS, np.int32)]).astype(np.int64)
         first = np.cumsum(sizes) - sizes
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = first[owner] + nth * BLOCK_CHARS
         left = np.minimum(sizes[owner] - nth * BLOCK_CHARS, BLOCK_CHARS)
         order = np.argsort(-left, kind="stable")
         live = np.searchsorted(-left[order], -np.arange(int(left.max(initial=0))), side="left")  # blocks longer than each step
-        later = np.flatnonzero(nth > 0)
+        steps = [np.take(flat, start[order[:m]] + i) for i, m in enumerate(live)]  # letters of each step, whatever the language
         last = np.cumsum(blocks)[blocks > 0] - 1
+        found = [p.phrases(flat, start, left, order, live, steps, np.flatnonzero(nth > 0), last) for p in self.packs] if len(owner) else []
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        for k, automaton in enumerate(self.automata):
-            base, owns, goes, again = automaton.base, automaton.owner, automaton.to, automaton.first
-
-            def step(state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                """States after the letters at these places, and the phrases that ended: a letter that the language lacks is one of its own."""
-                c = flat[at]
-                cell = base[state] + c
-                ended = owns[cell] != state
-                to = np.where(ended, 0, goes[cell])
-                restart = again[c]
-                lone = ended & (restart == 0)
-                return np.where(ended, np.where(lone, 1, restart), to), (ended & (state != 1)).astype(np.int64) + lone
-
-            state, count = np.ones(len(start), np.int64), np.zeros(len(start), np.int64)
-            s, n, from_ = state.copy(), count.copy(), start[order]
-            for i, m in enumerate(live):
-                s[:m], ended = step(s[:m], from_[:m] + i)
-                n[:m] += ended
-            state[order], count[order] = s, n
-            single, alone, entry = count.copy(), state.copy(), np.ones(len(start), np.int64)
-            changed = later[state[later - 1] != 1]
-            while len(changed):
-                entry[changed] = state[changed - 1]
-                exits = state.copy()
-                exits[changed] = alone[changed]
-                which, a, b, more, i = changed, entry[changed], np.ones(len(changed), np.int64), np.zeros(len(changed), np.int64), 0
-                count[changed] = single[changed]
-                while len(which):
-                    a, ended = step(a, start[which] + i)
-                    b, once = step(b, start[which] + i)
-                    more += ended - once
-                    i += 1
-                    met, over = a == b, left[which] == i
-                    count[which[met | over]] += more[met | over]
-                    exits[which[over & ~met]] = a[over & ~met]
-                    go = ~(met | over)
-                    which, a, b, more = which[go], a[go], b[go], more[go]
-                state = exits
-                changed = later[state[later - 1] != entry[later]]
-            count[last] += state[last] != 1
+        for k, count in enumerate(np.concatenate(found, axis=1).T if found else ()):
             out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out
 

@@ -14,7 +14,7 @@ def test_automata_of_large_alphabets_are_small_and_exact():
     han = [chr(0x4E00 + i) for i in range(3000)]
     train = {n: "".join(random.choice(a) for _ in range(12_000)) for n, a in (("zh", han), ("ja", han), ("en", "abcde "), ("de", "abcdef "))}
     languages = langid.Languages(train)
-    assert sum(x.nbytes for a in languages.automata for x in (a.base, a.owner, a.to, a.first)) < 4_000_000
+    assert sum(x.nbytes for a in languages.automata for x in (a.base, a.cells, a.again, a.lacks)) < 4_000_000
     texts = [train["zh"][500:520] + train["ja"][9:40] + "abcab?", train["en"][7:90], "".join(random.choice(han) for _ in range(300))]
 
     def plain(known, text):
