@@ -20,6 +20,11 @@ BLOCK_BYTES = 1 << 20
 BASE = 0x100000001B3
 
 
+#: For files whose rows are blobs: their writer looks at the size of pages and row groups after every row. By default it first looks after
+#: a hundred, so a page, with its compressor's buffers outside the heap and the vectors of its reader, would hold all chunks of a task.
+BLOB_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset one is made in local mode (tests), and on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -39,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """What one run writes in between: tables of the shared folder that go when the run ends, however it ends."""
+    """What one run writes in between, its rows blobs: tables of the shared folder that go when the run ends, however it ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.tables = spark, [], []
@@ -47,7 +52,7 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**BLOB_ROWS).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, name: str) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.shared import Scratch, partitions, powers, raw_bytes, release, scratch, sliced, small_batches, written
+from panelforge.llm.shared import BLOB_ROWS, Scratch, partitions, powers, raw_bytes, release, scratch, sliced, small_batches, written
 
 WINDOW, GRAM = 50, 32
 SIDE = WINDOW - GRAM
@@ -373,7 +373,7 @@ def chunked(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
     fits = F.filter(F.sequence("first", F.col("first") + (8 * n - 1)), lambda x: F.pmod(F.hash(x), F.lit(n)) == F.pmod("task", F.lit(n)))
     rows = docs.mapInArrow(run, kinds).select(F.coalesce(F.get(fits, F.lit(0)), "first").alias("chunk"), "bytes", *docs.columns)
     name = f"panelforge_chunks_{uuid.uuid4().hex}"
-    rows.write.format("parquet").bucketBy(n, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
+    rows.write.format("parquet").options(**BLOB_ROWS).bucketBy(n, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
     return spark.table(name), name
 
 
