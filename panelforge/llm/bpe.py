@@ -7,7 +7,8 @@ joining across the boundary. `Merges.lookahead`, the longest token of the merge
 sufficient lookahead: whatever follows, the next token starts within the last `lookahead` bytes, so a token
 is final once the chains of all those positions pass through its end. Final tokens are emitted and
 forgotten, so memory grows neither with a pre-token nor with the text. Every pre-token takes this path;
-ids of short ones met lately are kept, a bounded number of them.
+ids of short ones met lately are kept, a bounded number of them. Short ones that a block of texts brings
+anew go through the automaton side by side (`SideBySide`): the same steps, a byte of all of them at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ LOOK_EVERY = 4096
 NEVER = 1 << 60
 #: Pairs of tokens and steps of the automaton that a worker remembers.
 KNOWN = 1_000_000
+#: Pre-tokens that go through the automaton side by side, and the logarithm of the slots for steps and for pairs of tokens.
+TOGETHER, SLOT_BITS = 8192, 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,6 +105,7 @@ class Merges:
                     at = fail[at]
                 fail[state] = go.get(at << 8 | byte, 0)
             self.ends[state] += self.ends[fail[state]]
+        self.trie, self.go = self.go, dict(self.go)
         self.remembered = len(go) + KNOWN
 
     def can_stand_beside(self, left: int, right: int) -> bool:
@@ -193,6 +197,126 @@ class Merges:
         return cut
 
 
+class Remembered:
+    """A function of keys under 2^43 with values under 2^20 over arrays; keys met lately are remembered, one a slot."""
+
+    def __init__(self, f: Callable[[np.ndarray], np.ndarray]):
+        self.f, self.held = f, np.full(1 << SLOT_BITS, -1, np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        held = self.held[slot]
+        new = np.flatnonzero(held >> 20 != key)
+        if len(new):
+            once, of = np.unique(key[new], return_inverse=True)
+            held[new] = once[of] << 20 | self.f(once)[of]
+            self.held[slot[new]] = held[new]
+        return held & ((1 << 20) - 1)
+
+
+class SideBySide:
+    """The transducer over many short pre-tokens at once, as arrays: one step takes the next byte of all of them."""
+
+    def __init__(self, merges: Merges):
+        keys = np.fromiter(merges.trie, np.int64, len(merges.trie))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.fromiter(merges.trie.values(), np.int64, len(keys))[order]
+        self.fail = np.array(merges.fail, np.int64)
+        self.root = np.zeros(256, np.int64)
+        self.root[keys[keys < 256]] = [merges.trie[k] for k in keys[keys < 256].tolist()]
+        counts = np.fromiter(map(len, merges.ends), np.int64, len(merges.ends))
+        self.first = np.cumsum(counts) - counts
+        ends = np.array([e for some in merges.ends for e in some], np.int32)
+        self.token, self.size = ends[:, 0].copy(), ends[:, 1].copy()
+        self.top = max(merges.bytes_of) + 1
+        pairs = np.array([a * self.top + b for a, b in merges.rank], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        self.rank = np.append(np.fromiter(merges.rank.values(), np.int64, len(pairs))[order], NEVER)
+        self.made = np.full(self.top, -1, np.int64)
+        self.left, self.right = np.zeros(self.top, np.int64), np.zeros(self.top, np.int64)
+        for token, r in merges.made.items():
+            self.made[token], (self.left[token], self.right[token]) = r, merges.parts[token]
+        if len(self.fail) >> 20:
+            raise ValueError("the automaton has too many states")
+        self.step, self.beside = Remembered(self._step), Remembered(self._undone)
+
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        """The next state of each state << 8 | byte, by the trie or over `fail`."""
+        state, byte = key >> 8, key & 255
+        out = self.root[byte]
+        todo = np.flatnonzero(state)
+        state, byte = state[todo], byte[todo]
+        while len(todo):
+            key = state << 8 | byte
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            out[todo[found]] = self.to[at[found]]
+            todo, byte, state = todo[~found], byte[~found], self.fail[state[~found]]
+            deep = state > 0  # at the root `out` is right already
+            todo, byte, state = todo[deep], byte[deep], state[deep]
+        return out
+
+    def _undone(self, pair: np.ndarray) -> np.ndarray:
+        """Merges.can_stand_beside of each left * top + right."""
+        a, b = pair // self.top, pair % self.top
+        fits, at = np.ones(len(a), np.int64), np.arange(len(a))
+        a_gone, b_gone = np.full(len(a), NEVER), np.full(len(a), NEVER)
+        while len(at):
+            pair = a * self.top + b
+            i = np.searchsorted(self.pairs, pair)
+            r = np.where(self.pairs[i] == pair, self.rank[i], NEVER)
+            joined = (r < a_gone) & (r <= b_gone) & (r < NEVER)
+            fits[at[joined]] = 0
+            a_made, b_made = self.made[a], self.made[b]
+            on = ~joined & ((a_made >= 0) | (b_made >= 0))
+            of_a = a_made > b_made
+            a, a_gone = np.where(of_a, self.right[a], a)[on], np.where(of_a, a_made, a_gone)[on]
+            b, b_gone = np.where(of_a, b, self.left[b])[on], np.where(of_a, b_gone, b_made)[on]
+            at = at[on]
+        return fits
+
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each pre-token, none of them empty."""
+        out = [b""] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]), reverse=True)
+        for a in range(0, len(order), TOGETHER):
+            some = order[a : a + TOGETHER]
+            for i, ids in zip(some, self._together([texts[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        n, length = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))  # descending
+        width = int(length[0])
+        flat = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(n, width).T.astype(np.int64)
+        last, span = np.full((width + 1, n), -1, np.int32), np.zeros((width + 1, n), np.int32)
+        flat_last = last.reshape(-1)
+        state = np.zeros(n, np.int64)
+        for i in range(width):
+            live = int(np.searchsorted(-length, -i, "left"))  # those with a byte at i
+            state = self.step(state[:live] << 8 | flat[i, :live])
+            row, at = np.arange(live), self.first[state]
+            while len(row):
+                token, size = self.token[at], self.size[at]
+                before = flat_last[np.maximum(i + 1 - size, 0) * n + row]
+                ok = size == i + 1
+                inner = np.flatnonzero(size <= i)
+                ok[inner] = self.beside(before[inner].astype(np.int64) * self.top + token[inner]) > 0
+                done = row[ok]
+                last[i + 1, done], span[i + 1, done] = token[ok], size[ok]
+                row, at = row[~ok], at[~ok] + 1
+        ids = np.zeros((n, width), "<u4")
+        row, at, count = np.arange(n), length.copy(), np.zeros(n, np.int64)
+        while len(row):
+            count[row] += 1
+            ids[row, width - count[row]] = last[at, row]
+            at = at - span[at, row]
+            row, at = row[at > 0], at[at > 0]
+        raw = ids.tobytes()
+        return [raw[4 * (width * (i + 1) - k) : 4 * width * (i + 1)] for i, k in enumerate(count.tolist())]
+
+
 class Recent(dict):
     """A map that keeps what was met since it last filled up twice: memory is bounded, frequent keys stay."""
 
@@ -210,16 +334,41 @@ class Encoder:
 
     def __init__(self, merges: Merges):
         self.merges, self.units = merges, Recent(CACHE_UNITS)
+        self.side: SideBySide | None = None
         self.split = regex.compile(PATTERN)
         self.added = re.compile("(" + "|".join(re.escape(s) for s in sorted(merges.added, key=len, reverse=True)) + ")") if merges.added else None
 
+    def _pieces(self, unit: str) -> list[str]:
+        plain = SIMPLE.fullmatch(unit)
+        return [p for p in plain.groups() if p] if plain else self.split.findall(unit)
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, as `packed` gives them. What a block of texts brings anew goes through the automaton side by side."""
+        texts = list(texts)
+        cut = [UNITS.findall(t) if len(t) <= STEP_CHARS and (self.added is None or not self.added.search(t)) else None for t in texts]
+        units, unit = self.units, self._unit
+        known = [[] if some is None else list(map(units.get, some)) for some in cut]
+        met = {u for some, ids in zip(cut, known) if None in ids for u, x in zip(some, ids) if x is None}
+        pieces = {p for u in met if len(u) <= CACHE_CHARS and u not in units.older for p in self._pieces(u)}
+        self._learn([p for p in pieces if p not in units and p not in units.older])
+        for text, some, ids in zip(texts, cut, known):
+            yield self.packed(text) if some is None else b"".join([x or units.get(u) or unit(u) for u, x in zip(some, ids)])
+
+    def _learn(self, new: list[str]) -> None:
+        if self.side is None:
+            self.side = SideBySide(self.merges)
+        units = self.units
+        if len(units) + len(new) > units.most:
+            units.turn()
+        if len(new) < units.most:
+            units.update(zip(new, self.side.packed([p.encode() for p in new])))
+
     def _unit(self, unit: str) -> bytes:
         """Ids of a unit. A pre-token is a unit too, so both are kept in one map."""
         units = self.units
         known = units.older.get(unit)
         if known is None:
-            plain = SIMPLE.fullmatch(unit)
-            pieces = [p for p in plain.groups() if p] if plain else self.split.findall(unit)
+            pieces = self._pieces(unit)
             if len(pieces) > 1:
                 known = b"".join([units.get(p) or self._unit(p) for p in pieces])
             else:

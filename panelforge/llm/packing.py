@@ -71,8 +71,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
         for whole in batches:
             for batch in sliced(whole):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = encoder.packed(text) + end
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1).to_pylist())):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, max_tokens):
                         length = min(max_tokens, n - start)
