@@ -282,14 +282,29 @@ class SideBySide:
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]), reverse=True)
         for a in range(0, len(order), TOGETHER):
             some = order[a : a + TOGETHER]
-            for i, ids in zip(some, self._together([texts[i] for i in some])):
-                out[i] = ids
+            width, length = len(texts[some[0]]), np.array([len(texts[i]) for i in some])
+            ids, count = self._together(np.frombuffer(b"".join([texts[i].ljust(width, b"\0") for i in some]), np.uint8).reshape(len(some), width), length)
+            raw, ends = ids.tobytes(), np.cumsum(count).tolist()
+            for i, end, n in zip(some, ends, count.tolist()):
+                out[i] = raw[4 * (end - n) : 4 * end]
         return out
 
-    def _together(self, texts: list[bytes]) -> list[bytes]:
-        n, length = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))  # descending
-        width = int(length[0])
-        flat = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(n, width).T.astype(np.int64)
+    def rows(self, text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count): row i of `text`, its first length[i] bytes, has the ids from first[i] on, count[i] of them."""
+        order = np.argsort(-length, kind="stable")
+        parts, first, count, n = [], np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), 0
+        for a in range(0, len(order), TOGETHER):
+            some = order[a : a + TOGETHER]
+            ids, many = self._together(text[some], length[some])
+            first[some], count[some] = n + np.cumsum(many) - many, many
+            parts.append(ids)
+            n += len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4"), first, count
+
+    def _together(self, text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and how many each has; lengths descend."""
+        n, width = len(length), int(length[0])
+        flat = np.ascontiguousarray(text[:, :width].T).astype(np.int64)
         last, span = np.full((width + 1, n), -1, np.int32), np.zeros((width + 1, n), np.int32)
         flat_last = last.reshape(-1)
         state = np.zeros(n, np.int64)
@@ -313,8 +328,7 @@ class SideBySide:
             ids[row, width - count[row]] = last[at, row]
             at = at - span[at, row]
             row, at = row[at > 0], at[at > 0]
-        raw = ids.tobytes()
-        return [raw[4 * (width * (i + 1) - k) : 4 * width * (i + 1)] for i, k in enumerate(count.tolist())]
+        return ids[np.arange(width) >= (width - count)[:, None]], count
 
 
 class Recent(dict):

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.bpe import coders, vocabulary
-from panelforge.llm.shared import id_and_text, sliced
+from panelforge.llm.bpe import vocabulary
+from panelforge.llm.bpe_blocks import blocks
+from panelforge.llm.shared import id_and_text, raw_bytes, sliced
 
 
 class Tournament:
@@ -65,13 +66,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
     key, sent = vocabulary(docs.sparkSession, tokenizer_path)
 
     def run(batches):
-        encoder = coders(key, sent.value)[0]
+        encoder = blocks(key, sent.value)
         end = np.array([end_id], "<u4").tobytes()
         row = 0
         for whole in batches:
             for batch in sliced(whole):
+                batch.column(1).validate(full=True)  # ill-formed UTF-8 fails here
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1).to_pylist())):
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.each(*raw_bytes(batch.column(1)))):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, max_tokens):
