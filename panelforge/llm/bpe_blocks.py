@@ -88,8 +88,11 @@ class Blocks:
     def _strange(self, flat: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Which texts are not to be cut by bytes."""
         data, at = flat.tobytes(), []
-        if (kind == OTHER).any():
+        other = kind == OTHER
+        if other.any():
             at += [m.start() for m in STRANGE.finditer(data)]
+            within = np.diff(np.append(0, np.cumsum(other))[ends])
+            at += ends[:-1][within * 4 > np.diff(ends)].tolist()  # other scripts: words of them gain nothing here
         for s in self.added:
             i = data.find(s)
             while i >= 0:

@@ -30,7 +30,7 @@ def odd_texts() -> list[str]:
     random.seed(11)
     plain = [p for p in PARTS if p.isascii() and p.isprintable() or p in "äÉÿß"]
     texts = ["", "", " ", "\n", "a", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "x" * 25, " " + "y" * 23, " " + "y" * 24, "-" * 500, " ", "a ", " a", "a\n", "\na", "'", " '", "' a", "Ã", "a×b ÷c"]
-    for parts, spaces in ((plain, SPACES[:3]), (plain, SPACES[:11]), (PARTS, SPACES[:11]), (PARTS, SPACES)):
+    for parts, spaces in ((plain, SPACES[:3]), (plain * 4 + PARTS, SPACES[:11]), (plain, SPACES[:11]), (PARTS, SPACES[:11]), (PARTS, SPACES)):
         for _ in range(250):
             texts.append("".join(random.choice(parts) if random.random() < 0.6 else random.choice(spaces) for _ in range(random.randint(1, 40))))
     random.shuffle(texts)
