@@ -38,6 +38,15 @@ def safe_ratio(a: str | Column, b: str | Column) -> Column:
     return F.when(col(b) != 0, col(a) / col(b))
 
 
+def corr(x: str | Column, y: str | Column, over=None, flat=None) -> Column:
+    """Pearson correlation of the rows that have both, over a window or a group; `flat` (null) where one side does not vary: Spark's own raises there."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x).cast("double")), F.when(both, col(y).cast("double"))
+    of = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    cov, sd = of(F.covar_pop(a, b)), F.sqrt(of(F.var_pop(a)) * of(F.var_pop(b)))
+    return F.when(sd != 0, cov / sd).when(cov.isNotNull(), F.lit(flat).cast("double"))
+
+
 def clip(c: str | Column, low, high) -> Column:
     """Between low and high; null stays null (least and greatest alone would skip it)."""
     x = col(c)

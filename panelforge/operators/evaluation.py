@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalar import col, safe_ratio
+from panelforge.functions.scalar import col, corr, safe_ratio
 from panelforge.operators.xsec import pct_rank
 
 
 def daily_ic(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Spearman correlation per group over rows valid on both sides: at least `least` of them and two distinct values of each."""
     v = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", pct_rank(x, by)).withColumn("__y", pct_rank(y, by))
-    g = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("ic"), F.min("__x").alias("__a"), F.max("__x").alias("__b"), F.min("__y").alias("__c"), F.max("__y").alias("__d"))
+    g = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr("__x", "__y").alias("ic"), F.min("__x").alias("__a"), F.max("__x").alias("__b"), F.min("__y").alias("__c"), F.max("__y").alias("__d"))
     return g.filter((F.col("n") >= least) & (F.col("__a") < F.col("__b")) & (F.col("__c") < F.col("__d"))).select(*by, "n", "ic")
 
 
@@ -26,7 +26,7 @@ def ic_summary(ic: DataFrame, by: list[str], date: str) -> DataFrame:
     w = W.partitionBy(*by).orderBy(date)
     d = ic.withColumn("__l", F.lag("ic").over(w))
     both = F.when(F.col("__l").isNotNull(), F.col("ic"))
-    g = d.groupBy(*by).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > 0).cast("int")).alias("positive"), F.corr(both, "__l").alias("autocorr"))
+    g = d.groupBy(*by).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > 0).cast("int")).alias("positive"), corr(both, "__l").alias("autocorr"))
     return g.withColumn("icir", safe_ratio("mean_ic", "std_ic")).withColumn("t", F.col("icir") * F.sqrt("days"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalar import col, truth
+from panelforge.functions.scalar import col, corr, truth
 from panelforge.operators import evaluation
 from panelforge.operators.xsec import centered_rank, long_ranks
 
@@ -97,7 +97,7 @@ def rank_correlations(df: DataFrame, features: list[str], date: str = "trade_dat
 
     d = df.select(*[pct_rank(c, [date]).alias(c) for c in features])
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = d.agg(*[F.corr(a, b) for a, b in pairs]).first() if pairs else ()
+    row = d.agg(*[corr(a, b) for a, b in pairs]).first() if pairs else ()
     return {p: v or 0.0 for p, v in zip(pairs, row)}
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalar import clip, col, safe_ratio
+from panelforge.functions.scalar import clip, col, corr, safe_ratio
 
 
 def impact_bps(order_value: str | Column, daily_amount: str | Column, volatility: str | Column, base: float, most: float) -> Column:
@@ -156,7 +156,7 @@ def settlement(orders: DataFrame, account: str, cash: float, lag: int = 2) -> Da
 def correlation_pairs(returns: DataFrame, code: str, date: str, ret: str, least: int) -> DataFrame:
     """Correlation of every pair of codes on common dates with at least `least` observations; few codes (funds), many dates."""
     a, b = returns.select(date, F.col(code).alias("a"), F.col(ret).alias("ra")), returns.select(date, F.col(code).alias("b"), F.col(ret).alias("rb"))
-    return a.join(b, date).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("corr")).filter(F.col("n") >= least)
+    return a.join(b, date).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), corr("ra", "rb").alias("corr")).filter(F.col("n") >= least)
 
 
 def clusters(pairs: DataFrame, least: float) -> dict[str, str]:

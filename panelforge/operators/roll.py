@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalar import col
+from panelforge.functions.scalar import col, corr
 
 CODE, DATE = "code", "trade_date"
 
@@ -64,10 +64,10 @@ def rolling_percentile(x: str | Column, n: int, least: int, w=None) -> Column:
     return F.when(col(x).isNotNull() & (F.size(values) >= least), share)
 
 
-def rolling_corr(x: str | Column, y: str | Column, n: int, least: int | None = None, w=None) -> Column:
-    both = col(x).isNotNull() & col(y).isNotNull()
-    a, b, over = F.when(both, col(x)), F.when(both, col(y)), last_n(n, w)
-    return F.when(F.count(a).over(over) >= (least or n), F.corr(a, b).over(over))
+def rolling_corr(x: str | Column, y: str | Column, n: int, least: int | None = None, w=None, flat=None) -> Column:
+    """Correlation over the last n rows where at least `least` (n by default) have both; `flat` where one side does not vary."""
+    both, over = F.when(col(x).isNotNull() & col(y).isNotNull(), 1), last_n(n, w)
+    return F.when(F.count(both).over(over) >= (least or n), corr(x, y, over, flat))
 
 
 def since(event: Column, w=None) -> Column:

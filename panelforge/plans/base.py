@@ -30,9 +30,9 @@ class Tables:
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles to so many digits, so that the order of additions does not show; what lies half-way goes up in either engine."""
+    """Doubles to so many digits, so that the order of additions does not show; what lies half-way goes up in either engine, NaN stays."""
     scale = 10.0**digits
-    return df.select(*[(F.floor(F.col(f.name) * scale + 0.5001) / scale).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema])
+    return df.select(*[F.when(F.isnan(f.name), F.col(f.name)).otherwise(F.floor(F.col(f.name) * scale + 0.5001) / scale).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DIGITS):

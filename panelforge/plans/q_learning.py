@@ -12,6 +12,7 @@ from panelforge.operators import learning, performance, ranking, roll
 from panelforge.operators import allocation as alloc
 from panelforge.operators import increment as incr
 from panelforge.operators import portfolio as port
+from panelforge.functions.scalar import corr
 from panelforge.plans.base import RETURNS, query, with_returns
 from panelforge.plans.q_accounts import IC, NAV, PROBS, nav, probs, signal
 from panelforge.plans.q_panel import WC, roll_sql
@@ -61,7 +62,7 @@ def _(t):
 def _(t):
     ic = evalu.daily_ic(signal(t), ["trade_date"], "x", "y").withColumn("year", F.substring("trade_date", 1, 4)).withColumn("ic", F.round("ic", 9))
     before = F.lag("ic").over(W.partitionBy("year").orderBy("trade_date"))
-    a = ic.withColumn("l", before).groupBy("year").agg(F.corr("ic", "l").alias("autocorr"))
+    a = ic.withColumn("l", before).groupBy("year").agg(corr("ic", "l").alias("autocorr"))
     return a.select("year", "autocorr", evalu.half_life("autocorr").alias("half_life"))
 
 

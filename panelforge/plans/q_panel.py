@@ -96,7 +96,7 @@ def _(t):
 @query("w4_rolling_correlation", f"WITH {RETURNS}, v AS (SELECT *, ln(1 + volume) - lag(ln(1 + volume)) OVER ({WC}) AS lv FROM returns) SELECT code, trade_date, CASE WHEN count(return_1) OVER w >= 20 THEN corr(return_1, lv) OVER w END AS corr FROM v WINDOW w AS ({WC} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "corr")
 def _(t):
     d = with_returns(t).withColumn("lv", F.log1p("volume") - F.lag(F.log1p("volume")).over(roll.series()))
-    return d.select("code", "trade_date", roll.rolling_corr("return_1", "lv", 20).alias("corr"))
+    return d.select("code", "trade_date", roll.rolling_corr("return_1", "lv", 20, flat=float("nan")).alias("corr"))
 
 
 @query("w5_time_since_event", f"WITH {RETURNS}, n AS (SELECT *, row_number() OVER ({WC}) AS i FROM returns) SELECT code, trade_date, CAST(i - last_value(CASE WHEN return_1 > 0.5 THEN i END IGNORE NULLS) OVER ({WC} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS age FROM n", "age")
