@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import reduce
 
 import numpy as np
@@ -13,22 +14,71 @@ from pyspark.sql import functions as F
 from panelforge.functions.scalar import col, corr, truth
 from panelforge.operators import evaluation
 from panelforge.operators.xsec import centered_rank, long_ranks
+from panelforge.sources.store import held
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], cuts: list[float], accuracy: int = 5_000) -> dict[str, list[float]]:
+    """name -> quantiles of a column's values that are not null, between neighbours in proportion as F.percentile gives them; none for a column without values.
+
+    Two passes and no list of all values: sketches give ranges that hold the wanted places, what lies outside is only counted, and the distinct values
+    inside are counted and put in order. A place that a sketch missed is searched again in wider ranges.
+    """
+    d = df.select(*[x.cast("double").alias(c) for c, x in columns.items()])
+    rising = lambda v: (math.isnan(v), v)
+    near, todo, out = 3 / accuracy, dict.fromkeys(columns), {c: [] for c in columns}
+    while todo:
+        asked = sorted({min(max(p + side * near, 0.0), 1.0) for p in cuts for side in (-1, 1)})
+        row = d.agg(*[f(c).alias(f"{c}__{k}") for c in todo for k, f in (("n", F.count), ("a", F.min), ("b", F.max), ("q", lambda c: F.percentile_approx(c, asked, accuracy)))]).first()
+        todo = {c: int(row[f"{c}__n"]) for c in todo if row[f"{c}__n"]}
+        places, place, wanted = {}, F.lit(None).cast("int"), F.lit(False)
+        for c, n in todo.items():
+            at = lambda p: row[f"{c}__a"] if p <= 0 else row[f"{c}__b"] if p >= 1 else row[f"{c}__q"][asked.index(p)]  # noqa: B023, E731
+            ranges: list[list[float]] = []
+            for p in sorted(cuts):
+                low, high = (at(min(max(p + side * near, 0.0), 1.0)) for side in (-1, 1))
+                if ranges and rising(low) <= rising(ranges[-1][1]):
+                    ranges[-1][1] = max(ranges[-1][1], high, key=rising)
+                else:
+                    ranges.append([low, high])
+            where = F.lit(2 * len(ranges))
+            for i, (low, high) in reversed(list(enumerate(ranges))):
+                where = F.when(F.col("x") < low, 2 * i).when(F.col("x") <= high, 2 * i + 1).otherwise(where)
+            place = F.when(F.col("c") == c, where).otherwise(place)
+            places[c] = sorted({k for p in cuts for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+            hit = F.lit(False)
+            for k in places[c]:
+                hit = hit | ((F.col("s") > k) & (F.col("s") - F.col("m") <= k))
+            wanted = F.when(F.col("c") == c, hit).otherwise(wanted)
+        if not todo:
+            break
+        long = d.unpivot([], list(todo), "c", "x").filter("x is not null").withColumn("p", place)
+        counts = long.groupBy("c", "p", F.when(F.col("p") % 2 == 1, F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("m"))
+        found: dict[str, list] = {c: [] for c in todo}
+        for r in counts.withColumn("s", F.sum("m").over(W.partitionBy("c").orderBy("p", "x"))).filter(wanted & F.col("x").isNotNull()).collect():
+            found[r["c"]].append((r["s"] - r["m"], r["s"], r["x"]))
+        for c, n in list(todo.items()):
+            value = {k: x for k in places[c] for a, b, x in found[c] if a <= k < b}
+            if len(value) == len(places[c]):
+                for p in cuts:
+                    spot = (n - 1) * p
+                    low, high = value[math.floor(spot)], value[math.ceil(spot)]
+                    out[c].append(low if low == high else (math.ceil(spot) - spot) * low + (spot - math.floor(spot)) * high)
+                del todo[c]
+        near = near * 4
+    return out
 
 
 def imputed(df: DataFrame, train: Column, features: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Features as the training rows prescribe: missing values get the median, all are clipped to two quantiles and standardised.
 
-    One row of statistics is aggregated and joined; a feature that does not vary in training becomes 0.
+    df is written once and read by every pass; a few statistics a feature reach the driver. A feature that does not vary in training becomes 0.
     """
-    own = {c: F.when(train, F.col(c)) for c in features}
-    bounds = df.agg(*[F.percentile(x, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f"__q_{c}") for c, x in own.items()])
-    d = df.crossJoin(F.broadcast(bounds))  # one row
-    for c in features:
-        q = F.col(f"__q_{c}")
-        d = d.withColumn(c, F.greatest(F.least(F.coalesce(F.col(c).cast("double"), q[1], F.lit(0.0)), F.coalesce(q[2], F.lit(0.0))), F.coalesce(q[0], F.lit(0.0)))).drop(f"__q_{c}")
-    scale = d.filter(train).agg(*[F.avg(c).alias(f"__m_{c}") for c in features], *[F.stddev_pop(c).alias(f"__s_{c}") for c in features])
-    d = d.crossJoin(F.broadcast(scale))
-    return d.withColumns({c: F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in features}).drop(*[f"__{k}_{c}" for c in features for k in "ms"])
+    d = held(df.withColumns({c: F.col(c).cast("double") for c in features}), "features")
+    bounds = {c: q or [0.0, 0.0, 0.0] for c, q in column_quantiles(d.filter(train), {c: F.col(c) for c in features}, [low, 0.5, high]).items()}
+    d = d.withColumns({c: F.greatest(F.least(F.coalesce(F.col(c), F.lit(q[1])), F.lit(q[2])), F.lit(q[0])) for c, q in bounds.items()})
+    row = d.filter(train).agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    scaled = lambda c: (F.col(c) - row[f"m_{c}"]) / row[f"s_{c}"] if (row[f"s_{c}"] or 0.0) > 0 else F.lit(0.0)
+    return d.withColumns({c: scaled(c) for c in features})
 
 
 def ridge_scores(df: DataFrame, train: Column, features: list[str], target: str, penalty: float, out: str = "score") -> DataFrame:
