@@ -1,6 +1,6 @@
 """Ranking models: boosted histogram trees on pairwise gradients of each date.
 
-A round has one pass that makes gradients (a date's rows, in blocks of pairs) and one a level of the tree that adds them up by node,
+A round has one pass that makes gradients (a date's rows by distinct bins, scores and relevances, not by pairs) and one a level of the tree that adds them up by node,
 feature and bin where the rows lie; what reaches the driver is a number of sums a node, feature and bin. Scores are expressions
 of the binned features, so the plan of a round does not grow with the rounds before it beyond the expression of its trees.
 """
@@ -15,30 +15,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a date whose pairs are met at once.
+#: Scores of a date that are met with all others at once.
 BLOCK = 512
 
 
-def lambdas(score: np.ndarray, relevance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gradient, curvature) of the pairwise logistic loss, each pair weighted by what swapping it changes in NDCG; rows of one date. Ties in score are placed by row."""
-    n = len(score)
-    place = np.empty(n, int)
-    place[np.argsort(-score, kind="stable")] = np.arange(n)
-    gain, discount = 2.0**relevance - 1, 1 / np.log2(place + 2.0)
-    ideal = float(np.sort(gain)[::-1] @ (1 / np.log2(np.arange(n) + 2.0)))
-    g, h = np.zeros(n), np.zeros(n)
+def lambdas(score: np.ndarray, relevance: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, curvature) of the pairwise logistic loss, each pair weighted by what swapping it changes in NDCG; rows of one date. Ties in score are placed by row.
+
+    A row may stand for `count` equal ones and gets the sums of theirs. Pairs are met by distinct score and relevance: all rows of a higher score are placed before all
+    of a lower one, so distances of places add up from counts and sums, those within a score from running ones.
+    """
+    m = np.ones(len(score)) if count is None else np.asarray(count, float)
+    order = np.argsort(-score, kind="stable")
+    end = np.cumsum(m[order])
+    table = np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(int(m.sum())) + 2.0))])
+    d = np.empty(len(score))  # sums of the discounts of a row's places
+    d[order] = table[end.astype(np.int64)] - table[(end - m[order]).astype(np.int64)]
+    scores, s = np.unique(score, return_inverse=True)
+    levels, r = np.unique(relevance, return_inverse=True)
+    gain = 2.0**levels - 1
+    many = np.cumsum(np.bincount(r, m, len(levels))[::-1]).astype(np.int64)
+    ideal = float(gain[::-1] @ (table[many] - table[np.concatenate([[0], many[:-1]])])) if len(score) else 0.0
+    g, h = np.zeros(len(score)), np.zeros(len(score))
     if ideal <= 0:
         return g, h
-    for a in range(0, n, BLOCK):
+    apart = np.abs(gain[:, None] - gain[None, :]) / ideal
+    lower, upper = np.triu(apart, 1), np.tril(apart, -1)  # at [other, own]: the other's relevance is below, above
+    cell = s * len(levels) + r
+    sums = [np.bincount(cell, x, len(scores) * len(levels)).reshape(len(scores), -1) for x in (m, d)]
+    below, above = [x @ lower for x in sums], [x @ upper for x in sums]
+    slopes = [np.empty((len(scores), len(levels))) for _ in range(4)]
+    for a in range(0, len(scores), BLOCK):
         i = slice(a, a + BLOCK)
-        better = relevance[i, None] > relevance[None, :]
-        rho = 1 / (1 + np.exp(np.clip(score[i, None] - score[None, :], -60, 60)))
-        swap = np.abs((gain[i, None] - gain[None, :]) * (discount[i, None] - discount[None, :])) / ideal
-        push, curve = np.where(better, swap * rho, 0.0), np.where(better, swap * rho * (1 - rho), 0.0)
-        g[i] += push.sum(axis=1)
-        h[i] += curve.sum(axis=1)
-        g -= push.sum(axis=0)
-        h += curve.sum(axis=0)
+        gap = np.clip(scores[i, None] - scores[None, :], -60, 60)
+        rho, side = 1 / (1 + np.exp(gap)), np.sign(scores[i, None] - scores[None, :])
+        back, curve = side / (1 + np.exp(-gap)), side * rho * (1 - rho)
+        rho *= side
+        for k in (0, 1):
+            slopes[k][i] = rho @ below[k] - back @ above[k]
+            slopes[2 + k][i] = curve @ (below[k] + above[k])
+    g += d * slopes[0][s, r] - m * slopes[1][s, r]
+    h += d * slopes[2][s, r] - m * slopes[3][s, r]
+    first = np.searchsorted(-score[order], -score[order])  # of equal scores, and what follows the last
+    last = np.searchsorted(-score[order], -score[order], side="right")
+    for k in range(len(levels)):
+        own = (r == k)[order]
+        run = [np.concatenate([[0.0], np.cumsum(np.where(own, x[order], 0.0))]) for x in (m, d)]
+        at = np.arange(len(order))
+        (n0, d0), (n1, d1) = ((x[at] - x[first] for x in run), (x[last] - x[at + 1] for x in run))
+        far = np.empty(len(score))
+        far[order] = m[order] * d0 - n0 * d[order] + n1 * d[order] - m[order] * d1
+        g += 0.5 * far * (lower[k] - upper[k])[r]
+        h += 0.25 * far * apart[k][r]
     return g, h
 
 
@@ -70,7 +98,7 @@ def _node(tree: list | int, bin_of: dict[str, Column]) -> Column:
 
 
 def histograms(rows: DataFrame, features: list[str], count: int) -> DataFrame:
-    """(node, feature, bin, g, h, n) sums of rows of (node, g, h, bins): added up in each batch, then by Spark."""
+    """(node, feature, bin, g, h, n) sums of rows of (node, g, h, bins): added up in each batch, then by Spark. A column n says how many rows one stands for."""
 
     def run(batches):
         for pdf in batches:
@@ -81,6 +109,7 @@ def histograms(rows: DataFrame, features: list[str], count: int) -> DataFrame:
                 size = int(cell.max()) + 1 if len(cell) else 0
                 n = np.bincount(cell, minlength=size)
                 at = np.flatnonzero(n)
+                n = np.bincount(cell, pdf["n"], size).astype(np.int64) if "n" in pdf else n
                 out.append(pd.DataFrame({"node": at // count, "feature": k, "bin": at % count, "g": np.bincount(cell, pdf["g"], size)[at], "h": np.bincount(cell, pdf["h"], size)[at], "n": n[at]}))
             yield pd.concat(out)
 
@@ -103,21 +132,23 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, penalty: float, leas
 def fit_ranker(df: DataFrame, train: Column, features: list[str], relevance: str, date: str = "trade_date", trees: int = 10, depth: int = 3, rate: float = 0.1, penalty: float = 1.0, count: int = 32, least: int = 20) -> tuple[dict[str, list[float]], list]:
     """(edges, trees) of a boosted ranker; relevance: whole numbers from 0, a date's rows are ranked against each other.
 
-    Dates are groups of bounded size (a cross-section). Rows with a missing relevance are left out.
+    Rows of a date that share relevance and bins are one row with their number, so a date is a group of at most as many rows as there are such cells. Rows with a
+    missing relevance are left out. df is read twice.
     """
     edges = bins(df, features, train, count)
-    base = df.filter(train & F.col(relevance).isNotNull()).select(F.col(date).alias("__date"), F.col(relevance).cast("double").alias("__rel"), *[binned(F.col(f), edges[f]).cast("int").alias(f) for f in features]).persist()
+    cells = df.filter(train & F.col(relevance).isNotNull()).select(F.col(date).alias("__date"), F.col(relevance).cast("double").alias("__rel"), *[binned(F.col(f), edges[f]).cast("int").alias(f) for f in features])
+    base = cells.groupBy("__date", "__rel", *features).agg(F.count(F.lit(1)).alias("__n")).repartition("__date").persist()
     bin_of = {f: F.col(f) for f in features}
     kinds = ", ".join(f"`{f}` int" for f in features)
 
     def gradients(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(pdf.columns)).reset_index(drop=True)
-        g, h = lambdas(pdf["__score"].to_numpy(), pdf["__rel"].to_numpy())
-        return pdf[features].assign(g=g, h=h)
+        g, h = lambdas(pdf["__score"].to_numpy(), pdf["__rel"].to_numpy(), pdf["__n"].to_numpy())
+        return pdf[features].assign(g=g, h=h, n=pdf["__n"])
 
     model: list = []
     for _ in range(trees):
-        rows = base.withColumn("__score", score_of(model, bin_of)).groupBy("__date").applyInPandas(gradients, f"{kinds}, g double, h double").persist()
+        rows = base.withColumn("__score", score_of(model, bin_of)).groupBy("__date").applyInPandas(gradients, f"{kinds}, g double, h double, n long").persist()
         tree: list | int = 0
         leaves, values = {0: None}, {}
         for level in range(depth + 1):

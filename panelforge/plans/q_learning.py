@@ -16,6 +16,7 @@ from panelforge.functions.scalar import corr
 from panelforge.plans.base import RETURNS, query, with_returns
 from panelforge.plans.q_accounts import IC, NAV, PROBS, nav, probs, signal
 from panelforge.plans.q_panel import WC, roll_sql
+from panelforge.sources.store import held
 
 FEATURES = f"{RETURNS}, lf AS (SELECT code, trade_date, close / nullif(lag(close, 20) OVER ({WC}), 0) - 1 AS momentum, close / nullif(lag(close, 5) OVER ({WC}), 0) - 1 AS short, {roll_sql('stddev_samp', 'return_1', 20)} AS vol, ln(amount) AS size, lead(close, 5) OVER ({WC}) / close - 1 AS y FROM returns)"
 NAMES = ["momentum", "short", "vol", "size"]
@@ -277,13 +278,13 @@ def _(t):
 def relevant(t):
     """Month-end rows with features and a relevance from 0 to 3 by quarter of the following return; later years are held out."""
     d = featured(t).filter("y is not null")
-    place = F.ntile(4).over(W.partitionBy("month").orderBy("y", "code"))
+    place = F.ntile(4).over(W.partitionBy("month").orderBy("y", "code", "trade_date"))
     return d.withColumn("month", F.substring("trade_date", 1, 6)).withColumn("relevance", place - 1)
 
 
 @query("m3_ranking")
 def _(t):
-    d = relevant(t)
+    d = held(relevant(t), "ranking")
     fitted = ranking.fit_ranker(d, train(), NAMES, "relevance", date="month", trees=4, depth=2, count=16)
     return ranking.ndcg(ranking.ranked_scores(d, fitted).withColumn("id", F.concat("code", "trade_date")), "score", "relevance", "month", "id")
 
