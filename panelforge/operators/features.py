@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.operators.xsec import long_ranks
+from panelforge.operators.xsec import pct_rank
 
 #: Features ranked among the rows of a date.
 STOCK = (
@@ -26,14 +26,8 @@ BY_INDUSTRY = ("momentum_20", "momentum_60", "realized_volatility_20", "price_vo
 MAY_MISS = ("roe", "roic", "gross_margin", "net_profit_margin", "debt_ratio", "revenue_growth", "profit_growth", "cash_conversion", "accrual_ratio", "free_cashflow_to_assets", "gross_profit_to_assets", "pe_ttm", "pb", "moneyflow_net_ratio_20")
 
 
-def _ranked(d: DataFrame, keys: list[str], features: list[str], by: list[str], suffix: str) -> DataFrame:
-    """keys and a centered rank of each feature: one long form for all of them, turned back by one grouping."""
-    long = long_ranks(d.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]), keys, features, by)
-    return long.groupBy(*keys).agg(*[F.first(F.when(F.col("feature") == f, F.col("rank")), ignorenulls=True).alias(f"{f}{suffix}") for f in features])
-
-
-def market_state(d: DataFrame, date: str = "trade_date") -> DataFrame:
-    """A row a date: breadth, medians, dispersion and the share of rows in drawdown, of the columns that are there; missing values do not count."""
+def _market(columns: list[str]) -> dict[str, Column]:
+    """Aggregates of a date's rows: breadth, medians, dispersion and the share of rows in drawdown, of the columns that are there; missing values do not count."""
     x = lambda c: F.col(c).cast("double")
     share = lambda c, test: F.avg(F.when(x(c).isNotNull(), test.cast("double")))
     wanted = {
@@ -44,26 +38,32 @@ def market_state(d: DataFrame, date: str = "trade_date") -> DataFrame:
         "market_median_realized_volatility_20": ("realized_volatility_20", lambda c: F.percentile(x(c), 0.5)),
         "market_drawdown_breadth_60": ("drawdown_60", lambda c: share(c, x(c) < -0.10)),
     }
-    return d.groupBy(date).agg(*[of(c).alias(name) for name, (c, of) in wanted.items() if c in d.columns])
+    return {name: of(c) for name, (c, of) in wanted.items() if c in columns}
+
+
+def market_state(d: DataFrame, date: str = "trade_date") -> DataFrame:
+    """A row a date with the aggregates of its rows."""
+    return d.groupBy(date).agg(*[c.alias(name) for name, c in _market(d.columns).items()])
 
 
 def feature_view(panel: DataFrame, code: str = "code", date: str = "trade_date", industry: str = "industry") -> DataFrame:
     """(code, date, <feature>_cs_rank, log_total_mv_cs_rank, <feature>_industry_rank, market_*, <feature>_missing) of the features that the panel has.
 
     Ranks are percentiles with averaged ties less their mean in the group; a missing value has none. A null industry is
-    `unclassified`; total_mv that is not positive has no logarithm. (code, date) is a key.
+    `unclassified`; total_mv that is not positive has no logarithm. (code, date) is a key. Rows move once; a feature is a sort within its date.
     """
-    keys = [code, date]
     d = panel.withColumn(industry, F.coalesce(F.col(industry), F.lit("unclassified")))
     stock = [f for f in (*STOCK, *FLOW) if f in panel.columns]
     if "total_mv" in panel.columns:
         d, stock = d.withColumn("log_total_mv", F.when(F.col("total_mv") > 0, F.log("total_mv"))), [*stock, "log_total_mv"]
-    within = [f for f in BY_INDUSTRY if f in panel.columns]
-    missing = [F.col(f).cast("double").isNull().cast("double").alias(f"{f}_missing") for f in MAY_MISS if f in panel.columns]
-    out = d.select(*keys, *missing).join(_ranked(d, keys, stock, [date], "_cs_rank"), keys)
-    if within:
-        out = out.join(_ranked(d, [*keys, industry], within, [date, industry], "_industry_rank").drop(industry), keys)
-    return out.join(market_state(d, date), date)
+    within, missing = [f for f in BY_INDUSTRY if f in panel.columns], [f for f in MAY_MISS if f in panel.columns]
+    # dealt out by date once: windows of a date and of an industry of a date lie in it
+    d = d.select(code, date, industry, *[F.col(f).cast("double").alias(f) for f in dict.fromkeys([*stock, *within, *missing])]).repartition(date)
+    ranks = {f"{f}_cs_rank": (f, [date]) for f in stock} | {f"{f}_industry_rank": (f, [date, industry]) for f in within}
+    d = d.withColumns({name: pct_rank(f, by) for name, (f, by) in ranks.items()})
+    centered = [(F.col(name) - F.avg(name).over(W.partitionBy(*by))).alias(name) for name, (_, by) in ranks.items()]
+    market = [c.over(W.partitionBy(date)).alias(name) for name, c in _market(d.columns).items()]
+    return d.select(date, code, *[F.col(f).isNull().cast("double").alias(f"{f}_missing") for f in missing], *centered, *market)
 
 
 def sequences(panel: DataFrame, features: list[str], length: int, least: int, code: str = "code", date: str = "trade_date") -> DataFrame:
