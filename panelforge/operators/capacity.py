@@ -28,6 +28,12 @@ def selections(ranked: DataFrame, top_ns: list[int], by: list[str], date: str, c
     return d.select(*by, "top_n", date, code, "pick", F.least(F.lit(INVESTED) / F.col("top_n"), F.lit(max_weight)).alias("weight"), "eligible")
 
 
+def ever_selected(returns: DataFrame, ranked: DataFrame, top_ns: list[int], by: list[str], date: str, code: str, index: str, score: str, max_per_index: int = 1) -> DataFrame:
+    """Returns of the codes that some size selects on some date: only their pairs can join groups, and their number is bounded by dates and sizes, however many codes there are."""
+    best = selections(ranked, [max(top_ns)], by, date, code, index, score, max_per_index)  # holds what smaller sizes select
+    return returns.join(best.select(code).distinct(), code, "left_semi")
+
+
 def correlated(selected: DataFrame, pairs: DataFrame, by: list[str], code: str, least: float) -> DataFrame:
     """(by, top_n, codes, clusters): codes that a size ever selects and the connected groups among them; pairs: a, b, corr. A code alone is a group."""
     keys = [*by, "top_n"]

@@ -378,7 +378,7 @@ def month_end(t):
     d = with_returns(t).withColumn("momentum", roll.change("close", 20)).withColumn("vol", roll.std("return_1", 20)).withColumn("adv", roll.mean("amount", 20))
     date = F.date_format("l_shipdate", "yyyyMMdd")  # month ends come from the dates alone, so the panel is built once
     last = t.lineitem.groupBy(F.substring(date, 1, 6)).agg(F.max(date).alias("trade_date")).select("trade_date")
-    return d.join(last, "trade_date", "left_semi")
+    return d.join(F.broadcast(last), "trade_date", "left_semi")  # a row a month
 
 
 SCORED = f"""{MONTH_END}, l AS (SELECT code, trade_date, industry, account, factor, raw FROM month_end UNPIVOT INCLUDE NULLS (raw FOR factor IN (momentum, vol, adv))),

@@ -9,6 +9,7 @@ from panelforge.operators import allocation, capacity, features, roll, strategy,
 from panelforge.plans.base import MEMBERS, PANEL, RETURNS, panel, query, with_returns
 from panelforge.plans.q_panel import MARKET, MONTH_END, SCORED, WC, WEIGHTS, market, month_end, roll_sql, scored
 from panelforge.plans.q_pit import rank_sql
+from panelforge.sources.store import held
 
 #: What the rule strategies read, from the analog panel: month ends, quality from volume, low volatility and liquidity as ranks.
 RULED = f"""{RETURNS}, rb AS (SELECT trade_date, avg(close) AS benchmark_close FROM returns GROUP BY 1), rbs AS (SELECT *, CASE WHEN count(*) OVER w >= 200 THEN avg(benchmark_close) OVER w END AS benchmark_sma_200 FROM rb WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
@@ -209,11 +210,12 @@ CAPACITY = f"""{MONTH_END}, mc AS (SELECT r.code, r.trade_date, r.account, r.clo
 @query("p14_capacity_study", f"""WITH RECURSIVE {CAPACITY} SELECT strategy, account, top_n, dates, average_eligible, annual_return, volatility, max_drawdown, turnover, sharpe, codes, clusters,
  ok AND row_number() OVER (PARTITION BY strategy, account, ok ORDER BY coalesce(round(sharpe, 9), -999) DESC, clusters DESC, round(turnover, 9), top_n) = 1 AS recommended FROM al""", "average_eligible annual_return volatility max_drawdown turnover sharpe", 5)
 def _(t):
-    d = month_end(t)
+    d = held(month_end(t).select("code", "trade_date", "account", "industry", "close", "momentum", "vol"), "month_ends")
     ret = F.round(F.least(F.lead("close").over(roll.series()) / F.col("close") - 1, F.lit(1.0)), 9)
     returns = d.select("code", "trade_date", "account", ret.alias("ret"))
     ranked = d.select("account", "trade_date", "code", "industry", F.explode(F.array(F.struct(F.lit("momentum").alias("strategy"), F.round("momentum", 9).alias("score")), F.struct(F.lit("calm").alias("strategy"), F.round(-F.col("vol"), 9).alias("score")))).alias("s")).select("s.*", "account", "trade_date", "code", "industry")
-    pairs = allocation.covariances(allocation.pair_sums(returns, "account", "code", "trade_date", "ret"), 12).filter("a < b").select("a", "b", "corr")
+    own = capacity.ever_selected(returns, ranked, [2, 4, 6], ["strategy", "account"], "trade_date", "code", "industry", "score", max_per_index=2)
+    pairs = allocation.covariances(allocation.pair_sums(own, "account", "code", "trade_date", "ret"), 12).filter("a < b").select("a", "b", "corr")
     return capacity.study(ranked, returns, pairs, [2, 4, 6], ["strategy", "account"], "trade_date", "code", "industry", "score", "ret", 12, max_per_index=2, least_corr=0.25)
 
 
