@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import col, corr, truth
 from panelforge.operators import evaluation
-from panelforge.operators.xsec import centered_rank, long_ranks
+from panelforge.operators.xsec import pct_rank
 from panelforge.sources.store import held
 
 
@@ -127,24 +127,34 @@ def edge_calibration(df: DataFrame, score: str, ret: str, date: str, buckets: in
 
 def feature_audit(df: DataFrame, features: list[str], target: str, date: str = "trade_date") -> DataFrame:
     """Per feature: coverage, pooled centered-rank correlation with the target, t of its daily rank correlations, and the share of three
-    equal windows of dates whose mean daily correlation has the pooled sign. One long form, whatever the number of features."""
-    keys = ["code", date, target]
-    long = long_ranks(df.select(*keys, *features), keys, features, [date])
-    t = centered_rank(df.select("code", date, target), target, [date], "__t").select("code", date, "__t")
-    both = long.join(t, ["code", date])
-    share = long.groupBy("feature").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"))
-    pooled = both.groupBy("feature").agg((F.sum(F.col("rank") * F.col("__t")) / F.sqrt(F.sum(F.col("rank") ** 2) * F.sum(F.col("__t") ** 2))).alias("correlation"))
-    dates = df.select(date).distinct().withColumn("__w", F.ntile(3).over(W.orderBy(date)))  # a table of dates
-    ic = evaluation.daily_ic(long.filter(f"value is not null and {target} is not null"), ["feature", date], "value", target).join(dates, date)
-    signs = ic.groupBy("feature", "__w").agg(F.avg("ic").alias("__ic")).join(pooled, "feature").filter("abs(__ic) > 1e-12").groupBy("feature").agg(F.avg((F.signum("__ic") == F.signum("correlation")).cast("double")).alias("stability"))
-    t_stat = ic.groupBy("feature").agg((F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))).alias("ic_t"))
-    return share.join(pooled, "feature").join(signs, "feature", "left").join(t_stat, "feature", "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+    equal windows of dates whose mean daily correlation has the pooled sign. Rows are dealt by date once, whatever the number of features; what
+    leaves a date is a row of sums a feature."""
+    d = df.select(date, F.col(target).alias("__y"), *features).repartition(date).withColumn("__t", pct_rank("__y", [date]))
+    for f in features:
+        x, y = F.when(F.col("__y").isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), F.col("__y"))
+        d = d.withColumns({f"__r_{f}": pct_rank(f, [date]), f"__x_{f}": pct_rank(x, [date]), f"__y_{f}": pct_rank(y, [date])})
+    mean = lambda c: F.avg(c).over(W.partitionBy(date))
+    d = d.withColumns({c: F.col(c) - mean(c) for c in ("__t", *[f"__r_{f}" for f in features])})
+
+    def sums(f):
+        r, x, y = F.col(f"__r_{f}"), F.col(f"__x_{f}"), F.col(f"__y_{f}")
+        vary = (F.count(x) >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("rows"), F.count(f).alias("present"), F.sum(r * F.col("__t")).alias("rt"), F.sum(r**2).alias("rr"), F.sum(F.col("__t") ** 2).alias("tt"), F.when(vary, corr(x, y)).alias("ic"))
+
+    daily = d.groupBy(date).agg(F.array(*[sums(f) for f in features]).alias("__f")).withColumn("__w", F.ntile(3).over(W.orderBy(date)))  # a row a date
+    daily = held(daily.select(date, "__w", F.inline("__f")), "audit")
+    pooled = daily.groupBy("feature").agg(
+        (F.sum("present") / F.sum("rows")).alias("coverage"),
+        (F.sum("rt") / F.nullif(F.sqrt(F.sum("rr") * F.sum("tt")), F.lit(0.0))).alias("correlation"),
+        (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))).alias("ic_t"),
+    )
+    windows = daily.groupBy("feature", "__w").agg(F.avg("ic").alias("__ic")).join(pooled, "feature").filter("abs(__ic) > 1e-12")
+    signs = windows.groupBy("feature").agg(F.avg((F.signum("__ic") == F.signum("correlation")).cast("double")).alias("stability"))
+    return pooled.join(signs, "feature", "left").select("feature", "coverage", "correlation", F.coalesce("stability", F.lit(0.0)).alias("stability"), "ic_t")
 
 
 def rank_correlations(df: DataFrame, features: list[str], date: str = "trade_date") -> dict[tuple[str, str], float]:
     """Correlation of each pair of features' percentile ranks; one number a pair reaches the driver."""
-    from panelforge.operators.xsec import pct_rank
-
     d = df.select(*[pct_rank(c, [date]).alias(c) for c in features])
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     row = d.agg(*[corr(a, b) for a, b in pairs]).first() if pairs else ()
@@ -153,6 +163,7 @@ def rank_correlations(df: DataFrame, features: list[str], date: str = "trade_dat
 
 def select_features(df: DataFrame, features: list[str], target: str, family: dict[str, str], most: int = 20, least_coverage: float = 0.55, limit: float = 0.92, least_ic: float = 0.02, least_stability: float = 0.67, least_t: float = 2.0, family_cap: int = 6) -> DataFrame:
     """(feature, place, score): features by |correlation| x (1 + stability) / 2 among those that cover, hold and differ enough, without near copies of chosen ones and within the family's cap."""
+    df = held(df.select("trade_date", target, *features), "features")
     rows = {r["feature"]: r for r in feature_audit(df, features, target).collect()}
     score = {f: abs(r["correlation"] or 0.0) * (0.5 + 0.5 * r["stability"]) for f, r in rows.items() if r["coverage"] >= least_coverage and abs(r["correlation"] or 0.0) >= least_ic and r["stability"] >= least_stability and abs(r["ic_t"] or 0.0) >= least_t}
     chosen = evaluation.greedy_selection(score, rank_correlations(df, sorted(score)), family, most, limit, family_cap) if score else []
