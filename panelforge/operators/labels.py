@@ -17,7 +17,8 @@ def forward_labels(prices: DataFrame, benchmark: DataFrame | None, horizons: tup
     Entry is the next session's open, exit the close h sessions on. excess = return minus the benchmark's
     from the entry date's open to the exit date's close. threshold = max(cost, 0.25 x sigma20 x sqrt(h)), sigma20 of
     daily returns (5 values at least, else 0). label: up, down or flat. Excursions come from the highs and lows of
-    sessions 1..h, at least 0 and at most 0. The benchmark is one row a date and is joined twice by date.
+    sessions 1..h, at least 0 and at most 0. The benchmark is one row a date and is broadcast, so labels, a row a
+    horizon, are not moved.
     """
     w = W.partitionBy(code).orderBy(date)
     ret = F.col("close") / F.lag("close").over(w) - 1
@@ -38,7 +39,7 @@ def forward_labels(prices: DataFrame, benchmark: DataFrame | None, horizons: tup
     if benchmark is not None:
         a = benchmark.select(F.col(date).alias("entry_date"), F.col("open").alias("__bo"))
         b = benchmark.select(F.col(date).alias("exit_date"), F.col("close").alias("__bc"))
-        d = d.join(a, "entry_date").join(b, "exit_date").withColumn("benchmark_ret", F.col("__bc") / F.col("__bo") - 1).drop("__bo", "__bc")
+        d = d.join(F.broadcast(a), "entry_date").join(F.broadcast(b), "exit_date").withColumn("benchmark_ret", F.col("__bc") / F.col("__bo") - 1).drop("__bo", "__bc")
     else:
         d = d.withColumn("benchmark_ret", F.lit(0.0))
     d = d.withColumn("excess", F.col("ret") - F.col("benchmark_ret")).withColumn("threshold", F.greatest(F.lit(cost), 0.25 * F.col("sigma") * F.sqrt("horizon")))
