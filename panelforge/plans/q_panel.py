@@ -306,9 +306,14 @@ EVENTS = f"""{TECH}, {MEMBERS}, eb AS (SELECT p.*, industry, close / nullif(lag(
 
 
 def event_panel(t):
-    d = technical.macd_state(technical.recursive(technical.volume(technical.bollinger(technical.trend(with_returns(t))))))
+    """The panel with its indicators and the breadth of industries. Rows are narrow when they pass through Python, all else is added where they lie by code; the breadth
+    is a row a date and industry and is broadcast."""
+    narrow = universe(t).select("code", "trade_date", "industry", "high", "low", "close", "volume", "amount")
+    d = technical.macd_state(technical.recursive(narrow)).withColumn("return_1", roll.change("close"))
+    d = technical.volume(technical.bollinger(technical.trend(d)))
     up = F.coalesce((F.col("return_1") > 0).cast("double"), F.lit(0.0))
-    return d.withColumn("flow_net_large", F.when(F.col("volume") % 2 == 0, F.col("amount")).otherwise(-F.col("amount"))).withColumn("industry_breadth", F.avg(up).over(W.partitionBy("trade_date", "industry")))
+    breadth = with_returns(t).groupBy("trade_date", "industry").agg(F.avg(up).alias("industry_breadth"))
+    return d.withColumn("flow_net_large", F.when(F.col("volume") % 2 == 0, F.col("amount")).otherwise(-F.col("amount"))).join(F.broadcast(breadth), ["trade_date", "industry"])
 
 
 @query("events_all_masks", f"WITH RECURSIVE {EVENTS} SELECT event, direction, code, trade_date, industry, substr(sha256('m|' || code || '|' || trade_date || '|' || event), 1, 20) AS event_id FROM every_event")
