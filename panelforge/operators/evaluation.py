@@ -6,12 +6,14 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import col, corr, safe_ratio
 from panelforge.operators.xsec import pct_rank
+from panelforge.sources.store import held
 
 
 def daily_ic(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -180,11 +182,13 @@ def stationary_bootstrap(values: np.ndarray, block: float, samples: int, seed: i
 
 def deflated_sharpe(observed: float, trials: list[float], observations: int, skew: float, kurtosis: float, year: int = 252) -> float:
     """Probability that the Sharpe ratio exceeds the expected best of that many trials of no skill."""
+    return _deflated(observed, float(np.std(trials, ddof=1)) if len(trials) > 1 else 0.0, len(trials), observations, skew, kurtosis, year)
+
+
+def _deflated(observed: float, deviation: float, trials: int, observations: int, skew: float, kurtosis: float, year: int = 252) -> float:
     from statistics import NormalDist
 
-    z = NormalDist()
-    sd = float(np.std(trials, ddof=1)) / math.sqrt(year) if len(trials) > 1 else 0.0
-    n = max(2, len(trials))
+    z, sd, n = NormalDist(), deviation / math.sqrt(year), max(2, trials)
     best = sd * ((1 - np.euler_gamma) * z.inv_cdf(1 - 1 / n) + np.euler_gamma * z.inv_cdf(1 - 1 / (n * math.e)))
     s = observed / math.sqrt(year)
     return z.cdf((s - best) * math.sqrt(observations - 1) / math.sqrt(max(1e-12, 1 - skew * s + (kurtosis - 1) / 4 * s * s)))
@@ -210,6 +214,64 @@ def overfit_probability(blocks: np.ndarray) -> float:
     return below / total
 
 
+def overfitting(sums: DataFrame, trial: str, year: int = 252, blocks: int = 8) -> tuple[str, float, float, float] | None:
+    """(best trial, its Sharpe ratio, deflated, probability of overfitting as overfit_probability has it) from rows (trial, block, n, s, q); ties go to the first trial. None without rows.
+
+    A trial's blocks are one row; batches of them send their best trial and moments for each split, and in a second pass how many lie below the best, so the driver's memory does
+    not grow with the trials.
+    """
+    splits = [(i, [k for k in range(blocks) if k not in i]) for i in itertools.combinations(range(blocks), blocks // 2)]
+    rows = held(sums.groupBy(F.col(trial).alias("t")).agg(F.collect_list(F.struct("block", "n", "s", "q")).alias("b")), "trials")
+
+    def tables(batches):
+        for pdf in batches:
+            x = np.full((len(pdf), blocks, 3), 1e-12)
+            for i, row in enumerate(pdf["b"]):
+                for b in row:
+                    x[i, b["block"]] = b["n"], b["s"], b["q"]
+            yield pdf["t"].to_numpy(), x
+
+    def sharpe(x, idx):
+        k, s, q = x[:, list(idx)].sum(axis=1).T
+        mean = s / k
+        return mean / np.sqrt(np.maximum(q / k - mean**2, 1e-18))
+
+    def first(batches):
+        for names, x in tables(batches):
+            out = []
+            n, s, q = x.sum(axis=1).T
+            whole = s / n / np.sqrt(np.maximum(q / n - (s / n) ** 2, 1e-18)) * year**0.5
+            for k, (inside, outside) in enumerate([(None, None), *splits]):
+                value = whole if inside is None else sharpe(x, inside)
+                at = min(np.flatnonzero(value == value.max()), key=lambda i: names[i])
+                out.append((k, len(names), names[at], value[at], n[at] if inside is None else sharpe(x, outside)[at], whole.mean(), ((whole - whole.mean()) ** 2).sum()))
+            yield pd.DataFrame(out, columns=["k", "n", "t", "v", "o", "m", "m2"])
+
+    kind = rows.schema["t"].dataType.simpleString()
+    # the greatest value, of equal ones the first trial; moments of batches add up to those of all
+    best: dict[int, tuple] = {}
+    count, mean, square = 0, 0.0, 0.0
+    for r in rows.mapInPandas(first, f"k int, n long, t {kind}, v double, o double, m double, m2 double").toLocalIterator():
+        k = r["k"]
+        if k not in best or r["v"] > best[k][0] or (r["v"] == best[k][0] and r["t"] < best[k][1]):
+            best[k] = (r["v"], r["t"], r["o"])
+        if k == 0:
+            gap, total = r["m"] - mean, count + r["n"]
+            mean, square, count = mean + gap * r["n"] / total, square + r["m2"] + gap * gap * count * r["n"] / total, total
+    if not best:
+        return None
+
+    def second(batches):
+        for _, x in tables(batches):
+            yield pd.DataFrame({"k": range(1, len(splits) + 1), "below": [int((sharpe(x, outside) < best[k][2]).sum()) for k, (_, outside) in enumerate(splits, 1)]})
+
+    below = rows.mapInPandas(second, "k int, below long").groupBy("k").agg(F.sum("below").alias("below")).collect()
+    probability = sum(r["below"] / max(1, count - 1) < 0.5 for r in below) / len(splits)
+    value, name, n = best[0]
+    deviation = math.sqrt(square / (count - 1)) if count > 1 else 0.0
+    return name, float(value), float(_deflated(float(value), deviation, count, int(n), 0.0, 3.0, year)), float(probability)
+
+
 def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Isotonic fit by pooling adjacent violators."""
     level: list[list[float]] = []

@@ -108,7 +108,8 @@ NAV = f"{PANEL}, b AS (SELECT trade_date, round(avg(close), 6) AS bench FROM pan
 
 def nav(t):
     p = panel(t)
-    return p.join(p.groupBy("trade_date").agg(F.round(F.avg("close"), 6).alias("bench")), "trade_date").select(F.col("code").alias("account"), "trade_date", F.col("close").alias("v"), "bench")
+    bench = p.groupBy("trade_date").agg(F.round(F.avg("close"), 6).alias("bench"))  # a row a date
+    return p.join(F.broadcast(bench), "trade_date").select(F.col("code").alias("account"), "trade_date", F.col("close").alias("v"), "bench")
 
 
 @query("a15_a18_account_performance", f"""WITH {NAV}, r AS (SELECT *, v / nullif(lag(v) OVER w, 0) - 1 AS r, bench / nullif(lag(bench) OVER w, 0) - 1 AS br, v / max(v) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM nav WINDOW w AS (PARTITION BY account ORDER BY trade_date)),

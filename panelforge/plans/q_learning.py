@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,17 +71,8 @@ def _(t):
     """Deflated Sharpe ratio of the best account and the probability that choosing it is overfitting, from sums of eight blocks of dates."""
     r = nav(t).withColumn("r", roll.change("v", 1, W.partitionBy("account").orderBy("trade_date"))).filter("r is not null")
     dates = r.select("trade_date").distinct().withColumn("block", F.ntile(8).over(W.orderBy("trade_date")) - 1)
-    sums = r.join(dates, "trade_date").groupBy("account", "block").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"))
-    rows = sums.orderBy("account", "block").collect()  # trials x 8 sums
-    names = sorted({x["account"] for x in rows})
-    blocks = np.full((len(names), 8, 3), 1e-12)
-    for x in rows:
-        blocks[names.index(x["account"]), x["block"]] = x["n"], x["s"], x["q"]
-    n, s, q = blocks.sum(axis=1).T
-    sharpe = s / n / np.sqrt(np.maximum(q / n - (s / n) ** 2, 1e-18)) * 252**0.5
-    best = int(sharpe.argmax())
-    row = (names[best], float(sharpe[best]), float(evalu.deflated_sharpe(float(sharpe[best]), sharpe.tolist(), int(n[best]), 0.0, 3.0)), float(evalu.overfit_probability(blocks)))
-    return t.spark.createDataFrame([row], "account string, sharpe double, deflated double, overfitting double")
+    sums = r.join(F.broadcast(dates), "trade_date").groupBy("account", "block").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"))  # a row a date
+    return t.spark.createDataFrame([evalu.overfitting(sums, "account")], "account string, sharpe double, deflated double, overfitting double")
 
 
 @query("m7_block_bootstrap")
