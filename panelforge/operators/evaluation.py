@@ -128,7 +128,7 @@ def walk_forward(df: DataFrame, date: str, label_end: str, folds: int, embargo:
     n = dates.count()
     size = max(1, n // (folds + 1))
     starts = {r["__i"]: r[date] for r in dates.filter(F.col("__i").isin([size * (k + 1) for k in range(folds)])).collect()}
-    numbered = df.join(dates, date)
+    numbered = df.join(F.broadcast(dates), date)  # a row a date
     parts = []
     for k in range(folds):
         first = size * (k + 1)

@@ -12,12 +12,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.operators import evaluation
 from panelforge.operators.learning import gate
+from panelforge.sources.store import held
 
 #: Fixed values of the admission gate: least active dates and rows, least periods, most added turnover a year.
 LEAST_DATES, LEAST_ROWS, LEAST_PERIODS, MOST_TURNOVER = 20, 100, 3, 0.5
@@ -40,12 +42,11 @@ def support(rows: DataFrame, events: list[str], date: str = "trade_date", covera
     return g.withColumns({"covered_ratio": share("covered_rows"), "active_ratio": share("active_rows"), "status": F.when(enough, "supported").otherwise("insufficient_support")})
 
 
-def fold_coefficients(split: DataFrame, features: list[str], target: str, penalty: float, narrow: list[str] | None = None) -> dict[int, np.ndarray]:
-    """fold -> intercept and coefficients of a ridge fit on its training rows; those outside `narrow` are 0. One aggregate, a few sums a fold reach the driver."""
+def fold_coefficients(split: DataFrame, features: list[str], target: str, penalty: float, narrow: list[str] | None = None, sums: list | None = None) -> dict[int, np.ndarray]:
+    """fold -> intercept and coefficients of a ridge fit on its training rows; those outside `narrow` are 0. One aggregate (or the fold_sums given), a few sums a fold reach the driver."""
     names = ["__one", *features]
-    d = split.filter((F.col("role") == "train") & F.col(target).isNotNull()).withColumn("__one", F.lit(1.0)).fillna(0.0, features)
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = d.groupBy("fold").agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs], *[F.sum(F.col(n) * F.col(target)) for n in names]).collect()
+    sums = fold_sums(split, features, target) if sums is None else sums
     live = [i for i, n in enumerate(names) if narrow is None or n == "__one" or n in narrow]
     out = {}
     for row in sums:
@@ -58,6 +59,14 @@ def fold_coefficients(split: DataFrame, features: list[str], target: str, penalt
     return out
 
 
+def fold_sums(split: DataFrame, features: list[str], target: str) -> list:
+    """A row a fold: sums of products of its training rows' features, and with the target."""
+    names = ["__one", *features]
+    d = split.filter((F.col("role") == "train") & F.col(target).isNotNull()).withColumn("__one", F.lit(1.0)).fillna(0.0, features)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    return d.groupBy("fold").agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs], *[F.sum(F.col(n) * F.col(target)) for n in names]).collect()
+
+
 def linear(weights: dict[int, np.ndarray], features: list[str]) -> Column:
     """Score of a row by the coefficients of its fold; null in a fold without training rows."""
     score = F.lit(None).cast("double")
@@ -71,7 +80,8 @@ def paired_scores(rows: DataFrame, base: list[str], events: list[str], target: s
     """Validation rows with `base` and `candidate` scores, and the candidate's coefficient of each event feature as `w_<feature>`."""
     features = [*base, *[e for e in events if e not in base]]
     split = evaluation.walk_forward(rows, date, label_end, folds, embargo)
-    wide, narrow = fold_coefficients(split, features, target, penalty), fold_coefficients(split, features, target, penalty, base)
+    sums = fold_sums(split, features, target)
+    wide, narrow = fold_coefficients(split, features, target, penalty, None, sums), fold_coefficients(split, features, target, penalty, base, sums)
     valid = split.filter((F.col("role") == "validation") & F.col(target).isNotNull()).withColumns({"base": linear(narrow, features), "candidate": linear(wide, features)})
     for e in events:
         w = F.lit(None).cast("double")
@@ -88,7 +98,7 @@ def period_returns(scores: DataFrame, score: str, target: str, date: str, code:
     """
     dates = scores.select(date).distinct().withColumn("__i", F.row_number().over(W.orderBy(date)) - 1).filter(F.col("__i") % horizon == 0).select(date, (F.col("__i") / horizon).cast("int").alias("period"))
     w = W.partitionBy(date)
-    d = scores.select(date, code, score, target).join(dates, date)
+    d = scores.select(date, code, score, target).join(F.broadcast(dates), date)  # a row a period
     d = d.withColumn("__place", F.row_number().over(w.orderBy(F.col(score).desc(), code))).withColumn("__n", F.count(F.lit(1)).over(w))
     d = d.withColumn("__in", F.col("__place") <= F.greatest(F.floor(F.col("__n") * share), F.lit(1)))
     gross = d.groupBy("period", date).agg((F.avg(F.when(F.col("__in"), F.col(target))) - F.avg(target)).alias("gross"), F.sum(F.col("__in").cast("long")).alias("__k"))
@@ -127,16 +137,29 @@ def paired_bootstrap(pairs: DataFrame, order: str, base: str, candidate: str, sa
 def permutation_importance(scores: DataFrame, events: list[str], target: str, date: str, code: str, seed: int) -> DataFrame:
     """(feature, importance): mean daily rank correlation of the candidate score less that with the feature's values dealt anew among the rows of their date.
 
-    Rows of a date swap values by the order of hashes; scores are linear, so a dealt value changes them by its coefficient times the difference.
+    Rows of a date swap values by the order of hashes; scores are linear, so a dealt value changes them by its coefficient times the difference. A date's rows
+    are one group and move once; a number a feature leaves it.
     """
-    keep = scores.select(date, code, target, "candidate", F.expr("stack({}, {})".format(len(events), ", ".join(f"'{e}', coalesce(cast(`{e}` as double), 0.0), `w_{e}`" for e in events))).alias("feature", "__x", "__w"))
-    by = W.partitionBy("feature", date)
-    placed = keep.withColumn("__from", F.row_number().over(by.orderBy(code))).withColumn("__to", F.row_number().over(by.orderBy(uniform(seed, "feature", code, date), code)))
-    dealt = placed.select("feature", date, F.col("__to").alias("__from"), F.col("__x").alias("__y"))
-    both = placed.join(dealt, ["feature", date, "__from"]).withColumn("__dealt", F.col("candidate") + F.col("__w") * (F.col("__y") - F.col("__x")))
-    before = evaluation.daily_ic(both, ["feature", date], "candidate", target).select("feature", date, F.col("ic").alias("__a"))
-    after = evaluation.daily_ic(both, ["feature", date], "__dealt", target).select("feature", date, F.col("ic").alias("__b"))
-    return before.join(after, ["feature", date]).groupBy("feature").agg((F.avg("__a") - F.avg("__b")).alias("importance"))
+    columns = {f"__{k}_{i}": c for i, e in enumerate(events) for k, c in (("x", F.coalesce(F.col(e).cast("double"), F.lit(0.0))), ("w", F.col(f"w_{e}")), ("h", uniform(seed, F.lit(e), code, date)))}
+    d = scores.select(F.col(date).alias("__date"), F.col(code).alias("__code"), F.col(target).cast("double").alias("__y"), "candidate", *[c.alias(n) for n, c in columns.items()])
+
+    def spearman(x: pd.Series, y: pd.Series) -> float | None:
+        ok = x.notna() & y.notna()
+        a, b = x[ok].rank(), y[ok].rank()
+        return float(np.corrcoef(a, b)[0, 1]) if len(a) >= 3 and a.min() < a.max() and b.min() < b.max() else None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, at = [], np.argsort(pdf["__code"].to_numpy(), kind="stable")
+        before = spearman(pdf["candidate"], pdf["__y"])
+        for i, e in enumerate(events):
+            x = pdf[f"__x_{i}"].to_numpy()
+            dealt = np.empty(len(x))
+            dealt[at] = x[at[np.argsort(pdf[f"__h_{i}"].to_numpy()[at], kind="stable")]]
+            out.append((e, before, spearman(pdf["candidate"] + pdf[f"__w_{i}"] * (dealt - x), pdf["__y"])))
+        return pd.DataFrame(out, columns=["feature", "a", "b"])
+
+    daily = d.groupBy("__date").applyInPandas(run, "feature string, a double, b double").filter("a is not null and b is not null and not isnan(a) and not isnan(b)")
+    return daily.groupBy("feature").agg((F.avg("a") - F.avg("b")).alias("importance"))
 
 
 def _metrics(scores: DataFrame, score: str, periods: DataFrame, target: str, date: str, horizon: int, year: int) -> DataFrame:
@@ -160,11 +183,14 @@ def increment(rows: DataFrame, base: list[str], events: list[str], target: str,
     differences are null. Admission needs a better rank correlation and net excess, no deeper drawdown, bounded added
     turnover, LEAST_PERIODS periods, an interval above 0 and an event feature of positive permutation importance.
     """
+    features = [*base, *[e for e in events if e not in base]]
+    rows = held(rows.select(*dict.fromkeys([date, code, target, label_end, *features, *([coverage] if coverage else [])])), "increment")
     s = support(rows, events, date, coverage, least_dates, least_rows)
     empty = {**{f"delta_{c}": F.lit(None).cast("double") for c in DELTAS}, **{c: F.lit(None).cast("double") for c in ("mean_delta", "low", "high", "positive")}, "periods": F.lit(0).cast("long"), "top_feature": F.lit(None).cast("string"), "importance": F.lit(None).cast("double")}
     if s.first()["status"] != "supported":
         return _admitted(s.withColumns(empty))
-    scores = paired_scores(rows, base, events, target, date, label_end, folds, horizon, penalty).persist()
+    scores = paired_scores(rows, base, events, target, date, label_end, folds, horizon, penalty)
+    scores = held(scores.select(date, code, target, "base", "candidate", *dict.fromkeys([*events, *[f"w_{e}" for e in events]])), "scores")
     kept = {k: period_returns(scores, k, target, date, code, horizon) for k in ("base", "candidate")}
     both = kept["base"].select("period", F.col("net").alias("base")).join(kept["candidate"].select("period", F.col("net").alias("candidate")), "period")
     metrics = {k: _metrics(scores, k, kept[k], target, date, horizon, year) for k in kept}
